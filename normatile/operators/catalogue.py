@@ -116,9 +116,9 @@ def check_method(category: str, method: str) -> str:
     return method
 
 
-def method_errors(df: DataFrame, category: str, method: str) -> DataFrame:
+def method_errors(df: DataFrame, category: str, method: str | Column) -> DataFrame:
     """Rows whose explicit method does not suit their category."""
-    return df.where(~F.array_contains(methods_for(F.col(category)), F.col(method)))
+    return df.where(~F.array_contains(methods_for(F.col(category)), method if isinstance(method, Column) else F.lit(method)))
 
 
 def augmentation_plan(

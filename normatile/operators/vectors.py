@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
 import numpy as np
@@ -63,18 +64,16 @@ def layernorm_linear(
 
 def mlp_head(x: Column, w1: Sequence, b1: Sequence, w2: Sequence, b2: float) -> Column:
     """Two-layer head with a GELU in between; one logit per vector."""
-    from math import erf
-
     w1, b1 = np.asarray(w1, np.float64), np.asarray(b1, np.float64)
     w2 = np.asarray(w2, np.float64).reshape(-1)
-    phi = np.frompyfunc(lambda z: 0.5 * (1.0 + erf(z / 2.0**0.5)), 1, 1)
 
     @F.arrow_udf("double")
     def apply(v: pa.Array) -> pa.Array:
         if not len(v):
             return pa.array([], pa.float64())
         hidden = to_matrix(v) @ w1.T + b1
-        hidden = hidden * phi(hidden).astype(np.float64)
+        tails = [math.erf(z) for z in (hidden / math.sqrt(2.0)).ravel()]
+        hidden = hidden * 0.5 * (1.0 + np.reshape(tails, hidden.shape))
         return pa.array(hidden @ w2 + float(b2))
 
     return apply(x)
@@ -140,8 +139,8 @@ def concat_tokens(cls: DataFrame, patches: DataFrame) -> DataFrame:
 
 
 def embed_images(
-    df: DataFrame, pixels: str, make_predict_fn: Callable, width: int, batch_size: int = 32,
-    input_shape: Sequence[int] | None = None, out: str = "embedding",
+    df: DataFrame, pixels: str, make_predict_fn: Callable, batch_size: int = 32,
+    input_shape: Sequence[int] | None = None, out: str = "embedding", element: T.DataType | None = None,
 ) -> DataFrame:
     """Run a user's frozen encoder over an array column, batch by batch.
 
@@ -150,7 +149,7 @@ def embed_images(
     """
     udf = predict_batch_udf(
         make_predict_fn,
-        return_type=T.ArrayType(T.FloatType()),
+        return_type=T.ArrayType(element or T.FloatType()),
         batch_size=batch_size,
         input_tensor_shapes=[list(input_shape)] if input_shape else None,
     )
