@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from normatile.operators.vectors import VECTOR, linear, max_vector, sum_vector
+from normatile.operators.vectors import VECTOR, linear, max_vector, sum_vector, to_matrix
 from normatile.session import materialize
 
 # Patches that travel together past one copy of their image's query block.
@@ -21,7 +21,7 @@ def query_blocks(queries: DataFrame, key: str = "image_id") -> DataFrame:
 
     The number of queries is a constant of the model, so the row has a fixed size.
     """
-    ordered = F.array_sort(F.collect_list(F.struct("query_idx", F.col("embedding").cast(VECTOR).alias("v"))))
+    ordered = F.array_sort(F.collect_list(F.struct("query_idx", F.col("embedding").alias("v"))))
     return queries.groupBy(key).agg(F.transform(ordered, lambda q: q["v"]).alias("block"))
 
 
@@ -40,7 +40,7 @@ def attention_logits(
     if weight is not None:
         queries = queries.withColumn("embedding", linear(F.col("embedding").cast(VECTOR), weight, bias))
     packed = (
-        patches.select(key, "patch_idx", F.col("embedding").cast(VECTOR).alias("_v"))
+        patches.select(key, "patch_idx", F.col("embedding").alias("_v"))
         .groupBy(key, F.floor(F.col("patch_idx") / PACK).alias("_pack"))
         .agg(F.collect_list(F.struct("patch_idx", "_v")).alias("_rows"))
     )
@@ -49,8 +49,7 @@ def attention_logits(
     def scores(vectors: pa.Array, blocks: pa.Array) -> pa.Array:
         out = []
         for v, q in zip(vectors, blocks):
-            p = np.asarray(v.values.flatten()).reshape(len(v.values), -1)
-            b = np.asarray(q.values.flatten()).reshape(len(q.values), -1)
+            p, b = to_matrix(v.values), to_matrix(q.values)
             out.append(list((p @ b.T) / np.sqrt(p.shape[1])))
         return pa.array(out, pa.list_(pa.list_(pa.float64())))
 

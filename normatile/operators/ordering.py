@@ -165,6 +165,8 @@ def percentile_bounds(
     if not group:
         keyed = percentile_bounds(df.withColumn("_all", F.lit(0)), ["_all"], value, low, high)
         return keyed.drop("_all")
+    if (low, high) == (0.0, 100.0):
+        return df.groupBy(*group).agg(F.min(value).alias("p_low"), F.max(value).alias("p_high"))
     counts = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count("*").alias("_n"))
     ranked = running_totals(counts, group, [value], {"_through": F.col("_n")})
     sized = ranked.join(ranked.groupBy(*group).agg(F.max("_through").alias("_size")), group)
@@ -184,14 +186,18 @@ def percentile_bounds(
 
 
 def last_n(
-    df: DataFrame, n: int, step: str, within: Sequence[str], group: Sequence[str] = ()
+    df: DataFrame, n: int, step: str, within: Sequence[str], group: Sequence[str] = (), held: bool = False
 ) -> DataFrame:
     """The last ``n`` rows by arrival: ``step``, then the columns ``within`` a step.
 
     Steps that are wholly too old are ruled out from their row counts alone, so only about ``n``
-    rows plus one step are ever ranked.
+    rows plus one step are ever ranked. ``held=True`` says that ``df`` is already such a short
+    buffer (``n`` rows plus a micro-batch per group) and ranks it at once.
     """
     group = list(group)
+    if held:
+        latest = W.partitionBy(*(group or [F.lit(0)])).orderBy(*[F.desc(c) for c in (step, *within)])
+        return df.withColumn("_rank", F.row_number().over(latest)).where(F.col("_rank") <= n).drop("_rank")
     counts = df.groupBy(*group, step).agg(F.count("*").alias("_rows"))
     newest = running_totals(counts, group, [F.desc(step)], {"_through": F.col("_rows")})
     alive = newest.where(F.col("_through") - F.col("_rows") < n).select(

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from normatile.operators.ordering import last_n, running_totals
-from normatile.operators.vectors import sum_vector, to_list_array, to_matrix
+from normatile.operators.vectors import rows_by_key, sum_vector, to_list_array, to_matrix
 from normatile.session import materialize
 
 REGULARIZATION = 1e-6
@@ -57,13 +57,7 @@ def moment_sums(df: DataFrame, group: Sequence[str], features: str) -> DataFrame
             batch_types = [batch.column(i).type for i in range(len(group))]
             x = to_matrix(batch.column(len(group)))
             ones = np.concatenate([np.ones((len(x), 1)), x], axis=1)
-            if group:
-                keys = pd.DataFrame({g: batch.column(i).to_pylist() for i, g in enumerate(group)}, dtype=object)
-                members = keys.groupby(group, dropna=False, sort=False).indices
-            else:
-                members = {(): np.arange(len(x))}
-            for key, rows in members.items():
-                key = key if isinstance(key, tuple) else (key,)
+            for key, rows in rows_by_key([batch.column(i) for i in range(len(group))], len(x)):
                 part = ones[rows].T @ ones[rows]
                 sums[key] = sums[key] + part if key in sums else part
             if sum(s.nbytes for s in sums.values()) > PARTIAL_BYTES:

@@ -89,6 +89,16 @@ def gaussian_kernel(size: int, sigma: float) -> list[float]:
     return (weights / weights.sum()).tolist()
 
 
+def _tap(line: Column, i: Column, kernel: Sequence[float]) -> Column:
+    """Weighted sum around place ``i``; beyond the ends the line is mirrored, edge not repeated."""
+    last, half = F.size(line) - 1, len(kernel) // 2
+    total = F.lit(0.0)
+    for k, weight in enumerate(kernel):
+        if weight:
+            total = total + float(weight) * F.get(line, last - F.abs(last - F.abs(i + (k - half))))
+    return total
+
+
 def convolve(
     df: DataFrame, kernel_x: Sequence[float], kernel_y: Sequence[float],
     keys: Sequence[str] = ("image_id", "c"), value: str = "v",
@@ -96,25 +106,37 @@ def convolve(
     """Correlate with a separable kernel; borders mirror without repeating the edge pixel."""
 
     def change(kernel: Sequence[float]) -> Callable[[Column], Column]:
-        half = len(kernel) // 2
-
-        def along(line: Column) -> Column:
-            last = F.size(line) - 1
+        return lambda line: F.transform(_places(line), lambda i: _tap(line, i, kernel))
 
-            def taps(i: Column) -> Column:
-                total = F.lit(0.0)
-                for k, weight in enumerate(kernel):
-                    if weight:
-                        mirrored = last - F.abs(last - F.abs(i + (k - half)))
-                        total = total + float(weight) * F.get(line, mirrored)
-                return total
-
-            return F.transform(_places(line), taps)
+    keys = list(keys)
+    return along_axis(along_axis(df, "x", keys, value, change(kernel_x)), "y", keys, value, change(kernel_y))
 
-        return along
 
+def gradient_sum(df: DataFrame, keys: Sequence[str] = ("image_id", "c"), value: str = "v") -> DataFrame:
+    """Sum of the 3 x 3 gradients along x and y, both in one pass per axis."""
     keys = list(keys)
-    return along_axis(along_axis(df, "x", keys, value, change(kernel_x)), "y", keys, value, change(kernel_y))
+
+    def packed(frame: DataFrame, axis: str, *names: str) -> DataFrame:
+        other = "y" if axis == "x" else "x"
+        rows = F.array_sort(F.collect_list(F.struct(axis, *names)))
+        return frame.groupBy(*keys, other).agg(rows.alias("_rows"))
+
+    rows = packed(df.withColumn(value, F.col(value).cast("double")), "x", value)
+    rows = rows.withColumn("_line", F.transform("_rows", lambda p: p[value]))
+    both = F.transform(
+        _places(F.col("_line")),
+        lambda i: F.struct(
+            _tap(F.col("_line"), i, SOBEL_DIFF).alias("d"), _tap(F.col("_line"), i, SOBEL_SMOOTH).alias("s")
+        ),
+    )
+    across = rows.select(*keys, "y", F.posexplode(both).alias("x", "_b")).select(*keys, "y", "x", "_b.d", "_b.s")
+    cols = packed(across, "y", "d", "s").withColumns(
+        {"_d": F.transform("_rows", lambda p: p["d"]), "_s": F.transform("_rows", lambda p: p["s"])}
+    )
+    total = F.transform(
+        _places(F.col("_d")), lambda i: _tap(F.col("_d"), i, SOBEL_SMOOTH) + _tap(F.col("_s"), i, SOBEL_DIFF)
+    )
+    return cols.select(*keys, "x", F.posexplode(total).alias("y", value)).select(*keys, "y", "x", value)
 
 
 def gaussian_blur(df: DataFrame, size: int, sigma: float, keys: Sequence[str] = ("image_id", "c"), value: str = "v") -> DataFrame:
@@ -140,23 +162,22 @@ def seamless_blend(
     """
     place = [image, "y", "x"]
     ring = boundary(mask.withColumn("m", (F.col("m") > 0.5).cast("int")), keys=[image]).withColumn("_ring", F.lit(1.0))
-    keys = [image, "c"]
 
-    def gradients(df: DataFrame, name: str) -> DataFrame:
-        bytes_ = df.select(*place, "c", F.floor(px.clip255(F.col("v"))).alias("v"))
-        gx, gy = sobel(bytes_, "x", keys).withColumnRenamed("v", "_gx"), sobel(bytes_, "y", keys).withColumnRenamed("v", "_gy")
-        return gx.join(gy, [*place, "c"]).select(*place, "c", (F.col("_gx") + F.col("_gy")).alias(name))
+    def as_byte(name: str) -> Column:
+        return F.floor(px.clip255(F.col(name)))
 
+    both = patch.select(*place, "c", F.col("v").alias("_patch")).join(
+        dest.select(*place, "c", F.col("v").alias("_dest")), [*place, "c"]
+    )
+    # Gradients are linear, so the difference of gradients is the gradient of the difference.
+    pull = gradient_sum(both.withColumn("v", as_byte("_dest") - as_byte("_patch")).select(*place, "c", "v"), [image, "c"])
     joined = (
-        patch.select(*place, "c", F.col("v").alias("_patch"))
-        .join(dest.select(*place, "c", F.col("v").alias("_dest")), [*place, "c"])
+        both.join(pull.withColumnRenamed("v", "_pull"), [*place, "c"])
         .join(mask.select(*place, "m"), place)
         .join(ring, place, "left")
-        .join(gradients(patch, "_pg"), [*place, "c"])
-        .join(gradients(dest, "_dg"), [*place, "c"])
     )
     mixed = px.blend(F.col("_patch"), F.col("_dest"), F.col("m"), alpha)
-    correction = (F.col("_dg") - F.col("_pg")) * F.coalesce(F.col("_ring"), F.lit(0.0)) * strength
+    correction = F.col("_pull") * F.coalesce(F.col("_ring"), F.lit(0.0)) * strength
     return joined.select(*place, "c", (mixed + correction).alias("v"))
 
 

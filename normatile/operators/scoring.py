@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from normatile.functions.scores import amplify
 from normatile.operators.ordering import top_k
-from normatile.operators.vectors import quadratic_form, to_matrix
+from normatile.operators.vectors import quadratic_form, rows_by_key, to_matrix
 from normatile.session import materialize
 
 # Up to this width the quadratic form stays in the JVM; wider vectors go to numpy in Arrow batches.
@@ -77,11 +77,7 @@ def _wide(patches, profile, group, features, gamma, out):
         result = np.full(len(x), np.nan)
         if len(x):
             matrix = to_matrix(x)
-            labels = list(zip(*[k.to_pylist() for k in keys])) if keys else [()] * len(x)
-            members: dict[tuple, list[int]] = {}
-            for i, label in enumerate(labels):
-                members.setdefault(label, []).append(i)
-            for label, rows in members.items():
+            for label, rows in rows_by_key(keys, len(x)):
                 if label in shared.value:
                     mu, precision = shared.value[label]
                     centered = matrix[rows] - mu

@@ -29,6 +29,18 @@ def to_list_array(matrix: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(matrix.reshape(-1)))
 
 
+def rows_by_key(keys: Sequence[pa.Array], n: int) -> list[tuple[tuple, np.ndarray]]:
+    """Row numbers of each distinct key of an Arrow batch."""
+    codes = np.zeros(n, np.int64)
+    for key in keys:
+        encoded = key.dictionary_encode(null_encoding="encode")
+        codes = codes * len(encoded.dictionary) + encoded.indices.to_numpy(zero_copy_only=False)
+    order = np.argsort(codes, kind="stable")
+    starts = np.flatnonzero(np.diff(codes[order], prepend=-1)) if n else []
+    groups = np.split(order, starts[1:]) if n else []
+    return [(tuple(key[int(rows[0])].as_py() for key in keys), rows) for rows in groups]
+
+
 def linear(x: Column, weight: Sequence, bias: Sequence | None = None) -> Column:
     """Affine map ``W x + b`` with ``weight`` of shape (out, in)."""
     w = np.asarray(weight, dtype=np.float64)

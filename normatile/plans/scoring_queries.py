@@ -49,10 +49,11 @@ def patch_deviation(spark, sf):
     "profile_moments",
     """SELECT category, i, j, n, round(m, 6) AS mean_i,
     round(cov + CASE WHEN i = j THEN 1e-6 ELSE 0 END, 6) AS covariance FROM (
-    SELECT category, i, j, count(*) AS n, avg(a) AS m, covar_samp(a, b) AS cov FROM (
-    SELECT category, i, j, CAST(embedding[i + 1] AS DOUBLE) AS a, CAST(embedding[j + 1] AS DOUBLE) AS b
-    FROM patches, range(64) s(i), range(64) t(j) WHERE y = 0) GROUP BY ALL)""",
-    ("patches",),
+    SELECT category, a.i - 1 AS i, b.i - 1 AS j, count(*) AS n, avg(a.v) AS m, covar_samp(a.v, b.v) AS cov
+    FROM patches p JOIN patch_dims a ON p.image_id = a.image_id AND p.patch_idx = a.patch_idx
+    JOIN patch_dims b ON p.image_id = b.image_id AND p.patch_idx = b.patch_idx
+    WHERE y = 0 GROUP BY category, a.i, b.i)""",
+    ("patch_dims",),
 )
 def profile_moments(spark, sf):
     fitted = profile.fit_profile(profile.add_normal(fx.patches(spark, sf)), ["category"])

@@ -88,13 +88,13 @@ def profile_stream(
         profile = _table(spark, store, "profile", f"batch={batch_id - 1}")
         first_refit = -(-(done + 1) // every) * every
         for at in range(first_refit, reached + 1, every):
-            recent = last_n(known.where(F.col(step) <= at), n, step, within, group)
+            recent = last_n(known.where(F.col(step) <= at), n, step, within, group, held=True)
             profile = merge_profiles(profile, fit_profile(recent, group, features, reg), group, momentum)
             profile.write.mode("overwrite").parquet(os.path.join(store, "history", f"batch={batch_id}", f"step={at}"))
             profile = spark.read.parquet(os.path.join(store, "history", f"batch={batch_id}", f"step={at}"))
         if profile is not None:
             profile.write.mode("overwrite").parquet(os.path.join(store, "profile", f"batch={batch_id}"))
-        last_n(known, n, step, within, group).write.mode("overwrite").parquet(
+        last_n(known, n, step, within, group, held=True).write.mode("overwrite").parquet(
             os.path.join(store, "buffer", f"batch={batch_id}")
         )
         spark.range(1).select(F.lit(reached).cast("long").alias("step")).write.mode("overwrite").parquet(
