@@ -22,6 +22,11 @@ def r6(value: Column) -> Column:
     return F.round(value.cast("double"), 6)
 
 
+def r9(value: Column) -> Column:
+    """For means of two-decimal values, whose seventh decimal is often an exact half."""
+    return F.round(value.cast("double"), 9)
+
+
 def patches(spark: SparkSession, sf: str) -> DataFrame:
     vec = F.col("vec_id")
     image = F.floor(vec / (GRID * GRID))
@@ -104,8 +109,8 @@ def metric_log(spark: SparkSession, sf: str) -> DataFrame:
 
 def epoch_metrics(spark: SparkSession, sf: str) -> DataFrame:
     return metric_log(spark, sf).groupBy("run_id", "epoch").agg(
-        F.round(F.avg("value") / 100.0, 9).alias("image_metric"),
-        F.round(F.count_distinct("user_id") / F.count("*"), 9).alias("patch_metric"),
+        F.round(F.avg("value") / 101.7, 12).alias("image_metric"),
+        F.round(F.count_distinct("user_id") / F.count("*"), 12).alias("patch_metric"),
     )
 
 
@@ -226,8 +231,8 @@ oracle_views = {
     ),
     "epoch_metrics": (
         ["metric_log"],
-        """SELECT run_id, epoch, round(avg(value) / 100, 9) AS image_metric,
-        round(CAST(count(DISTINCT user_id) AS DOUBLE) / count(*), 9) AS patch_metric FROM metric_log GROUP BY ALL""",
+        """SELECT run_id, epoch, round(avg(value) / 101.7::DOUBLE, 12) AS image_metric,
+        round(CAST(count(DISTINCT user_id) AS DOUBLE) / count(*), 12) AS patch_metric FROM metric_log GROUP BY ALL""",
     ),
     "doc_files": (
         [],

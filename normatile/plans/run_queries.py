@@ -8,7 +8,7 @@ from normatile.functions import schedules
 from normatile.functions.scores import combined_metric
 from normatile.operators import losses, runs
 from normatile.plans import fixtures as fx
-from normatile.plans.fixtures import r6
+from normatile.plans.fixtures import r6, r9
 from normatile.plans.registry import query
 from normatile.plans.scoring_queries import scored2
 from normatile.session import new_folder
@@ -17,23 +17,23 @@ from normatile.sources import reports
 
 @query(
     "epoch_means",
-    """SELECT run_id, epoch, key, round(avg(value), 6) AS mean_value, count(*) AS n_steps
+    """SELECT run_id, epoch, key, round(avg(value), 9) AS mean_value, count(*) AS n_steps
     FROM metric_log GROUP BY ALL""",
     ("metric_log",),
 )
 def epoch_means(spark, sf):
-    return runs.epoch_means(fx.metric_log(spark, sf)).withColumn("mean_value", r6(F.col("mean_value")))
+    return runs.epoch_means(fx.metric_log(spark, sf)).withColumn("mean_value", r9(F.col("mean_value")))
 
 
 @query(
     "running_loss",
-    """SELECT run_id, epoch, key, step, n AS n_steps, round(total / n, 6) AS running_mean FROM (
+    """SELECT run_id, epoch, key, step, n AS n_steps, round(total / n, 9) AS running_mean FROM (
     SELECT *, sum(value) OVER w AS total, row_number() OVER w AS n FROM metric_log
     WINDOW w AS (PARTITION BY run_id, epoch, key ORDER BY step)) WHERE n % 10 = 0""",
     ("metric_log",),
 )
 def running_loss(spark, sf):
-    return runs.running_loss(fx.metric_log(spark, sf), 10).withColumn("running_mean", r6(F.col("running_mean")))
+    return runs.running_loss(fx.metric_log(spark, sf), 10).withColumn("running_mean", r9(F.col("running_mean")))
 
 
 @query(

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from normatile.functions.scores import combined_metric
 from normatile.plans import fixtures as fx
-from normatile.plans.fixtures import r6
+from normatile.plans.fixtures import r6, r9
 from normatile.plans.registry import query
 from normatile.plans.run_queries import STOP_SQL, combined
 from normatile.plans.scoring_queries import EMA_SQL, profile2, profile_facts
@@ -96,7 +96,7 @@ def stream_early_stop(spark, sf):
 
 @query(
     "stream_running_loss",
-    """SELECT run_id, epoch, key, round(avg(value), 6) AS running_mean, count(*) AS n_steps FROM metric_log
+    """SELECT run_id, epoch, key, round(avg(value), 9) AS running_mean, count(*) AS n_steps FROM metric_log
     GROUP BY ALL""",
     ("metric_log",),
 )
@@ -118,6 +118,6 @@ def stream_running_loss(spark, sf):
     latest = written.groupBy("run_id", "epoch", "key").agg(
         F.max_by(F.struct("running_mean", "n_steps"), "batch").alias("_row")
     )
-    return latest.select("run_id", "epoch", "key", r6(F.col("_row.running_mean")).alias("running_mean"), "_row.n_steps")
+    return latest.select("run_id", "epoch", "key", r9(F.col("_row.running_mean")).alias("running_mean"), "_row.n_steps")
 
 
