@@ -169,7 +169,8 @@ def percentile_bounds(
         return df.groupBy(*group).agg(F.min(value).alias("p_low"), F.max(value).alias("p_high"))
     counts = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count("*").alias("_n"))
     ranked = running_totals(counts, group, [value], {"_through": F.col("_n")})
-    sized = ranked.join(ranked.groupBy(*group).agg(F.max("_through").alias("_size")), group)
+    # Sizes come from the stored slices: Spark prunes the ranking from this branch.
+    sized = ranked.join(ranked.groupBy(*group).agg(F.sum("_n").alias("_size")), group)
     aggs = []
     for name, p in (("p_low", low), ("p_high", high)):
         rank = (F.col("_size") - 1) * F.lit(p / 100.0)

@@ -34,24 +34,24 @@ def _places(line: Column) -> Column:
     return F.sequence(F.lit(0), F.size(line) - 1)
 
 
+def _reach(line: Column, i: Column, reach: int) -> Column:
+    """The part of a line within ``reach`` of place ``i``; places outside it do not take part."""
+    first = F.greatest(i - reach, F.lit(0))
+    return F.slice(line, first + 1, F.least(i + reach, F.size(line) - 1) - first + 1)
+
+
 def window_extreme(df: DataFrame, size: int, iterations: int, largest: bool, keys: Sequence[str], value: str) -> DataFrame:
+    """Largest or smallest value in a square window, ``iterations`` times over.
+
+    A square window is a row window followed by a column window, and n passes of a k-window equal
+    one pass of an (n (k - 1) + 1)-window.
+    """
     reach = (size // 2) * iterations
     pick = F.array_max if largest else F.array_min
 
     def change(line: Column) -> Column:
-        return F.transform(
-            _places(line),
-            lambda i: pick(
-                F.slice(
-                    line,
-                    F.greatest(i - reach, F.lit(0)) + 1,
-                    F.least(i + reach, F.size(line) - 1) - F.greatest(i - reach, F.lit(0)) + 1,
-                )
-            ),
-        )
+        return F.transform(_places(line), lambda i: pick(_reach(line, i, reach)))
 
-    # A square window is the composition of a row and a column window, and n passes of a k-window
-    # equal one pass of an (n (k - 1) + 1)-window. Places outside the image do not take part.
     return along_axis(along_axis(df, "x", keys, value, change), "y", keys, value, change)
 
 
@@ -76,11 +76,31 @@ def mask_difference(larger: DataFrame, smaller: DataFrame, keys: Sequence[str] =
     )
 
 
+def _packed(df: DataFrame, axis: str, keys: Sequence[str], *names: str) -> DataFrame:
+    """Image lines along an axis, with one array per value column."""
+    other = "y" if axis == "x" else "x"
+    rows = df.groupBy(*keys, other).agg(F.array_sort(F.collect_list(F.struct(axis, *names))).alias("_rows"))
+    arrays = [F.col(f"_rows.{name}").alias(f"_{name}") for name in names]
+    return rows.select(*keys, other, *arrays)
+
+
 def boundary(mask: DataFrame, size: int = 5, iterations: int = 2, keys: Sequence[str] = ("image_id",), value: str = "m") -> DataFrame:
-    """Ring around the edge of a mask: dilated minus eroded."""
-    return mask_difference(
-        dilate(mask, size, iterations, keys, value), erode(mask, size, iterations, keys, value), keys, value
-    )
+    """Ring around the edge of a mask: dilated minus eroded, both found in one pass per axis."""
+    keys, reach = list(keys), (size // 2) * iterations
+
+    def spread(high: Column, low: Column) -> Column:
+        return F.transform(
+            _places(high),
+            lambda i: F.struct(
+                F.array_max(_reach(high, i, reach)).alias("high"), F.array_min(_reach(low, i, reach)).alias("low")
+            ),
+        )
+
+    lines = _packed(mask, "x", keys, value)
+    across = lines.select(*keys, "y", F.posexplode(spread(F.col(f"_{value}"), F.col(f"_{value}"))).alias("x", "_b"))
+    cols = _packed(across.select(*keys, "y", "x", "_b.high", "_b.low"), "y", keys, "high", "low")
+    both = cols.select(*keys, "x", F.posexplode(spread(F.col("_high"), F.col("_low"))).alias("y", "_b"))
+    return both.where((F.col("_b.high") > 0) & ~(F.col("_b.low") > 0)).select(*keys, "y", "x")
 
 
 def gaussian_kernel(size: int, sigma: float) -> list[float]:
@@ -115,24 +135,13 @@ def convolve(
 def gradient_sum(df: DataFrame, keys: Sequence[str] = ("image_id", "c"), value: str = "v") -> DataFrame:
     """Sum of the 3 x 3 gradients along x and y, both in one pass per axis."""
     keys = list(keys)
-
-    def packed(frame: DataFrame, axis: str, *names: str) -> DataFrame:
-        other = "y" if axis == "x" else "x"
-        rows = F.array_sort(F.collect_list(F.struct(axis, *names)))
-        return frame.groupBy(*keys, other).agg(rows.alias("_rows"))
-
-    rows = packed(df.withColumn(value, F.col(value).cast("double")), "x", value)
-    rows = rows.withColumn("_line", F.transform("_rows", lambda p: p[value]))
+    lines = _packed(df.withColumn("v", F.col(value).cast("double")), "x", keys, "v")
     both = F.transform(
-        _places(F.col("_line")),
-        lambda i: F.struct(
-            _tap(F.col("_line"), i, SOBEL_DIFF).alias("d"), _tap(F.col("_line"), i, SOBEL_SMOOTH).alias("s")
-        ),
-    )
-    across = rows.select(*keys, "y", F.posexplode(both).alias("x", "_b")).select(*keys, "y", "x", "_b.d", "_b.s")
-    cols = packed(across, "y", "d", "s").withColumns(
-        {"_d": F.transform("_rows", lambda p: p["d"]), "_s": F.transform("_rows", lambda p: p["s"])}
+        _places(F.col("_v")),
+        lambda i: F.struct(_tap(F.col("_v"), i, SOBEL_DIFF).alias("d"), _tap(F.col("_v"), i, SOBEL_SMOOTH).alias("s")),
     )
+    across = lines.select(*keys, "y", F.posexplode(both).alias("x", "_b")).select(*keys, "y", "x", "_b.d", "_b.s")
+    cols = _packed(across, "y", keys, "d", "s")
     total = F.transform(
         _places(F.col("_d")), lambda i: _tap(F.col("_d"), i, SOBEL_SMOOTH) + _tap(F.col("_s"), i, SOBEL_DIFF)
     )

@@ -132,6 +132,13 @@ def centroid(patches: DataFrame, keys: Sequence[str] = ("image_id",), embedding:
     return wide.groupBy(*keys).agg(mean_vector("_v").alias(embedding))
 
 
+def explode_tokens(df: DataFrame, column: str, width: int, keys: Sequence[str] = ("image_id",)) -> DataFrame:
+    """Cut an encoder's flat output into token rows of ``width`` numbers: ``token_idx, embedding``."""
+    count = F.floor(F.size(column) / width).cast("int")
+    tokens = F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.slice(column, i * width + 1, width))
+    return df.select(*keys, F.posexplode(tokens).alias("token_idx", "embedding"))
+
+
 def drop_cls(tokens: DataFrame) -> DataFrame:
     """Patch tokens only; token 1 becomes patch 0."""
     return tokens.where(F.col("token_idx") > 0).select(

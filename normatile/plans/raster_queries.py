@@ -80,7 +80,7 @@ def transform_chain(spark, sf):
     return _out(out, *PLACE, "c")
 
 
-@query("binarize_mask", "SELECT image_id, y, x, c, CAST(v > 127 AS INT) AS v FROM pixels", ("pixels",))
+@query("binarize_mask", "SELECT image_id, y, x, c, CAST(v > 127 AS BIGINT) AS v FROM pixels", ("pixels",))
 def binarize_mask(spark, sf):
     return _out(fx.pixels(spark, sf).withColumn("v", px.binarize_mask(F.col("v"))), *PLACE, "c", digits=False)
 
@@ -152,7 +152,7 @@ def colorize_heatmap(spark, sf):
 @query(
     "overlay_heatmap",
     f"""WITH {DISPLAY}, {_HOT} SELECT image_id, y, x, c, CAST(least(greatest(round_even(v * 0.5::DOUBLE
-    + [r, g, b][c + 1] * 0.5::DOUBLE, 0), 0), 255) AS INT) AS v FROM pixels JOIN hot USING (image_id, y, x)""",
+    + [r, g, b][c + 1] * 0.5::DOUBLE, 0), 0), 255) AS BIGINT) AS v FROM pixels JOIN hot USING (image_id, y, x)""",
     ("scores", "axis40", "pixels"),
 )
 def overlay_heatmap(spark, sf):
@@ -165,17 +165,21 @@ def _window(f: str, r: int, src: str) -> str:
     ROWS BETWEEN {r} PRECEDING AND {r} FOLLOWING) AS m FROM {src})"""
 
 
-@query("dilate_masks", _window("max", 2, "masks"), ("masks",))
+def _as_long(sql: str) -> str:
+    return f"SELECT image_id, y, x, CAST(m AS BIGINT) AS m FROM ({sql})"
+
+
+@query("dilate_masks", _as_long(_window("max", 2, "masks")), ("masks",))
 def dilate_masks(spark, sf):
     return _out(raster.dilate(fx.masks(spark, sf), 5), *PLACE, value="m", digits=False)
 
 
-@query("erode_masks", _window("min", 2, "masks"), ("masks",))
+@query("erode_masks", _as_long(_window("min", 2, "masks")), ("masks",))
 def erode_masks(spark, sf):
     return _out(raster.erode(fx.masks(spark, sf), 3, 2), *PLACE, value="m", digits=False)
 
 
-@query("close_masks", f"WITH grown AS ({_window('max', 1, 'masks')}) {_window('min', 1, 'grown')}", ("masks",))
+@query("close_masks", f"WITH grown AS ({_window('max', 1, 'masks')}) {_as_long(_window('min', 1, 'grown'))}", ("masks",))
 def close_masks(spark, sf):
     return _out(raster.close(fx.masks(spark, sf), 3), *PLACE, value="m", digits=False)
 

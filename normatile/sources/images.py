@@ -29,9 +29,8 @@ def image_manifest(spark: SparkSession, root: str) -> DataFrame:
     return attach_masks(manifest(files), mask_files(files))
 
 
-def image_pixels(spark: SparkSession, root: str) -> DataFrame:
-    """Decode images to ``(path, y, x, c, v)`` rows with channels in RGB order (grey: c = 0)."""
-    images = (
+def _decoded(spark: SparkSession, root: str) -> DataFrame:
+    return (
         spark.read.format("image")
         .option("recursiveFileLookup", True)
         .option("pathGlobFilter", "*.png")
@@ -39,12 +38,38 @@ def image_pixels(spark: SparkSession, root: str) -> DataFrame:
         .select("image.origin", "image.height", "image.width", "image.nChannels", "image.data")
     )
 
+
+def _cube(row: dict) -> np.ndarray:
+    """Decoded bytes as (height, width, channel) in RGB order, or one grey channel."""
+    cube = np.frombuffer(row["data"], np.uint8).reshape(row["height"], row["width"], row["nChannels"])
+    return cube[:, :, [2, 1, 0]] if row["nChannels"] >= 3 else cube[:, :, :1]
+
+
+def image_arrays(spark: SparkSession, root: str) -> DataFrame:
+    """One row per image with its bytes in (y, x, channel) order: the input of an encoder."""
+
+    def flatten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                cube = _cube(row)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([row["origin"]]), *[pa.array([n], pa.int32()) for n in cube.shape],
+                        pa.array([cube.ravel().astype(np.float32)]),
+                    ],
+                    names=["path", "height", "width", "channels", "pixels"],
+                )
+
+    schema = "path string, height int, width int, channels int, pixels array<float>"
+    return _decoded(spark, root).mapInArrow(flatten, schema)
+
+
+def image_pixels(spark: SparkSession, root: str) -> DataFrame:
+    """Decode images to ``(path, y, x, c, v)`` rows with channels in RGB order (grey: c = 0)."""
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                h, w, channels = row["height"], row["width"], row["nChannels"]
-                cube = np.frombuffer(row["data"], np.uint8).reshape(h, w, channels)
-                cube = cube[:, :, [2, 1, 0]] if channels >= 3 else cube[:, :, :1]
+                cube = _cube(row)
                 y, x, c = np.meshgrid(*[np.arange(n, dtype=np.int32) for n in cube.shape], indexing="ij")
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -55,7 +80,7 @@ def image_pixels(spark: SparkSession, root: str) -> DataFrame:
                     names=["path", "y", "x", "c", "v"],
                 )
 
-    return images.mapInArrow(explode, "path string, y int, x int, c int, v int")
+    return _decoded(spark, root).mapInArrow(explode, "path string, y int, x int, c int, v int")
 
 
 def mask_pixels(spark: SparkSession, root: str, threshold: int = 127) -> DataFrame:

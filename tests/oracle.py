@@ -53,6 +53,11 @@ def compare(spark, con, name, fn, sql, sf) -> str:
     if sql is None:
         return "" if rows else "no rows"
     want = con.execute(sql)
+    kinds = {d[0]: str(d[1]) for d in want.description}
+    simple = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
+    other = {n: (t, kinds.get(n)) for n, t in got.dtypes if simple.get(t) != kinds.get(n)}
+    if other:
+        return f"types differ: {other}"
     want_columns, want_rows = rows_of([d[0] for d in want.description], want.fetchall())
     if columns != want_columns:
         return f"columns {columns} != {want_columns}"

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from normatile.functions import paths
-from normatile.operators import augment, catalogue
+from normatile.operators import augment, catalogue, vectors
 from normatile.sources import images, reports
 
 
@@ -72,6 +72,22 @@ def test_pixels_are_rgb(spark, tree):
     assert mask.tolist() == [0, 0, 1, 1, 0] * 4
 
 
+def _encoder():
+    """Two tokens per image: the mean of all numbers, twice; then the first pixel."""
+    return lambda batch: np.stack([np.r_[b.mean(), b.mean(), b[0], b[1]] for b in batch])
+
+
+def test_images_to_patches_by_an_encoder(spark, tree):
+    root, cubes = tree
+    arrays = images.image_arrays(spark, f"{root}/screw/train")
+    tokens = vectors.explode_tokens(vectors.embed_images(arrays, "pixels", _encoder, 2, [60], "flat"), "flat", 2, ["path"])
+    patches = vectors.drop_cls(tokens).collect()
+    assert len(patches) == 2 and {p.patch_idx for p in patches} == {0}
+    for p in patches:
+        cube = cubes[("screw", "train", "good", p.path[-7:-4])]
+        assert list(p.embedding) == [float(v) for v in cube[0, 0, :2]]
+
+
 def test_audit_reports_missing_folders(spark, tree):
     audit = catalogue.dataset_audit(images.image_manifest(spark, tree[0])).collect()
     assert {(r.category, r.split) for r in audit if r.missing} == {("tile", "train"), ("tile", "test")}
