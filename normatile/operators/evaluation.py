@@ -71,18 +71,19 @@ def average_precision(df: DataFrame, score: str, label: str, group: Sequence[str
     return summarize(ranking(df, score, label, group), group).select(*group, "average_precision")
 
 
-def _with_rates(ranked: DataFrame, group: Sequence[str]) -> tuple[DataFrame, list[str]]:
-    keyed, keys = _keyed(ranked, group)
-    totals = keyed.groupBy(*keys).agg(F.sum("pos").alias("_p"))
-    rated = keyed.join(totals, keys).where(F.col("_p") > 0)
-    return rated.withColumns(
+def _with_rates(ranked: DataFrame, group: Sequence[str]) -> DataFrame:
+    if group:
+        rated = ranked.join(ranked.groupBy(*group).agg(F.sum("pos").alias("_p")), list(group))
+    else:
+        rated = ranked.withColumn("_p", ranked.agg(F.sum("pos")).scalar())
+    return rated.where(F.col("_p") > 0).withColumns(
         {"precision": F.col("tp") / (F.col("tp") + F.col("fp")), "recall": F.col("tp") / F.col("_p")}
-    ), keys
+    )
 
 
 def pr_curve(df: DataFrame, score: str, label: str, group: Sequence[str] = ()) -> DataFrame:
     """Precision and recall at every distinct threshold, and the end point (1, 0) without one."""
-    rated, keys = _with_rates(ranking(df, score, label, group), group)
+    rated, keys = _keyed(_with_rates(ranking(df, score, label, group), group), group)
     points = rated.select(*keys, "threshold", "precision", "recall")
     ends = rated.groupBy(*keys).agg(
         F.lit(None).cast("double").alias("threshold"), F.lit(1.0).alias("precision"), F.lit(0.0).alias("recall")
@@ -92,7 +93,7 @@ def pr_curve(df: DataFrame, score: str, label: str, group: Sequence[str] = ()) -
 
 def best_f1(df: DataFrame, score: str, label: str, group: Sequence[str] = ()) -> DataFrame:
     """Highest F1 over all thresholds; among equals the lowest threshold."""
-    rated, keys = _with_rates(ranking(df, score, label, group), group)
+    rated, keys = _keyed(_with_rates(ranking(df, score, label, group), group), group)
     f1 = 2.0 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall") + EPS)
     best = rated.withColumn("best_f1", f1).groupBy(*keys).agg(
         F.max(F.struct("best_f1", (-F.col("threshold")).alias("_t"))).alias("_best")
@@ -121,6 +122,6 @@ def score_inventory(images: DataFrame, score: str, label: str, group: Sequence[s
 
 def pair_labels(scores: DataFrame, truth: DataFrame, keys: Sequence[str], label: str) -> DataFrame:
     """Match predictions with ground truth on their keys; a place without truth is normal."""
-    return scores.join(truth.select(*keys, label), list(keys), "left").withColumn(
+    return scores.join(truth.select(*keys, label).hint("merge"), list(keys), "left").withColumn(
         label, F.coalesce(F.col(label), F.lit(0))
     )

@@ -19,6 +19,12 @@ SOBEL_SMOOTH = [1.0, 2.0, 1.0]
 SOBEL_DIFF = [-1.0, 0.0, 1.0]
 
 
+def pixel_table(df: DataFrame) -> DataFrame:
+    """Mark a side of a join as pixel-sized: its rows were generated, so Spark's size estimate (which
+    knows only the small input) must not make it a broadcast."""
+    return df.hint("merge")
+
+
 def along_axis(
     df: DataFrame, axis: str, keys: Sequence[str], value: str, change: Callable[[Column], Column]
 ) -> DataFrame:
@@ -72,7 +78,7 @@ def mask_difference(larger: DataFrame, smaller: DataFrame, keys: Sequence[str] =
     """Pixels set in the first mask only."""
     place = [*keys, "y", "x"]
     return larger.where(F.col(value) > 0).select(*place).join(
-        smaller.where(F.col(value) > 0).select(*place), place, "left_anti"
+        pixel_table(smaller.where(F.col(value) > 0).select(*place)), place, "left_anti"
     )
 
 
@@ -176,14 +182,14 @@ def seamless_blend(
         return F.floor(px.clip255(F.col(name)))
 
     both = patch.select(*place, "c", F.col("v").alias("_patch")).join(
-        dest.select(*place, "c", F.col("v").alias("_dest")), [*place, "c"]
+        pixel_table(dest.select(*place, "c", F.col("v").alias("_dest"))), [*place, "c"]
     )
     # Gradients are linear, so the difference of gradients is the gradient of the difference.
     pull = gradient_sum(both.withColumn("v", as_byte("_dest") - as_byte("_patch")).select(*place, "c", "v"), [image, "c"])
     joined = (
-        both.join(pull.withColumnRenamed("v", "_pull"), [*place, "c"])
-        .join(mask.select(*place, "m"), place)
-        .join(ring, place, "left")
+        both.join(pixel_table(pull.withColumnRenamed("v", "_pull")), [*place, "c"])
+        .join(pixel_table(mask.select(*place, "m")), place)
+        .join(pixel_table(ring), place, "left")
     )
     mixed = px.blend(F.col("_patch"), F.col("_dest"), F.col("m"), alpha)
     correction = F.col("_pull") * F.coalesce(F.col("_ring"), F.lit(0.0)) * strength
@@ -238,7 +244,7 @@ def overlay_region(
         *(["c"] if "c" in base.columns else []),
         F.col(value).alias("_new"),
     )
-    return base.join(placed, place, "left").withColumn(value, F.coalesce("_new", value)).drop("_new")
+    return base.join(pixel_table(placed), place, "left").withColumn(value, F.coalesce("_new", value)).drop("_new")
 
 
 # --- windows and regions ------------------------------------------------------------------------
@@ -357,7 +363,7 @@ def segment_shade(pixels: DataFrame, segments: DataFrame, darkness: float = 0.3,
     inner = F.greatest(F.lit(1), F.col("width") - 1)
     factor = F.when(F.col("zone") == "core", core).otherwise(shadow) * F.when(F.sqrt(start) <= inner, 0.5).otherwise(1.0)
     shade = near.groupBy("image_id", "y", "x").agg(F.product(factor).alias("_shade"))
-    return pixels.join(shade, ["image_id", "y", "x"], "left").withColumn(
+    return pixels.join(pixel_table(shade), ["image_id", "y", "x"], "left").withColumn(
         "v", F.col("v") * F.coalesce("_shade", F.lit(1.0))
     ).drop("_shade")
 
@@ -391,7 +397,7 @@ def draw_grid(pixels: DataFrame, patch_size: int, width: int, height: int, color
 def overlay_heatmap(pixels: DataFrame, heat: DataFrame, alpha: float = 0.5, color_map: str = "hot") -> DataFrame:
     """Blend a colour-mapped heatmap (values in [0, 1]) over an RGB image."""
     rgb = px.colorize(F.col("value"), color_map)
-    joined = pixels.join(heat.select("image_id", "y", "x", "value"), ["image_id", "y", "x"]).withColumn("_rgb", rgb)
+    joined = pixels.join(pixel_table(heat.select("image_id", "y", "x", "value")), ["image_id", "y", "x"]).withColumn("_rgb", rgb)
     tone = F.get(F.array("_rgb.r", "_rgb.g", "_rgb.b"), F.col("c"))
     return joined.withColumn("v", px.to_byte(px.mix(F.col("v").cast("double"), tone.cast("double"), alpha))).drop(
         "_rgb", "value"

@@ -115,10 +115,13 @@ def heatmap(
 
     Only grid^2 numbers per image are shuffled; the size^2 pixels are generated next to them.
     """
-    lines = score_grids(scores, grid, keys, score).select(
-        *keys, "grid", F.explode(F.sequence(F.lit(0), F.lit(size - 1))).alias("y")
-    )
-    cells = lines.select("*", F.explode(F.sequence(F.lit(0), F.lit(size - 1))).alias("x"))
+    return _pixels_of(score_grids(scores, grid, keys, score), grid, size, keys)
+
+
+def _pixels_of(grids: DataFrame, grid: int, size: int, keys: Sequence[str]) -> DataFrame:
+    side = F.sequence(F.lit(0), F.lit(size - 1))
+    lines = grids.select(*keys, "grid", F.explode(side).alias("y"))
+    cells = lines.select("*", F.explode(side).alias("x"))
     return cells.select(*keys, "y", "x", bilinear(F.col("grid"), grid, F.col("x"), F.col("y"), size).alias("value"))
 
 
@@ -140,16 +143,54 @@ def percentile_normalize(
     return joined.withColumnRenamed("_scaled", out)
 
 
+def row_percentile(ordered: Column, p: float) -> Column:
+    """Linearly interpolated percentile of a sorted array."""
+    rank = (F.size(ordered) - 1) * F.lit(p / 100.0)
+    low = F.get(ordered, F.floor(rank).cast("int"))
+    return low + (F.get(ordered, F.ceil(rank).cast("int")) - low) * (rank - F.floor(rank))
+
+
+def _bind(value: Column, use) -> Column:
+    """Evaluate ``value`` once per row and hand it to ``use`` (the optimizer may inline columns)."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def stretch_array(values: Column, low: float, high: float) -> Column:
+    """Clip an array to two of its percentiles and rescale it to [0, 1]; a flat one becomes 0."""
+
+    def scaled(bounds: Column) -> Column:
+        lo, span = bounds["lo"], bounds["hi"] - bounds["lo"]
+        return F.transform(
+            values,
+            lambda v: F.when(span > 1e-8, (F.least(F.greatest(v, lo), bounds["hi"]) - lo) / span).otherwise(0.0),
+        )
+
+    def bounds_of(ordered: Column) -> Column:
+        pair = F.struct(row_percentile(ordered, low).alias("lo"), row_percentile(ordered, high).alias("hi"))
+        return _bind(pair, scaled)
+
+    return _bind(F.array_sort(values), bounds_of)
+
+
 def display_heatmap(
     scores: DataFrame, grid: int, size: int, keys: Sequence[str] = ("image_id",), score: str = "score",
     patch_clip: tuple[float, float] | None = (5.0, 95.0), pixel_clip: tuple[float, float] = (0.0, 100.0),
 ) -> DataFrame:
-    """Heatmap in [0, 1] for viewing: normalise the patch scores, up-sample, normalise again."""
-    base = scores.select(*keys, "patch_idx", score)
+    """Heatmap in [0, 1] for viewing: normalise the patch scores, up-sample, normalise again.
+
+    A grid has a fixed length, so patch scores are normalised inside the image's row. Pixel bounds
+    join the grids, one row per image, before the pixels are generated: pixels never meet a join.
+    """
+    rows = score_grids(scores, grid, keys, score)
     if patch_clip is not None:
-        base = percentile_normalize(base, score, keys, *patch_clip)
-    pixels = heatmap(base, grid, size, keys, score)
-    return percentile_normalize(pixels, "value", keys, *pixel_clip)
+        rows = rows.withColumn("grid", stretch_array(F.col("grid"), *patch_clip))
+    rows = materialize(rows, "grids")
+    bounds = percentile_bounds(_pixels_of(rows, grid, size, keys), keys, "value", *pixel_clip)
+    pixels = _pixels_of(rows.join(bounds, list(keys)), grid, size, [*keys, "p_low", "p_high"])
+    span = F.col("p_high") - F.col("p_low")
+    clipped = F.least(F.greatest(F.col("value"), F.col("p_low")), F.col("p_high"))
+    scaled = F.when(span > 1e-8, F.try_divide(clipped - F.col("p_low"), span)).otherwise(0.0)
+    return pixels.select(*keys, "y", "x", scaled.alias("value"))
 
 
 def pixel_auroc(

@@ -56,13 +56,13 @@ def mahalanobis(
 
 
 def _narrow(patches, profile, group, features, gamma, out):
-    model = profile.withColumnsRenamed({"mu": "_mu", "sigma_inv": "_p"})
-    if not group:
-        model, patches = model.withColumn("_all", F.lit(0)), patches.withColumn("_all", F.lit(0))
-    joined = patches.join(model, group or ["_all"], "left")
-    score = amplify(quadratic_form(F.col(features), F.col("_mu"), F.col("_p")), gamma)
-    keep = [c for c in patches.columns if c != "_all"]
-    return joined.select(*keep, F.when(F.col("_mu").isNotNull(), score).otherwise(0.0).alias(out))
+    model = profile.select(*group, F.struct("mu", "sigma_inv").alias("_model"))
+    if group:
+        joined = patches.join(model, group, "left")
+    else:
+        joined = patches.withColumn("_model", model.scalar())
+    score = amplify(quadratic_form(F.col(features), F.col("_model.mu"), F.col("_model.sigma_inv")), gamma)
+    return joined.select(*patches.columns, F.when(F.col("_model").isNotNull(), score).otherwise(0.0).alias(out))
 
 
 def _wide(patches, profile, group, features, gamma, out):

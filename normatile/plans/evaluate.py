@@ -46,7 +46,7 @@ def evaluation_report(
 ) -> DataFrame:
     """One row: image AUROC, pixel AUROC (raw scores), counts and score range."""
     ranked = images.join(image_score(scores), "image_id")
-    by_image = auroc(ranked, "image_score", "label").select(F.col("auroc").alias("image_auroc"), F.lit(0).alias("_k"))
-    by_pixel = pixel_auroc(scores, masks, grid, size).select(F.col("auroc").alias("pixel_auroc"), F.lit(0).alias("_k"))
-    counts = score_inventory(ranked, "image_score", "label").withColumn("_k", F.lit(0))
-    return counts.join(by_image, "_k", "left").join(by_pixel, "_k", "left").drop("_k")
+    by_image = auroc(ranked, "image_score", "label").select("auroc").scalar()
+    by_pixel = pixel_auroc(scores, masks, grid, size).select("auroc").scalar()
+    counts = score_inventory(ranked, "image_score", "label")
+    return counts.withColumns({"image_auroc": by_image, "pixel_auroc": by_pixel})

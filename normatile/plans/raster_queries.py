@@ -246,7 +246,7 @@ def _mirrored(spark, sf):
 def blend_images(spark, sf):
     place = [*PLACE, "c"]
     dest = _mirrored(spark, sf).withColumnRenamed("v", "d")
-    both = fx.pixels(spark, sf).join(dest, place).join(fx.masks(spark, sf), list(PLACE))
+    both = fx.pixels(spark, sf).join(raster.pixel_table(dest), place).join(raster.pixel_table(fx.masks(spark, sf)), list(PLACE))
     return _out(both.withColumn("v", px.blend(F.col("v"), F.col("d"), F.col("m"), 0.7)), *place)
 
 
@@ -286,7 +286,7 @@ def seamless_blend(spark, sf):
 )
 def defect_intensity(spark, sf):
     """Colour shift, brightness change or stain inside the mask, by image."""
-    both = fx.pixels(spark, sf).join(fx.masks(spark, sf), list(PLACE))
+    both = fx.pixels(spark, sf).join(raster.pixel_table(fx.masks(spark, sf)), list(PLACE))
     v, m = F.col("v").cast("double"), F.col("m").cast("double")
     spot = px.blob(F.col("x"), F.col("y"), F.lit(20), F.lit(12), 9.0) * m
     changed = (
@@ -300,7 +300,7 @@ def defect_intensity(spark, sf):
 @query("texture_noise")
 def texture_noise(spark, sf):
     """Seeded noise inside the mask."""
-    both = fx.pixels(spark, sf).join(fx.masks(spark, sf), list(PLACE))
+    both = fx.pixels(spark, sf).join(raster.pixel_table(fx.masks(spark, sf)), list(PLACE))
     keys = [F.col(c) for c in (*PLACE, "c")]
     return _out(both.withColumn("v", px.add_noise(F.col("v"), 25.0, F.col("m"), 42, *keys)), *PLACE, "c")
 
@@ -314,7 +314,7 @@ def texture_noise(spark, sf):
     ("pixels", "masks"),
 )
 def overlay_region(spark, sf):
-    region = fx.pixels(spark, sf).join(fx.masks(spark, sf), list(PLACE)).withColumn("v", 255 - F.col("v"))
+    region = fx.pixels(spark, sf).join(raster.pixel_table(fx.masks(spark, sf)), list(PLACE)).withColumn("v", 255 - F.col("v"))
     offsets = fx.images(spark, sf).select(
         "image_id", (F.lit(3) + F.col("image_id") % 4).alias("dy"), F.lit(5).alias("dx")
     )
