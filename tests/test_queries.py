@@ -1,10 +1,12 @@
 """Registered queries against DuckDB on the smallest tables (all of them: ``python -m tests.oracle``)."""
 
 import os
+from types import SimpleNamespace
 
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
+from normatile.session import shared_folder
 from tests.oracle import compare, connect
 
 SF = "/root/testdata/sf0.001"
@@ -33,12 +35,16 @@ def test_every_sql_has_a_query():
     assert set(oracle_sql()) <= set(queries())
 
 
-def test_shared_folder_comes_from_the_session(spark, tmp_path):
-    from normatile.session import materialize
+def fake_session(configured, on_context, master):
+    return SimpleNamespace(
+        conf=SimpleNamespace(get=lambda key, default: configured if key == "spark.checkpoint.dir" else default),
+        sparkContext=SimpleNamespace(getCheckpointDir=lambda: on_context, master=master),
+    )
 
-    spark.conf.set("spark.checkpoint.dir", str(tmp_path))
-    try:
-        out = materialize(spark.range(5), "probe")
-        assert out.count() == 5 and any(n.startswith("probe") for n in os.listdir(tmp_path))
-    finally:
-        spark.conf.unset("spark.checkpoint.dir")
+
+def test_shared_folder_comes_from_the_session(spark):
+    assert shared_folder(fake_session("/shared/a/", None, "yarn")) == "/shared/a"
+    assert shared_folder(fake_session(None, "/shared/b", "yarn")) == "/shared/b"
+    assert os.path.isdir(shared_folder(fake_session(None, None, "local[2]")))
+    with pytest.raises(RuntimeError):
+        shared_folder(fake_session(None, None, "yarn"))
