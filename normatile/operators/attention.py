@@ -16,6 +16,10 @@ from normatile.session import materialize
 PACK = 64
 
 
+def _offsets(lengths: Sequence[int]) -> pa.Array:
+    return pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32))
+
+
 def query_blocks(queries: DataFrame, key: str = "image_id") -> DataFrame:
     """All query vectors of an image in one row, in query order.
 
@@ -47,11 +51,16 @@ def attention_logits(
 
     @F.arrow_udf("array<array<double>>")
     def scores(vectors: pa.Array, blocks: pa.Array) -> pa.Array:
-        out = []
+        if not len(vectors):
+            return pa.array([], pa.list_(pa.list_(pa.float64())))
+        parts = []
         for v, q in zip(vectors, blocks):
             p, b = to_matrix(v.values), to_matrix(q.values)
-            out.append(list((p @ b.T) / np.sqrt(p.shape[1])))
-        return pa.array(out, pa.list_(pa.list_(pa.float64())))
+            parts.append((p @ b.T) / np.sqrt(p.shape[1]))
+        widths = np.concatenate([np.full(m.shape[0], m.shape[1]) for m in parts])
+        rows = [m.shape[0] for m in parts]
+        inner = pa.ListArray.from_arrays(_offsets(widths), pa.array(np.concatenate([m.ravel() for m in parts])))
+        return pa.ListArray.from_arrays(_offsets(rows), inner)
 
     joined = packed.join(query_blocks(queries, key), key)
     logits = joined.select(

@@ -9,7 +9,7 @@ from normatile.functions import schedules, scores
 from normatile.operators import attention as att
 from normatile.operators import ordering, profile, pruning, scoring, vectors
 from normatile.plans import fixtures as fx
-from normatile.plans.evaluate import score_images, score_patches
+from normatile.plans.evaluate import score_images
 from normatile.plans.fixtures import r6
 from normatile.plans.registry import query
 from normatile.session import materialize, new_folder
@@ -403,6 +403,3 @@ def squashed_scores(spark, sf):
         r6(scores.probability(s)).alias("probability"), r6(scores.clip(s, 0.5, 5.0)).alias("bounded"),
         r6(scores.fuse_for_selection(F.col("patch_idx"), s)).alias("selection"),
     )
-
-
-__all__ = ["score_patches", "scored2", "profile2"]
