@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from normatile.llm import chat, decontaminate, line_dedup, mixing, quality, substring_dedup, tokens
+from normatile.llm import chat, decontaminate, line_dedup, mixing, near_dedup, pii, quality, substring_dedup, suffix_dedup, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -161,3 +161,71 @@ def op5(spark: SparkSession, sf: str) -> DataFrame:
 def op7(spark: SparkSession, sf: str) -> DataFrame:
     docs = _table(spark, sf, "documents")
     return quality.judge(docs, quality.learn_rules(docs, _table(spark, sf, "labels")))
+
+
+OP8_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+),
+s AS MATERIALIZED (
+  SELECT DISTINCT doc_id, array_to_string(w[p:p + 3], ' ') AS g FROM d, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS u(p) WHERE len(w) > 0
+),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+pairs AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL),
+links AS MATERIALIZED (
+  SELECT a, b FROM pairs JOIN n na ON a = na.doc_id JOIN n nb ON b = nb.doc_id WHERE 100 * common >= 80 * (na.n + nb.n - common)
+),
+reach AS (
+  WITH RECURSIVE r(x, y) AS (
+    SELECT doc_id, doc_id FROM d
+    UNION
+    SELECT r.x, e.v FROM r JOIN (SELECT a AS u, b AS v FROM links UNION ALL SELECT b, a FROM links) e ON r.y = e.u
+  )
+  SELECT x AS doc_id, min(y) AS component_id FROM r GROUP BY x
+)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept
+FROM d JOIN reach USING (doc_id) LEFT JOIN n USING (doc_id)
+"""
+
+
+@query("op8_minhash_near_dedup", OP8_SQL)
+def op8(spark: SparkSession, sf: str) -> DataFrame:
+    return near_dedup.near_duplicates(_table(spark, sf, "documents"), width=4, percent=80)
+
+
+@query("op6_personal_data")
+def op6(spark: SparkSession, sf: str) -> DataFrame:
+    found = pii.find_personal(_table(spark, sf, "documents"))
+    counts = [F.size(F.filter("base", _is(k))).cast("long").alias(f"n_{k}") for k in ("email", "ip", "card", "phone")]
+    return found.select("doc_id", *counts, F.sha2(pii.joined(F.col("base")), 256).alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"))
+
+
+def _is(kind: str):
+    return lambda x: x["kind"] == kind
+
+
+OP2_SQL = """
+WITH b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, p, md5(substr(h, 2 * p + 1, 200)) AS g FROM b, unnest(range(0, length(h) // 2 - 99)) AS u(p)),
+again AS (SELECT doc_id, p FROM w QUALIFY row_number() OVER (PARTITION BY g ORDER BY doc_id, p) > 1),
+marked AS (SELECT *, p > coalesce(lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 100, -1) AS opens FROM again),
+numbered AS (SELECT *, sum(opens::INT) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM marked),
+spans AS (SELECT doc_id, k, min(p) AS s, max(p) + 100 AS e FROM numbered GROUP BY doc_id, k),
+gaps AS (
+  SELECT doc_id, e AS a, lead(s) OVER (PARTITION BY doc_id ORDER BY s) AS z FROM spans
+  UNION ALL SELECT b.doc_id, 0, (SELECT min(s) FROM spans WHERE spans.doc_id = b.doc_id) FROM b
+),
+kept AS (
+  SELECT doc_id, string_agg(substr(h, 2 * a + 1, 2 * (coalesce(z, length(h) // 2) - a)), '' ORDER BY a) AS k FROM gaps JOIN b USING (doc_id) GROUP BY doc_id
+),
+sums AS (SELECT doc_id, sum(e - s)::BIGINT AS n_removed, count(*) AS n_spans FROM spans GROUP BY doc_id)
+SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(k)) AS kept_sha256
+FROM b JOIN kept USING (doc_id) LEFT JOIN sums USING (doc_id)
+"""
+
+
+@query("op2_suffix_dedup", OP2_SQL)
+def op2(spark: SparkSession, sf: str) -> DataFrame:
+    out = suffix_dedup.dedup_suffixes(_table(spark, sf, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
