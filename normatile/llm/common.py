@@ -38,7 +38,7 @@ def whole_row(df: DataFrame) -> Column:
 
 def unpacked(df: DataFrame, row: str, like: DataFrame) -> DataFrame:
     """The columns of ``like`` back from the struct column ``row``."""
-    return df.select(*[F.col(row).getField(c).alias(c) for c in like.columns])
+    return df.select(F.col(row).alias("_whole_row")).select(*[F.col("_whole_row").getField(c).alias(c) for c in like.columns])
 
 
 def binary(array: pa.Array) -> pa.Array:

@@ -268,8 +268,8 @@ def redacted(docs: DataFrame, text_col: str = "text", model: Model | None = None
     All columns and rows stay; a null text stays null. The whole row is carried through one stored table.
     """
     packed = docs.select(whole_row(docs).alias("_row"), col(text_col).alias("_text"))
-    found = find_personal(packed, "_row", "_text", model)
-    text = F.coalesce(F.col("doc_id").getField(text_col), F.lit(""))
+    found = find_personal(packed, "_row", "_text", model).select(F.col("doc_id").alias("_row"), "spans")
+    text = F.coalesce(F.col("_row").getField(text_col), F.lit(""))
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
@@ -278,8 +278,9 @@ def redacted(docs: DataFrame, text_col: str = "text", model: Model | None = None
         return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.when(new, F.concat(acc["out"], gap)).otherwise(acc["out"]).alias("out"))
 
     done = F.aggregate("spans", zero, step, lambda acc: F.concat(acc["out"], text.substr(acc["at"] + 1, F.length(text))))
-    value = F.when(F.size("spans") > 0, done).otherwise(F.col("doc_id").getField(text_col))
-    return found.select(*[(value if c == text_col else F.col("doc_id").getField(c)).alias(c) for c in docs.columns])
+    value = F.when(F.size("spans") > 0, done).otherwise(F.col("_row").getField(text_col))
+    done_rows = found.select("_row", value.alias("_text_out"))
+    return done_rows.select(*[(F.col("_text_out") if c == text_col else F.col("_row").getField(c)).alias(c) for c in docs.columns])
 
 
 def joined(spans: Column) -> Column:
