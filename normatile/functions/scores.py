@@ -35,8 +35,8 @@ def clip(value: Column, low, high) -> Column:
 
 
 def amplify(quadratic: Column, gamma: float | None = 1.3) -> Column:
-    """Floor a squared distance at zero and raise it to ``gamma`` (None: leave it as it is)."""
-    floored = F.greatest(quadratic, F.lit(0.0))
+    """Floor a squared distance at zero and raise it to ``gamma`` (None: leave it as it is); NULL stays NULL."""
+    floored = F.when(quadratic.isNotNull(), F.greatest(quadratic, F.lit(0.0)))
     return floored if gamma is None else F.pow(floored + EPS, F.lit(float(gamma)))
 
 

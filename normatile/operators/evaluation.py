@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from normatile.functions.scores import EPS, defined_if_two_classes
-from normatile.operators.ordering import running_totals
+from normatile.operators.ordering import join_null_safe, running_totals
 
 ALL = "_all"
 
@@ -73,7 +73,7 @@ def average_precision(df: DataFrame, score: str, label: str, group: Sequence[str
 
 def _with_rates(ranked: DataFrame, group: Sequence[str]) -> DataFrame:
     if group:
-        rated = ranked.join(ranked.groupBy(*group).agg(F.sum("pos").alias("_p")), list(group))
+        rated = join_null_safe(ranked, ranked.groupBy(*group).agg(F.sum("pos").alias("_p")), group)
     else:
         rated = ranked.withColumn("_p", ranked.agg(F.sum("pos")).scalar())
     return rated.where(F.col("_p") > 0).withColumns(

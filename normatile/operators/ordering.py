@@ -23,6 +23,17 @@ def _column(key: OrderKey) -> Column:
     return F.col(key) if isinstance(key, str) else key
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner", broadcast: bool = False) -> DataFrame:
+    """Join on ``keys`` with NULL equal to NULL; the left side's keys stay, then the right side's other columns."""
+    keys = list(keys)
+    named = right.select(*[F.col(k).alias(f"_right_{i}") for i, k in enumerate(keys)], *[c for c in right.columns if c not in keys])
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & left[k].eqNullSafe(F.col(f"_right_{i}"))
+    joined = left.join(F.broadcast(named) if broadcast else named, same, how)
+    return joined.drop(*[f"_right_{i}" for i in range(len(keys))])
+
+
 def running_totals(
     df: DataFrame,
     group: Sequence[str],
@@ -31,8 +42,9 @@ def running_totals(
 ) -> DataFrame:
     """Add inclusive running sums of ``totals`` within ``group`` along ``order``.
 
-    ``order`` must be a total order inside a group. Slices are stored before use, so that the slice
-    number of a row cannot change if a task is run again.
+    ``order`` must be a total order inside a group; a NULL group key is a group. Slices are stored
+    before use, so that the slice number of a row cannot change if a task is run again. All columns
+    of ``df`` are stored with them: pass narrow rows.
     """
     group = list(group)
     order_cols = [_column(key) for key in order]
@@ -48,17 +60,16 @@ def running_totals(
     # carried subtotals has fewer rows than there are slices: safe to broadcast at any data size.
     across = W.partitionBy(*(group or [F.lit(0)])).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
     subtotals = sliced.groupBy("_slice", *group).agg(*[F.sum(p).alias(p) for p in parts.values()])
-    first = next(iter(parts.values()))
-    carried = (
-        subtotals.select("_slice", *group, *[F.sum(p).over(across).alias(f"{p}_before") for p in parts.values()])
-        .where(F.col(f"{first}_before").isNotNull())
-    )
+    number = F.row_number().over(W.partitionBy(*(group or [F.lit(0)])).orderBy("_slice"))
+    carried = subtotals.select(
+        "_slice", *group, *[F.sum(p).over(across).alias(f"{p}_before") for p in parts.values()], number.alias("_nth")
+    ).where("_nth > 1").drop("_nth")
 
     inside = (
         W.partitionBy("_slice", *group).orderBy(*order_cols).rowsBetween(W.unboundedPreceding, W.currentRow)
     )
     local = sliced.withColumns({f"{p}_local": F.sum(p).over(inside) for p in parts.values()})
-    joined = local.join(F.broadcast(carried), ["_slice", *group], "left")
+    joined = join_null_safe(local, carried, ["_slice", *group], "left", broadcast=True)
     out = {
         name: F.col(f"{p}_local") + F.coalesce(F.col(f"{p}_before"), F.lit(0))
         for name, p in parts.items()
@@ -79,7 +90,7 @@ def group_sizes(df: DataFrame, group: Sequence[str], name: str = "group_size") -
     if not group:
         size = df.agg(F.count("*").alias(name)).scalar()
         return df.withColumn(name, size)
-    return df.join(df.groupBy(*group).agg(F.count("*").alias(name)), list(group))
+    return join_null_safe(df, df.groupBy(*group).agg(F.count("*").alias(name)), group)
 
 
 def permutation_split(
@@ -170,7 +181,7 @@ def percentile_bounds(
     counts = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count("*").alias("_n"))
     ranked = running_totals(counts, group, [value], {"_through": F.col("_n")})
     # Sizes come from the stored slices: Spark prunes the ranking from this branch.
-    sized = ranked.join(ranked.groupBy(*group).agg(F.sum("_n").alias("_size")), group)
+    sized = join_null_safe(ranked, ranked.groupBy(*group).agg(F.sum("_n").alias("_size")), group)
     aggs = []
     for name, p in (("p_low", low), ("p_high", high)):
         rank = (F.col("_size") - 1) * F.lit(p / 100.0)
@@ -204,7 +215,7 @@ def last_n(
     alive = newest.where(F.col("_through") - F.col("_rows") < n).select(
         *group, step, (F.lit(n) - (F.col("_through") - F.col("_rows"))).alias("_room")
     )
-    recent = df.join(alive, [*group, step])
+    recent = join_null_safe(df, alive, [*group, step])
     w = W.partitionBy(*group, step).orderBy(*[F.desc(c) for c in within])
     return (
         recent.withColumn("_rank", F.row_number().over(w))

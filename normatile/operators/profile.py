@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from normatile.operators.ordering import last_n, running_totals
+from normatile.operators.ordering import join_null_safe, last_n, running_totals
 from normatile.operators.vectors import rows_by_key, sum_vector, to_list_array, to_matrix
 from normatile.session import materialize
 
@@ -30,52 +30,98 @@ def _group_schema(df: DataFrame, group: Sequence[str]) -> str:
     return "".join(f"`{g}` {df.schema[g].dataType.simpleString()}, " for g in group)
 
 
+def _by_group(df: DataFrame, group: list[str], fn) -> DataFrame:
+    """``mapInArrow`` with rows ``(group..., _row, _vec)`` out; ``fn`` yields (keys, row numbers, matrix)."""
+    schema = df.select(*group).schema.add("_row", T.IntegerType()).add("_vec", T.ArrayType(T.DoubleType()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types: list[pa.DataType] = []
+
+        def seen() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    types[:] = [batch.column(i).type for i in range(len(group))]
+                    yield batch
+
+        for key, numbers, table in fn(seen()):
+            columns = [pa.array([value] * len(numbers), types[i]) for i, value in enumerate(key)]
+            columns += [pa.array(np.asarray(numbers, np.int32)), to_list_array(table)]
+            yield pa.RecordBatch.from_arrays(columns, names=[*group, "_row", "_vec"])
+
+    return df.mapInArrow(run, schema)
+
+
+def _merge(a: tuple, b: tuple) -> tuple:
+    """Counts, means and centred products of two sets of rows together."""
+    n, d = a[0] + b[0], b[1] - a[1]
+    return n, a[1] + d * (b[0] / n), a[2] + b[2] + np.outer(d, d) * (a[0] * b[0] / n)
+
+
 def moment_sums(df: DataFrame, group: Sequence[str], features: str) -> DataFrame:
-    """Rows of ``sum([1, x]' [1, x])`` per group: ``(group..., _row, _vec)``.
+    """Centred moments per group as additive rows ``(group..., _row, _vec)``.
 
-    Each task adds up its own rows with one matmul per Arrow batch and emits width + 1 short rows
-    per group, so neither a hot group nor the squared width ever multiplies the input rows.
+    Each task merges (n, mean, centred products) of its Arrow batches pairwise, one matmul per batch,
+    so nothing is lost however far the features lie from zero. The tasks' products are then summed;
+    their means, one short row per task and group, are taken relative to the group's centre and add
+    the part between tasks. Row -2 is the centre, -1 holds n and the sum of the shifted means, row i
+    the products of dimension i. Vectors that are NULL or hold NULL or NaN are left out.
     """
     group = list(group)
-    schema = df.select(*group).schema.add("_row", T.IntegerType()).add("_vec", T.ArrayType(T.DoubleType()))
 
-    def partials(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[tuple, np.ndarray] = {}
+    def partials(batches):
+        state: dict[tuple, tuple] = {}
 
         def flush():
-            for key, total in sums.items():
-                width = total.shape[0]
-                columns = [pa.array([value] * width, batch_types[i]) for i, value in enumerate(key)]
-                columns += [pa.array(np.arange(width, dtype=np.int32)), to_list_array(total)]
-                yield pa.RecordBatch.from_arrays(columns, names=[*group, "_row", "_vec"])
-            sums.clear()
-
-        batch_types: list[pa.DataType] = []
+            for key, (n, mean, products) in state.items():
+                yield key, [-1, *range(len(mean))], np.vstack([np.concatenate([[n], mean])[None, :], np.pad(products, ((0, 0), (0, 1)))])
+            state.clear()
+
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            batch_types = [batch.column(i).type for i in range(len(group))]
             x = to_matrix(batch.column(len(group)))
-            ones = np.concatenate([np.ones((len(x), 1)), x], axis=1)
             for key, rows in rows_by_key([batch.column(i) for i in range(len(group))], len(x)):
-                part = ones[rows].T @ ones[rows]
-                sums[key] = sums[key] + part if key in sums else part
-            if sum(s.nbytes for s in sums.values()) > PARTIAL_BYTES:
+                part = x[rows]
+                part = part[np.isfinite(part).all(axis=1)]
+                if len(part):
+                    mean = part.mean(axis=0)
+                    centred = part - mean
+                    new = (float(len(part)), mean, centred.T @ centred)
+                    state[key] = _merge(state[key], new) if key in state else new
+            if sum(s[2].nbytes for s in state.values()) > PARTIAL_BYTES:
                 yield from flush()
         yield from flush()
 
-    parts = df.where(F.col(features).isNotNull()).select(*group, features).mapInArrow(partials, schema)
-    return parts.groupBy(*group, "_row").agg(sum_vector("_vec").alias("_vec"))
+    parts = materialize(_by_group(df.where(F.col(features).isNotNull()).select(*group, features), group, partials), "moments")
+    means = parts.where("_row = -1")
+    n, mean = F.get("_vec", F.lit(0)), F.slice("_vec", 2, F.size("_vec"))
+    weighted = means.select(*group, n.alias("_n"), F.transform(mean, lambda v: v * n).alias("_w"))
+    center = weighted.groupBy(*group).agg(F.sum("_n").alias("_n"), sum_vector("_w").alias("_w"))
+    center = center.select(*group, F.transform("_w", lambda v: v / F.col("_n")).alias("_c"))
+    beside = join_null_safe(means, center, group).select(*group, "_vec", "_c")
+
+    def between(batches):
+        for batch in batches:
+            table, c = to_matrix(batch.column(len(group))), to_matrix(batch.column(len(group) + 1))
+            weight, shift = table[:, :1], table[:, 1:] - c
+            for key, rows in rows_by_key([batch.column(i) for i in range(len(group))], len(table)):
+                w, d = weight[rows], shift[rows]
+                products = np.pad((d * w).T @ d, ((0, 0), (0, 1)))
+                yield key, [-1, *range(d.shape[1])], np.vstack([np.concatenate([w.sum(axis=0), (d * w).sum(axis=0)])[None, :], products])
+
+    rest = _by_group(beside, group, between)
+    # The centre's row is padded to the width of the others.
+    centers = center.select(*group, F.lit(-2).alias("_row"), F.concat("_c", F.array(F.lit(0.0))).alias("_vec"))
+    rows = parts.where("_row >= 0").unionByName(rest).unionByName(centers)
+    return rows.groupBy(*group, "_row").agg(sum_vector("_vec").alias("_vec"))
 
 
 def _finish(sums: pd.DataFrame, reg: float, floor_one: bool) -> tuple[int, np.ndarray, np.ndarray, np.ndarray] | None:
     table = np.stack([np.asarray(v, np.float64) for v in sums.sort_values("_row")["_vec"]])
-    n, total = table[0, 0], table[0, 1:]
+    n, shift = table[1, 0], table[1, 1:]
     divisor = max(n - 1, 1) if floor_one else n - 1
     if divisor <= 0:
         return None
-    mu = total / n
-    sigma = (table[1:, 1:] - n * np.outer(mu, mu)) / divisor
+    mu = table[0, :-1] + shift / n
+    sigma = (table[2:, :-1] - np.outer(shift, shift) / n) / divisor
     sigma = (sigma + sigma.T) / 2.0 + reg * np.eye(len(mu))
     return int(n), mu, sigma, np.linalg.pinv(sigma, hermitian=True) if reg == 0 else np.linalg.inv(sigma)
 
@@ -90,7 +136,7 @@ def fit_profile(
     """Mean, covariance (n - 1) plus ``reg`` on the diagonal, and its inverse, per group.
 
     A group of one row has no covariance and gets no profile, unless ``floor_one`` divides by
-    max(n - 1, 1) as the running buffer statistics do. The last step handles width + 1 rows per
+    max(n - 1, 1) as the running buffer statistics do. The last step handles width + 2 rows per
     group, whatever the number of patches was.
     """
     group, reg = list(group), float(reg)
@@ -166,7 +212,7 @@ def refit_buffers(
     )
     carried = W.partitionBy(*(group or [F.lit(0)])).orderBy("refit").rowsBetween(W.unboundedPreceding, 0)
     ends = (
-        span.join(reached, [*group, "refit"], "left")
+        join_null_safe(span, reached, [*group, "refit"], "left")
         .withColumn("_reached", F.max("_reached").over(carried))
         .where(F.col("_reached").isNotNull())
     )
@@ -175,11 +221,11 @@ def refit_buffers(
         "_block", F.explode(F.sequence(F.floor(first / n), F.floor(F.col("_reached") / n)))
     )
     placed = ranked.withColumn("_block", F.floor(F.col("_rank") / n))
-    hits = placed.join(blocks, [*group, "_block"]).where(
+    hits = join_null_safe(placed, blocks, [*group, "_block"]).where(
         (F.col("_rank") <= F.col("_reached")) & (F.col("_rank") > F.col("_reached") - n)
     )
     members = hits.select(*group, step, *within, "refit")
-    return arrivals.join(members, [*group, step, *within])
+    return join_null_safe(arrivals, members, [*group, step, *within])
 
 
 def ema_profile(
@@ -214,7 +260,7 @@ def ema_profile(
     m = float(momentum)
     weight = F.pow(F.lit(1.0 - m), F.col("_t") - F.col("_k")) * F.when(F.col("_k") > 0, m).otherwise(1.0)
     rows = (
-        numbered.drop("n").join(last, keys)
+        join_null_safe(numbered.drop("n"), last, keys)
         .withColumn("_w", weight)
         .select(*keys, "n", "_t", "_w", F.posexplode(F.concat(F.array("mu"), F.col("sigma"))).alias("_row", "_raw"))
         .select(*keys, "n", "_t", "_row", F.transform("_raw", lambda v: v * F.col("_w")).alias("_vec"))

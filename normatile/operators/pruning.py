@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from normatile.functions.schedules import keep_counts
 from normatile.functions.scores import fuse_for_selection
 from normatile.operators.attention import importance, softmax_weights
 from normatile.operators.ordering import top_k
+from normatile.operators.vectors import to_matrix
 from normatile.session import materialize
 
 # Images with more patches than this are pruned by distributed aggregates instead of a window.
@@ -38,7 +40,7 @@ def active_steps(n_patches: int, t_steps: int, n_max: int, n_min: int, on_noop:
 
 def prune_patches(
     scored: DataFrame,
-    n_queries: int,
+    n_queries: int | None = None,
     n_max: int = 256,
     n_min: int = 32,
     t_steps: int = 8,
@@ -56,13 +58,16 @@ def prune_patches(
     With fixed queries a step changes only the softmax denominators, so vectors are not needed.
     Images of ordinary size take all steps inside one shuffle by image. Images with more patches
     than ``window_patches`` (none, if patches come from a model grid) take each step by combined
-    aggregates and a join, so no task holds such an image.
+    aggregates and a join, so no task holds such an image. Both use every logit; ``n_queries`` may
+    state how many there are, and a wrong number is an error.
     """
     scored = materialize(scored.select(key, "patch_idx", "logits", "deviation"), "scored")
-    counts = scored.groupBy(key).agg(F.count("*").alias("_n"))
-    largest = counts.agg(F.max("_n")).first()[0]
+    counts = scored.groupBy(key).agg(F.count("*").alias("_n"), F.min(F.size("logits")).alias("_low"), F.max(F.size("logits")).alias("_high"))
+    largest, low, high = counts.agg(F.max("_n"), F.min("_low"), F.max("_high")).first()
     if largest is None:
         return scored.select(key, "patch_idx")
+    if n_queries is not None and (low, high) != (n_queries, n_queries):
+        raise ValueError(f"{low} to {high} logits per patch, not {n_queries}")
     shape = {"w": w, "p1": p1, "p2": p2}
     steps = keep_counts(t_steps, n_max, n_min, **shape)
     if on_noop not in ("skip", "stop"):
@@ -77,30 +82,32 @@ def prune_patches(
         scored = scored.where("_live").drop("_live")
         steps = steps[:stall]
     if largest <= window_patches:
-        kept = _by_window(scored, n_queries, steps, alpha, beta, key)
+        kept = _by_image(scored, steps, alpha, beta, key)
     else:
         big = counts.where(F.col("_n") > window_patches).select(key)
-        kept = _by_window(scored.join(big, key, "left_anti"), n_queries, steps, alpha, beta, key).unionByName(
+        kept = _by_image(scored.join(big, key, "left_anti"), steps, alpha, beta, key).unionByName(
             prune_with(scored.join(big, key, "left_semi"), steps, fused_selection(alpha, beta), key)
         )
     return kept.unionByName(idle) if on_noop == "stop" else kept
 
 
-def _by_window(scored, n_queries, steps, alpha, beta, key):
-    image = W.partitionBy(key)
-    names = [f"_l{q}" for q in range(n_queries)]
-    left = scored.select(key, "patch_idx", "deviation", *[F.get("logits", F.lit(q)).alias(n) for q, n in enumerate(names)])
-    for keep in steps:
-        peaks = left.withColumns({f"{n}_m": F.max(n).over(image) for n in names})
-        mass = peaks.withColumns({f"{n}_e": F.exp(F.col(n) - F.col(f"{n}_m")) for n in names})
-        mass = mass.withColumns({f"{n}_z": F.sum(f"{n}_e").over(image) for n in names})
-        attended = sum((F.col(f"{n}_e") / F.col(f"{n}_z") for n in names), F.lit(0.0))
-        ranked = mass.select(
-            key, "patch_idx", "deviation", *names,
-            fuse_for_selection(attended, F.col("deviation"), alpha, beta).alias("_score"),
-        )
-        left = top_k(ranked, [key], "_score", "patch_idx", keep).drop("_score")
-    return left.select(key, "patch_idx")
+def _by_image(scored: DataFrame, steps: list[int], alpha: float, beta: float, key: str) -> DataFrame:
+    """All steps of an image in one pass over its logits: a matrix of patches by queries."""
+
+    def prune(rows: pa.Table) -> pa.Table:
+        index = rows["patch_idx"].to_numpy()
+        logits = to_matrix(rows["logits"].combine_chunks())
+        deviation = rows["deviation"].cast(pa.float64()).to_numpy()
+        left = np.arange(len(index))
+        for keep in steps:
+            if keep >= len(left):
+                continue
+            e = np.exp(logits[left] - logits[left].max(axis=0))
+            score = alpha * (e / e.sum(axis=0)).sum(axis=1) + beta * deviation[left]
+            left = left[np.lexsort((index[left], -score))[:keep]]
+        return rows.select([key, "patch_idx"]).take(pa.array(left))
+
+    return scored.groupBy(key).applyInArrow(prune, scored.select(key, "patch_idx").schema)
 
 
 def fused_selection(alpha: float = 0.4, beta: float = 0.4) -> Callable[[DataFrame], DataFrame]:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from normatile.operators.evaluation import rank_counts, summarize
-from normatile.operators.ordering import percentile_bounds
+from normatile.operators.ordering import join_null_safe, percentile_bounds
 from normatile.session import materialize
 
 
@@ -84,15 +84,17 @@ def axis_weight(d: Column, source: Column | int, target: int) -> tuple[Column, C
 
 
 def score_grids(scores: DataFrame, grid: int, keys: Sequence[str] = ("image_id",), score: str = "score") -> DataFrame:
-    """One row per image with its grid x grid scores in row-major order.
+    """One row per image with its grid x grid scores in row-major order; a missing patch is NULL.
 
-    A row holds grid^2 numbers at most, because (image, patch_idx) is a key and indexes outside
-    the grid are dropped.
+    An index outside the grid is an error. A row holds grid^2 numbers at most, because (image,
+    patch_idx) is a key.
     """
-    inside = scores.where((F.col("patch_idx") >= 0) & (F.col("patch_idx") < grid * grid))
-    pairs = F.array_sort(F.collect_list(F.struct("patch_idx", F.col(score).cast("double").alias("v"))))
-    rows = inside.groupBy(*keys).agg(pairs.alias("_pairs")).where(F.size("_pairs") == grid * grid)
-    return rows.select(*keys, F.transform("_pairs", lambda p: p["v"]).alias("grid"))
+    wrong = (F.col("patch_idx") < 0) | (F.col("patch_idx") >= grid * grid)
+    place = F.when(wrong, F.raise_error(F.concat(F.lit("patch_idx outside the grid: "), F.col("patch_idx").cast("string"))).cast("long"))
+    pairs = F.map_from_entries(F.collect_list(F.struct(place.otherwise(F.col("patch_idx").cast("long")).alias("k"), F.col(score).cast("double").alias("v"))))
+    rows = scores.groupBy(*keys).agg(pairs.alias("_pairs"))
+    cells = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(grid * grid - 1).cast("long")), lambda i: F.try_element_at("_pairs", i))
+    return rows.select(*keys, cells.alias("grid"))
 
 
 def bilinear(grid_values: Column, grid: int, x: Column, y: Column, size: int) -> Column:
@@ -137,7 +139,7 @@ def percentile_normalize(
     clipped = F.least(F.greatest(F.col(value), F.col("p_low")), F.col("p_high"))
     span = F.col("p_high") - F.col("p_low")
     scaled = F.when(span > 1e-8, F.try_divide(clipped - F.col("p_low"), span)).otherwise(0.0)
-    joined = df.join(bounds, list(keys)).withColumn("_scaled", scaled).drop("p_low", "p_high")
+    joined = join_null_safe(df, bounds, keys, "left").withColumn("_scaled", F.when(F.col(value).isNotNull(), scaled)).drop("p_low", "p_high")
     if out is None or out == value:
         return joined.withColumn(value, F.col("_scaled")).drop("_scaled")
     return joined.withColumnRenamed("_scaled", out)
@@ -162,14 +164,14 @@ def stretch_array(values: Column, low: float, high: float) -> Column:
         lo, span = bounds["lo"], bounds["hi"] - bounds["lo"]
         return F.transform(
             values,
-            lambda v: F.when(span > 1e-8, (F.least(F.greatest(v, lo), bounds["hi"]) - lo) / span).otherwise(0.0),
+            lambda v: F.when(v.isNotNull(), F.when(span > 1e-8, (F.least(F.greatest(v, lo), bounds["hi"]) - lo) / span).otherwise(0.0)),
         )
 
     def bounds_of(ordered: Column) -> Column:
         pair = F.struct(row_percentile(ordered, low).alias("lo"), row_percentile(ordered, high).alias("hi"))
         return _bind(pair, scaled)
 
-    return _bind(F.array_sort(values), bounds_of)
+    return _bind(F.array_sort(F.filter(values, lambda v: v.isNotNull())), bounds_of)
 
 
 def display_heatmap(
@@ -186,11 +188,11 @@ def display_heatmap(
         rows = rows.withColumn("grid", stretch_array(F.col("grid"), *patch_clip))
     rows = materialize(rows, "grids")
     bounds = percentile_bounds(_pixels_of(rows, grid, size, keys), keys, "value", *pixel_clip)
-    pixels = _pixels_of(rows.join(bounds, list(keys)), grid, size, [*keys, "p_low", "p_high"])
+    pixels = _pixels_of(join_null_safe(rows, bounds, keys, "left"), grid, size, [*keys, "p_low", "p_high"])
     span = F.col("p_high") - F.col("p_low")
     clipped = F.least(F.greatest(F.col("value"), F.col("p_low")), F.col("p_high"))
     scaled = F.when(span > 1e-8, F.try_divide(clipped - F.col("p_low"), span)).otherwise(0.0)
-    return pixels.select(*keys, "y", "x", scaled.alias("value"))
+    return pixels.select(*keys, "y", "x", F.when(F.col("value").isNotNull(), scaled).alias("value"))
 
 
 def pixel_auroc(
@@ -208,8 +210,9 @@ def pixel_auroc(
     value = bilinear(F.col("grid"), grid, F.col("x"), F.col("y"), size).alias("threshold")
     every = cells.select(value, F.lit(0).cast("long").alias("pos"), F.lit(1).cast("long").alias("neg"))
     # A positive pixel was counted as a negative above; take that back.
-    marked = masks.where(F.col(mask) > 0).select(*keys, "y", "x").join(grids, list(keys))
+    marked = join_null_safe(masks.where(F.col(mask) > 0).select(*keys, "y", "x"), grids, keys)
     hits = marked.select(value, F.lit(1).cast("long").alias("pos"), F.lit(-1).cast("long").alias("neg"))
-    counts = every.unionByName(hits).groupBy("threshold").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    # A pixel without a score, beside a missing patch, has no place in the ranking.
+    counts = every.unionByName(hits).where(F.col("threshold").isNotNull()).groupBy("threshold").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     ranked = rank_counts(counts)
     return summarize(ranked).select("positives", "negatives", "auroc")

@@ -8,16 +8,21 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from normatile.functions.scores import amplify
-from normatile.operators.ordering import top_k
-from normatile.operators.vectors import quadratic_form, rows_by_key, to_matrix
-from normatile.session import materialize
+from normatile.operators.ordering import join_null_safe, top_k
+from normatile.operators.vectors import rows_by_key, to_matrix
 
-# Up to this width the quadratic form stays in the JVM; wider vectors go to numpy in Arrow batches.
-NARROW = 8
-# Models above this size are not sent to the executors in one piece.
-MODEL_BYTES = 512 * 2**20
+# Models up to this size go to every executor; with larger ones the patches meet their group's model.
+MODEL_BYTES = 64 * 2**20
+# Rows of one group that a task scores at a time when models are not broadcast.
+SHARE_ROWS = 50_000
+
+
+def _distances(column: pa.Array, mu: np.ndarray, precision: np.ndarray) -> np.ndarray:
+    centered = to_matrix(column) - mu
+    return ((centered @ precision) * centered).sum(axis=1)
 
 
 def mahalanobis(
@@ -29,64 +34,67 @@ def mahalanobis(
     out: str = "deviation",
     model_bytes: int = MODEL_BYTES,
 ) -> DataFrame:
-    """Squared Mahalanobis distance to the group's profile, raised to ``gamma``; 0 without profile."""
+    """Squared Mahalanobis distance to the group's profile, raised to ``gamma``.
+
+    Same rows at any width and model size: 0 where the group has no profile, NULL where the vector is
+    NULL or holds NULL or NaN. A NULL group key is a group like any other. Two profiles of one group are an error.
+    """
     group = list(group)
     profile = profile.select(*group, "mu", "sigma_inv")
-    size = profile.agg(
-        F.max(F.size("mu")).alias("width"), F.sum(F.pow(F.size("mu"), F.lit(2)) * 8.0).alias("bytes")
-    ).first()
-    if size["width"] is None:
-        return patches.withColumn(out, F.lit(0.0))
-    if size["width"] <= NARROW:
-        return _narrow(patches, profile, group, features, gamma, out)
-    pieces = max(1, int(np.ceil(size["bytes"] / model_bytes)))
-    if pieces == 1 or not group:
-        return _wide(patches, profile, group, features, gamma, out)
-    # More groups than one broadcast may hold: score a share of the groups at a time. Every group
-    # falls in exactly one share, so each patch is scored once.
-    share = F.pmod(F.xxhash64(*group), F.lit(pieces))
-    done = [
-        materialize(_wide(patches.where(share == i), profile.where(share == i), group, features, gamma, out), "scores")
-        for i in range(pieces)
-    ]
-    result = done[0]
-    for part in done[1:]:
-        result = result.unionByName(part)
-    return result
-
-
-def _narrow(patches, profile, group, features, gamma, out):
-    model = profile.select(*group, F.struct("mu", "sigma_inv").alias("_model"))
-    if group:
-        joined = patches.join(model, group, "left")
+    size = profile.agg(F.sum(F.pow(F.size("mu"), F.lit(2)) * 8.0).alias("bytes")).first()["bytes"]
+    if size is None:
+        raw = patches.withColumn("_q", F.lit(None).cast("double")).withColumn("_known", F.lit(False))
+    elif size <= model_bytes or not group:
+        raw = _broadcast(patches, profile, group, features)
     else:
-        joined = patches.withColumn("_model", model.scalar())
-    score = amplify(quadratic_form(F.col(features), F.col("_model.mu"), F.col("_model.sigma_inv")), gamma)
-    return joined.select(*patches.columns, F.when(F.col("_model").isNotNull(), score).otherwise(0.0).alias(out))
+        raw = _dealt(patches, profile, group, features)
+    score = F.when(~F.col("_known"), 0.0).otherwise(amplify(F.nanvl("_q", F.lit(None).cast("double")), gamma))
+    return raw.withColumn(out, score).drop("_q", "_known")
 
 
-def _wide(patches, profile, group, features, gamma, out):
-    model = {}
+def _broadcast(patches: DataFrame, profile: DataFrame, group: list[str], features: str) -> DataFrame:
+    """Models of a checked size: each task looks its groups up."""
+    model: dict[tuple, tuple[np.ndarray, np.ndarray]] = {}
     for row in profile.toLocalIterator():
         key = tuple(row[g] for g in group)
+        if key in model:
+            raise ValueError(f"two profiles for {key}")
         model[key] = (np.asarray(row["mu"], np.float64), np.asarray(row["sigma_inv"], np.float64))
     shared = patches.sparkSession.sparkContext.broadcast(model)
 
-    @F.arrow_udf("double")
+    @F.arrow_udf("struct<q:double,known:boolean>")
     def distance(x: pa.Array, *keys: pa.Array) -> pa.Array:
-        result = np.full(len(x), np.nan)
-        if len(x):
-            matrix = to_matrix(x)
-            for label, rows in rows_by_key(keys, len(x)):
-                if label in shared.value:
-                    mu, precision = shared.value[label]
-                    centered = matrix[rows] - mu
-                    result[rows] = ((centered @ precision) * centered).sum(axis=1)
-        return pa.array(result, mask=np.isnan(result))
-
-    raw = patches.withColumn("_q", distance(F.col(features), *[F.col(g) for g in group]))
-    score = F.when(F.col("_q").isNotNull(), amplify(F.col("_q"), gamma)).otherwise(0.0)
-    return raw.withColumn(out, score).drop("_q")
+        result, known = np.full(len(x), np.nan), np.zeros(len(x), bool)
+        for label, rows in rows_by_key(keys, len(x)):
+            if label in shared.value:
+                result[rows] = _distances(x.take(pa.array(rows)), *shared.value[label])
+                known[rows] = True
+        return pa.StructArray.from_arrays([pa.array(result), pa.array(known)], ["q", "known"])
+
+    scored = patches.withColumn("_d", distance(F.col(features), *[F.col(g) for g in group]))
+    return scored.withColumns({"_q": F.col("_d.q"), "_known": F.col("_d.known")}).drop("_d")
+
+
+def _dealt(patches: DataFrame, profile: DataFrame, group: list[str], features: str) -> DataFrame:
+    """One shuffle of the patches, however many groups: a share of a group's rows meets its model."""
+    shares = patches.groupBy(*group).agg(F.ceil(F.count("*") / SHARE_ROWS).alias("_shares"))
+    dealt = join_null_safe(patches, shares, group).withColumn("_share", F.pmod(F.xxhash64(features, *group), F.col("_shares"))).drop("_shares")
+    models = join_null_safe(profile, shares, group)
+    models = models.withColumn("_share", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_shares") - 1))).drop("_shares")
+    schema = T.StructType([*patches.schema.fields, T.StructField("_q", T.DoubleType()), T.StructField("_known", T.BooleanType())])
+
+    def score(rows: pa.Table, model: pa.Table) -> pa.Table:
+        if model.num_rows > 1:
+            raise ValueError("two profiles for one group")
+        q, known = np.full(rows.num_rows, np.nan), bool(model.num_rows)
+        if known and rows.num_rows:
+            mu = to_matrix(model["mu"].combine_chunks())[0]
+            precision = to_matrix(model["sigma_inv"].combine_chunks().flatten())
+            q = _distances(rows[features].combine_chunks(), mu, precision)
+        return rows.drop_columns(["_share"]).append_column("_q", pa.array(q)).append_column("_known", pa.array([known] * rows.num_rows, pa.bool_()))
+
+    keys = [*group, "_share"]
+    return dealt.groupBy(*keys).cogroup(models.groupBy(*keys)).applyInArrow(score, schema)
 
 
 def image_score(scores: DataFrame, keys: Sequence[str] = ("image_id",), score: str = "score", k: int = 3) -> DataFrame:

@@ -17,9 +17,23 @@ VECTOR = "array<double>"
 
 
 def to_matrix(column: pa.Array) -> np.ndarray:
-    """A list column of equal lengths as a (rows, width) matrix of doubles."""
+    """A list column of one width as a (rows, width) matrix of doubles; a NULL list is a row of NaN.
+
+    Lists of different widths raise an error: cut up by their total length they would be mixed.
+    """
+    if not len(column):
+        return np.zeros((0, 0))
+    given = column.is_valid().to_numpy(zero_copy_only=False)
+    widths = np.unique(column.value_lengths().drop_null().to_numpy())
+    if len(widths) > 1:
+        raise ValueError(f"vectors of different widths: {widths.tolist()}")
+    width = int(widths[0]) if len(widths) else 0
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
-    return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
+    if given.all():
+        return flat.reshape(len(column), width)
+    matrix = np.full((len(column), width), np.nan)
+    matrix[given] = flat.reshape(-1, width)
+    return matrix
 
 
 def to_list_array(matrix: np.ndarray) -> pa.Array:

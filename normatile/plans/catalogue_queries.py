@@ -12,7 +12,7 @@ from normatile.operators.scoring import image_score
 from normatile.plans import fixtures as fx
 from normatile.plans.fixtures import r6
 from normatile.plans.registry import query
-from normatile.plans.scoring_queries import scored2
+from normatile.plans.scoring_queries import scored64
 from normatile.session import new_folder
 from normatile.sources import reports
 
@@ -241,13 +241,13 @@ def seeded_augment_plan(spark, sf):
     ("image_scores",),
 )
 def rank_images(spark, sf):
-    images = image_score(scored2(spark, sf)).join(fx.images(spark, sf).select("image_id", "label"), "image_id")
+    images = image_score(scored64(spark, sf)).join(fx.images(spark, sf).select("image_id", "label"), "image_id")
     ranked = ordering.with_position(images, [F.desc("image_score"), "image_id"], name="rank")
     return ranked.select("image_id", "label", r6(F.col("image_score")).alias("score"), "rank")
 
 
 def scored_images(spark, sf):
-    images = image_score(scored2(spark, sf)).join(fx.images(spark, sf), "image_id")
+    images = image_score(scored64(spark, sf)).join(fx.images(spark, sf), "image_id")
     defect = F.when(F.col("label") == 0, "good").otherwise("defect")
     name = F.format_string("%04d", "image_id")
     return images.withColumns(

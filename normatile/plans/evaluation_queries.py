@@ -12,7 +12,7 @@ from normatile.plans import fixtures as fx
 from normatile.plans.evaluate import evaluation_report as report_plan
 from normatile.plans.fixtures import r6
 from normatile.plans.registry import query
-from normatile.plans.scoring_queries import scored2
+from normatile.plans.scoring_queries import scored64
 from normatile.session import materialize
 
 
@@ -37,13 +37,13 @@ def docs(spark, sf):
 
 @query("image_auroc", auroc_sql("SELECT image_score AS score, label AS y FROM image_scores"), ("image_scores",))
 def image_auroc(spark, sf):
-    images = image_score(scored2(spark, sf)).join(fx.images(spark, sf), "image_id")
+    images = image_score(scored64(spark, sf)).join(fx.images(spark, sf), "image_id")
     return _rounded(ev.auroc(images, "image_score", "label"), "auroc")
 
 
 @query("patch_auroc", auroc_sql("SELECT score, y FROM scores"), ("scores",))
 def patch_auroc(spark, sf):
-    scored = scored2(spark, sf).withColumn("p", squash(F.col("score")))
+    scored = scored64(spark, sf).withColumn("p", squash(F.col("score")))
     return _rounded(ev.auroc(scored, "p", "y"), "auroc")
 
 
@@ -129,7 +129,7 @@ def best_f1(spark, sf):
     ("image_scores",),
 )
 def score_inventory(spark, sf):
-    images = image_score(scored2(spark, sf)).join(fx.images(spark, sf), "image_id")
+    images = image_score(scored64(spark, sf)).join(fx.images(spark, sf), "image_id")
     return _rounded(ev.score_inventory(images, "image_score", "label"), "min_score", "max_score")
 
 
@@ -142,7 +142,7 @@ def score_inventory(spark, sf):
 def score_profile(spark, sf):
     from normatile.operators.losses import score_profile as profile_of
 
-    return _rounded(profile_of(scored2(spark, sf), ["image_id"]), "mean_score", "min_score", "max_score")
+    return _rounded(profile_of(scored64(spark, sf), ["image_id"]), "mean_score", "min_score", "max_score")
 
 
 @query(
@@ -152,7 +152,7 @@ def score_profile(spark, sf):
     ("scores",),
 )
 def percentile_bounds(spark, sf):
-    return _rounded(ordering.percentile_bounds(scored2(spark, sf), ["image_id"], "score"), "p_low", "p_high")
+    return _rounded(ordering.percentile_bounds(scored64(spark, sf), ["image_id"], "score"), "p_low", "p_high")
 
 
 @query(
@@ -222,7 +222,7 @@ def expand_patches(spark, sf):
 
 @query("heatmap_raw", "SELECT image_id, y, x, round(value, 6) AS value FROM heat", ("heat",))
 def heatmap_raw(spark, sf):
-    out = rollups.heatmap(scored2(spark, sf), fx.GRID, fx.SIZE)
+    out = rollups.heatmap(scored64(spark, sf), fx.GRID, fx.SIZE)
     return out.select("image_id", F.col("y").cast("long"), F.col("x").cast("long"), r6(F.col("value")).alias("value"))
 
 
@@ -235,7 +235,7 @@ def heatmap_raw(spark, sf):
 )
 def heatmap_percentile(spark, sf):
     """Pixel values clipped to their 5th and 95th percentile."""
-    out = rollups.display_heatmap(scored2(spark, sf), fx.GRID, fx.SIZE, patch_clip=None, pixel_clip=(5.0, 95.0))
+    out = rollups.display_heatmap(scored64(spark, sf), fx.GRID, fx.SIZE, patch_clip=None, pixel_clip=(5.0, 95.0))
     return out.select("image_id", F.col("y").cast("long"), F.col("x").cast("long"), r6(F.col("value")).alias("value"))
 
 
@@ -259,7 +259,7 @@ axis40 ay, axis40 ax)))"""
 )
 def heatmap_display(spark, sf):
     """The display heatmap: percentile-normalised patches, up-sampled, stretched to [0, 1]."""
-    out = rollups.display_heatmap(scored2(spark, sf), fx.GRID, fx.SIZE)
+    out = rollups.display_heatmap(scored64(spark, sf), fx.GRID, fx.SIZE)
     return out.select("image_id", F.col("y").cast("long"), F.col("x").cast("long"), r6(F.col("value")).alias("value"))
 
 
@@ -269,7 +269,7 @@ def heatmap_display(spark, sf):
     ("heat", "masks"),
 )
 def pixel_auroc(spark, sf):
-    scores = materialize(scored2(spark, sf), "scores")
+    scores = materialize(scored64(spark, sf), "scores")
     return _rounded(rollups.pixel_auroc(scores, fx.masks(spark, sf), fx.GRID, fx.SIZE), "auroc")
 
 
@@ -280,7 +280,7 @@ def pixel_auroc(spark, sf):
 )
 def pixel_auroc_joined(spark, sf):
     """The same metric by pairing every heatmap pixel with its mask pixel."""
-    heat = rollups.heatmap(scored2(spark, sf), fx.GRID, fx.SIZE)
+    heat = rollups.heatmap(scored64(spark, sf), fx.GRID, fx.SIZE)
     paired = ev.pair_labels(heat, fx.masks(spark, sf), ["image_id", "y", "x"], "m")
     return _rounded(ev.auroc(paired, "value", "m"), "auroc")
 
@@ -295,6 +295,6 @@ def pixel_auroc_joined(spark, sf):
     ("image_scores", "heat", "masks"),
 )
 def evaluation_report(spark, sf):
-    scores = materialize(scored2(spark, sf), "scores")
+    scores = materialize(scored64(spark, sf), "scores")
     out = report_plan(scores, fx.masks(spark, sf), fx.images(spark, sf), fx.GRID, fx.SIZE)
     return _rounded(out, "min_score", "max_score", "image_auroc", "pixel_auroc")

@@ -6,6 +6,8 @@ written as SQL in ``oracle_views``.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,14 +41,9 @@ def patches(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def patches2(spark: SparkSession, sf: str) -> DataFrame:
-    """Patches with the first two dimensions as features."""
-    return patches(spark, sf).withColumn("embedding", F.slice("embedding", 1, 2).cast(VECTOR))
-
-
 def arrivals(spark: SparkSession, sf: str) -> DataFrame:
-    """Two-feature patches with a step number: one image of each category per step."""
-    return patches2(spark, sf).withColumn("step", F.floor(F.col("image_id") / 4))
+    """Patches with a step number: one image of each category per step."""
+    return patches(spark, sf).withColumn("step", F.floor(F.col("image_id") / 4))
 
 
 def queries(spark: SparkSession, sf: str) -> DataFrame:
@@ -138,22 +135,46 @@ oracle_views = {
         [],
         """SELECT vec_id // 25 AS image_id, vec_id % 25 AS patch_idx,
         'c' || CAST((vec_id // 25) % 4 AS VARCHAR) AS category,
-        CAST(label >= 8 AND (vec_id // 25) % 3 <> 0 AS INT) AS y, embedding,
-        CAST(embedding[1] AS DOUBLE) AS d0, CAST(embedding[2] AS DOUBLE) AS d1 FROM embeddings""",
+        CAST(label >= 8 AND (vec_id // 25) % 3 <> 0 AS INT) AS y, embedding FROM embeddings""",
     ),
-    "profile2": (
+    "normal_dims": (
         ["patches"],
-        """SELECT category, n, m0, m1, s00, s01, s11, s11 / det AS i00, -s01 / det AS i01, s00 / det AS i11
-        FROM (SELECT *, s00 * s11 - s01 * s01 AS det FROM (
-        SELECT category, count(*) AS n, avg(d0) AS m0, avg(d1) AS m1, covar_samp(d0, d0) + 1e-6 AS s00,
-        covar_samp(d0, d1) AS s01, covar_samp(d1, d1) + 1e-6 AS s11
-        FROM patches WHERE y = 0 GROUP BY category))""",
+        """SELECT category, image_id, patch_idx, i, CAST(embedding[i] AS DOUBLE) AS v
+        FROM patches, range(1, 65) d(i) WHERE y = 0""",
+    ),
+    "mean64": (
+        ["normal_dims"],
+        """SELECT category, max(c) AS n, list(m ORDER BY i) AS mu FROM (
+        SELECT category, i, avg(v) AS m, count(*) AS c FROM normal_dims GROUP BY category, i) GROUP BY category""",
+    ),
+    "cov64": (
+        ["normal_dims"],
+        """SELECT category, i, j, s + CASE WHEN i = j THEN 1e-6 ELSE 0 END AS s FROM (
+        SELECT a.category, a.i, b.i AS j, covar_samp(a.v, b.v) AS s FROM normal_dims a JOIN normal_dims b
+        ON a.image_id = b.image_id AND a.patch_idx = b.patch_idx GROUP BY a.category, a.i, b.i)""",
+    ),
+    # Gauss-Jordan: step k clears column k in all rows but row k; the right half becomes the inverse.
+    "gauss": (
+        ["cov64"],
+        """SELECT category, 0 AS k, i, list_concat(r, list_transform(range(1, 65),
+          lambda j: CASE WHEN j = i THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)) AS r
+        FROM (SELECT category, i, list(s ORDER BY j) AS r FROM cov64 GROUP BY category, i)
+        UNION ALL
+        SELECT category, k + 1, i, CASE WHEN i = k + 1 THEN list_transform(r, lambda v: v / f)
+          ELSE list_transform(list_zip(r, p), lambda z: z[1] - f / d * z[2]) END
+        FROM (SELECT *, r[k + 1] AS f, p[k + 1] AS d FROM (
+          SELECT *, max(CASE WHEN i = k + 1 THEN r END) OVER (PARTITION BY category) AS p FROM gauss WHERE k < 64))""",
+    ),
+    "inv64": (
+        ["gauss"],
+        "SELECT category, list(r[65:128] ORDER BY i) AS inv FROM gauss WHERE k = 64 GROUP BY category",
     ),
     "scores": (
-        ["profile2"],
+        ["mean64", "inv64"],
         """SELECT image_id, patch_idx, category, y, power(greatest(q, 0) + 1e-8, 1.3) AS score FROM (
-        SELECT p.*, i00 * (d0 - m0) * (d0 - m0) + 2 * i01 * (d0 - m0) * (d1 - m1) + i11 * (d1 - m1) * (d1 - m1) AS q
-        FROM patches p JOIN profile2 USING (category))""",
+        SELECT *, list_sum(list_transform(list_zip(c, inv), lambda z: z[1] * list_dot_product(z[2], c))) AS q FROM (
+        SELECT p.*, inv, list_transform(list_zip(embedding, mu), lambda z: CAST(z[1] AS DOUBLE) - z[2]) AS c
+        FROM patches p JOIN mean64 USING (category) JOIN inv64 USING (category)))""",
     ),
     "image_scores": (
         ["scores"],
@@ -248,6 +269,10 @@ oracle_views = {
 }
 
 
+#: Read several times, or dear to build: kept once.
+_KEPT = {"normal_dims", "mean64", "cov64", "inv64", "scores", "cells", "masks", "pixels", "patch_dims", "query_dims", "logits"}
+
+
 def with_views(sql: str, *names: str) -> str:
     """Put the named views, and those they need, in front of a query."""
     ordered: list[str] = []
@@ -260,10 +285,8 @@ def with_views(sql: str, *names: str) -> str:
 
     for name in names:
         need(name)
-    ctes = ",\n".join(f"{name} AS ({oracle_views[name][1]})" for name in ordered)
+    ctes = ",\n".join(f"{name} AS {'MATERIALIZED ' if name in _KEPT else ''}({oracle_views[name][1]})" for name in ordered)
     body = sql.strip()
-    if body.upper().startswith("WITH RECURSIVE"):
-        return f"WITH RECURSIVE {ctes},\n{body[len('WITH RECURSIVE'):]}"
-    if body.upper().startswith("WITH"):
-        return f"WITH {ctes},\n{body[len('WITH'):]}"
-    return f"WITH {ctes}\n{body}"
+    recursive = "RECURSIVE " if "gauss" in ordered or body.upper().startswith("WITH RECURSIVE") else ""
+    body = re.sub(r"^WITH( RECURSIVE)?\b", ",", body, flags=re.IGNORECASE) if body.upper().startswith("WITH") else "\n" + body
+    return f"WITH {recursive}{ctes}{body}"

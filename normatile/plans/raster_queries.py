@@ -11,7 +11,7 @@ from normatile.plans import fixtures as fx
 from normatile.plans.evaluation_queries import DISPLAY
 from normatile.plans.fixtures import r6
 from normatile.plans.registry import query
-from normatile.plans.scoring_queries import scored2
+from normatile.plans.scoring_queries import scored64
 
 PLACE = ("image_id", "y", "x")
 
@@ -139,7 +139,7 @@ _HOT = """hot AS (SELECT image_id, y, x, CAST(floor(CASE WHEN i < 0.365079 THEN
 
 
 def _display(spark, sf):
-    return rollups.display_heatmap(scored2(spark, sf), fx.GRID, fx.SIZE)
+    return rollups.display_heatmap(scored64(spark, sf), fx.GRID, fx.SIZE)
 
 
 @query("colorize_heatmap", f"WITH {DISPLAY}, {_HOT} SELECT * FROM hot", ("scores", "axis40"))

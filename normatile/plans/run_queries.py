@@ -10,7 +10,7 @@ from normatile.operators import losses, runs
 from normatile.plans import fixtures as fx
 from normatile.plans.fixtures import r6, r9
 from normatile.plans.registry import query
-from normatile.plans.scoring_queries import scored2
+from normatile.plans.scoring_queries import scored64
 from normatile.session import new_folder
 from normatile.sources import reports
 
@@ -213,5 +213,5 @@ def pseudo_loss(spark, sf):
 def custom_loss(spark, sf):
     """A loss registered by the caller."""
     losses.register_loss("absolute", lambda score, y: F.avg(F.abs(score - y)))
-    out = losses.total_loss(scored2(spark, sf), "score", "y", ["category"], "absolute")
+    out = losses.total_loss(scored64(spark, sf), "score", "y", ["category"], "absolute")
     return out.select("category", r6(F.col("patch")).alias("patch"))

@@ -16,13 +16,13 @@ from normatile.session import materialize, new_folder
 from normatile.sources import reports
 
 
-def profile2(spark, sf):
-    return materialize(profile.fit_profile(profile.add_normal(fx.patches2(spark, sf)), ["category"]), "profile")
+def profile64(spark, sf):
+    return materialize(profile.fit_profile(profile.add_normal(fx.patches(spark, sf)), ["category"]), "profile")
 
 
-def scored2(spark, sf):
-    """Two-feature patch scores: ``image_id, patch_idx, category, y, score``."""
-    scored = scoring.mahalanobis(fx.patches2(spark, sf), profile2(spark, sf), ["category"], out="score")
+def scored64(spark, sf):
+    """Patch scores: ``image_id, patch_idx, category, y, score``."""
+    scored = scoring.mahalanobis(fx.patches(spark, sf), profile64(spark, sf), ["category"], out="score")
     return scored.drop("embedding")
 
 
@@ -32,7 +32,7 @@ def scored2(spark, sf):
     ("image_scores",),
 )
 def image_score_top3(spark, sf):
-    out = score_images(fx.patches2(spark, sf), ["category"])
+    out = score_images(fx.patches(spark, sf), ["category"])
     return out.select("image_id", F.col("label"), r6(F.col("image_score")).alias("image_score"))
 
 
@@ -42,7 +42,7 @@ def image_score_top3(spark, sf):
     ("scores",),
 )
 def patch_deviation(spark, sf):
-    return scored2(spark, sf).select("image_id", "patch_idx", "y", r6(F.col("score")).alias("score"))
+    return scored64(spark, sf).select("image_id", "patch_idx", "y", r6(F.col("score")).alias("score"))
 
 
 @query(
@@ -65,25 +65,51 @@ def profile_moments(spark, sf):
     )
 
 
+_PRICES = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
+
+
 @query(
     "mean_cov_moments",
-    """SELECT category, count(*) AS n, round(avg(d0), 6) AS m0, round(avg(d1), 6) AS m1,
-    round(covar_samp(d0, d0), 6) AS s00, round(covar_samp(d0, d1), 6) AS s01, round(covar_samp(d1, d1), 6) AS s11
-    FROM patches WHERE y = 0 GROUP BY category""",
-    ("patches",),
+    "SELECT l_returnflag, count(*) AS n, "
+    + ", ".join(f"round(avg({c}), 6) AS m{i}" for i, c in enumerate(_PRICES))
+    + ", "
+    + ", ".join(f"round(covar_samp({a}, {b}), 4) AS s{i}{j}" for i, a in enumerate(_PRICES) for j, b in enumerate(_PRICES) if j >= i)
+    + " FROM lineitem GROUP BY l_returnflag",
 )
 def mean_cov_moments(spark, sf):
-    normal = profile.add_normal(fx.patches(spark, sf))
-    dims = [F.get("embedding", F.lit(i)) for i in range(2)]
-    m = profile.narrow_moments(normal, ["category"], dims)
-    cell = lambda i, j: F.get(F.get("sigma", F.lit(i)), F.lit(j))
-    return m.select(
-        "category", "n", r6(F.get("mu", F.lit(0))).alias("m0"), r6(F.get("mu", F.lit(1))).alias("m1"),
-        r6(cell(0, 0)).alias("s00"), r6(cell(0, 1)).alias("s01"), r6(cell(1, 1)).alias("s11"),
-    )
+    m = profile.narrow_moments(fx.table(spark, sf, "lineitem"), ["l_returnflag"], [F.col(c) for c in _PRICES])
+    means = [r6(F.get("mu", F.lit(i))).alias(f"m{i}") for i in range(4)]
+    cells = [
+        F.round(F.get(F.get("sigma", F.lit(i)), F.lit(j)), 4).alias(f"s{i}{j}") for i in range(4) for j in range(4) if j >= i
+    ]
+    return m.select("l_returnflag", "n", *means, *cells)
 
 
-@query("mahalanobis_full")
+@query(
+    "profile_off_center",
+    "SELECT l_returnflag, count(*) AS n, "
+    + ", ".join(f"round(avg({c}) + 1e6, 6) AS m{i}" for i, c in enumerate(_PRICES))
+    + ", "
+    + ", ".join(f"round(covar_samp({a}, {b}), 4) AS s{i}{j}" for i, a in enumerate(_PRICES) for j, b in enumerate(_PRICES) if j >= i)
+    + " FROM lineitem GROUP BY l_returnflag",
+)
+def profile_off_center(spark, sf):
+    """Features far from zero, some with a tiny spread: the covariance must not suffer."""
+    shifted = F.array(*[F.col(c) + 1e6 for c in _PRICES])
+    rows = fx.table(spark, sf, "lineitem").select("l_returnflag", shifted.alias("embedding"))
+    m = profile.fit_profile(rows, ["l_returnflag"], reg=0.0)
+    means = [r6(F.get("mu", F.lit(i))).alias(f"m{i}") for i in range(4)]
+    cells = [
+        F.round(F.get(F.get("sigma", F.lit(i)), F.lit(j)), 4).alias(f"s{i}{j}") for i in range(4) for j in range(4) if j >= i
+    ]
+    return m.select("l_returnflag", "n", *means, *cells)
+
+
+@query(
+    "mahalanobis_full",
+    "SELECT image_id, patch_idx, round(score, 6) AS deviation FROM scores",
+    ("scores",),
+)
 def mahalanobis_full(spark, sf):
     patches = fx.patches(spark, sf)
     fitted = materialize(profile.fit_profile(profile.add_normal(patches), ["category"]), "profile")
@@ -99,8 +125,8 @@ def mahalanobis_full(spark, sf):
 )
 def unfitted_profile(spark, sf):
     """Patches of a category without a profile score 0."""
-    only = profile2(spark, sf).where(F.col("category") == "c0")
-    scored = scoring.mahalanobis(fx.patches2(spark, sf), only, ["category"])
+    only = profile64(spark, sf).where(F.col("category") == "c0")
+    scored = scoring.mahalanobis(fx.patches(spark, sf), only, ["category"])
     return scored.select("image_id", "patch_idx", r6(F.col("deviation")).alias("deviation"))
 
 
@@ -137,14 +163,23 @@ def attention_mass(spark, sf):
     ("scores", "attended"),
 )
 def fused_patch_score(spark, sf):
-    deviation = scored2(spark, sf).select("image_id", "patch_idx", F.col("score").alias("deviation"))
+    deviation = scored64(spark, sf).select("image_id", "patch_idx", F.col("score").alias("deviation"))
     attended = att.attention(fx.patches(spark, sf), fx.queries(spark, sf))
     joined = deviation.join(attended, ["image_id", "patch_idx"])
     fused = scores.fuse_scores(F.col("importance"), F.col("deviation"), F.col("n_queries"))
     return joined.select("image_id", "patch_idx", r6(fused).alias("score"))
 
 
-@query("fused_image_score_full")
+@query(
+    "fused_image_score_full",
+    """SELECT image_id, label, round(avg(score), 6) AS image_score FROM (
+    SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY score DESC, patch_idx) AS rk FROM (
+    SELECT s.image_id, s.patch_idx, max(s.y) OVER (PARTITION BY s.image_id) AS label,
+    0.4 * a + 0.4 * s.score + 0.2 * (a * s.score) AS score
+    FROM scores s JOIN (SELECT image_id, patch_idx, importance / (5 + 1e-8) AS a FROM attended) t
+    ON s.image_id = t.image_id AND s.patch_idx = t.patch_idx)) WHERE rk <= 3 GROUP BY image_id, label""",
+    ("scores", "attended"),
+)
 def fused_image_score_full(spark, sf):
     """All 64 dimensions: deviation and attention fused, top-3 mean per image."""
     out = score_images(fx.patches(spark, sf), ["category"], fx.queries(spark, sf))
@@ -185,7 +220,7 @@ _PRUNE = (
 
 
 def prune_input(spark, sf):
-    deviation = scored2(spark, sf).select("image_id", "patch_idx", F.col("score").alias("deviation"))
+    deviation = scored64(spark, sf).select("image_id", "patch_idx", F.col("score").alias("deviation"))
     logits = att.attention_logits(fx.patches(spark, sf), fx.queries(spark, sf))
     return logits.join(deviation, ["image_id", "patch_idx"])
 
@@ -220,7 +255,7 @@ def prune_patches_custom_scorer(spark, sf):
     ("scores",),
 )
 def topk_patches(spark, sf):
-    best = ordering.top_k(scored2(spark, sf), ["image_id"], "score", "patch_idx", 5)
+    best = ordering.top_k(scored64(spark, sf), ["image_id"], "score", "patch_idx", 5)
     return best.select("image_id", "patch_idx", r6(F.col("score")).alias("score"))
 
 
@@ -320,71 +355,69 @@ def last_n_buffer(spark, sf):
     return recent.select("category", "image_id", "patch_idx")
 
 
+def profile_facts(fitted):
+    """One row per dimension: mean, variance, and covariance with the next dimension."""
+    rows = fitted.select("category", "version", "n", "sigma", F.posexplode("mu").alias("i", "m"))
+    row = F.get("sigma", F.col("i"))
+    return rows.select(
+        "category", "version", "n", (F.col("i") + 1).cast("long").alias("i"), r6(F.col("m")).alias("m"),
+        r6(F.get(row, F.col("i"))).alias("var"), r6(F.get(row, (F.col("i") + 1) % 64)).alias("next"),
+    )
+
+
 @query(
     "buffer_statistics",
-    """SELECT category, count(*) AS n, round(avg(d0), 6) AS m0, round(avg(d1), 6) AS m1,
-    round(covar_samp(d0, d1), 6) AS s01 FROM (SELECT *, row_number() OVER (PARTITION BY category
-    ORDER BY image_id // 4 DESC, image_id DESC, patch_idx DESC) AS rk FROM patches WHERE y = 0)
-    WHERE rk <= 60 GROUP BY category""",
+    """SELECT category, CAST(0 AS BIGINT) AS version, count(*) AS n, i, round(avg(v), 6) AS m,
+    round(covar_samp(v, v), 6) AS var, round(covar_samp(v, u), 6) AS next FROM (
+      SELECT category, i, CAST(embedding[i] AS DOUBLE) AS v, CAST(embedding[i % 64 + 1] AS DOUBLE) AS u FROM (
+      SELECT *, row_number() OVER (PARTITION BY category ORDER BY image_id // 4 DESC, image_id DESC, patch_idx DESC) AS rk
+      FROM patches WHERE y = 0), range(1, 65) d(i) WHERE rk <= 60) GROUP BY category, i""",
     ("patches",),
 )
 def buffer_statistics(spark, sf):
     normal = profile.add_normal(fx.arrivals(spark, sf))
     stats = profile.buffer_statistics(normal, 60, group=["category"])
-    return stats.select(
-        "category", "n", r6(F.get("mu", F.lit(0))).alias("m0"), r6(F.get("mu", F.lit(1))).alias("m1"),
-        r6(F.get(F.get("sigma", F.lit(0)), F.lit(1))).alias("s01"),
-    )
+    return profile_facts(stats.withColumn("version", F.lit(0).cast("long")))
 
 
 EMA_SQL = """WITH RECURSIVE arrivals AS (SELECT *, image_id // 4 AS step FROM patches),
 refits AS (SELECT category, r AS step, row_number() OVER (PARTITION BY category ORDER BY r) - 1 AS k
   FROM (SELECT category, max(step) AS last FROM arrivals GROUP BY category),
   LATERAL (SELECT unnest(range(0, last + 1, 2)) AS r)),
-stats AS (SELECT category, k, count(*) AS n, avg(d0) AS m0, avg(d1) AS m1, covar_samp(d0, d0) + 1e-6 AS s00,
-  covar_samp(d0, d1) AS s01, covar_samp(d1, d1) + 1e-6 AS s11 FROM (
-    SELECT a.*, r.k, row_number() OVER (PARTITION BY a.category, r.k
+stats AS MATERIALIZED (SELECT category, k, i, count(*) AS n, avg(v) AS m, covar_samp(v, v) + 1e-6 AS var, covar_samp(v, u) AS next FROM (
+  SELECT category, k, i, CAST(embedding[i] AS DOUBLE) AS v, CAST(embedding[i % 64 + 1] AS DOUBLE) AS u FROM (
+    SELECT a.category, embedding, r.k, row_number() OVER (PARTITION BY a.category, r.k
       ORDER BY a.step DESC, image_id DESC, patch_idx DESC) AS rk
-    FROM arrivals a JOIN refits r ON a.category = r.category AND a.step <= r.step WHERE y = 0)
-  WHERE rk <= 60 GROUP BY ALL),
-ema AS (SELECT category, k, n, m0, m1, s00, s01, s11 FROM stats WHERE k = 0
-  UNION ALL SELECT s.category, s.k, s.n, 0.9 * e.m0 + 0.1 * s.m0, 0.9 * e.m1 + 0.1 * s.m1,
-  0.9 * e.s00 + 0.1 * s.s00, 0.9 * e.s01 + 0.1 * s.s01, 0.9 * e.s11 + 0.1 * s.s11
-  FROM ema e JOIN stats s ON s.category = e.category AND s.k = e.k + 1)
-SELECT category, k AS version, n, round(m0, 6) AS m0, round(m1, 6) AS m1, round(s01, 6) AS s01,
-round(s00 * s11 - s01 * s01, 9) AS det FROM (SELECT *, max(k) OVER (PARTITION BY category) AS last FROM ema)
-WHERE k = last"""
-
-
-def profile_facts(fitted):
-    s = lambda i, j: F.get(F.get("sigma", F.lit(i)), F.lit(j))
-    return [
-        r6(F.get("mu", F.lit(0))).alias("m0"), r6(F.get("mu", F.lit(1))).alias("m1"), r6(s(0, 1)).alias("s01"),
-        F.round(s(0, 0) * s(1, 1) - s(0, 1) * s(0, 1), 9).alias("det"),
-    ]
+    FROM arrivals a JOIN refits r ON a.category = r.category AND a.step <= r.step WHERE y = 0), range(1, 65) d(i)
+  WHERE rk <= 60) GROUP BY category, k, i),
+ema AS (SELECT category, k, i, n, m, var, next FROM stats WHERE k = 0
+  UNION ALL SELECT s.category, s.k, s.i, s.n, 0.9 * e.m + 0.1 * s.m, 0.9 * e.var + 0.1 * s.var, 0.9 * e.next + 0.1 * s.next
+  FROM ema e JOIN stats s ON s.category = e.category AND s.k = e.k + 1 AND s.i = e.i)
+SELECT category, k AS version, n, i, round(m, 6) AS m, round(var, 6) AS var, round(next, 6) AS next
+FROM (SELECT *, max(k) OVER (PARTITION BY category) AS last FROM ema) WHERE k = last"""
 
 
 @query("ema_profile", EMA_SQL, ("patches",))
 def ema_profile(spark, sf):
     normal = profile.add_normal(fx.arrivals(spark, sf))
-    fitted = profile.ema_profile(normal, every=2, n=60, group=["category"])
-    return fitted.select("category", "version", "n", *profile_facts(fitted))
+    return profile_facts(profile.ema_profile(normal, every=2, n=60, group=["category"]))
 
 
 @query(
     "profile_store",
-    """SELECT category, CAST(2 AS BIGINT) AS version, n, round(m0, 6) AS m0, round(s00, 6) AS s00 FROM profile2""",
-    ("profile2",),
+    """SELECT m.category, CAST(2 AS BIGINT) AS version, m.n, c.i, round(m.mu[c.i], 6) AS m, round(c.s, 6) AS var,
+    round(x.s, 6) AS next FROM mean64 m JOIN cov64 c ON m.category = c.category AND c.i = c.j
+    JOIN cov64 x ON x.category = c.category AND x.i = c.i AND x.j = c.i % 64 + 1""",
+    ("mean64", "cov64"),
 )
 def profile_store(spark, sf):
     """Two versions saved, the latest loaded; a group missing from the store keeps its default."""
-    fitted = profile2(spark, sf)
+    fitted = profile64(spark, sf)
     path = new_folder(spark, "profile-store")
     reports.save_profile(fitted.withColumn("n", F.col("n") * 0), path, 1, epoch=1)
     reports.save_profile(fitted.where(F.col("category") != "c3"), path, 2, epoch=2)
     latest = reports.load_profile(spark, path, ["category"], version=2, defaults=fitted.withColumn("version", F.lit(2).cast("long")))
-    s00 = F.get(F.get("sigma", F.lit(0)), F.lit(0))
-    return latest.select("category", "version", "n", r6(F.get("mu", F.lit(0))).alias("m0"), r6(s00).alias("s00"))
+    return profile_facts(latest)
 
 
 @query(
@@ -398,7 +431,7 @@ def profile_store(spark, sf):
 )
 def squashed_scores(spark, sf):
     s = F.col("score")
-    return scored2(spark, sf).select(
+    return scored64(spark, sf).select(
         "image_id", "patch_idx", r6(scores.soft_clip(s)).alias("clipped"), r6(scores.squash(s)).alias("squashed"),
         r6(scores.probability(s)).alias("probability"), r6(scores.clip(s, 0.5, 5.0)).alias("bounded"),
         r6(scores.fuse_for_selection(F.col("patch_idx"), s)).alias("selection"),

@@ -15,7 +15,7 @@ from normatile.plans import fixtures as fx
 from normatile.plans.fixtures import r6, r9
 from normatile.plans.registry import query
 from normatile.plans.run_queries import STOP_SQL, combined
-from normatile.plans.scoring_queries import EMA_SQL, profile2, profile_facts
+from normatile.plans.scoring_queries import EMA_SQL, profile64, profile_facts
 from normatile.session import materialize, new_folder
 from normatile.streaming import metric_stream, profile_stream
 
@@ -51,22 +51,21 @@ def stream_profile(spark, sf):
     refits = spark.read.parquet(os.path.join(store, "history")).groupBy("category").agg(
         (F.count("*") - 1).alias("version")
     )
-    joined = fitted.join(refits, "category")
-    return joined.select("category", "version", "n", *profile_facts(joined))
+    return profile_facts(fitted.join(refits, "category"))
 
 
 @query("stream_score", "SELECT image_id, patch_idx, round(score, 6) AS deviation FROM scores", ("scores",))
 def stream_score(spark, sf):
     """Arriving patches scored with a stored profile."""
     store = new_folder(spark, "store")
-    profile2(spark, sf).write.parquet(os.path.join(store, "profile", "batch=0"))
+    profile64(spark, sf).write.parquet(os.path.join(store, "profile", "batch=0"))
 
     def start(stream, folder):
         return profile_stream.score_stream(
             stream, store, os.path.join(folder, "scored"), os.path.join(folder, "checkpoint"), ["category"]
         )
 
-    folder = feed(spark, fx.patches2(spark, sf), "image_id", start)
+    folder = feed(spark, fx.patches(spark, sf), "image_id", start)
     scored = spark.read.parquet(os.path.join(folder, "scored"))
     return scored.select("image_id", "patch_idx", r6(F.col("deviation")).alias("deviation"))
 
