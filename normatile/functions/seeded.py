@@ -5,17 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_SPAN = 2**53
+_SPAN = 2**52
 
 
 def shuffle_key(seed: int, *keys: Column) -> Column:
-    """A 64-bit hash whose order is a random permutation of the keys."""
-    return F.xxhash64(F.lit(seed), *keys)
+    """52 bits of the MD5 of seed and keys; their order is a random permutation of the keys.
+
+    Any engine can compute it: the first 13 hex digits of ``md5(concat_ws('|', seed, key, ...))`` with
+    keys as strings and NULL written as an empty string.
+    """
+    parts = [F.coalesce(k.cast("string"), F.lit("")) for k in keys]
+    digest = F.md5(F.encode(F.concat_ws("|", F.lit(str(seed)), *parts), "UTF-8"))
+    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("long")
 
 
 def uniform(seed: int, *keys: Column) -> Column:
     """A number in [0, 1)."""
-    return F.pmod(shuffle_key(seed, *keys), F.lit(_SPAN)) / F.lit(float(_SPAN))
+    return shuffle_key(seed, *keys) / F.lit(float(_SPAN))
 
 
 def gaussian(seed: int, *keys: Column) -> Column:

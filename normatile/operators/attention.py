@@ -45,6 +45,7 @@ def attention_logits(
         queries = queries.withColumn("embedding", linear(F.col("embedding").cast(VECTOR), weight, bias))
     packed = (
         patches.select(key, "patch_idx", F.col("embedding").alias("_v"))
+        .repartition(key)  # one shuffle of the vectors serves the packs and the join
         .groupBy(key, F.floor(F.col("patch_idx") / PACK).alias("_pack"))
         .agg(F.collect_list(F.struct("patch_idx", "_v")).alias("_rows"))
     )
@@ -104,8 +105,10 @@ def attention(
     patches: DataFrame, queries: DataFrame, key: str = "image_id",
     weight: Sequence | None = None, bias: Sequence | None = None,
 ) -> DataFrame:
-    """``(image, patch_idx, weights, importance, n_queries)`` for every patch."""
+    """``(image, patch_idx, weights, importance, n_queries)`` for every patch; without queries no weights and 0."""
     logits = materialize(attention_logits(patches, queries, key, weight, bias), "logits")
-    return softmax_weights(logits, [key]).withColumns(
-        {"importance": importance(), "n_queries": F.size("weights")}
-    )
+    attended = softmax_weights(logits, [key]).withColumns({"importance": importance(), "n_queries": F.size("weights")})
+    # Images without queries get no attention, but they stay.
+    idle = patches.select(key, "patch_idx").join(queries.select(key).distinct(), key, "left_anti")
+    none = {"weights": F.array().cast("array<double>"), "importance": F.lit(0.0), "n_queries": F.lit(0)}
+    return attended.unionByName(idle.withColumns(none).select(*attended.columns))

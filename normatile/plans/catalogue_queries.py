@@ -12,6 +12,7 @@ from normatile.operators.scoring import image_score
 from normatile.plans import fixtures as fx
 from normatile.plans.fixtures import r6
 from normatile.plans.registry import query
+from normatile.session import materialize
 from normatile.plans.scoring_queries import scored64
 from normatile.session import new_folder
 from normatile.sources import reports
@@ -136,7 +137,11 @@ def key_split_fixed(spark, sf):
     return ordering.permutation_split(docs, "doc_id", n_val=40, group=["lang"], by_hash=False)
 
 
-@query("seeded_split")
+@query(
+    "seeded_split",
+    f"""SELECT doc_id, lang, CASE WHEN row_number() OVER (PARTITION BY lang ORDER BY {fx.md5_number("42", "doc_id")}, doc_id) - 1
+    < count(*) OVER (PARTITION BY lang) // 2 THEN 'val' ELSE 'train' END AS part FROM documents""",
+)
 def seeded_split(spark, sf):
     docs = fx.table(spark, sf, "documents").select("doc_id", "lang")
     return ordering.permutation_split(docs, "doc_id", seed=42, group=["lang"])
@@ -169,7 +174,12 @@ def assign_batches(spark, sf):
     return ordering.assign_batches(docs, "doc_id", 8, shuffle=False, drop_last=False)
 
 
-@query("shuffled_batches")
+@query(
+    "shuffled_batches",
+    f"""SELECT doc_id, position, position // 48 AS batch_id FROM (SELECT doc_id, count(*) OVER () AS n,
+    row_number() OVER (ORDER BY {fx.md5_number("7", "3", "doc_id")}, doc_id) - 1 AS position FROM documents)
+    WHERE position // 48 < n // 48""",
+)
 def shuffled_batches(spark, sf):
     docs = fx.table(spark, sf, "documents").select("doc_id")
     return ordering.assign_batches(docs, "doc_id", 48, seed=7, epoch=3)
@@ -185,14 +195,35 @@ def shuffled_batch_sizes(spark, sf):
     return shuffled_batches(spark, sf).groupBy("batch_id").agg(F.count("*").alias("n"))
 
 
-@query("sample_rows")
+@query(
+    "sample_rows",
+    f"SELECT doc_id, n_chars FROM documents ORDER BY {fx.md5_number('42', 'doc_id')}, doc_id LIMIT 100",
+)
 def sample_rows(spark, sf):
     return ordering.sample_rows(fx.table(spark, sf, "documents").select("doc_id", "n_chars"), "doc_id", 100)
 
 
-@query("shuffle_rows", "SELECT doc_id, lang FROM documents")
+@query(
+    "shuffle_rows",
+    f"""SELECT doc_id, lang, row_number() OVER (ORDER BY {fx.md5_number("42", "2", "doc_id")}, doc_id) - 1 AS position
+    FROM documents""",
+)
 def shuffle_rows(spark, sf):
-    return ordering.shuffled(fx.table(spark, sf, "documents").select("doc_id", "lang"), "doc_id", epoch=2)
+    """The order itself: the numbers of the sorted rows, partition by partition."""
+    rows = ordering.shuffled(fx.table(spark, sf, "documents").select("doc_id", "lang"), "doc_id", epoch=2)
+    placed = materialize(rows.withColumn("_id", F.monotonically_increasing_id()), "shuffled")
+    return ordering.with_position(placed, ["_id"]).drop("_id")
+
+
+@query(
+    "null_group_batches",
+    """SELECT doc_id, lang, position, position // 8 AS batch_id FROM (SELECT doc_id, nullif(lang, 'en') AS lang,
+    row_number() OVER (PARTITION BY nullif(lang, 'en') ORDER BY doc_id) - 1 AS position FROM documents)""",
+)
+def null_group_batches(spark, sf):
+    """Rows without a group are a group of their own."""
+    docs = fx.table(spark, sf, "documents").select("doc_id", F.nullif("lang", F.lit("en")).alias("lang"))
+    return ordering.assign_batches(docs, "doc_id", 8, shuffle=False, drop_last=False, group=["lang"])
 
 
 @query(
@@ -228,7 +259,14 @@ def method_errors(spark, sf):
     return cat.method_errors(parts, "category", "crack").select("p_partkey")
 
 
-@query("seeded_augment_plan")
+@query(
+    "seeded_augment_plan",
+    f"""SELECT p_partkey, category, augment, CASE WHEN augment THEN CASE WHEN category IN ('carpet', 'leather', 'zipper')
+    OR category NOT IN ('screw', 'tile', 'wood') THEN 'cutpaste'
+    ELSE ['cutpaste', 'crack'][{fx.md5_number("42", "'method'", "p_partkey")} % 2 + 1] END END AS method
+    FROM (SELECT p_partkey, lower(p_type) AS category,
+    {fx.md5_number("42", "'apply'", "p_partkey")} / 4503599627370496.0::DOUBLE < 0.2 AS augment FROM part)""",
+)
 def seeded_augment_plan(spark, sf):
     parts = fx.table(spark, sf, "part").select("p_partkey", F.lower("p_type").alias("category"))
     return cat.augmentation_plan(parts, "p_partkey", "category", p=0.2, seed=42)

@@ -128,6 +128,18 @@ def files(spark: SparkSession, sf: str) -> DataFrame:
     return both.where(F.col("path").isNotNull())
 
 
+def md5_number(*keys: str) -> str:
+    """SQL of the seeded 52-bit number (``functions.seeded.shuffle_key``) of key expressions."""
+    parts = ", ".join(f"coalesce(CAST({k} AS VARCHAR), '')" for k in keys)
+    return f"('0x' || substr(md5(concat_ws('|', {parts})), 1, 13))::BIGINT"
+
+
+def md5_normal(seed: str, *keys: str) -> str:
+    """SQL of the seeded normal number (``functions.seeded.gaussian``)."""
+    radius, angle = (f"({md5_number(seed, name, *keys)} / {float(2**52)!r}::DOUBLE)" for name in ("'radius'", "'angle'"))
+    return f"sqrt(-2 * ln(greatest({radius}, 1 / {float(2**52)!r}::DOUBLE))) * cos(2 * pi() * {angle})"
+
+
 # --- the same views in SQL ----------------------------------------------------------------------
 
 oracle_views = {

@@ -297,7 +297,12 @@ def defect_intensity(spark, sf):
     return _out(both.withColumn("v", px.clip255(changed)), *PLACE, "c")
 
 
-@query("texture_noise")
+@query(
+    "texture_noise",
+    f"""SELECT p.image_id, p.y, p.x, p.c, round(p.v + {fx.md5_normal("42", "p.image_id", "p.y", "p.x", "p.c")} * 25 * m.m, 6) AS v
+    FROM pixels p JOIN masks m ON p.image_id = m.image_id AND p.y = m.y AND p.x = m.x""",
+    ("pixels", "masks"),
+)
 def texture_noise(spark, sf):
     """Seeded noise inside the mask."""
     both = fx.pixels(spark, sf).join(raster.pixel_table(fx.masks(spark, sf)), list(PLACE))

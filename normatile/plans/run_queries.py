@@ -196,7 +196,13 @@ def focal_loss(spark, sf):
     return out.select("l_linestatus", r6(F.col("patch")).alias("patch"))
 
 
-@query("pseudo_loss")
+@query(
+    "pseudo_loss",
+    f"""SELECT l_linestatus, round(pseudo, 6) AS pseudo, round(patch + pseudo, 6) AS total FROM (
+    SELECT l_linestatus, avg(c) + 0.1 * var_samp(c) AS patch, avg(greatest((s + 0.01 * g) - s, 0)) AS pseudo FROM (
+    SELECT l_linestatus, s, s / (1 + s / 100) AS c, {fx.md5_normal("42", "l_orderkey", "l_linenumber")} AS g
+    FROM (SELECT *, l_extendedprice / 10000 AS s FROM lineitem)) GROUP BY l_linestatus)""",
+)
 def pseudo_loss(spark, sf):
     out = losses.total_loss(
         loss_rows(spark, sf), "score", "y", ["l_linestatus"], "clustering", use_pseudo=True,
