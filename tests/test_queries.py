@@ -1,6 +1,8 @@
 """Registered queries against DuckDB on the smallest tables (all of them: ``python -m tests.oracle``)."""
 
 import os
+import subprocess
+import sys
 from types import SimpleNamespace
 
 import pytest
@@ -48,3 +50,13 @@ def test_shared_folder_comes_from_the_session(spark):
     assert os.path.isdir(shared_folder(fake_session(None, None, "local[2]")))
     with pytest.raises(RuntimeError):
         shared_folder(fake_session(None, None, "yarn"))
+
+
+def test_entry_works_without_the_text_operators():
+    code = (
+        "import sys; sys.modules['normatile.llm'] = None; sys.modules['corpus_pipeline'] = None\n"
+        "import __spark_entry__ as e; names = e.queries(); assert 'image_score_top3' in names\n"
+        "assert not any(n.startswith('op') and n[2].isdigit() for n in names) and 'pipeline' not in names"
+    )
+    done = subprocess.run([sys.executable, "-c", code], cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))), capture_output=True, text=True)
+    assert done.returncode == 0, done.stderr
