@@ -22,22 +22,19 @@ def transform_chain(df: DataFrame, steps: list[Transform], inserts: list[Transfo
 
 
 def augment(
-    images: DataFrame, augmenters: dict[str, Callable[[dict], list[dict]]], schema: str, method: str = "method"
+    images: DataFrame, augmenters: dict[str, Callable[[pd.DataFrame], pd.DataFrame]], schema: str, method: str = "method"
 ) -> DataFrame:
-    """Hand each planned image to the user's function for its method; one row may give many.
+    """Hand the planned images to the user's function for their method, a frame at a time; one row may give many.
 
-    ``augmenters[name](row)`` returns rows of ``schema``. Rows without a method are left out, and a
+    ``augmenters[name](frame)`` returns a frame of ``schema``. Rows without a method are left out, and a
     method nobody registered is an error.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            out: list[dict] = []
-            for row in frame.to_dict("records"):
-                if row[method] not in augmenters:
-                    raise ValueError(f"unknown augmentation method: {row[method]!r}")
-                out.extend(augmenters[row[method]](row))
-            if out:
-                yield pd.DataFrame(out)
+            for name, rows in frame.groupby(method, sort=False):
+                if name not in augmenters:
+                    raise ValueError(f"unknown augmentation method: {name!r}")
+                yield augmenters[name](rows.reset_index(drop=True))
 
     return images.where(F.col(method).isNotNull()).mapInPandas(run, schema)

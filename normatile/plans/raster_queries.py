@@ -456,15 +456,23 @@ def segment_shade(spark, sf):
     return _out(raster.segment_shade(fx.pixels(spark, sf), segments(spark, sf)), *PLACE, "c")
 
 
-def _cut(row):
-    return [{"image_id": row["image_id"], "part": part, "size": float(len(row["embedding"]))} for part in (0, 1)]
+def _cut(rows):
+    twice = rows.loc[rows.index.repeat(2), ["image_id", "patch_idx"]].assign(part=[0, 1] * len(rows))
+    return twice.assign(size=[float(len(v)) for v in rows["embedding"] for _ in (0, 1)])
 
 
-def _crack(row):
-    return [{"image_id": row["image_id"], "part": 0, "size": float(row["embedding"][0])}]
+def _crack(rows):
+    return rows[["image_id", "patch_idx"]].assign(part=0, size=[float(v[0]) for v in rows["embedding"]])
 
 
-@query("augment_images")
+@query(
+    "augment_images",
+    f"""SELECT image_id, patch_idx, part, round(CASE WHEN pick = 0 THEN 64 ELSE CAST(embedding[1] AS DOUBLE) END, 6) AS size
+    FROM (SELECT *, {fx.md5_number("42", "'method'", "image_id * 25 + patch_idx")} % 2 AS pick,
+    {fx.md5_number("42", "'apply'", "image_id * 25 + patch_idx")} / 4503599627370496.0::DOUBLE < 0.5 AS augment FROM patches),
+    (SELECT CAST(unnest([0, 1]) AS INT) AS part) WHERE augment AND (pick = 0 OR part = 0)""",
+    ("patches",),
+)
 def augment_images(spark, sf):
     """User augmenters called by method; one image may give several rows."""
     images = fx.patches(spark, sf).select(
@@ -473,4 +481,5 @@ def augment_images(spark, sf):
     planned = catalogue.augmentation_plan(
         images.withColumn("key", F.col("image_id") * 25 + F.col("patch_idx")), "key", "category", p=0.5
     )
-    return augment.augment(planned, {"cutpaste": _cut, "crack": _crack}, "image_id long, part int, size double")
+    out = augment.augment(planned, {"cutpaste": _cut, "crack": _crack}, "image_id long, patch_idx long, part int, size double")
+    return out.withColumn("size", r6(F.col("size")))

@@ -318,7 +318,15 @@ def layernorm_linear(spark, sf):
     return rows.select("image_id", "patch_idx", F.col("o").cast("long"), r6(F.col("v")).alias("value"))
 
 
-@query("mlp_head")
+@query(
+    "mlp_head",
+    """SELECT image_id, patch_idx, round(sum([1.0, -1.0, 0.5][o + 1] * 0.5 * h * (1 + e)) + 0.25, 6) AS logit FROM (
+    SELECT image_id, patch_idx, o, h, 2 / sqrt(pi()) * sum((1 - 2 * (n % 2)) * power(h / sqrt(2), 2 * n + 1) / exp(lgamma(n + 1)) / (2 * n + 1)) AS e
+    FROM (SELECT image_id, patch_idx, o, sum(v * ((o + i - 1) % 3 - 1) * 0.5) + (o + 1) * 0.1 AS h
+      FROM patch_dims, range(3) t(o) GROUP BY image_id, patch_idx, o), range(60) s(n)
+    GROUP BY image_id, patch_idx, o, h) GROUP BY image_id, patch_idx""",
+    ("patch_dims",),
+)
 def mlp_head(spark, sf):
     logit = vectors.mlp_head(F.col("embedding").cast(vectors.VECTOR), _W, [0.1, 0.2, 0.3], [1.0, -1.0, 0.5], 0.25)
     return fx.patches(spark, sf).select("image_id", "patch_idx", r6(logit).alias("logit"))

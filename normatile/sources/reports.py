@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from normatile.operators.ordering import join_null_safe
+
 from normatile.functions.scores import label_name
 
 LOG_SCHEMA = "run_id string, epoch bigint, step bigint, key string, value double"
@@ -80,14 +82,16 @@ def load_profile(
     if version is not None:
         saved = saved.where(F.col("version") == version)
     group = list(group)
-    rest = [c for c in saved.columns if c not in group]
-    latest = saved.groupBy(*group).agg(F.max_by(F.struct(*rest), "version").alias("_row"))
-    out = latest.select(*group, "_row.*")
+    if version is None:
+        # Versions are looked up from keys alone; matrices of older versions are dropped by the join.
+        newest = saved.groupBy(*group).agg(F.max("version").alias("version"))
+        saved = join_null_safe(saved, newest, [*group, "version"])
+    out = saved
     if defaults is None:
         return out
     names = [c for c in defaults.columns if c not in group]
     known = out.select(*group, *[F.col(c).alias(f"_saved_{c}") for c in names if c in out.columns])
-    keyed = defaults.join(known, group, "left") if group else defaults.join(known, F.lit(True), "left")
+    keyed = join_null_safe(defaults, known, group, "left") if group else defaults.join(known, F.lit(True), "left")
     return keyed.select(
         *group,
         *[F.coalesce(f"_saved_{c}", c).alias(c) if c in out.columns else F.col(c) for c in names],

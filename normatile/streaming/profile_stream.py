@@ -21,11 +21,9 @@ from normatile.operators.profile import PROFILE_FIELDS, REGULARIZATION, add_norm
 from normatile.operators.scoring import mahalanobis
 
 
-def _table(spark: SparkSession, *parts: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(os.path.join(*parts))
-    except AnalysisException:
-        return None
+def _state(spark: SparkSession, store: str, name: str, batch_id: int) -> DataFrame | None:
+    """What the batch before wrote. Only the first batch may find nothing: a lost state is an error, not a fresh start."""
+    return spark.read.parquet(os.path.join(store, name, f"batch={batch_id - 1}")) if batch_id else None
 
 
 def merge_profiles(old: DataFrame | None, new: DataFrame, group: Sequence[str], momentum: float) -> DataFrame:
@@ -67,25 +65,28 @@ def profile_stream(
     within: Sequence[str] = ("image_id", "patch_idx"),
     features: str = "embedding",
     label: str = "y",
+    trigger: dict | None = None,
 ) -> StreamingQuery:
     """Start keeping ``store`` up to date from a stream of patches with a step number.
 
     The buffer of the last ``n`` normal patches per group is a table that each batch rewrites; it
     never grows beyond ``n`` rows per group. Profiles are refitted at steps 0, every, 2 * every, ...
+    ``trigger`` goes to the writer, ``{"processingTime": "1 minute"}`` for a stream that runs on; by
+    default what is there is read and the stream ends. Rows per batch are limited at the source.
     """
     group = list(group)
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         batch.persist()
-        before = _table(spark, store, "progress", f"batch={batch_id - 1}")
-        done = -1 if before is None else before.first()["step"]
+        before = _state(spark, store, "progress", batch_id)
+        done, fitted = (-1, False) if before is None else before.select("step", "fitted").first()
         reached = batch.agg(F.max(step)).first()[0]
         reached = done if reached is None else max(done, int(reached))
-        held = _table(spark, store, "buffer", f"batch={batch_id - 1}")
+        held = _state(spark, store, "buffer", batch_id)
         arrived = add_normal(batch, label)
         known = arrived if held is None else held.unionByName(arrived)
-        profile = _table(spark, store, "profile", f"batch={batch_id - 1}")
+        profile = _state(spark, store, "profile", batch_id) if fitted else None
         first_refit = -(-(done + 1) // every) * every
         for at in range(first_refit, reached + 1, every):
             recent = last_n(known.where(F.col(step) <= at), n, step, within, group, held=True)
@@ -97,20 +98,23 @@ def profile_stream(
         last_n(known, n, step, within, group, held=True).write.mode("overwrite").parquet(
             os.path.join(store, "buffer", f"batch={batch_id}")
         )
-        spark.range(1).select(F.lit(reached).cast("long").alias("step")).write.mode("overwrite").parquet(
+        spark.range(1).select(F.lit(reached).cast("long").alias("step"), F.lit(profile is not None).alias("fitted")).write.mode("overwrite").parquet(
             os.path.join(store, "progress", f"batch={batch_id}")
         )
         batch.unpersist()
 
     return (
-        patches.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        patches.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
     )
 
 
 def current_profile(spark: SparkSession, store: str) -> DataFrame | None:
     """The profile written by the latest batch that has one."""
-    written = _table(spark, os.path.join(store, "profile"))
-    if written is None:
+    try:
+        written = spark.read.parquet(os.path.join(store, "profile"))
+    except AnalysisException as error:
+        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
         return None
     latest = written.agg(F.max("batch")).first()[0]
     return spark.read.parquet(os.path.join(store, "profile", f"batch={latest}"))
@@ -118,7 +122,7 @@ def current_profile(spark: SparkSession, store: str) -> DataFrame | None:
 
 def score_stream(
     patches: DataFrame, store: str, out: str, checkpoint: str, group: Sequence[str],
-    features: str = "embedding", gamma: float | None = 1.3,
+    features: str = "embedding", gamma: float | None = 1.3, trigger: dict | None = None,
 ) -> StreamingQuery:
     """Score arriving patches; each batch reads the profile that is current when it starts."""
 
@@ -131,5 +135,5 @@ def score_stream(
         scored.write.mode("overwrite").parquet(os.path.join(out, f"batch={batch_id}"))
 
     return (
-        patches.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        patches.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
     )

@@ -123,9 +123,9 @@ def test_plan_is_repeatable_whatever_the_partitioning(spark):
 
 def test_augmenters(spark):
     df = spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "id long, method string")
-    out = augment.augment(
-        df, {"a": lambda r: [{"id": r["id"], "k": 0}, {"id": r["id"], "k": 1}], "b": lambda r: []}, "id long, k int"
-    )
+    both = lambda rows: rows.loc[rows.index.repeat(2), ["id"]].assign(k=[0, 1] * len(rows))
+    none = lambda rows: rows[["id"]].assign(k=0).iloc[:0]
+    out = augment.augment(df, {"a": both, "b": none}, "id long, k int")
     assert sorted(map(tuple, out.collect())) == [(1, 0), (1, 1)]
     with pytest.raises(Exception, match="unknown augmentation method"):
         augment.augment(df, {}, "id long").collect()
