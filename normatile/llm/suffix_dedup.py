@@ -27,7 +27,7 @@ from normatile.llm.common import arrow_map, binary, col, schema_after, stored
 GRAM = 32
 PLACE = 24  # low bits of a k-gram's rank hold its place
 SEGMENT = 4 << 20  # bytes looked at in one go; below 2 ** PLACE
-BOUND = 256  # contexts of a bucket at most; larger buckets are dealt anew by single strings
+BOUND = 4096  # contexts of a bucket at most; larger buckets are dealt anew by single strings
 
 LETTERS = np.array([int.from_bytes(hashlib.md5(b"suffix%d" % b).digest()[:8], "little") | 1 for b in range(256)], np.uint64)
 STEP = 0xD6E8FEB86659FD93
@@ -232,14 +232,24 @@ def removed_runs(docs: DataFrame, window: int, batch_bytes: int) -> DataFrame:
                 nodes = batch.column(0).slice(at, step).flatten()
                 ids, starts = nodes.field("id"), nodes.field("s").to_numpy()
                 rank = pc.rank(ids, tiebreaker="dense").to_numpy()
-                which, s, e = [], [], []
+                again: dict[int, list[tuple[int, int]]] = {}
                 for length, members in bucket_repeats(nodes.field("t").to_pylist(), window):
                     earliest = min((rank[c], starts[c] + place) for c, place in members)
                     for c, place in members:
                         if (rank[c], starts[c] + place) != earliest:
+                            again.setdefault(c, []).append((place, place + length))
+                # Repeats lie inside each other: only what they cover in a context goes on.
+                which, s, e = [], [], []
+                for c, found in again.items():
+                    end = -1
+                    for a, b in sorted(found):
+                        if a > end:
                             which.append(c)
-                            s.append(int(starts[c]) + place)
-                            e.append(int(starts[c]) + place + length)
+                            s.append(int(starts[c]) + a)
+                            e.append(int(starts[c]) + b)
+                        elif b > end:
+                            e[-1] = int(starts[c]) + b
+                        end = max(end, b)
                 arrays = [pa.array(s, pa.int32()), pa.array(e, pa.int32())]
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(which, pa.int64())), *arrays], names=spans.names)
 
