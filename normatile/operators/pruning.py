@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 from normatile.functions.schedules import keep_counts
 from normatile.functions.scores import fuse_for_selection
-from normatile.operators.attention import importance, softmax_weights
+from normatile.operators.attention import attention_logits, importance, softmax_weights
 from normatile.operators.ordering import top_k
-from normatile.operators.vectors import to_matrix
+from normatile.operators.vectors import centroid, to_matrix
 from normatile.session import materialize
 
 # Images with more patches than this are pruned by distributed aggregates instead of a window.
@@ -138,3 +138,32 @@ def prune_with(
         best = top_k(score(left), [key], "_score", "patch_idx", keep)
         left = materialize(best.select(*patches.columns), "survivors")
     return left.select(key, "patch_idx")
+
+
+def prune_refreshed(
+    patches: DataFrame,
+    queries: DataFrame,
+    deviation: DataFrame,
+    steps: list[int],
+    refresh: Callable[[DataFrame, DataFrame, DataFrame], DataFrame],
+    alpha: float = 0.4,
+    beta: float = 0.4,
+    key: str = "image_id",
+) -> tuple[DataFrame, DataFrame]:
+    """Pruning whose queries are renewed at every step: survivors, and the queries after the last one.
+
+    ``refresh(survivors, centroid, queries)`` gives the next queries from those of the step before; the
+    centroid of the survivors takes the place of the class token. ``deviation`` holds a number for each
+    (image, patch_idx). After the last step the queries are renewed once more: with them a final
+    ``attention`` pass can score all patches. Survivors and queries are stored after each step.
+    """
+    score = fused_selection(alpha, beta)
+    left = materialize(patches.select(key, "patch_idx", "embedding"), "survivors")
+    deviation = deviation.select(key, "patch_idx", "deviation")
+    for keep in steps:
+        queries = materialize(refresh(left, centroid(left, [key]), queries), "queries")
+        logits = materialize(attention_logits(left, queries, key), "logits")
+        best = top_k(score(logits.join(deviation, [key, "patch_idx"])), [key], "_score", "patch_idx", keep)
+        left = materialize(left.join(best.select(key, "patch_idx"), [key, "patch_idx"], "left_semi"), "survivors")
+    queries = materialize(refresh(left, centroid(left, [key]), queries), "queries")
+    return left.select(key, "patch_idx"), queries

@@ -248,6 +248,51 @@ def prune_patches_custom_scorer(spark, sf):
     return kept.select("image_id", "patch_idx")
 
 
+_RENEW = """
+c{k} AS MATERIALIZED (SELECT d.image_id, i, avg(v) AS v FROM patch_dims d {keep} GROUP BY d.image_id, i),
+q{k} AS MATERIALIZED (SELECT q.image_id, q.query_idx, q.i, (q.v + c.v) / 2 AS v FROM {before} q JOIN c{k} c
+  ON q.image_id = c.image_id AND q.i = c.i)"""
+_SELECT = """,
+a{k} AS MATERIALIZED (SELECT image_id, patch_idx, sum(e / z) AS a FROM (
+  SELECT *, sum(e) OVER (PARTITION BY image_id, query_idx) AS z FROM (
+  SELECT *, exp(l - max(l) OVER (PARTITION BY image_id, query_idx)) AS e FROM (
+    SELECT d.image_id, d.patch_idx, q.query_idx, sum(d.v * q.v) / 8 AS l FROM patch_dims d {keep}
+    JOIN q{k} q ON d.image_id = q.image_id AND d.i = q.i GROUP BY d.image_id, d.patch_idx, q.query_idx)))
+  GROUP BY image_id, patch_idx)"""
+_KEEP = """,
+e{k} AS MATERIALIZED (SELECT image_id, patch_idx FROM (SELECT a.image_id, a.patch_idx, row_number() OVER (
+  PARTITION BY a.image_id ORDER BY 0.4 * a.a + 0.4 * s.score DESC, a.patch_idx) AS rk
+  FROM a{k} a JOIN scores s ON s.image_id = a.image_id AND s.patch_idx = a.patch_idx) WHERE rk <= {n})"""
+
+
+def _survivors(k: int) -> str:
+    return f"JOIN e{k - 1} x ON x.image_id = d.image_id AND x.patch_idx = d.patch_idx" if k else ""
+
+
+_REFRESHED = "WITH " + ",".join(
+    _RENEW.format(k=k, keep=_survivors(k), before=f"q{k - 1}" if k else "query_dims")
+    + _SELECT.format(k=k, keep=_survivors(k) if k < 3 else "")
+    + (_KEEP.format(k=k, n=[18, 13, 8][k]) if k < 3 else "")
+    for k in range(4)
+) + """ SELECT a.image_id, a.patch_idx, e.patch_idx IS NOT NULL AS kept, round(a.a, 6) AS importance
+FROM a3 a LEFT JOIN e2 e ON a.image_id = e.image_id AND a.patch_idx = e.patch_idx"""
+
+
+def _halfway(survivors, center, queries):
+    beside = queries.join(center.withColumnRenamed("embedding", "_c"), "image_id")
+    return beside.select("image_id", "query_idx", F.zip_with("embedding", "_c", lambda a, b: (a + b) / 2).alias("embedding"))
+
+
+@query("prune_refreshed_queries", _REFRESHED, ("query_dims", "scores"))
+def prune_refreshed_queries(spark, sf):
+    """Queries move halfway to the survivors' centroid at each step; the last ones look at all patches."""
+    patches = fx.patches(spark, sf)
+    deviation = scored64(spark, sf).select("image_id", "patch_idx", F.col("score").alias("deviation"))
+    kept, last = pruning.prune_refreshed(patches, fx.queries(spark, sf), deviation, [18, 13, 8], _halfway)
+    seen = att.attention(patches, last).join(kept.withColumn("_kept", F.lit(True)), ["image_id", "patch_idx"], "left")
+    return seen.select("image_id", "patch_idx", F.col("_kept").isNotNull().alias("kept"), r6(F.col("importance")).alias("importance"))
+
+
 @query(
     "topk_patches",
     """SELECT image_id, patch_idx, round(score, 6) AS score FROM (SELECT *, row_number() OVER (
