@@ -74,4 +74,4 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Non
 
 def schema_after(df: DataFrame, names: list[str], rest: str) -> T.StructType:
     """Output schema: columns of ``df`` as they are, then those of a DDL string."""
-    return T.StructType([T.StructField(n, df.schema[n].dataType) for n in names] + T.StructType.fromDDL(rest).fields)
+    return T.StructType([T.StructField(n, df.schema[n].dataType) for n in names] + (T.StructType.fromDDL(rest).fields if rest else []))

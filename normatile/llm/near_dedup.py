@@ -29,6 +29,7 @@ BASE, TOP, RATE = 1.001, 65534, 20.0  # b, the largest register, the rate of the
 #: Five standard errors of the estimate at a similarity of 0.8: what lies below is not verified.
 MARGIN = 5 * (0.8 * 0.2 / REGISTERS) ** 0.5
 STARS, BLOCK = 3, 256
+BLOCK_SHINGLES = 200_000
 CHUNK = 1 << 16  # words hashed at a time
 
 _random = np.random.default_rng(20240229)
@@ -137,7 +138,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, width: int, batch_byte
 
 
 def _band_rows(reps: DataFrame) -> DataFrame:
-    """``key, id``: one row per band of a node; the key hashes the band's number and registers."""
+    """``key, band, id``: one row per band of a node; the key hashes the band's number and registers."""
     rows = reps.select("id", "regs")
     schema = schema_after(rows, ["id"], "bands array<bigint>")
 
@@ -148,7 +149,7 @@ def _band_rows(reps: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(values))], names=schema.names)
 
     listed = rows.mapInArrow(run, schema)
-    return listed.select("id", F.posexplode("bands").alias("band", "value")).select(F.xxhash64("band", "value").alias("key"), "id")
+    return listed.select("id", F.posexplode("bands").alias("band", "value")).select(F.xxhash64("band", "value").alias("key"), "band", "id")
 
 
 def _likely(pairs: DataFrame, reps: DataFrame, least: float) -> DataFrame:
@@ -181,7 +182,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def components(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """``id, comp`` with components joined along ``links`` (a, b); ``comp`` stays the smallest id.
+    """``labels`` (id, comp, ...) with components joined along ``links`` (a, b); ``comp`` stays the smallest id.
 
     Every step hooks each component to its least neighbour, follows the chains to their roots by
     doubling, and goes on with the edges between roots. All tables stay distributed.
@@ -213,47 +214,77 @@ def components(labels: DataFrame, links: DataFrame) -> DataFrame:
         edges = stored(relabelled(edges, parent, "u", "p"), "near-edges")
     if roots is None:
         return labels
-    out = labels.join(roots, F.col("comp") == F.col("u"), "left").select("id", F.coalesce("p", "comp").alias("comp"))
+    others = [c for c in labels.columns if c != "comp"]
+    out = labels.join(roots, F.col("comp") == F.col("u"), "left").select(*others, F.coalesce("p", "comp").alias("comp"))
     return stored(out, "near-labels")
 
 
-def _cross_pairs(mixed: DataFrame, reps: DataFrame, least: float) -> DataFrame:
-    """Likely pairs of different components inside buckets, compared block against block.
+def _block_links(n: np.ndarray, comp: np.ndarray, regs: np.ndarray, sets: list[np.ndarray], left, right, band: int, percent: int) -> list[tuple[int, int]]:
+    """Verified links between nodes of different components of two blocks that connect something new.
 
-    ``mixed``: key, id, comp and the bucket's size. A bucket is cut into blocks of about BLOCK nodes, so
-    a task holds two blocks at a time, however large the bucket.
+    A pair is looked at in the first bucket that it shares. Pairs that links have already connected
+    are passed over, so a block gives fewer links than it has nodes.
     """
-    rows = mixed.withColumn("blocks", F.ceil(F.col("size") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
-    rows = rows.join(reps.select("id", "n", "regs"), "id")
-    rows = rows.select("key", "id", "comp", "n", "regs", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
-    node = F.struct("id", "comp", "n", "regs", (F.col("block") <= F.col("other")).alias("left"), (F.col("block") >= F.col("other")).alias("right"))
-    units = rows.groupBy("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).agg(F.collect_list(node).alias("nodes"))
-    units = units.where(F.size("nodes") > 1).select("nodes")
-    schema = schema_after(reps.select(F.col("id").alias("a"), F.col("id").alias("b")), ["a", "b"], "na long, nb long")
+    parent = np.arange(len(n))
+    parent = np.array([np.flatnonzero(comp == c)[0] for c in comp]) if len(n) else parent
+
+    def root(k: int) -> int:
+        while parent[k] != k:
+            parent[k] = parent[parent[k]]
+            k = parent[k]
+        return int(k)
+
+    one = len(left) == len(right) == len(n)  # a block against itself
+    links = []
+    bands = regs.reshape(len(n), BANDS, ROWS)
+    for x in left.tolist():
+        y = right[comp[right] != comp[x]]
+        y = y[y > x] if one else y
+        y = y[100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y])]
+        if not len(y):
+            continue
+        shared = (bands[y] == bands[x]).all(axis=2)
+        y = y[shared.argmax(axis=1) == band]
+        if len(y):
+            y = y[_compare(np.broadcast_to(regs[x], (len(y), REGISTERS)), regs[y], np.full(len(y), n[x]), n[y]) >= percent / 100 - MARGIN]
+        for z in y.tolist():
+            if root(x) != root(z):
+                common = len(np.intersect1d(sets[x], sets[z], assume_unique=True))
+                if 100 * common >= percent * (int(n[x]) + int(n[z]) - common):
+                    parent[root(z)] = root(x)
+                    links.append((x, z))
+    return links
+
+
+def _cross_links(rows: DataFrame, reps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between different components inside buckets, compared block against block.
+
+    ``rows``: key, band, id, comp and the bucket's number of ``blocks``; a task holds two blocks of
+    BLOCK nodes or BLOCK_SHINGLES shingles at a time, however large the bucket.
+    """
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    rows = rows.join(reps.select("id", "n", "regs").join(sets, "id"), "id")
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    node = F.struct("id", "comp", "n", "regs", "s", (F.col("block") <= F.col("other")).alias("left"), (F.col("block") >= F.col("other")).alias("right"))
+    units = rows.groupBy("key", "band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).agg(F.collect_list(node).alias("nodes"))
+    units = units.where(F.size("nodes") > 1).select("band", "nodes")
+    schema = schema_after(reps.select(F.col("id").alias("a"), F.col("id").alias("b")), ["a", "b"], "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                nodes = batch.column(0)[k].values
+                nodes = batch.column(1)[k].values
                 ids, n = nodes.field("id"), nodes.field("n").to_numpy(zero_copy_only=False)
                 comp = nodes.field("comp").dictionary_encode().indices.to_numpy()
                 regs = np.frombuffer(b"".join(nodes.field("regs").to_pylist()), np.uint16).reshape(-1, REGISTERS)
+                full = [x.values.to_numpy() for x in nodes.field("s")]
                 left, right = (np.flatnonzero(nodes.field(f).to_numpy(zero_copy_only=False)) for f in ("left", "right"))
-                one = len(left) == len(right) == len(ids)  # a block against itself
-                found: list[tuple[np.ndarray, np.ndarray]] = []
-                for x in left:
-                    y = right[comp[right] != comp[x]]
-                    y = y[y > x] if one else y
-                    if len(y):
-                        y = y[_compare(np.broadcast_to(regs[x], (len(y), REGISTERS)), regs[y], np.full(len(y), n[x]), n[y]) >= least - MARGIN]
-                        found.append((np.full(len(y), x), y))
-                if found:
-                    a, b = (pa.array(np.concatenate(z)) for z in zip(*found))
-                    sizes = pa.array(n, pa.int64())
-                    yield pa.RecordBatch.from_arrays([ids.take(a), ids.take(b), sizes.take(a), sizes.take(b)], names=schema.names)
-
-    pairs = units.mapInArrow(run, schema)
-    return pairs.dropDuplicates(["a", "b"])
+                links = _block_links(n, comp, regs, full, left, right, batch.column(0)[k].as_py(), percent)
+                if links:
+                    a, b = (pa.array(x, pa.int64()) for x in zip(*links))
+                    yield pa.RecordBatch.from_arrays([ids.take(a), ids.take(b)], names=schema.names)
+
+    return units.mapInArrow(run, schema)
 
 
 def near_duplicates(
@@ -286,12 +317,13 @@ def near_duplicates(
 
     bands = _band_rows(reps)
     shared = bands.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    buckets = stored(bands.join(shared, "key").select("key", "id", "size"), "near-buckets")
-    nodes = buckets.select("id").distinct()
+    buckets = stored(bands.join(shared, "key"), "near-buckets")
+    # A node that shares large buckets stands in the middle of a group: a good pivot.
+    nodes = stored(buckets.groupBy("id").agg(F.sum("size").alias("weight")), "near-weights")
     reps = stored(reps.join(nodes, "id"), "near-nodes")
-    labels = reps.select("id", F.col("id").alias("comp"))
+    labels = reps.select("id", "n", "weight", F.col("id").alias("comp"))
 
-    texts = docs.select(col(id_col).alias("id"), col(text_col).alias("text")).join(nodes, "id", "left_semi")
+    texts = docs.select(col(id_col).alias("id"), col(text_col).alias("text")).join(nodes.select("id"), "id", "left_semi")
     schema = schema_after(texts, ["id"], "s array<bigint>")
 
     def full(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -300,22 +332,25 @@ def near_duplicates(
 
     sets = stored(arrow_map(texts, full, schema, batch_bytes).dropDuplicates(["id"]), "near-sets")
 
+    buckets = buckets.drop("size")
     turn, wide = 0, 0
     while turn < STARS and (turn == 0 or wide > BLOCK):  # small buckets need no more stars
         seen = stored(buckets.join(labels, "id"), "near-seen")
-        pivot = F.min_by(F.struct("id", "comp"), F.xxhash64("id", F.lit(turn))) if turn else F.min(F.struct("id", "comp"))
+        worth = F.xxhash64("id", F.lit(turn)) if turn else F.col("weight")
+        pivot = F.max(F.struct(worth.alias("w"), "id", "comp"))
         mixed = seen.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), pivot.alias("pivot")).where("lo <> hi")
         meets = seen.join(mixed, "key").where(F.col("comp") != F.col("pivot.comp"))
-        pairs = meets.groupBy("id").agg(F.min("pivot.id").alias("p")).select(F.col("p").alias("a"), F.col("id").alias("b"))
+        pairs = meets.groupBy("id").agg(F.max("pivot").alias("p")).select(F.col("p.id").alias("a"), F.col("id").alias("b"))
         labels = components(labels, _verified(stored(_likely(pairs, reps, least), "near-likely"), sets, percent))
         seen = stored(buckets.join(labels, "id"), "near-seen")
-        mixed = seen.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("size").alias("size")).where("lo <> hi")
-        mixed = stored(mixed.select("key", "size"), "near-mixed")
+        blocks = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).alias("blocks")
+        mixed = seen.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size"), blocks).where("lo <> hi")
+        mixed = stored(mixed.select("key", "size", "blocks"), "near-mixed")
         wide, turn = mixed.agg(F.max("size")).first()[0] or 0, turn + 1
-    rest = stored(_cross_pairs(seen.join(mixed.select("key"), "key"), reps, least), "near-likely")
-    labels = components(labels, _verified(rest, sets, percent))
+    rest = seen.join(mixed.select("key", "blocks"), "key").select("key", "band", "id", "comp", "blocks")
+    labels = components(labels, stored(_cross_links(rest, reps, sets, percent), "near-links"))
 
-    out = made.join(classes, "digest", "left").join(labels.toDF("_id", "comp"), F.col("rep") == F.col("_id"), "left")
+    out = made.join(classes, "digest", "left").join(labels.select(F.col("id").alias("_id"), "comp"), F.col("rep") == F.col("_id"), "left")
     component = F.when(F.col("n") > 0, F.coalesce("comp", "rep", "id")).otherwise(F.col("id"))
     out = out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"))
     out = out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")))
