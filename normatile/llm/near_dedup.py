@@ -332,20 +332,21 @@ def near_duplicates(
 
     sets = stored(arrow_map(texts, full, schema, batch_bytes).dropDuplicates(["id"]), "near-sets")
 
-    buckets = buckets.drop("size")
+    seen = stored(buckets.drop("size").join(labels, "id"), "near-seen")
     turn, wide = 0, 0
     while turn < STARS and (turn == 0 or wide > BLOCK):  # small buckets need no more stars
-        seen = stored(buckets.join(labels, "id"), "near-seen")
         worth = F.xxhash64("id", F.lit(turn)) if turn else F.col("weight")
         pivot = F.max(F.struct(worth.alias("w"), "id", "comp"))
         mixed = seen.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), pivot.alias("pivot")).where("lo <> hi")
         meets = seen.join(mixed, "key").where(F.col("comp") != F.col("pivot.comp"))
         pairs = meets.groupBy("id").agg(F.max("pivot").alias("p")).select(F.col("p.id").alias("a"), F.col("id").alias("b"))
         labels = components(labels, _verified(stored(_likely(pairs, reps, least), "near-likely"), sets, percent))
-        seen = stored(buckets.join(labels, "id"), "near-seen")
+        now = stored(seen.drop("comp").join(labels.select("id", "comp"), "id"), "near-seen")
         blocks = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).alias("blocks")
-        mixed = seen.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size"), blocks).where("lo <> hi")
+        mixed = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size"), blocks).where("lo <> hi")
         mixed = stored(mixed.select("key", "size", "blocks"), "near-mixed")
+        # Components only grow: a bucket that lies inside one is done.
+        seen = stored(now.join(mixed.select("key"), "key", "left_semi"), "near-open")
         wide, turn = mixed.agg(F.max("size")).first()[0] or 0, turn + 1
     rest = seen.join(mixed.select("key", "blocks"), "key").select("key", "band", "id", "comp", "blocks")
     labels = components(labels, stored(_cross_links(rest, reps, sets, percent), "near-links"))
