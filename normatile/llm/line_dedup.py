@@ -62,7 +62,8 @@ def with_chunks(docs: DataFrame, text: str, every: int = EVERY, most: int = MOST
 def repeated_chunks(docs: DataFrame, id_col: str, text_col: str, min_lines: int, min_chars: int) -> DataFrame:
     """``id, chunks``: for each document the chunks that occur earlier, texts compared."""
     texts = docs.select(col(id_col).alias("id"), col(text_col).alias("_text"))
-    chunked = with_chunks(texts, "_text").select("id", "_lines", F.explode("_chunks").alias("c"))
+    # explode_outer: chunks are never empty, and explode would have them computed a second time as a filter.
+    chunked = with_chunks(texts, "_text").select("id", "_lines", F.explode_outer("_chunks").alias("c"))
     chunked = chunked.where(F.col("c.e") - F.col("c.s") + 1 >= min_lines)
     text = _text_of(F.col("_lines"), F.col("c.s"), F.col("c.e"))
     chunked = chunked.withColumn("_t", text).where((F.length("_t") >= min_chars) & F.col("id").isNotNull())
