@@ -230,5 +230,7 @@ def judge(docs: DataFrame, rules: list[Rule], id_col: str = "doc_id", text_col:
 def accepted(docs: DataFrame, rules: list[Rule], text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that ``judge`` keeps, all columns; nothing is shuffled."""
     packed = docs.select(whole_row(docs).alias("_row"), col(text_col).alias("_text"))
-    kept = judge(packed, rules, "_row", "_text").where("kept")
-    return unpacked(kept, "doc_id", docs)
+    # A filter moves below the projections and would have every count computed again for each place that
+    # names it; it cannot move below a row number that it uses.
+    judged = judge(packed, rules, "_row", "_text").withColumn("_at", F.monotonically_increasing_id())
+    return unpacked(judged.where("kept and _at >= 0"), "doc_id", docs)
