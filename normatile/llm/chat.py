@@ -7,6 +7,7 @@ declarative mapping. A record with an unknown fingerprint is kept and reported,
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -14,6 +15,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from normatile.llm.common import col, schema_after
 
@@ -83,19 +85,105 @@ def _turns(record: Column, layout: Layout) -> Column:
     return F.transform(listed, turn)
 
 
+class _Number(str):
+    """A number of a record as it is written."""
+
+
+def _object(pairs: list[tuple]) -> dict:
+    if len({k for k, _ in pairs}) < len(pairs):
+        raise ValueError("a field comes twice")
+    return dict(pairs)
+
+
+def _no_number(text: str):
+    raise ValueError(f"{text} is no JSON")
+
+
+def _parsed(record: str):
+    """The value of a JSON text of any size; ValueError where it is none (Spark refuses the same ones)."""
+    return json.loads(record, parse_int=_Number, parse_float=_Number, parse_constant=_no_number, object_pairs_hook=_object)
+
+
+def _sketch(value) -> str:
+    """JSON of the same nested types, but small: strings are empty, a list has each kind of element once."""
+    if isinstance(value, dict):
+        return "{" + ",".join(f"{json.dumps(k)}:{_sketch(v)}" for k, v in value.items()) + "}"
+    if isinstance(value, list):
+        return "[" + ",".join(dict.fromkeys(map(_sketch, value))) + "]"
+    return value if isinstance(value, _Number) else json.dumps("" if isinstance(value, str) else value)
+
+
+def _at(value, path: str):
+    for name, quoted, place in re.findall(r"""\.([^.\[]+)|\[['"]([^'"]*)['"]\]|\[(\d+)\]""", path):
+        if place:
+            value = value[int(place)] if isinstance(value, list) and int(place) < len(value) else None
+        else:
+            value = value.get(name or quoted) if isinstance(value, dict) else None
+    return value
+
+
+def _said(value) -> str | None:
+    if value is None or isinstance(value, str) and (not isinstance(value, _Number) or value.lstrip("-").isdigit()):
+        return value
+    if isinstance(value, bool):
+        return "true" if value else "false"
+    raise ValueError("a record beyond the limits of variants has a value that is no text, truth value or whole number as a role or text")
+
+
+def _plain_turns(value, layout: Layout) -> list[dict] | None:
+    """What ``_turns`` gives, from a parsed record."""
+    if layout.parts:
+        every = [{"role": role, "text": _said(_at(value, path))} for role, path in layout.parts]
+        return [t for t in every if t["text"] is not None]
+    listed = _at(value, layout.each)
+    if listed is None:
+        return None
+    pairs = [(_said(m.get(layout.role)), _said(m.get(layout.text))) for m in (m or {} for m in listed)]
+    return [{"role": dict(layout.roles).get(role, role) or "", "text": text or ""} for role, text in pairs]
+
+
+@F.arrow_udf(T.StringType())
+def _sketched(records: pa.Array) -> pa.Array:
+    def one(record: str | None) -> str | None:
+        try:
+            return None if record is None else _sketch(_parsed(record))
+        except (ValueError, RecursionError):
+            return None
+
+    return pa.array([one(r.as_py()) for r in records], pa.string())
+
+
+def _large_turns(layouts: tuple[Layout, ...]):
+    by_name = {layout.name: layout for layout in layouts}
+    kind = pa.list_(pa.struct([("role", pa.string()), ("text", pa.string())]))
+
+    @F.arrow_udf(T.ArrayType(T.StructType().add("role", "string").add("text", "string")))
+    def read(records: pa.Array, names: pa.Array) -> pa.Array:
+        every = ((r.as_py(), n.as_py()) for r, n in zip(records, names))
+        return pa.array([None if r is None or n is None else _plain_turns(_parsed(r), by_name[n]) for r, n in every], kind)
+
+    return read
+
+
 def canonical_turns(records: DataFrame, id_col: str, record_col: str, layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
     """``id, fingerprint, layout, turns`` of every JSON record (a string column).
 
-    A record that is null, no JSON or of an unknown layout has null ``layout`` and ``turns``.
+    A record that is null, no JSON or of an unknown layout has null ``layout`` and ``turns``. A record
+    beyond the limits of variants (strings of 20 million characters, 128 MiB in all) is read in Python:
+    a sketch of it, with the same types but without its texts, gives the fingerprint.
     """
-    rows = records.select(col(id_col).alias("id"), F.try_parse_json(col(record_col)).alias("_v"))
-    rows = rows.withColumn("fingerprint", fingerprint(F.col("_v")))
+    rows = records.select(col(id_col).alias("id"), col(record_col).alias("_record"), F.try_parse_json(col(record_col)).alias("_v"))
+    rows = rows.withColumn("_rest", F.when(F.col("_v").isNull(), F.col("_record"))).drop("_record")
+    # Records that Spark has read are null in _rest: nothing of them goes to Python.
+    rows = rows.withColumn("fingerprint", fingerprint(F.coalesce("_v", F.try_parse_json(_sketched("_rest")))))
     name, turns = F.lit(None).cast("string"), F.lit(None).cast(TURNS)
     for layout in layouts:
         same = F.col("fingerprint") == F.xxhash64(F.lit(layout.shape))
         name = F.when(same, layout.name).otherwise(name)
         turns = F.when(same, _turns(F.col("_v"), layout)).otherwise(turns)
-    return rows.select("id", "fingerprint", name.alias("layout"), turns.alias("turns"))
+    rows = rows.select("id", "fingerprint", name.alias("layout"), turns.alias("turns"), "_rest")
+    large = _large_turns(layouts)(F.col("_rest"), F.when(F.col("_rest").isNotNull(), F.col("layout")))
+    return rows.select("id", "fingerprint", "layout", F.when(F.col("_rest").isNull(), F.col("turns")).otherwise(large).alias("turns"))
 
 
 def escape(text: str) -> str:

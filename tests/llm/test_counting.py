@@ -118,6 +118,40 @@ def test_layouts_are_found_by_their_fields(spark):
     assert out[1].n_turns == 2 and out[1].loss_chars == 1 and out[5].n_turns == 0 and len(out) == 8
 
 
+def test_turns_beyond_the_limits_of_variants_stay(spark):
+    from pyspark.sql import functions as F
+
+    kinds = spark.createDataFrame([(1, ["user", "assistant"]), (2, ["user"]), (3, ["x", "assistant"]), (4, ["system", "user", "assistant"])], "id long, roles array<string>")
+    turns = kinds.select("id", F.posexplode("roles").alias("turn", "role"))
+    long = F.when((F.col("turn") == 0) & (F.col("id") < 4), F.repeat(F.lit("é"), 20_000_001)).otherwise(F.lit('short "</s>"'))
+    records = chat.records_of_turns(turns.select("id", "turn", "role", long.alias("text")), "id", "turn", "role", "text")
+    read = chat.canonical_turns(records, "id", "record").select("id", "layout", F.transform("turns", lambda t: F.struct(t["role"], F.length(t["text"]))).alias("t"))
+    assert {r.id: (r.layout, [tuple(t) for t in r.t]) for r in read.collect()} == {
+        1: ("response", [("user", 20_000_001), ("assistant", 12)]),
+        2: ("shared", [("user", 20_000_001)]),
+        3: ("messages", [("x", 20_000_001), ("assistant", 12)]),
+        4: ("system_instruction", [("system", 12), ("user", 12), ("assistant", 12)]),
+    }
+    out = {r.conv_id: r for r in chat.digests(chat.format_chats(records)).collect()}
+    assert [out[i].n_turns for i in (1, 2, 3, 4)] == [2, 1, 2, 3] and out[1].loss_chars == 12
+
+
+def test_sketches_have_the_same_fingerprint_and_turns(spark):
+    from pyspark.sql import functions as F
+
+    records = [
+        '{"prompt": "p", "response": "c"}', '{"messages": [{"role": "user", "content": "x"}, null, {"content": null, "role": "assistant"}, {"role": true, "content": 12}]}',
+        '{"conversations": [{"from": "human", "value": "h"}, {"from": "gpt", "value": "g"}, {"from": null}]}', '{"system": null, "output": "o", "instruction": "i"}',
+        '{"a b": [1, 2.50, "x", {"c": [1e3]}], "e": [], "f": [[1], [2, 3]], "g": [{"x": 1}, {"y": "z"}]}', '"text"', "[1, 100000000000000000000]", "not json", '{"a": 1, "a": 2}', "NaN", None,
+    ]
+    df = spark.createDataFrame(list(enumerate(records)), "id int, record string")
+    rows = df.select("id", chat.field_paths(F.try_parse_json("record")).alias("a"), chat.field_paths(F.try_parse_json(chat._sketched("record"))).alias("b")).collect()
+    assert all(r.a == r.b for r in rows) and sum(r.a is None for r in rows) == 4
+    by_name = {layout.name: layout for layout in chat.LAYOUTS}
+    for r in chat.canonical_turns(df, "id", "record").where("layout is not null").collect():
+        assert chat._plain_turns(chat._parsed(records[r.id]), by_name[r.layout]) == [t.asDict() for t in r.turns]
+
+
 def test_turn_rows_with_nulls_and_ties(spark):
     rows = [(1, 2, "assistant", None), (1, 1, "user", "q"), (2, 1, "user", "b"), (2, 1, "user", "a"), (2, 1, "user", "a"), (None, None, None, "x")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
