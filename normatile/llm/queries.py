@@ -30,7 +30,7 @@ def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 @query("op1_substring_dedup")
 def op1(spark: SparkSession, sf: str) -> DataFrame:
-    out = substring_dedup.dedup_substrings(_table(spark, sf, "documents"))
+    out = substring_dedup.dedup_substrings(_table(spark, sf, "documents"), rests=True)
     return out.withColumn("kept_sha256", F.sha2("kept", 256))
 
 

@@ -46,20 +46,34 @@ def chunk_ends(text: bytes, bits: int, least: int, most: int) -> list[int]:
     return ends
 
 
-def repeated_chunks(docs: DataFrame, id_col: str, text_col: str, bits: int, least: int, most: int, batch_bytes: int) -> DataFrame:
-    """``id, chunks``: (start, end) in bytes of every chunk that occurs earlier, per document with any."""
+def pieces(text: bytes, bits: int, least: int, most: int, rests: bool) -> list[tuple[int, int]]:
+    """(start, end) of the pieces that get a digest: chunks of ``least`` bytes or more; with ``rests`` every byte is in one.
+
+    A shorter rest makes a piece with the chunk before it, which stays a piece of its own: it may occur
+    inside longer texts. A text that is all rest is one piece.
+    """
+    ends = chunk_ends(text, bits, least, most)
+    starts = [0, *ends]
+    out = [(a, b) for a, b in zip(starts, ends) if b - a >= least]
+    if rests and len(out) < len(ends):
+        out.append((starts[max(0, len(ends) - 2)], ends[-1]))
+    return out
+
+
+def repeated_chunks(
+    docs: DataFrame, id_col: str, text_col: str, bits: int, least: int, most: int, batch_bytes: int, rests: bool = False
+) -> DataFrame:
+    """``id, chunks``: (start, end) in bytes of every piece that occurs earlier, per document with any."""
     rows = docs.select(col(id_col).alias("id"), col(text_col).alias("text")).where(F.col("id").isNotNull())
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
         which, starts, stops, digests = [], [], [], []
         for i, text in enumerate(binary(batch.column(1)).to_pylist()):
-            ends = chunk_ends(text, bits, least, most)
-            for a, b in zip([0, *ends], ends):
-                if b - a >= least:
-                    which.append(i)
-                    starts.append(a)
-                    stops.append(b)
-                    digests.append(xxhash.xxh3_128_digest(text[a:b]))
+            for a, b in pieces(text, bits, least, most, rests):
+                which.append(i)
+                starts.append(a)
+                stops.append(b)
+                digests.append(xxhash.xxh3_128_digest(text[a:b]))
         ids = batch.column(0).take(pa.array(which, pa.int64()))
         return pa.RecordBatch.from_arrays(
             [ids, pa.array(starts, pa.int64()), pa.array(stops, pa.int64()), pa.array(digests, pa.binary())], names=["id", "s", "e", "d"]
@@ -82,18 +96,20 @@ def dedup_substrings(
     least: int = 24,
     most: int = 512,
     batch_bytes: int = 4 << 20,
+    rests: bool = False,
 ) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept`` of every row; ``kept`` are the bytes left.
 
     Chunks end where ``bits`` bits of the gear hash are zero, at least ``least`` and at most ``most``
-    bytes long; a shorter rest at the end of a text stays. A chunk is removed if an equal one (128-bit
+    bytes long; a shorter rest at the end of a text stays, unless ``rests``: then it goes where it occurs
+    earlier together with the chunk before it, or as a whole text. A chunk is removed if an equal one (128-bit
     digest of its bytes) has a smaller id, or stands earlier in the same text; ``n_spans`` counts the
     maximal removed runs. Chunks end at the same places in equal passages after the first chunk.
 
     A null text is empty. Rows with a null id stay whole. Rows that repeat an id count as one document: they get the same
     chunks removed, and none because of each other. An empty table gives an empty result; other columns are not read.
     """
-    again = repeated_chunks(docs, id_col, text_col, bits, least, most, batch_bytes)
+    again = repeated_chunks(docs, id_col, text_col, bits, least, most, batch_bytes, rests)
     rows = docs.select(col(id_col).alias("doc_id"), col(text_col).alias("text"))
     joined = rows.join(again.select(F.col("id").alias("_id"), "chunks"), F.col("doc_id") == F.col("_id"), "left").select("doc_id", "text", "chunks")
     schema: T.StructType = schema_after(joined, ["doc_id"], "n_bytes long, n_removed long, n_spans long, kept binary")
@@ -102,10 +118,10 @@ def dedup_substrings(
         sizes, gone, spans, left = [], [], [], []
         for text, chunks in zip(binary(batch.column(1)).to_pylist(), batch.column(2).to_pylist()):
             at, parts, runs, removed = 0, [], 0, 0
-            for c in chunks or ():
+            for c in chunks or ():  # by start, then end; only a rest's piece overlaps the one before it
                 runs += c["s"] > at or not removed
                 parts.append(text[at : c["s"]])
-                removed += c["e"] - c["s"]
+                removed += c["e"] - max(c["s"], at)
                 at = c["e"]
             parts.append(text[at:])
             sizes.append(len(text))

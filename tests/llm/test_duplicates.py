@@ -58,6 +58,21 @@ def test_a_passage_inside_other_text_is_found(spark):
     assert got[0] == 0 and got[1] > 0.5 * len(passage) and got[9] == 0
 
 
+def test_exact_copies_leave_nothing(spark):
+    rng = random.Random(14)
+    whole = [prose(rng, n) for n in range(2, 60)] + ["one", "two words", "é"]
+    texts = [(k * 1000 + i, t) for k in range(3) for i, t in enumerate(whole)]
+    start = whole[50][:-5]  # the start of an earlier text ends in a rest that is no end there
+    texts += [(5000, start), (5001, start), (5002, "one more"), (5003, ""), (None, "one")]
+    done = substring_dedup.dedup_substrings(docs(spark, texts), rests=True).collect()
+    got = {r.doc_id: bytes(r.kept).decode() for r in done}
+    assert all(got[i] == (t if i < 1000 else "") for i, t in texts if i is not None and i < 5000)
+    plain = {r.doc_id: r for r in substring_dedup.dedup_substrings(docs(spark, texts)).collect()}
+    assert all(r.n_removed >= plain[r.doc_id].n_removed and r.n_removed == r.n_bytes - len(r.kept) for r in done)
+    assert 0 < len(got[5000]) < len(start) and got[5001] == "" and got[5002] == "one more" and got[None] == "one"
+    assert all(r.n_spans == 1 for r in done if r.doc_id is not None and r.n_bytes and 1000 <= r.doc_id < 5000)
+
+
 def covered(texts: dict, window: int) -> dict:
     first = {}
     for i in sorted(texts):
