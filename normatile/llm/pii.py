@@ -6,8 +6,9 @@ on held-out candidates selects the spans. Everything runs in DataFrame functions
 arithmetic expression.
 
 There are no labelled spans to learn from. A candidate counts as personal if it overlaps a checked
-base span or stands in an explicit assignment to a secret's name, as not personal otherwise; the
-features see neither the base spans nor the assignment.
+base span or has an explicit cue of its kind, as not personal otherwise: an assignment to a secret's
+name, "tel", "phone", "ssn" and the like before a number, "mail" before a spelled-out address or a
+domain inside it. The features see neither the base spans nor the cues as such.
 """
 
 from __future__ import annotations
@@ -37,6 +38,10 @@ SECRET = r"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/-]{16,}+"
 NUMBER = r"(?<![0-9])[0-9][0-9\x20().-]{5,}[0-9]"
 CONTACT = r"(?<![A-Za-z0-9._-])[A-Za-z0-9._-]{1,64}\x20?[\[(]at[\])]\x20?[A-Za-z0-9.-]{1,253}"
 ASSIGNED = r"(?i)(?:token|secret|password|passwd|api.?key|access.?key|credential)s?[\x20]{0,3}[=:][\x20]{0,3}[\"']?$"
+NUMBERED = r"(?i)(?<![a-z])(?:tel|telephone|phone|mobile|cell|fax|call|dial|ssn|social\x20security)(?:\x20?(?:no|number))?\.?[\x20]{0,3}[:=#]?[\x20]{0,3}[(]?$"
+MAILED = r"(?i)(?<![a-z])(?:e-?)?(?:mail|contact)(?:\x20(?:to|at|me|us))?[\x20]{0,3}[:=]?[\x20]{0,3}[\"'<(]?$"
+DOMAIN = r"[\])]\x20?[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+){0,8}\.[A-Za-z]{2,24}\.?$"
+DOTTED = r"(?i)^\x20?[\[(]dot[\])]"
 HINT = r"(?i)token|secret|passw|key|credential|auth|login|phone|tel|call|card|account|mail|ssn"
 BEFORE = 32  # characters of context
 
@@ -98,9 +103,9 @@ def _only_digits(text: Column) -> Column:
 def scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``id, base, more``: checked base spans and candidates with their features, for every row."""
     rows = docs.select(col(id_col).alias("id"), F.coalesce(col(text_col), F.lit("")).alias("_t"))
-    rows = rows.withColumns({"_digit": F.col("_t").rlike("[0-9]"), "_at": F.contains("_t", F.lit("@")), "_said": F.col("_t").rlike(r"[\[(]at[\])]")})
+    rows = rows.withColumns({"_digit": F.col("_t").rlike("[0-9]"), "_at": F.contains("_t", F.lit("@")), "_said": F.col("_t").rlike(r"[\[(]at[\])]"), "_long": F.col("_t").rlike(SECRET)})
     clean = F.translate("_t", OPEN + CLOSE + DOT, "\x04\x04\x04")
-    rows = rows.withColumn("_t", F.when(F.col("_digit") | F.col("_at") | F.col("_said"), clean).otherwise(F.lit("")))
+    rows = rows.withColumn("_t", F.when(F.col("_digit") | F.col("_at") | F.col("_said") | F.col("_long"), clean).otherwise(F.lit("")))
     t, digit = F.col("_t"), F.col("_digit")
     dotted = F.regexp_replace(t, r"\.(?![A-Za-z0-9-])", DOT)
     grouped = F.regexp_replace(t, r"(?<![0-9])[\x20-]|[\x20-](?![0-9])", DOT)
@@ -111,7 +116,7 @@ def scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         _found(digit & F.contains("_t", F.lit("+")), t, PHONE, 3, lambda x: F.length(_only_digits(x["m"])).between(10, 15)),
     )
     more = F.concat(
-        _found(digit, t, SECRET, 4), _found(digit, t, NUMBER, 5), _found(F.col("_said"), t, CONTACT, 6)
+        _found(F.col("_long"), t, SECRET, 4), _found(digit, t, NUMBER, 5), _found(F.col("_said"), t, CONTACT, 6)
     )
     rows = rows.select("id", "_t", base.alias("_base"), more.alias("_more"))
 
@@ -138,8 +143,10 @@ def scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         }
         bins = [sum(((v.cast("int") >= t).cast("int") for t in FEATURES[f]), F.lit(0)).alias(f) for f, v in values.items()]
         known = F.exists("_base", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"]))
+        mail = before.rlike(MAILED) | m.rlike(DOMAIN) | F.col("_t").substr(x["e"] + 1, F.lit(6)).rlike(DOTTED)
+        cued = before.rlike(ASSIGNED) | ((x["kind"] == 5) & before.rlike(NUMBERED)) | ((x["kind"] == 6) & mail)
         return F.struct(
-            x["s"].alias("s"), x["e"].alias("e"), x["kind"].alias("kind"), known.alias("known"), before.rlike(ASSIGNED).alias("assigned"), F.struct(*bins).alias("f")
+            x["s"].alias("s"), x["e"].alias("e"), x["kind"].alias("kind"), known.alias("known"), cued.alias("cued"), F.struct(*bins).alias("f")
         )
 
     plain = F.transform("_base", lambda b: F.struct(b["s"].alias("s"), b["kind"].alias("kind"), b["e"].alias("e")))
@@ -203,7 +210,7 @@ def learn(scanned: DataFrame, trees: int = 8, rate: float = 0.5, precision: floa
     selection is right with ``precision``. Without positive or negative candidates nothing is selected.
     """
     each = scanned.select("id", F.explode("more").alias("c"))
-    label = (F.col("c.known") | F.col("c.assigned")).cast("int").alias("y")
+    label = (F.col("c.known") | F.col("c.cued")).cast("int").alias("y")
     held = (F.pmod(F.xxhash64("id"), F.lit(3)) == 0).alias("held")
     cells = each.select(*[F.col(f"c.f.{f}").alias(f) for f in FEATURES], label, held).groupBy(*FEATURES, "y", "held").agg(F.count("*").alias("w"))
     cells = stored(cells, "pii-cells")

@@ -3,7 +3,7 @@
 import random
 import re
 
-from tests.llm.helpers import awkward, by_id, docs, prose
+from tests.llm.helpers import WORDS, awkward, by_id, docs, prose
 
 from normatile.llm import decontaminate, pii
 
@@ -116,6 +116,25 @@ def test_trees_find_secrets_and_leave_plain_numbers(spark):
     assert pii.redacted(df).columns == df.columns
 
 
+def test_every_kind_of_candidate_can_be_chosen(spark):
+    rng = random.Random(4)
+    texts, want = [], {}
+    for i in range(400):
+        key = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(40))
+        said = [
+            ("contact", f"name.x [at] {rng.choice(WORDS)}.org"), ("number", f"{rng.randint(100, 899)}-{rng.randint(10, 99)}-{rng.randint(1000, 9999)}"),
+            ("number", f"(212) 555-{rng.randint(1000, 9999)}"), ("secret", key), ("none", "2021-05-12 and 1999-12-31"),
+        ][i % 5]
+        lead = ["write to ", "ssn: ", "phone ", 'token = "', "on "][i % 5]
+        head = prose(rng, 9).replace(".", " ") + lead
+        texts.append((i, f'{head}{said[1]}" {prose(rng, 9)}'))
+        want[i] = (len(head), len(head) + len(said[1]), said[0])
+    assert not any(c.isdigit() for i, t in texts if i % 5 == 3 for c in t)
+    rows = {r.doc_id: [tuple(x) for x in r.spans] for r in pii.find_personal(docs(spark, texts)).collect()}
+    for i, (start, end, kind) in want.items():
+        assert rows[i] == [] if kind == "none" else any(s <= start + 1 and e == end and k == kind for s, e, k in rows[i]), (texts[i], rows[i])
+
+
 def test_nothing_to_learn_from(spark):
     df = docs(spark, [(1, "no data here"), (2, None)])
     assert [r.spans for r in pii.find_personal(df).collect()] == [[], []]
