@@ -9,10 +9,14 @@ is one buffer; many cursors walk it side by side, so every step is a few array o
 
 from __future__ import annotations
 
+import functools
+import itertools
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -168,17 +172,22 @@ def find_in(texts: list[bytes], tables: list[Patterns]) -> list[tuple[int, list[
     return out
 
 
-def _item_blocks(items: DataFrame, id_col: str, text_col: str, block_bytes: int) -> list[list[tuple[str, bytes]]]:
-    """The items in blocks of at most ``block_bytes`` (or one item); only one block's worth is compiled at a time."""
+def _item_blocks(items: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple[str, bytes]]]:
+    """The items in blocks of at most ``block_bytes`` (or one item), read as they are asked for; one empty block if there are none."""
     rows = items.select(F.coalesce(col(id_col).cast("string"), F.lit("")).alias("i"), F.encode(F.coalesce(col(text_col), F.lit("")), "UTF-8").alias("t"))
-    blocks, size = [[]], 0
+    block: list[tuple[str, bytes]] = []
+    size = 0
     for r in rows.toLocalIterator():
-        if blocks[-1] and size + len(r.t) > block_bytes:
-            blocks.append([])
-            size = 0
-        blocks[-1].append((r.i, bytes(r.t)))
+        if block and size + len(r.t) > block_bytes:
+            yield block
+            block, size = [], 0
+        block.append((r.i, bytes(r.t)))
         size += len(r.t)
-    return blocks
+    yield block
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    return functools.reduce(DataFrame.unionByName, parts)
 
 
 def find_contamination(
@@ -190,7 +199,7 @@ def find_contamination(
     item_text_col: str = "text",
     window: int = WINDOW,
     block_bytes: int = 8 << 20,
-    max_item_bytes: int = 256 << 20,
+    max_item_bytes: int | None = None,
     batch_bytes: int = 2 << 20,
 ) -> DataFrame:
     """``doc_id, n_words, spans, items`` of every row of ``docs``.
@@ -200,24 +209,27 @@ def find_contamination(
     sorted strings, of items with an occurring window. Words are compared with A-Z in lower case.
 
     The items are the stated query set. They pass through the driver one by one and are searched in
-    blocks of ``block_bytes`` against all rows, one pass over ``docs`` per block; more than
-    ``max_item_bytes`` of item text raise an error. The block is all that is broadcast. With several
-    blocks the results of a row are merged by id and text hash; with one there is no shuffle.
+    blocks of ``block_bytes`` against all rows, one pass over ``docs`` per block; any number of blocks is
+    searched unless ``max_item_bytes`` is given (more item text then raises an error). A block is all
+    that is broadcast; its hits are stored and its broadcast destroyed before the next one is searched. With
+    several blocks the results of a row are merged by id and text hash; with one there is no shuffle.
 
     Null texts have no words. A null item id reads as ''. Items without words never occur. Equal item
     ids count once. Repeated rows get a result each. Empty tables give empty results or no hits.
     """
     spark = docs.sparkSession
     rows = docs.select(col(id_col).alias("doc_id"), col(text_col).alias("text"))
-    size = items.select(F.sum(F.octet_length(col(item_text_col))).alias("n")).first().n or 0
-    if size > max_item_bytes:
-        raise ValueError(f"{size} bytes of items; at most {max_item_bytes} are searched at a time")
-    found = []
-    for block in _item_blocks(items, item_id_col, item_text_col, block_bytes):
+    if max_item_bytes is not None:
+        size = items.select(F.sum(F.octet_length(col(item_text_col))).alias("n")).first().n or 0
+        if size > max_item_bytes:
+            raise ValueError(f"{size} bytes of items; at most {max_item_bytes} are searched at a time")
+    rest = "n_words long, spans array<struct<first:long,end:long>>, items array<string>"
+
+    def searched(rows: DataFrame, block: list[tuple[str, bytes]]) -> tuple[DataFrame, Broadcast]:
         names = [i for i, _ in block]
         shared = spark.sparkContext.broadcast((names, compile_items([(n, t) for n, (_, t) in enumerate(block)], window)))
 
-        def scan(batch: pa.RecordBatch, shared=shared) -> pa.RecordBatch:
+        def scan(batch: pa.RecordBatch) -> pa.RecordBatch:
             names, tables = shared.value
             hits = find_in(binary(batch.column(1)).to_pylist(), tables)
             spans = pa.array([[{"first": a, "end": b} for a, b in runs] for _, runs, _ in hits], SPANS)
@@ -226,17 +238,29 @@ def find_contamination(
                 [batch.column(0), pa.array([n for n, _, _ in hits], pa.int64()), spans, ids], names=["doc_id", "n_words", "spans", "items"]
             )
 
-        found.append((rows, scan))
-    rest = "n_words long, spans array<struct<first:long,end:long>>, items array<string>"
-    if len(found) == 1:
-        return arrow_map(rows, found[0][1], schema_after(rows, ["doc_id"], rest), batch_bytes)
+        return arrow_map(rows, scan, schema_after(rows, ["doc_id"], rest), batch_bytes), shared
+
+    blocks = _item_blocks(items, item_id_col, item_text_col, block_bytes)
+    block, following = next(blocks), next(blocks, None)
+    if following is None:
+        return searched(rows, block)[0]
     # Several passes: number the rows by content, so that repeated rows stay apart from others.
     keyed = stored(rows.withColumn("_h", F.xxhash64("text")).groupBy("doc_id", "_h", "text").agg(F.count("*").alias("_n")), "items-keyed")
     keyed = keyed.select(F.struct("doc_id", "_h", "_n").alias("doc_id"), "text")
-    passes = [arrow_map(keyed, scan, schema_after(keyed, ["doc_id"], rest), batch_bytes) for _, scan in found]
-    every = passes[0]
-    for one in passes[1:]:
-        every = every.unionByName(one)
+    levels: list[list[DataFrame]] = [[]]  # a table of one level is the union of UNION tables of the level before
+    for n, block in enumerate(itertools.chain([block, following], blocks)):
+        hits, shared = searched(keyed, block)
+        # Every row comes with the first block; of the others only rows with hits are kept.
+        levels[0].append(stored(hits if n == 0 else hits.where(F.size("spans") > 0), "items-hits"))
+        shared.destroy()
+        for k, level in enumerate(levels):
+            if len(level) < UNION:
+                break
+            if k + 1 == len(levels):
+                levels.append([])
+            levels[k + 1].append(stored(_union(level), "items-hits"))
+            level.clear()
+    every = _union([part for level in levels for part in level])
     merged = every.groupBy("doc_id").agg(
         F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")
     )
@@ -256,6 +280,7 @@ def find_contamination(
     return merged.select("doc_id", "n_words", "spans", "items", copies.alias("_copy")).select(F.col("doc_id.doc_id").alias("doc_id"), "n_words", "spans", "items")
 
 
+UNION = 32  # tables of hits in one union at most
 SPANS = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))
 
 

@@ -53,6 +53,23 @@ def test_windows_are_found(spark):
     assert decontaminate.find_contamination(df.limit(0), bench).count() == 0
 
 
+def test_any_number_of_item_blocks(spark, monkeypatch):
+    from pyspark import Broadcast
+
+    rng = random.Random(5)
+    items = [(i, prose(rng, 20)) for i in range(14)]
+    texts = [(i, prose(rng, 30) + " " + items[i % 14][1] + " " + items[(i + 5) % 14][1]) for i in range(28)] + [(50, "none"), (51, None), (3, "again"), (3, "again")]
+    df, bench = docs(spark, texts), spark.createDataFrame(items, "item_id long, text string")
+    assert next(decontaminate._item_blocks(bench, "item_id", "text", 10))  # read one by one
+    gone = []
+    destroy = Broadcast.destroy
+    monkeypatch.setattr(Broadcast, "destroy", lambda self, *a: (gone.append(self), destroy(self, *a))[1])
+    monkeypatch.setattr(decontaminate, "UNION", 2)
+    got = decontaminate.verdict(decontaminate.find_contamination(df, bench, block_bytes=10, max_item_bytes=None))
+    assert by_id(got, "doc_id", "n_words", "n_hit", "items", "contaminated") == plain_hits(texts, items)
+    assert len(gone) == len(items)
+
+
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
