@@ -10,18 +10,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from normatile.session import materialize
+from normatile.session import materialize, new_folder
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def stored(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` to the shared folder and scan it; its shuffle files go as soon as it is written."""
+def stored(df: DataFrame, tag: str, by: str | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and scan it; its shuffle files go as soon as it is written.
+
+    With ``by`` every value of that column has a folder of its own.
+    """
     conf = df.sparkSession.conf
     before = conf.get(CLEANUP, "false")
     conf.set(CLEANUP, "true")
     try:
-        return materialize(df, tag)
+        if by is None:
+            return materialize(df, tag)
+        path = new_folder(df.sparkSession, tag)
+        df.write.partitionBy(by).parquet(path)
+        return df.sparkSession.read.schema(df.schema).parquet(path)
     finally:
         conf.set(CLEANUP, before)
 

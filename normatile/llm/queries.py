@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from normatile.llm import chat, decontaminate, line_dedup, mixing, near_dedup, pii, quality, substring_dedup, suffix_dedup, tokens
+from normatile.llm import centroids, chat, decontaminate, filter_audit, line_dedup, mixing, near_dedup, pii, quality, substring_dedup, suffix_dedup, token_files, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -229,3 +229,89 @@ FROM b JOIN kept USING (doc_id) LEFT JOIN sums USING (doc_id)
 def op2(spark: SparkSession, sf: str) -> DataFrame:
     out = suffix_dedup.dedup_suffixes(_table(spark, sf, "documents"))
     return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op11_token_files")
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    path = token_files.write_tokens(_table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return token_files.read_tokens(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def _op12_sql(k: int = 8, rounds: int = 10) -> str:
+    near = """SELECT v.r, min(struct_pack(d := list_sum(list_transform(list_zip(v.x, c.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT, j := c.j)) AS m
+  FROM v, c{t} c GROUP BY v.r"""
+    sql = f"""
+WITH e AS (SELECT vec_id, row_number() OVER () AS r, embedding AS f FROM embeddings WHERE len(embedding) = 64),
+v AS MATERIALIZED (
+  SELECT vec_id, r, list_transform(f, lambda y: floor(1024 * y::DOUBLE)::BIGINT) AS x FROM e
+  WHERE len(list_filter(f, lambda y: y IS NOT NULL AND isfinite(y))) = 64
+),
+c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id), x) - 1 AS j, x FROM v ORDER BY sha256('3:' || vec_id), x LIMIT {k}
+)"""
+    for t in range(rounds):
+        sql += f""",
+a{t} AS MATERIALIZED ({near.format(t=t)}),
+s{t} AS (SELECT m.j AS j, p, sum(x[p]) AS s, count(*) AS n FROM a{t} JOIN v USING (r), unnest(range(1, 65)) AS u(p) GROUP BY ALL),
+m{t} AS (SELECT j, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY p) AS x FROM s{t} GROUP BY j),
+c{t + 1} AS MATERIALIZED (SELECT c.j, coalesce(m.x, c.x) AS x FROM c{t} c LEFT JOIN m{t} m ON c.j = m.j)"""
+    return sql + f""",
+last AS MATERIALIZED ({near.format(t=rounds)})
+SELECT vec_id, m.j::INT AS cluster, m.d AS distance, (sum(m.d) OVER (PARTITION BY m.j))::BIGINT AS cluster_inertia, (sum(m.d) OVER ())::BIGINT AS inertia,
+  sha256(array_to_string(c.x, ',')) AS centroid_sha256
+FROM last JOIN v USING (r) JOIN c{rounds} c ON c.j = m.j
+"""
+
+
+@query("op12_centroid_clusters", _op12_sql())
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    return centroids.described(*centroids.cluster(_table(spark, sf, "embeddings")))
+
+
+OP13_SQL = r"""
+WITH t AS (
+  SELECT doc_id, coalesce(text, '') AS text, coalesce(lang, '') AS part,
+    regexp_extract_all(coalesce(text, ''), '[^ 	-]+') AS w FROM documents
+),
+f AS MATERIALIZED (
+  SELECT doc_id, part, (len(w) < 200)::INT AS a, (100 * len(list_distinct(w)) < 50 * len(w))::INT AS b,
+    (100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text))::INT AS c, regexp_matches(text, '[#$%&*|]')::INT AS d,
+    (coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false))::INT AS e FROM t
+),
+g AS MATERIALIZED (
+  SELECT part, a + 2 * b + 4 * c + 8 * d + 16 * e AS mask, count(*) AS n,
+    count(*) FILTER (doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)) AS good,
+    count(*) FILTER (doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)) AS toxic
+  FROM f GROUP BY ALL
+),
+x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS l),
+o AS (
+  SELECT x1.l || x2.l || x3.l || x4.l || x5.l AS filter_order FROM x x1, x x2, x x3, x x4, x x5
+  WHERE len(list_distinct([x1.l, x2.l, x3.l, x4.l, x5.l])) = 5
+),
+st AS (
+  SELECT filter_order, s AS step, 1 << (ord(filter_order[s]) - 65) AS bit,
+    list_sum(list_transform(range(1, s), lambda q: 1 << (ord(filter_order[q]) - 65))) AS before FROM o, unnest(range(1, 6)) AS u(s)
+),
+z AS (
+  SELECT part, filter_order, step::INT AS step, bit,
+    coalesce(sum(n) FILTER (mask & (bit | coalesce(before, 0)::INT) = 0), 0)::BIGINT AS kept,
+    coalesce(sum(n) FILTER (mask & bit <> 0 AND mask & coalesce(before, 0)::INT = 0), 0)::BIGINT AS removed,
+    coalesce(sum(n) FILTER (mask & bit <> 0 AND mask & coalesce(before, 0)::INT <> 0), 0)::BIGINT AS redundant,
+    coalesce(sum(n) FILTER (mask = bit), 0)::BIGINT AS unique_fails,
+    coalesce(sum(good) FILTER (mask & bit <> 0 AND mask & coalesce(before, 0)::INT = 0), 0)::BIGINT AS good_lost,
+    coalesce(sum(toxic) FILTER (mask & bit <> 0 AND mask & coalesce(before, 0)::INT = 0), 0)::BIGINT AS toxic_lost
+  FROM g, st GROUP BY ALL
+)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+  (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley FROM z
+"""
+
+
+@query("op13_filter_audit", OP13_SQL)
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    labels = _table(spark, sf, "labels")
+    lost = {"good_lost": labels.where("quality = 1").select("doc_id"), "toxic_lost": labels.where("toxic = 1").select("doc_id")}
+    return filter_audit.audit_filters(
+        _table(spark, sf, "documents"), filter_audit.text_filters(F.col("text")), lost, copies="E", part=F.col("lang")
+    )
