@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from normatile.llm.common import col, schema_after, stored
+from normatile.operators.ordering import with_position
 
 BLOCK, MERGE, EPS = 1024, 512, 1e-9
 WORDS = r"[^\x20\x09-\x0D]+"
@@ -94,6 +95,46 @@ def _flyer(seed: int, level: int, land: bool):
     return fly
 
 
+def rated_sources(sized: DataFrame, weights: tuple[float, ...], share: float, most: float) -> DataFrame:
+    """``source, source_size, target, sid, whole, pi, blocks`` of every source, stored.
+
+    ``sid`` numbers sources by code point, null last; weights go round in that order. A source is capped
+    if its part by weight would pass ``most`` times its size. What caps leave over raises the parts of
+    the others, so more may be capped: each round is one aggregate over the sources, and a round that caps
+    no more is the last (``share_out`` says the same of a list).
+    """
+    totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"))
+    numbered = with_position(totals, [F.col("source").isNull(), F.col("source")], (), "sid")
+    turn = F.get(F.array(*[F.lit(float(w)) for w in weights]), F.pmod("sid", F.lit(len(weights))).cast("int"))
+    numbered = stored(numbered.withColumns({"weight": turn, "cap": F.lit(float(most)) * F.col("source_size")}), "mix-sources")
+    everything, weight = numbered.agg(F.sum("source_size"), F.sum("weight")).first()
+    total, count = share * float(everything or 0), 0
+    left, open_ = total, float(weight or 1.0)
+    while True:
+        over = F.lit(left) * F.col("weight") / F.lit(open_) > F.col("cap")
+        capped, used, gone = numbered.where(over).agg(F.count("*"), F.sum("cap"), F.sum("weight")).first()
+        if capped <= count:
+            break
+        count, left, open_ = capped, total - used, float(weight) - gone
+        if open_ <= 0:
+            break
+    if open_ <= 0:
+        target = F.col("cap")
+    else:
+        part = F.lit(left) * F.col("weight") / F.lit(open_)
+        target = F.when(part > F.col("cap"), F.col("cap")).otherwise(part)
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    whole = F.floor(F.col("rate") + EPS)
+    out = numbered.withColumn("target", target).withColumn("rate", rate)
+    return stored(
+        out.select(
+            "source", "source_size", "target", "sid", whole.cast("int").alias("whole"),
+            F.greatest(F.lit(0.0), F.col("rate") - whole).alias("pi"), F.ceil(F.col("rows") / BLOCK).alias("blocks"),
+        ),
+        "mix-rates",
+    )
+
+
 def mix(
     docs: DataFrame,
     weights: tuple[float, ...] = (1, 2, 3),
@@ -103,7 +144,6 @@ def mix(
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
-    max_sources: int = 1_000_000,
 ) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, source, size, source_size, target, copies, taken``.
 
@@ -112,38 +152,24 @@ def mix(
     its own, the excess is shared again. ``copies`` is how often the mix takes the document and
     ``taken`` = copies * size. A source's taken words miss its target by a document or two.
 
-    One row per source comes to the driver, ``max_sources`` at most (more raise an error). Choices
-    depend on ids, sources and sizes alone, so reruns agree. Rows with the same id and source are one
+    Sources are numbered and targets shared out in Spark, however many there are. Choices depend on ids,
+    sources and sizes alone, so reruns agree. Rows with the same id and source are one
     unit and get the same copies. Null ids form one unit per source. Sources without words get
     target 0 and no copies. An empty table gives an empty result; other columns are not read.
     """
-    spark = docs.sparkSession
     sized = docs.select(
         col(id_col).alias("doc_id"), col(source_col).cast("string").alias("source"), word_count(col(text_col)).alias("size")
     )
     sized = stored(sized, "mix-sizes")
-    totals = sized.groupBy("source").agg(F.sum("size").alias("n"), F.count("*").alias("rows")).limit(max_sources + 1).collect()
-    if len(totals) > max_sources:
-        raise ValueError(f"more than {max_sources} sources")
-    totals.sort(key=lambda r: (r.source is None, r.source or ""))
-    chosen = [weights[i % len(weights)] for i in range(len(totals))]
-    wanted = share_out([r.n for r in totals], chosen, share * sum(r.n for r in totals), most)
-    table = []
-    for i, (r, target) in enumerate(zip(totals, wanted)):
-        rate = target / r.n if r.n else 0.0
-        whole = math.floor(rate + EPS)
-        table.append((i, r.source, r.n, target, whole, max(0.0, rate - whole), math.ceil(r.rows / BLOCK)))
-    schema = "sid int, source string, source_size long, target double, whole int, pi double, blocks int"
-    sources = spark.createDataFrame(table, schema)
-    # One row per source, at most max_sources of them: small enough to broadcast.
-    rated = sized.alias("d").join(F.broadcast(sources).alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")))
-    rated = rated.select("doc_id", F.col("d.source").alias("source"), "size", "source_size", "target", "sid", "whole", "pi", "blocks")
+    sources = rated_sources(sized, weights, share, most)
+    # Stored, so Spark knows whether the sources are few enough to broadcast; else a hot source is split on the left.
+    rated = sized.join(sources.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
 
     units = rated.where((F.col("pi") > EPS) & (F.col("source_size") > 0)).groupBy("doc_id", "sid", "pi", "blocks").agg(F.sum("size").alias("size"))
     units = units.withColumn("ord", F.xxhash64(F.lit(seed), "doc_id", "sid"))
     units = units.withColumn("block", F.pmod(F.col("ord"), F.col("blocks")).cast("long")).drop("blocks")
-    schema = schema_after(units, ["doc_id"], "sid int, pi double, size long, ord long, block long")
-    settled, blocks, level = None, max((t[6] for t in table), default=1), 0
+    schema = schema_after(units, ["doc_id"], "sid long, pi double, size long, ord long, block long")
+    settled, blocks, level = None, sources.agg(F.max("blocks")).first()[0] or 1, 0
     while True:
         land = blocks <= 1
         flown = units.select(*schema.names).groupBy("sid", "block").applyInPandas(_flyer(seed, level, land), schema)

@@ -7,6 +7,7 @@ import re
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tests.llm.helpers import awkward, by_id, docs, prose
 
 from normatile.llm import chat, mixing, quality, tokens
@@ -40,6 +41,22 @@ def test_shares_stop_at_the_cap_and_go_round():
     assert mixing.share_out([0, 10], [5, 1], 10, 3) == [0.0, 10.0]
 
 
+def test_sources_are_shared_out_in_spark_as_in_a_list(spark):
+    """Three thousand sources, many capped in several rounds."""
+    rng = random.Random(12)
+    words = {f"s{k:05d}": rng.choice([0, 1, 3, 40, 400]) for k in range(3000)} | {None: 50}
+    rows = [(i, "w " * n, s) for i, (s, n) in enumerate(words.items())]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    sized = df.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"))
+    got = {r.source: r for r in mixing.rated_sources(sized, (1, 2, 3), 1.0, 1.2).collect()}
+    names = sorted(words, key=lambda s: (s is None, s or ""))
+    want = mixing.share_out([words[s] for s in names], [(1, 2, 3)[i % 3] for i in range(len(names))], sum(words.values()), 1.2)
+    assert [got[s].sid for s in names] == list(range(len(names)))
+    assert [got[s].target for s in names] == pytest.approx(want)
+    taken = mixing.mix(df, most=1.2).agg(F.sum("taken")).first()[0]
+    assert abs(taken - sum(want)) < 0.2 * sum(want)
+
+
 def test_flight_keeps_both_totals():
     rng = np.random.default_rng(3)
     pi, size = np.full(500, 0.3), rng.integers(0, 2000, 500)
