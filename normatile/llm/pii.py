@@ -8,7 +8,8 @@ arithmetic expression.
 There are no labelled spans to learn from. A candidate counts as personal if it overlaps a checked
 base span or has an explicit cue of its kind, as not personal otherwise: an assignment to a secret's
 name, "tel", "phone", "ssn" and the like before a number, "mail" before a spelled-out address or a
-domain inside it. The features see neither the base spans nor the cues as such.
+domain inside it. The features see neither the base spans nor the cues, only the candidate's own form and
+what characters stand around it, so the trees carry over to candidates that no cue announces.
 """
 
 from __future__ import annotations
@@ -42,7 +43,9 @@ NUMBERED = r"(?i)(?<![a-z])(?:tel|telephone|phone|mobile|cell|fax|call|dial|ssn|
 MAILED = r"(?i)(?<![a-z])(?:e-?)?(?:mail|contact)(?:\x20(?:to|at|me|us))?[\x20]{0,3}[:=]?[\x20]{0,3}[\"'<(]?$"
 DOMAIN = r"[\])]\x20?[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+){0,8}\.[A-Za-z]{2,24}\.?$"
 DOTTED = r"(?i)^\x20?[\[(]dot[\])]"
-HINT = r"(?i)token|secret|passw|key|credential|auth|login|phone|tel|call|card|account|mail|ssn"
+#: What stands around a candidate says path, call or part of a longer string; never any of the words above.
+PATH = r"[/.\\#@&?%]$"
+GOES_ON = r"^[/.(\\:@]\S"
 BEFORE = 32  # characters of context
 
 #: Feature and bin thresholds.
@@ -57,8 +60,12 @@ FEATURES: dict[str, tuple[int, ...]] = {
     "hex": (1,),
     "luhn": (1,),
     "plus": (1,),
-    "hint": (1,),
-    "quoted": (1,),
+    "distinct": (4, 6, 8, 10, 12, 16, 20),
+    "vowel_share": (5, 10, 15, 20, 25, 30, 35),
+    "case_changes": (1, 2, 4, 6, 9),
+    "path": (1,),
+    "goes_on": (1,),
+    "line_start": (1,),
     "kind": (5, 6),
 }
 
@@ -137,8 +144,12 @@ def scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             "hex": m.rlike("^[0-9a-fA-F]+$"),
             "luhn": _luhn(_only_digits(m)),
             "plus": before.endswith("+"),
-            "hint": before.rlike(HINT),
-            "quoted": before.rlike("[\"'=:]\\x20?$"),
+            "distinct": F.size(F.array_distinct(F.split(m, ""))),
+            "vowel_share": F.floor(100 * F.length(F.regexp_replace(m, "[^AEIOUaeiou]", "")) / F.greatest(letters, F.lit(1))),
+            "case_changes": F.regexp_count(m, F.lit("[a-z][A-Z]|[A-Z][a-z]")),
+            "path": before.rlike(PATH),
+            "goes_on": F.col("_t").substr(x["e"] + 1, F.lit(2)).rlike(GOES_ON),
+            "line_start": (x["s"] == 0) | before.endswith("\n"),
             "kind": x["kind"],
         }
         bins = [sum(((v.cast("int") >= t).cast("int") for t in FEATURES[f]), F.lit(0)).alias(f) for f, v in values.items()]
@@ -179,7 +190,15 @@ class Tree:
 class Model:
     start: float
     trees: tuple[Tree, ...]
-    threshold: float  # of the margin; infinite: nothing is selected
+    thresholds: tuple[float, ...]  # of the margin, for each generator; infinite: nothing of it is selected
+
+    def chosen(self, field) -> Column:
+        """Whether a candidate passes its generator's threshold."""
+        margin, out = self.margin(field), F.lit(False)
+        for k, least in enumerate(self.thresholds):
+            if not math.isinf(least):
+                out = out | ((field("kind") == k) & (margin >= least))
+        return out
 
     def margin(self, field) -> Column:
         return sum((t.value(field) for t in self.trees), F.lit(self.start))
@@ -203,11 +222,19 @@ def _best(table: list, rate_l2: float = 1.0) -> tuple[Split | None, float, float
     return best, *leaves
 
 
-def learn(scanned: DataFrame, trees: int = 8, rate: float = 0.5, precision: float = 0.98) -> Model:
-    """Boost ``trees`` small trees on all candidates, and calibrate the margin's threshold.
+NOTHING = (math.inf,) * 3
+LEAST = 0.5
 
-    Two thirds of the candidates (by document) train; on the rest the lowest threshold is taken whose
-    selection is right with ``precision``. Without positive or negative candidates nothing is selected.
+
+def learn(scanned: DataFrame, trees: int = 8, rate: float = 0.5, precision: float = 0.98) -> Model:
+    """Boost ``trees`` small trees on all candidates, and calibrate the margin's threshold of each generator.
+
+    Positive are candidates with a cue (the words of ASSIGNED, NUMBERED or MAILED before them) or on a base
+    span. No feature sees a cue, so the trees know a secret by its form and place, and select those that
+    no cue announces. Two thirds of the candidates (by document) train; the rest calibrate. Those without a
+    cue that look like cued ones are no mistakes, so the share of cued ones that selection must reach is
+    ``precision`` times their share among look-alikes (as in learning from positive and unlabelled
+    cases), and never under LEAST; the lowest such threshold is taken. A generator without one adds nothing.
     """
     each = scanned.select("id", F.explode("more").alias("c"))
     label = (F.col("c.known") | F.col("c.cued")).cast("int").alias("y")
@@ -217,12 +244,12 @@ def learn(scanned: DataFrame, trees: int = 8, rate: float = 0.5, precision: floa
     train = cells.where("not held")
     sums = {r.y: r.w for r in train.groupBy("y").agg(F.sum("w").alias("w")).collect()}
     if len(sums) < 2:
-        return Model(0.0, (), math.inf)
+        return Model(0.0, (), NOTHING)
     start = math.log(sums[1] / sums[0])
     grown: list[Tree] = []
     listed = F.posexplode(F.array(*FEATURES)).alias("f", "b")
     for _ in range(trees):
-        p = 1 / (1 + F.exp(-Model(start, tuple(grown), 0).margin(F.col)))
+        p = 1 / (1 + F.exp(-Model(start, tuple(grown), NOTHING).margin(F.col)))
         rows = train.select(*FEATURES, (F.col("w") * (F.col("y") - p)).alias("g"), (F.col("w") * p * (1 - p)).alias("h"))
         table = rows.select(listed, "g", "h").groupBy("f", "b").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).collect()
         root, low, high = _best(table)
@@ -233,15 +260,22 @@ def learn(scanned: DataFrame, trees: int = 8, rate: float = 0.5, precision: floa
         left, ll, lh = _best([r for r in table if not r.side])
         right, rl, rh = _best([r for r in table if r.side])
         grown.append(Tree(root, left, right, tuple(round(rate * x, 6) for x in (ll, lh, rl, rh))))
-    model = Model(round(start, 6), tuple(grown), math.inf)
-    held_out = cells.where("held").groupBy(F.round(model.margin(F.col), 3).alias("m")).agg(F.sum(F.col("w") * F.col("y")).alias("p"), F.sum("w").alias("w"))
-    right = total = 0
-    threshold = math.inf
-    for r in sorted(held_out.collect(), key=lambda r: -r.m):  # margins of few trees: a bounded number of values
-        right, total = right + r.p, total + r.w
-        if right >= precision * total:
-            threshold = r.m - 0.0005
-    return Model(model.start, model.trees, threshold)
+    model = Model(round(start, 6), tuple(grown), NOTHING)
+    margins = cells.where("held").groupBy("kind", F.round(model.margin(F.col), 3).alias("m"))
+    held_out = margins.agg(F.sum(F.col("w") * F.col("y")).alias("p"), F.sum("w").alias("w")).collect()
+    thresholds = list(NOTHING)
+    for k in range(len(thresholds)):
+        right = total = 0
+        rows = sorted((r for r in held_out if r.kind == k), key=lambda r: -r.m)  # margins of few trees: a bounded number of values
+        said = sum(r.p for r in rows)
+        # The share of cued ones among candidates that look like cued ones: what a personal one has, not less.
+        cued = sum(r.p * r.p / r.w for r in rows) / said if said else 1.0
+        for r, lower in zip(rows, [*(r.m for r in rows[1:]), None]):
+            right, total = right + r.p, total + r.w
+            if right >= max(precision * cued, LEAST) * total:
+                # Half way to the next margin: candidates between the two were not held out.
+                thresholds[k] = r.m - 0.0005 if lower is None else (r.m + lower) / 2
+    return Model(model.start, model.trees, tuple(thresholds))
 
 
 def find_personal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: Model | None = None) -> DataFrame:
@@ -258,8 +292,8 @@ def find_personal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     model = model or learn(scanned)
     chosen = F.lit(False)
     added = F.array().cast("array<struct<s:int,kind:int,e:int>>")
-    if not math.isinf(model.threshold):
-        chosen = F.filter("more", lambda c: ~c["known"] & (model.margin(lambda f: c["f"][f]) >= model.threshold))
+    if any(not math.isinf(t) for t in model.thresholds):
+        chosen = F.filter("more", lambda c: ~c["known"] & model.chosen(lambda f: c["f"][f]))
         added = F.transform(chosen, lambda c: F.struct(c["s"].alias("s"), c["kind"].alias("kind"), c["e"].alias("e")))
     names = F.array(*[F.lit(k) for k in KINDS])
 

@@ -152,6 +152,32 @@ def test_every_kind_of_candidate_can_be_chosen(spark):
         assert rows[i] == [] if kind == "none" else any(s <= start + 1 and e == end and k == kind for s, e, k in rows[i]), (texts[i], rows[i])
 
 
+def test_secrets_without_a_cue_are_found(spark):
+    """Trees learned from announced secrets select at least 0.9 of those that nothing announces, and few other long words."""
+    rng = random.Random(11)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    key = lambda: "".join(rng.choice(letters) for _ in range(rng.randint(24, 44)))
+    plain = ["version-2-of-the-long-name", "internationalisation", "src/operators/ordering/helpers", "well-known-phrases-in-a-row", "docs/getting_started/index", "incomprehensibilities"]
+    texts, bare, other = [], {}, 0
+    for i in range(900):
+        head, tail = prose(rng, 12).replace(".", " "), prose(rng, 6)
+        if i % 3 == 0:
+            texts.append((i, f'{head}api_key = "{key()}" {tail}'))
+        elif i % 3 == 1:
+            texts.append((i, f"{head}{rng.choice(plain)} {rng.choice(plain)} {tail}"))
+        elif i % 45 == 2:
+            secret = key()
+            texts.append((i, f"{head}{secret} {tail}"))
+            bare[i] = (len(head), len(head) + len(secret), "secret")
+        else:
+            texts.append((i, f"{head}{rng.choice(plain)} {tail}"))
+    rows = {r.doc_id: [tuple(x) for x in r.spans] for r in pii.find_personal(docs(spark, texts)).collect()}
+    assert len(bare) == 20 and sum(span in rows[i] for i, span in bare.items()) >= 0.9 * len(bare)
+    other = sum(len(rows[i]) for i, _ in texts if i % 3 and i not in bare)
+    assert other <= 0.02 * len(texts)
+    assert all(f in pii.FEATURES for f in ("path", "goes_on")) and not {"hint", "quoted"} & set(pii.FEATURES)
+
+
 def test_nothing_to_learn_from(spark):
     df = docs(spark, [(1, "no data here"), (2, None)])
     assert [r.spans for r in pii.find_personal(df).collect()] == [[], []]
