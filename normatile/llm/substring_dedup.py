@@ -1,7 +1,8 @@
 """Substring dedup by content-defined chunking.
 
 A gear hash rolls over the bytes of a text; where its top bits are zero a chunk ends, so an insertion
-changes only the chunks around it. A chunk whose digest occurs earlier, by (id, place), is removed.
+changes only the chunks around it. A chunk whose digest occurs earlier, by (id, place), is repeated;
+runs of neighbouring repeated chunks are removed once they are long enough to be a passage.
 """
 
 from __future__ import annotations
@@ -60,11 +61,25 @@ def pieces(text: bytes, bits: int, least: int, most: int, rests: bool) -> list[t
     return out
 
 
+def runs_of(chunks: list[dict], size: int, min_run: int) -> list[tuple[int, int]]:
+    """Runs of repeated chunks (sorted, touching or overlapping) of ``min_run`` bytes or more, or over the whole text."""
+    out: list[list[int]] = []
+    for c in chunks:
+        if out and c["s"] <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], c["e"])
+        else:
+            out.append([c["s"], c["e"]])
+    return [(a, b) for a, b in out if b - a >= min(min_run, size)]
+
+
 def repeated_chunks(
     docs: DataFrame, id_col: str, text_col: str, bits: int, least: int, most: int, batch_bytes: int, rests: bool = False
 ) -> DataFrame:
-    """``id, chunks``: (start, end) in bytes of every piece that occurs earlier, per document with any."""
-    rows = docs.select(col(id_col).alias("id"), col(text_col).alias("text")).where(F.col("id").isNotNull())
+    """``id, version, chunks``: (start, end) in bytes of every piece that occurs earlier, per document with any.
+
+    ``version`` hashes the text: rows that repeat an id with another text are documents of their own.
+    """
+    rows = docs.select(col(id_col).alias("id"), col(text_col).alias("text"), F.xxhash64(col(text_col)).alias("version")).where(F.col("id").isNotNull())
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
         which, starts, stops, digests = [], [], [], []
@@ -74,18 +89,19 @@ def repeated_chunks(
                 starts.append(a)
                 stops.append(b)
                 digests.append(xxhash.xxh3_128_digest(text[a:b]))
-        ids = batch.column(0).take(pa.array(which, pa.int64()))
-        return pa.RecordBatch.from_arrays(
-            [ids, pa.array(starts, pa.int64()), pa.array(stops, pa.int64()), pa.array(digests, pa.binary())], names=["id", "s", "e", "d"]
-        )
+        at = pa.array(which, pa.int64())
+        columns = [batch.column(0).take(at), batch.column(2).take(at), pa.array(starts, pa.int64()), pa.array(stops, pa.int64())]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(digests, pa.binary())], names=["id", "version", "s", "e", "d"])
 
-    chunks = arrow_map(rows, cut, schema_after(rows, ["id"], "s long, e long, d binary"), batch_bytes)
+    # Stored: the chunks are read twice and cut once.
+    chunks = stored(arrow_map(rows, cut, schema_after(rows, ["id", "version"], "s long, e long, d binary"), batch_bytes), "cdc-chunks")
     # Combined per task before the shuffle, so a hot chunk is a row per task. Unique chunks end here.
-    first = chunks.groupBy("d").agg(F.count("*").alias("n"), F.min(F.struct("id", "s")).alias("f")).where("n > 1").drop("n")
+    first = chunks.groupBy("d").agg(F.count("*").alias("n"), F.min(F.struct("id", "version", "s")).alias("f")).where("n > 1").drop("n")
     first = stored(first, "cdc-first")
     # Occurrences on the left: a hot chunk is split over tasks, its one row on the right is copied.
-    again = chunks.join(first, "d").where(F.struct("id", "s") != F.col("f"))
-    return stored(again.groupBy("id").agg(F.sort_array(F.collect_set(F.struct("s", "e"))).alias("chunks")), "cdc-again")
+    again = chunks.join(first, "d").where(F.struct("id", "version", "s") != F.col("f"))
+    listed = again.groupBy("id", "version").agg(F.sort_array(F.collect_set(F.struct("s", "e"))).alias("chunks"))
+    return stored(listed, "cdc-again")
 
 
 def dedup_substrings(
@@ -96,38 +112,39 @@ def dedup_substrings(
     least: int = 24,
     most: int = 512,
     batch_bytes: int = 4 << 20,
-    rests: bool = False,
+    rests: bool = True,
+    min_run: int = 128,
 ) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept`` of every row; ``kept`` are the bytes left.
 
     Chunks end where ``bits`` bits of the gear hash are zero, at least ``least`` and at most ``most``
-    bytes long; a shorter rest at the end of a text stays, unless ``rests``: then it goes where it occurs
-    earlier together with the chunk before it, or as a whole text. A chunk is removed if an equal one (128-bit
-    digest of its bytes) has a smaller id, or stands earlier in the same text; ``n_spans`` counts the
-    maximal removed runs. Chunks end at the same places in equal passages after the first chunk.
-
-    A null text is empty. Rows with a null id stay whole. Rows that repeat an id count as one document: they get the same
-    chunks removed, and none because of each other. An empty table gives an empty result; other columns are not read.
+    bytes long; with ``rests`` a shorter rest at the end of a text counts together with the chunk before
+    it, or as a whole text, else it stays. A chunk is repeated if an equal one (128-bit digest of its
+    bytes) has a smaller id, or stands earlier in the same text. Neighbouring repeated chunks make a run;
+    a run goes if it has ``min_run`` bytes or is the whole text: one chunk alone is a few words and no
+    passage. ``n_spans`` counts the removed runs. Chunks end at the same places in equal passages after
+    the first chunk, so of a repeated passage a chunk's length or so may stay at either end.
+
+    A null text is empty. Rows with a null id stay whole. Rows that repeat an id and text count as one
+    document: they get the same runs removed, and none because of each other; with another text they are
+    documents of their own, in order of its hash. An empty table gives an empty result; other columns are
+    not read. Memory: a batch of ``batch_bytes``, or one text with a few numbers for each of its chunks.
     """
     again = repeated_chunks(docs, id_col, text_col, bits, least, most, batch_bytes, rests)
-    rows = docs.select(col(id_col).alias("doc_id"), col(text_col).alias("text"))
-    joined = rows.join(again.select(F.col("id").alias("_id"), "chunks"), F.col("doc_id") == F.col("_id"), "left").select("doc_id", "text", "chunks")
+    again = again.select(F.col("id").alias("_id"), F.col("version").alias("_of"), "chunks")
+    rows = docs.select(col(id_col).alias("doc_id"), col(text_col).alias("text"), F.xxhash64(col(text_col)).alias("_version"))
+    joined = rows.join(again, (F.col("doc_id") == F.col("_id")) & (F.col("_version") == F.col("_of")), "left").select("doc_id", "text", "chunks")
     schema: T.StructType = schema_after(joined, ["doc_id"], "n_bytes long, n_removed long, n_spans long, kept binary")
 
     def keep(batch: pa.RecordBatch) -> pa.RecordBatch:
         sizes, gone, spans, left = [], [], [], []
         for text, chunks in zip(binary(batch.column(1)).to_pylist(), batch.column(2).to_pylist()):
-            at, parts, runs, removed = 0, [], 0, 0
-            for c in chunks or ():  # by start, then end; only a rest's piece overlaps the one before it
-                runs += c["s"] > at or not removed
-                parts.append(text[at : c["s"]])
-                removed += c["e"] - max(c["s"], at)
-                at = c["e"]
-            parts.append(text[at:])
+            runs = runs_of(chunks or [], len(text), min_run)
+            edges = [0, *[x for run in runs for x in run], len(text)]
             sizes.append(len(text))
-            gone.append(removed)
-            spans.append(runs)
-            left.append(b"".join(parts))
+            gone.append(sum(b - a for a, b in runs))
+            spans.append(len(runs))
+            left.append(b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2])))
         arrays = [pa.array(x, pa.int64()) for x in (sizes, gone, spans)]
         return pa.RecordBatch.from_arrays([batch.column(0), *arrays, pa.array(left, pa.binary())], names=schema.names)
 
