@@ -1,8 +1,12 @@
 """Line dedup by content-defined chunks of lines, in DataFrame functions only.
 
 A rolling hash over the hashes of neighbouring lines chooses chunk boundaries, so an inserted line
-moves only the boundaries next to it. Chunks of several lines that occur elsewhere before, by
-(id, first line), are removed once their text has been compared with the first occurrence.
+moves only the boundaries next to it. Boundaries have two levels. At the coarse one, one line in
+EVERY ends a chunk, and chunks follow one another. At the fine one, every line is a boundary and a
+chunk reaches back over the WINDOW lines that the rolling hash sees there: no passage of that many
+lines is too short to hold one, wherever it begins and ends. Chunks of several lines that occur
+elsewhere before, by (id, first line), are removed once their text has been compared with the first
+occurrence; a repeated passage goes as the union of its chunks.
 """
 
 from __future__ import annotations
@@ -15,7 +19,6 @@ from normatile.llm.common import col, stored, whole_row
 EVERY = 3  # one line in so many ends a chunk, on average
 MOST = 32  # lines of a chunk at most
 WINDOW = 2  # lines that the rolling hash sees
-CHUNKS = "array<struct<s:int,e:int,h:bigint>>"
 
 
 def _line_hash(line: Column) -> Column:
@@ -32,7 +35,7 @@ def _text_of(lines: Column, start: Column, end: Column) -> Column:
 
 
 def with_chunks(docs: DataFrame, text: str, every: int = EVERY, most: int = MOST) -> DataFrame:
-    """Adds ``_lines`` and ``_chunks``: first and last line (from 0) of each chunk."""
+    """Adds ``_lines`` and ``_chunks``: first and last line (from 0) of each chunk of the coarse level."""
     df = docs.withColumn("_lines", F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1))
     df = df.withColumn("_hashes", F.transform("_lines", _line_hash))
     rolled = F.col("_hashes")
@@ -59,56 +62,80 @@ def with_chunks(docs: DataFrame, text: str, every: int = EVERY, most: int = MOST
     return df.withColumn("_chunks", F.flatten(short)).drop("_hashes", "_ends", "_last", "_cuts")
 
 
-def repeated_chunks(docs: DataFrame, id_col: str, text_col: str, min_lines: int, min_chars: int) -> DataFrame:
-    """``id, chunks``: for each document the chunks that occur earlier, texts compared."""
-    texts = docs.select(col(id_col).alias("id"), col(text_col).alias("_text"))
-    # explode_outer: chunks are never empty, and explode would have them computed a second time as a filter.
-    chunked = with_chunks(texts, "_text").select("id", "_lines", F.explode_outer("_chunks").alias("c"))
-    chunked = chunked.where(F.col("c.e") - F.col("c.s") + 1 >= min_lines)
-    text = _text_of(F.col("_lines"), F.col("c.s"), F.col("c.e"))
-    chunked = chunked.withColumn("_t", text).where((F.length("_t") >= min_chars) & F.col("id").isNotNull())
-    narrow = stored(chunked.select("id", F.col("c.s").alias("s"), F.col("c.e").alias("e"), F.xxhash64("_t").alias("h")), "line-chunks")
-    first = narrow.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("id", "s")).alias("f")).where("n > 1").drop("n")
-    # Occurrences on the left: a hot chunk is split over tasks, its one row on the right is copied.
-    marked = narrow.join(first, "h").select("id", "s", "e", "h", (F.struct("id", "s") == F.col("f")).alias("first"))
-    lists = marked.groupBy("id").agg(F.collect_set(F.struct("s", "e", "h", "first")).alias("c"))
-    found = texts.join(lists, "id").select("id", F.split(F.coalesce("_text", F.lit("")), "\n", -1).alias("_lines"), F.explode("c").alias("c"))
-    found = found.select("id", "c.*", _text_of(F.col("_lines"), F.col("c.s"), F.col("c.e")).alias("t"))
-    found = stored(found, "line-texts")
-    kept = found.where("first").select(F.col("h").alias("_h"), F.col("t").alias("_first")).groupBy("_h").agg(F.min("_first").alias("_first"))
+def _fine(lines: Column) -> Column:
+    """The chunks of the fine level: every line with the WINDOW - 1 lines before it."""
+    ends = F.when(F.size(lines) >= WINDOW, F.sequence(F.lit(WINDOW - 1), F.size(lines) - 1)).otherwise(F.array().cast("array<int>"))
+    return F.transform(ends, lambda e: F.struct((e - (WINDOW - 1)).alias("s"), e.alias("e")))
+
+
+def _with_text(chunks: Column, lines: Column, *more: str) -> Column:
+    """The chunks with their texts, made before rows are multiplied: no row carries its whole document along."""
+    return F.transform(chunks, lambda c: F.struct(c["s"].alias("s"), c["e"].alias("e"), *[c[m].alias(m) for m in more], _text_of(lines, c["s"], c["e"]).alias("t")))
+
+
+def _lines_of(text: Column) -> Column:
+    return F.split(F.coalesce(text, F.lit("")), "\n", -1)
+
+
+def repeated_lines(docs: DataFrame, id_col: str, text_col: str, min_lines: int, min_chars: int) -> DataFrame:
+    """``id, version, gone``: for each document the lines (from 0) in chunks that occur earlier, texts compared.
+
+    ``version`` hashes the text: rows that repeat an id with another text are documents of their own.
+    """
+    texts = docs.select(col(id_col).alias("id"), col(text_col).alias("_text"), F.xxhash64(col(text_col)).alias("version")).where("id is not null")
+    coarse = F.filter("_chunks", lambda c: c["e"] - c["s"] >= WINDOW)  # shorter ones are chunks of the fine level
+    chunked = with_chunks(texts, "_text").withColumn("_all", F.concat(_fine(F.col("_lines")), coarse))
+    hashed = F.transform(
+        _with_text(F.col("_all"), F.col("_lines")),
+        lambda c: F.struct(c["s"].alias("s"), c["e"].alias("e"), F.xxhash64(c["t"]).alias("h"), F.length(c["t"]).alias("n")),
+    )
+    long = F.filter(hashed, lambda c: (c["n"] >= min_chars) & (c["e"] - c["s"] + 1 >= min_lines))
+    # explode_outer: explode would have the chunks computed a second time as a filter.
+    rows = chunked.select("id", "version", F.explode_outer(long).alias("c")).where("c is not null")
+    narrow = stored(rows.select("id", "version", "c.s", "c.e", "c.h"), "line-chunks")
+    first = narrow.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("id", "version", "s")).alias("f")).where("n > 1").drop("n")
+    # Both sides are stored tables, occurrences on the left: a hot chunk is split over tasks, its one row on the right is copied.
+    first = stored(first, "line-first")
+    marked = narrow.join(first, "h").select("id", "version", "s", "e", "h", (F.struct("id", "version", "s") == F.col("f")).alias("first"))
+    lists = marked.groupBy("id", "version").agg(F.collect_set(F.struct("s", "e", "h", "first")).alias("c"))
+    one = texts.join(lists, ["id", "version"]).dropDuplicates(["id", "version"])
+    found = one.select("id", "version", F.explode(_with_text(F.col("c"), _lines_of(F.col("_text")), "h", "first")).alias("c"))
+    found = stored(found.select("id", "version", "c.*"), "line-texts")
+    kept = stored(found.where("first").select(F.col("h").alias("_h"), F.col("t").alias("_first")), "line-originals")
     same = found.where("not first").join(kept, (F.col("h") == F.col("_h")) & (F.col("t") == F.col("_first")))
-    return stored(same.groupBy("id").agg(F.sort_array(F.collect_set(F.struct("s", "e"))).alias("removed")), "line-removed")
+    chunks = same.groupBy("id", "version").agg(F.collect_set(F.struct("s", "e")).alias("c"))
+    gone = F.array_sort(F.array_distinct(F.flatten(F.transform("c", lambda c: F.sequence(c["s"], c["e"])))))
+    return stored(chunks.select("id", "version", gone.alias("gone")), "line-removed")
 
 
 def dedup_lines(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = 2, min_chars: int = 32
 ) -> DataFrame:
-    """``row, n_lines, n_removed_lines, n_removed_chunks, text`` of every row: ``row`` holds all its columns, ``text`` what is left.
+    """``row, n_lines, n_removed_lines, n_removed_runs, text`` of every row: ``row`` holds all its columns, ``text`` what is left.
 
-    A chunk of at least ``min_lines`` lines and ``min_chars`` characters is removed if the same text is
-    a chunk of a smaller id, or stands earlier in the same document. Lines left are joined by newlines
-    again; nothing left gives the empty text.
+    A line is removed if it lies in a chunk of at least ``min_lines`` lines and ``min_chars`` characters whose
+    text is a chunk of a smaller id too, or stands earlier in the same document; so every run of two lines
+    (with that many characters) that stands earlier goes, and a single repeated line stays. Lines left are
+    joined by newlines again; nothing left gives the empty text.
 
-    A null text is one empty line and stays null. Rows with a null id stay as they are. Rows that
-    repeat an id count as one document: they get the same chunks removed, and none because of each other. An empty table
-    gives an empty result. Memory: the longest document in a task, and the list of its chunks.
+    A null text is one empty line and stays null. Rows with a null id stay as they are. Rows that repeat an
+    id and text count as one document: they get the same lines removed, and none because of each other;
+    with another text they are documents of their own. An empty table gives an empty result. Memory: the
+    longest document in a task, its chunks, and their texts.
     """
-    removed = repeated_chunks(docs, id_col, text_col, min_lines, min_chars)
-    packed = docs.select(whole_row(docs).alias("row"), col(id_col).alias("_id"), col(text_col).alias("_text"))
-    joined = packed.join(removed.select(F.col("id").alias("_key"), "removed"), F.col("_id") == F.col("_key"), "left")
-    lines = F.split(F.coalesce("_text", F.lit("")), "\n", -1)
-    joined = joined.select("row", "_text", lines.alias("_lines"), F.coalesce("removed", F.array().cast("array<struct<s:int,e:int>>")).alias("_gone"))
-    # What lies between the removed chunks.
-    starts = F.concat(F.array(F.lit(0)), F.transform("_gone", lambda g: g["e"] + 1))
-    stops = F.concat(F.transform("_gone", lambda g: g["s"]), F.array(F.size("_lines")))
-    between = F.filter(F.zip_with(starts, stops, lambda a, b: F.struct(a.alias("a"), b.alias("b"))), lambda x: x["b"] > x["a"])
-    kept = F.array_join(F.transform(between, lambda x: F.array_join(F.slice("_lines", x["a"] + 1, x["b"] - x["a"]), "\n")), "\n")
-    gone = F.aggregate("_gone", F.lit(0).cast("long"), lambda n, g: n + (g["e"] - g["s"] + 1))
+    removed = repeated_lines(docs, id_col, text_col, min_lines, min_chars)
+    packed = docs.select(whole_row(docs).alias("row"), col(id_col).alias("_id"), col(text_col).alias("_text"), F.xxhash64(col(text_col)).alias("_version"))
+    removed = removed.select(F.col("id").alias("_key"), F.col("version").alias("_of"), "gone")
+    joined = packed.join(removed, (F.col("_id") == F.col("_key")) & (F.col("_version") == F.col("_of")), "left")
+    joined = joined.select("row", "_text", _lines_of(F.col("_text")).alias("_lines"), F.coalesce("gone", F.array().cast("array<int>")).alias("_gone"))
+    left = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "_gone")
+    kept = F.array_join(F.transform(left, lambda i: F.get("_lines", i)), "\n")
+    runs = F.size("_gone") - F.size(F.array_intersect("_gone", F.transform("_gone", lambda i: i + 1)))
     return joined.select(
         "row",
         F.size("_lines").cast("long").alias("n_lines"),
-        gone.alias("n_removed_lines"),
-        F.size("_gone").cast("long").alias("n_removed_chunks"),
+        F.size("_gone").cast("long").alias("n_removed_lines"),
+        runs.cast("long").alias("n_removed_runs"),
         F.when(F.col("_text").isNull(), F.lit(None)).when(F.size("_gone") == 0, F.col("_text")).otherwise(kept).alias("text"),
     )
 
@@ -122,6 +149,6 @@ def without_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: st
         if c == text_col:
             value = F.col("text")
         elif c == chars_col:
-            value = F.when(F.col("n_removed_chunks") > 0, F.length("text").cast(docs.schema[c].dataType)).otherwise(value)
+            value = F.when(F.col("n_removed_lines") > 0, F.length("text").cast(docs.schema[c].dataType)).otherwise(value)
         out.append(value.alias(c))
     return done.select(*out)

@@ -30,7 +30,7 @@ def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 @query("op1_substring_dedup")
 def op1(spark: SparkSession, sf: str) -> DataFrame:
-    out = substring_dedup.dedup_substrings(_table(spark, sf, "documents"), rests=True)
+    out = substring_dedup.dedup_substrings(_table(spark, sf, "documents"))
     return out.withColumn("kept_sha256", F.sha2("kept", 256))
 
 
@@ -60,19 +60,22 @@ k AS (
 ),
 m AS (SELECT *, (i - min(i) OVER (PARTITION BY doc_id, piece)) // 32 AS part FROM k),
 chunks AS (
-  SELECT doc_id, piece, part, min(i) AS s, count(*) AS n_lines, string_agg(line, chr(10) ORDER BY i) AS chunk FROM m GROUP BY ALL
+  SELECT doc_id, min(i) AS s, max(i) AS e, string_agg(line, chr(10) ORDER BY i) AS chunk FROM m GROUP BY doc_id, piece, part HAVING count(*) >= 3
+  UNION ALL
+  SELECT doc_id, i, i + 1, line || chr(10) || next FROM (SELECT *, lead(line) OVER (PARTITION BY doc_id ORDER BY i) AS next FROM l) WHERE i < n - 1
 ),
-gone AS (
-  SELECT doc_id, piece, part, n_lines FROM chunks WHERE n_lines >= 2 AND length(chunk) >= 32
-  QUALIFY row_number() OVER (PARTITION BY chunk ORDER BY doc_id, s) > 1
+again AS (
+  SELECT doc_id, s, e FROM chunks WHERE length(chunk) >= 32 QUALIFY row_number() OVER (PARTITION BY chunk ORDER BY doc_id, s) > 1
 ),
-sums AS (SELECT doc_id, sum(n_lines)::BIGINT AS n_removed_lines, count(*) AS n_removed_chunks FROM gone GROUP BY doc_id),
-kept AS (
-  SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS text FROM m ANTI JOIN gone USING (doc_id, piece, part) GROUP BY doc_id
+gone AS MATERIALIZED (SELECT DISTINCT doc_id, i FROM again, unnest(range(s, e + 1)) AS u(i)),
+sums AS (
+  SELECT doc_id, count(*) AS n_removed_lines, count(*) FILTER (opens) AS n_removed_runs
+  FROM (SELECT *, coalesce(i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 1, true) AS opens FROM gone) GROUP BY doc_id
 ),
+kept AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS text FROM l ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id),
 o AS (
   SELECT t.doc_id, len(t.lines) AS n_lines, coalesce(n_removed_lines, 0) AS n_removed_lines,
-    coalesce(n_removed_chunks, 0) AS n_removed_chunks, CASE WHEN t.text IS NOT NULL THEN coalesce(kept.text, '') END AS text
+    coalesce(n_removed_runs, 0) AS n_removed_runs, CASE WHEN t.text IS NOT NULL THEN coalesce(kept.text, '') END AS text
   FROM t LEFT JOIN sums USING (doc_id) LEFT JOIN kept USING (doc_id)
 )
 SELECT *, sha256(coalesce(text, '')) AS kept_sha256 FROM o
@@ -83,7 +86,7 @@ SELECT *, sha256(coalesce(text, '')) AS kept_sha256 FROM o
 def op3(spark: SparkSession, sf: str) -> DataFrame:
     out = line_dedup.dedup_lines(_table(spark, sf, "documents"))
     return out.select(
-        "row.doc_id", "n_lines", "n_removed_lines", "n_removed_chunks", "text", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256")
+        "row.doc_id", "n_lines", "n_removed_lines", "n_removed_runs", "text", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256")
     )
 
 
@@ -198,7 +201,9 @@ def op8(spark: SparkSession, sf: str) -> DataFrame:
 def op6(spark: SparkSession, sf: str) -> DataFrame:
     found = pii.find_personal(_table(spark, sf, "documents"))
     counts = [F.size(F.filter("base", _is(k))).cast("long").alias(f"n_{k}") for k in ("email", "ip", "card", "phone")]
-    return found.select("doc_id", *counts, F.sha2(pii.joined(F.col("base")), 256).alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"))
+    added = [F.size(F.filter("spans", _is(k))).cast("long").alias(f"n_{k}") for k in ("secret", "number", "contact")]
+    joined = [F.sha2(pii.joined(F.col("base")), 256).alias("base_sha256"), pii.joined(F.col("spans")).alias("spans")]
+    return found.select("doc_id", *counts, *joined, *added)
 
 
 def _is(kind: str):
@@ -271,7 +276,8 @@ def op12(spark: SparkSession, sf: str) -> DataFrame:
 OP13_SQL = r"""
 WITH t AS (
   SELECT doc_id, coalesce(text, '') AS text, coalesce(lang, '') AS part,
-    regexp_extract_all(coalesce(text, ''), '[^ 	-]+') AS w FROM documents
+    regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+') AS w FROM documents
 ),
 f AS MATERIALIZED (
   SELECT doc_id, part, (len(w) < 200)::INT AS a, (100 * len(list_distinct(w)) < 50 * len(w))::INT AS b,
