@@ -6,9 +6,10 @@ row are a band; sets that share a band are candidates. The similarity of two can
 by maximum likelihood from how many registers are greater, equal and less, and what may reach the
 threshold is verified on the full shingle sets.
 
-Equal sets are one node. Inside a bucket nobody is compared with everybody: in a few star rounds each
-node meets one pivot, groups grow together, and only nodes of different groups that still share a
-bucket are compared at last, block against block inside the tasks.
+Equal sets are one node, named by the digest of the set. Inside a bucket nobody is compared with
+everybody: in a few star rounds each node meets one pivot and groups grow together. At last, where a
+bucket still holds several groups, the nodes outside its largest group are compared with the others,
+block against block inside the tasks; the largest group's nodes are not compared with each other.
 """
 
 from __future__ import annotations
@@ -121,9 +122,9 @@ def _compare(ra: np.ndarray, rb: np.ndarray, na, nb) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str, width: int, batch_bytes: int) -> DataFrame:
-    """``id, n, digest, regs``: set size, 128-bit digest of the set and registers of every text."""
-    rows = docs.select(col(id_col).alias("id"), col(text_col).alias("text"))
-    schema = schema_after(rows, ["id"], "n long, digest binary, regs binary")
+    """``id, version, n, digest, regs``: hash of the text, set size, 128-bit digest of the set and registers of every text."""
+    rows = docs.select(col(id_col).alias("id"), col(text_col).alias("text"), F.xxhash64(col(text_col)).alias("version"))
+    schema = schema_after(rows, ["id", "version"], "n long, digest binary, regs binary")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = [shingles(t, width) for t in binary(batch.column(1)).to_pylist()]
@@ -132,7 +133,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, width: int, batch_byte
             pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
             pa.array([registers(s).tobytes() if len(s) else b"" for s in sets], pa.binary()),
         ]
-        return pa.RecordBatch.from_arrays([batch.column(0), *arrays], names=schema.names)
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *arrays], names=schema.names)
 
     return arrow_map(rows, run, schema, batch_bytes)
 
@@ -219,14 +220,18 @@ def components(labels: DataFrame, links: DataFrame) -> DataFrame:
     return stored(out, "near-labels")
 
 
-def _block_links(n: np.ndarray, comp: np.ndarray, regs: np.ndarray, sets: list[np.ndarray], left, right, band: int, percent: int) -> list[tuple[int, int]]:
-    """Verified links between nodes of different components of two blocks that connect something new.
+def _block_links(
+    n: np.ndarray, comp: np.ndarray, regs: np.ndarray, sets: list[np.ndarray], rank: np.ndarray, left: np.ndarray, minor: np.ndarray, band: int, percent: int
+) -> list[tuple[int, int]]:
+    """Verified links that connect something new between the ``left`` nodes of a unit and its others.
 
-    A pair is looked at in the first bucket that it shares. Pairs that links have already connected
-    are passed over, so a block gives fewer links than it has nodes.
+    All left nodes are minor (outside the bucket's largest component); two minor nodes meet in two
+    units and are looked at in the one where the left has the smaller ``rank``. A pair is looked at in the
+    first bucket that it shares. Pairs that links have already connected are passed over, so a unit
+    gives fewer links than it has nodes.
     """
-    parent = np.arange(len(n))
-    parent = np.array([np.flatnonzero(comp == c)[0] for c in comp]) if len(n) else parent
+    _, first = np.unique(comp, return_index=True)
+    parent = first[np.searchsorted(comp[first], comp)] if len(n) else comp
 
     def root(k: int) -> int:
         while parent[k] != k:
@@ -234,12 +239,11 @@ def _block_links(n: np.ndarray, comp: np.ndarray, regs: np.ndarray, sets: list[n
             k = parent[k]
         return int(k)
 
-    one = len(left) == len(right) == len(n)  # a block against itself
     links = []
     bands = regs.reshape(len(n), BANDS, ROWS)
-    for x in left.tolist():
-        y = right[comp[right] != comp[x]]
-        y = y[y > x] if one else y
+    right = np.flatnonzero(~left)
+    for x in np.flatnonzero(left).tolist():
+        y = right[(comp[right] != comp[x]) & (~minor[right] | (rank[right] > rank[x]))]
         y = y[100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y])]
         if not len(y):
             continue
@@ -257,17 +261,38 @@ def _block_links(n: np.ndarray, comp: np.ndarray, regs: np.ndarray, sets: list[n
 
 
 def _cross_links(rows: DataFrame, reps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between different components inside buckets, compared block against block.
+    """Links (a, b) between different components inside buckets.
 
-    ``rows``: key, band, id, comp and the bucket's number of ``blocks``; a task holds two blocks of
-    BLOCK nodes or BLOCK_SHINGLES shingles at a time, however large the bucket.
+    ``rows``: key, band, id, comp, n of every node in every bucket. A task holds a block of minor nodes and
+    a block of the bucket's nodes at a time, BLOCK nodes or BLOCK_SHINGLES shingles each, however large
+    the bucket. Of buckets with the same members only the one of the lowest band is opened: no pair
+    could share another one first.
     """
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
-    rows = rows.join(reps.select("id", "n", "regs").join(sets, "id"), "id")
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    node = F.struct("id", "comp", "n", "regs", "s", (F.col("block") <= F.col("other")).alias("left"), (F.col("block") >= F.col("other")).alias("right"))
-    units = rows.groupBy("key", "band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).agg(F.collect_list(node).alias("nodes"))
-    units = units.where(F.size("nodes") > 1).select("band", "nodes")
+    members = [F.bit_xor(F.xxhash64("id", F.lit(k))).alias(f"x{k}") for k in (1, 2)]
+    groups = rows.groupBy("key", "band", "comp").agg(F.count("*").alias("c"), F.sum("n").alias("s"), *members)
+    whole = groups.groupBy("key", "band").agg(
+        F.max(F.struct("c", "s", "comp")).alias("major"), F.sum("c").alias("c"), F.sum("s").alias("s"), F.count("*").alias("comps"),
+        *[F.bit_xor(f"x{k}").alias(f"x{k}") for k in (1, 2)],
+    ).where("comps > 1")
+    once = whole.groupBy("x1", "x2", "c", "s", "major").agg(F.min(F.struct("band", "key")).alias("b"))
+
+    def blocks(count, size):
+        return F.ceil(F.greatest(count / BLOCK, size / BLOCK_SHINGLES))
+
+    mixed = once.select(
+        "b.key", F.col("major.comp").alias("major"), blocks(F.col("c"), F.col("s")).alias("blocks"),
+        blocks(F.col("c") - F.col("major.c"), F.col("s") - F.col("major.s")).alias("minors"),
+    )
+    mixed = stored(mixed, "near-mixed")
+    open_ = rows.select("key", "band", "id", "comp").join(mixed, "key").withColumn("minor", F.col("comp") != F.col("major"))
+    open_ = open_.join(reps.select("id", "n", "regs").join(sets, "id"), "id")
+    number = F.xxhash64("id", F.lit(3))
+    every = lambda count: F.explode(F.sequence(F.lit(0).cast("long"), F.col(count) - 1))
+    node = F.struct("id", "comp", "n", "regs", "s", "minor", "left")
+    right = open_.select("*", F.lit(False).alias("left"), F.pmod(number, F.col("blocks")).alias("j"), every("minors").alias("i"))
+    left = open_.where("minor").select("*", F.lit(True).alias("left"), every("blocks").alias("j"), F.pmod(number, F.col("minors")).alias("i"))
+    units = right.unionByName(left).groupBy("key", "band", "i", "j").agg(F.collect_list(node).alias("nodes"), F.max("left").alias("any"))
+    units = units.where("any").select("band", "nodes")
     schema = schema_after(reps.select(F.col("id").alias("a"), F.col("id").alias("b")), ["a", "b"], "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -276,10 +301,11 @@ def _cross_links(rows: DataFrame, reps: DataFrame, sets: DataFrame, percent: int
                 nodes = batch.column(1)[k].values
                 ids, n = nodes.field("id"), nodes.field("n").to_numpy(zero_copy_only=False)
                 comp = nodes.field("comp").dictionary_encode().indices.to_numpy()
+                rank = np.argsort(np.argsort(np.array(ids.to_pylist(), object), kind="stable"), kind="stable")
                 regs = np.frombuffer(b"".join(nodes.field("regs").to_pylist()), np.uint16).reshape(-1, REGISTERS)
                 full = [x.values.to_numpy() for x in nodes.field("s")]
-                left, right = (np.flatnonzero(nodes.field(f).to_numpy(zero_copy_only=False)) for f in ("left", "right"))
-                links = _block_links(n, comp, regs, full, left, right, batch.column(0)[k].as_py(), percent)
+                left, minor = (nodes.field(f).to_numpy(zero_copy_only=False) for f in ("left", "minor"))
+                links = _block_links(n, comp, regs, full, rank, left, minor, batch.column(0)[k].as_py(), percent)
                 if links:
                     a, b = (pa.array(x, pa.int64()) for x in zip(*links))
                     yield pa.RecordBatch.from_arrays([ids.take(a), ids.take(b)], names=schema.names)
@@ -287,6 +313,57 @@ def _cross_links(rows: DataFrame, reps: DataFrame, sets: DataFrame, percent: int
     return units.mapInArrow(run, schema)
 
 
+def _groups(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, batch_bytes: int) -> DataFrame:
+    """``near_duplicates`` with ``version``, the hash of each row's text."""
+    least = percent / 100
+    made = stored(sketches(docs, id_col, text_col, width, batch_bytes), "near-sketches")
+    # A node is a set of shingles, whatever rows have it: one id may name several texts.
+    nodes = made.where("n > 0 and id is not null").groupBy(F.col("digest").alias("node")).agg(F.min(F.struct("id", "n", "regs")).alias("r"))
+    nodes = stored(nodes.select(F.col("node").alias("id"), F.col("r.id").alias("rep"), "r.n", "r.regs"), "near-nodes")
+
+    bands = _band_rows(nodes)
+    shared = bands.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    buckets = bands.join(shared, "key")
+    # A node that shares large buckets stands in the middle of a group: a good pivot.
+    listed = buckets.groupBy("id").agg(F.sum("size").alias("weight"), F.collect_list(F.struct("key", "band")).alias("keys"))
+    reps = stored(nodes.join(listed, "id"), "near-reps")
+    labels = reps.select("id", F.col("id").alias("comp"))
+
+    texts = docs.select(col(id_col).alias("id"), col(text_col).alias("text")).join(reps.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
+    schema = schema_after(made.select(F.col("digest").alias("id")), ["id"], "s array<bigint>")
+
+    def full(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets = [shingles(t, width) for t in binary(batch.column(1)).to_pylist()]
+        digests = pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary())
+        return pa.RecordBatch.from_arrays([digests, pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=schema.names)
+
+    sets = stored(arrow_map(texts, full, schema, batch_bytes).dropDuplicates(["id"]), "near-sets")
+
+    def placed(labels: DataFrame) -> DataFrame:
+        """A row for every bucket of every node; a node travels once, and its buckets are written out behind the join."""
+        return reps.select("id", "n", "weight", "keys").join(labels, "id").select("id", "n", "weight", "comp", F.inline("keys"))
+
+    for turn in range(STARS):
+        rows = placed(labels)
+        worth = F.xxhash64("id", F.lit(turn)) if turn else F.col("weight")
+        pivot = F.max(F.struct(worth.alias("w"), "id", "comp"))
+        mixed = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), pivot.alias("pivot")).where("lo <> hi")
+        meets = rows.join(mixed, "key").where(F.col("comp") != F.col("pivot.comp"))
+        pairs = meets.groupBy("id").agg(F.max("pivot").alias("p")).select(F.col("p.id").alias("a"), F.col("id").alias("b"))
+        labels = components(labels, _verified(stored(_likely(pairs, reps, least), "near-likely"), sets, percent))
+    rows = placed(labels).select("key", "band", "id", "comp", "n")
+    labels = components(labels, stored(_cross_links(rows, reps, sets, percent), "near-links"))
+
+    named = labels.join(reps.select("id", "rep"), "id")
+    smallest = named.groupBy("comp").agg(F.min("rep").alias("least"))
+    named = named.join(smallest, "comp").select(F.col("id").alias("_node"), "least")
+    place = nodes.join(named, F.col("id") == F.col("_node"), "left").select(F.col("id").alias("_node"), F.coalesce("least", "rep").alias("least"))
+    out = made.join(stored(place, "near-places"), F.col("digest") == F.col("_node"), "left")
+    component = F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("least")).otherwise(F.col("id"))
+    out = out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), "version")
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -305,61 +382,19 @@ def near_duplicates(
     A pair at 80 % shares no band with probability below 1e-10; any pair that shares one is verified
     unless it is already connected or its estimate lies five standard errors below.
     Null texts and texts without words have no shingles, are linked with nothing and kept. A null id is
-    kept and never linked. Rows that repeat an id and text get the same result each; ids are expected to name one text. An empty table
-    gives an empty result; other columns are not read.
+    kept and never linked. Rows that repeat an id and text get the same result each; an id with several
+    texts has a result for each of them. An empty table gives an empty result; other columns are not read.
     """
-    least = percent / 100
-    made = stored(sketches(docs, id_col, text_col, width, batch_bytes), "near-sketches")
-    classes = made.where("n > 0 and id is not null").groupBy("digest").agg(F.min("id").alias("rep"))
-    classes = stored(classes, "near-classes")
-    one = classes.groupBy(F.col("rep").alias("id")).agg(F.min("digest").alias("digest"))
-    reps = stored(made.join(one, ["id", "digest"]).dropDuplicates(["id"]).select("id", "n", "regs"), "near-reps")
-
-    bands = _band_rows(reps)
-    shared = bands.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    buckets = stored(bands.join(shared, "key"), "near-buckets")
-    # A node that shares large buckets stands in the middle of a group: a good pivot.
-    nodes = stored(buckets.groupBy("id").agg(F.sum("size").alias("weight")), "near-weights")
-    reps = stored(reps.join(nodes, "id"), "near-nodes")
-    labels = reps.select("id", "n", "weight", F.col("id").alias("comp"))
-
-    texts = docs.select(col(id_col).alias("id"), col(text_col).alias("text")).join(nodes.select("id"), "id", "left_semi")
-    schema = schema_after(texts, ["id"], "s array<bigint>")
-
-    def full(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [shingles(t, width).view(np.int64) for t in binary(batch.column(1)).to_pylist()]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=schema.names)
-
-    sets = stored(arrow_map(texts, full, schema, batch_bytes).dropDuplicates(["id"]), "near-sets")
-
-    seen = stored(buckets.drop("size").join(labels, "id"), "near-seen")
-    turn, wide = 0, 0
-    while turn < STARS and (turn == 0 or wide > BLOCK):  # small buckets need no more stars
-        worth = F.xxhash64("id", F.lit(turn)) if turn else F.col("weight")
-        pivot = F.max(F.struct(worth.alias("w"), "id", "comp"))
-        mixed = seen.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), pivot.alias("pivot")).where("lo <> hi")
-        meets = seen.join(mixed, "key").where(F.col("comp") != F.col("pivot.comp"))
-        pairs = meets.groupBy("id").agg(F.max("pivot").alias("p")).select(F.col("p.id").alias("a"), F.col("id").alias("b"))
-        labels = components(labels, _verified(stored(_likely(pairs, reps, least), "near-likely"), sets, percent))
-        now = stored(seen.drop("comp").join(labels.select("id", "comp"), "id"), "near-seen")
-        blocks = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).alias("blocks")
-        mixed = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size"), blocks).where("lo <> hi")
-        mixed = stored(mixed.select("key", "size", "blocks"), "near-mixed")
-        # Components only grow: a bucket that lies inside one is done.
-        seen = stored(now.join(mixed.select("key"), "key", "left_semi"), "near-open")
-        wide, turn = mixed.agg(F.max("size")).first()[0] or 0, turn + 1
-    rest = seen.join(mixed.select("key", "blocks"), "key").select("key", "band", "id", "comp", "blocks")
-    labels = components(labels, stored(_cross_links(rest, reps, sets, percent), "near-links"))
-
-    out = made.join(classes, "digest", "left").join(labels.select(F.col("id").alias("_id"), "comp"), F.col("rep") == F.col("_id"), "left")
-    component = F.when(F.col("n") > 0, F.coalesce("comp", "rep", "id")).otherwise(F.col("id"))
-    out = out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"))
-    out = out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    return _groups(docs, id_col, text_col, width, percent, batch_bytes).drop("version")
 
 
 def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with one document of each group, the smallest id; all columns, rows without an id kept."""
-    gone = near_duplicates(docs, id_col, text_col, **options).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    packed = docs.select(whole_row(docs).alias("_row"), col(id_col).alias("_id"))
-    return unpacked(packed.join(gone, F.col("_id") == F.col("_gone"), "left_anti"), "_row", docs)
+    """``docs`` with one document of each group, the smallest id; all columns, rows without an id kept.
+
+    Of an id with several texts only the texts go that are near duplicates of a smaller id's.
+    """
+    options = {"width": 5, "percent": 80, "batch_bytes": 2 << 20} | options
+    gone = _groups(docs, id_col, text_col, **options).where("not kept").select(F.col("doc_id").alias("_gone"), F.col("version").alias("_of")).distinct()
+    packed = docs.select(whole_row(docs).alias("_row"), col(id_col).alias("_id"), F.xxhash64(col(text_col)).alias("_version"))
+    left = packed.join(gone, (F.col("_id") == F.col("_gone")) & (F.col("_version") == F.col("_of")), "left_anti")
+    return unpacked(left, "_row", docs)

@@ -30,32 +30,75 @@ def test_chunks_cover_the_text_and_resist_shifts():
     assert substring_dedup.chunk_ends(b"", 5, 24, 512) == []
 
 
-def test_substrings_against_brute_force(spark):
-    texts = awkward(random.Random(3))
-    first, want = {}, []
-    pieces = {}
+def plain_substrings(texts, rests, min_run, bits=5, least=24, most=512):
+    """Chunk by chunk, byte by byte: what is left of every text."""
+    def cut(raw):
+        ends, start, h = [], 0, 0
+        for k, byte in enumerate(raw):
+            h = ((h << 1) + int(substring_dedup.GEAR[byte])) % (1 << 32)
+            size = k + 1 - start
+            if (h >> (32 - bits) == 0 and size >= least) or size == most or k + 1 == len(raw):
+                ends.append(k + 1)
+                start = k + 1
+        parts = list(zip([0, *ends], ends))
+        out = [(a, b) for a, b in parts if b - a >= least]
+        if rests and len(out) < len(parts):
+            out.append((parts[max(0, len(parts) - 2)][0], len(raw)))
+        return out
+
+    first, parts = {}, {}
     for i, t in {(i, t) for i, t in texts if i is not None}:
         raw = (t or "").encode()
-        ends = substring_dedup.chunk_ends(raw, 5, 24, 512)
-        pieces[i] = [(a, b, raw[a:b]) for a, b in zip([0, *ends], ends)]
-        for a, b, piece in pieces[i]:
-            if b - a >= 24:
-                first[piece] = min(first.get(piece, (i, a)), (i, a))
+        parts[i, t] = [(a, b, raw[a:b]) for a, b in cut(raw)]
+        for a, _, piece in parts[i, t]:
+            first[piece] = min(first.get(piece, (i, a)), (i, a))
+    want = []
     for i, t in texts:
         raw = (t or "").encode()
-        kept = [p for a, b, p in pieces.get(i, [(0, len(raw), raw)]) if i is None or b - a < 24 or first[p] == (i, a)]
-        want.append((i, len(raw), len(raw) - len(b"".join(kept)), hashlib.sha256(b"".join(kept)).hexdigest()))
-    got = [(r.doc_id, r.n_bytes, r.n_removed, hashlib.sha256(r.kept).hexdigest()) for r in substring_dedup.dedup_substrings(docs(spark, texts)).collect()]
-    assert sorted(got, key=repr) == sorted(want, key=repr)
+        gone = np.zeros(len(raw) + 2, bool)
+        for a, b, piece in parts.get((i, t), []) if i is not None else []:
+            if first[piece] != (i, a):
+                gone[a + 1 : b + 1] = True
+        edges = np.flatnonzero(np.diff(gone.astype(int))).reshape(-1, 2).tolist()
+        runs = [(a, b) for a, b in edges if b - a >= min_run or b - a == len(raw)]
+        keep = np.ones(len(raw), bool)
+        for a, b in runs:
+            keep[a:b] = False
+        left = bytes(np.frombuffer(raw, np.uint8)[keep])
+        want.append((i, len(raw), len(raw) - len(left), len(runs), hashlib.sha256(left).hexdigest()))
+    return sorted(want, key=repr)
+
+
+@pytest.mark.parametrize("rests,min_run", [(True, 128), (True, 1), (False, 60)])
+def test_substrings_against_brute_force(spark, rests, min_run):
+    rng = random.Random(3)
+    texts = awkward(rng)
+    passages = [prose(rng, n) for n in (10, 25, 60, 120)]
+    texts += [(100 + i, prose(rng, rng.randint(0, 40)) + rng.choice(passages) + prose(rng, rng.randint(0, 40))) for i in range(40)]
+    out = substring_dedup.dedup_substrings(docs(spark, texts), rests=rests, min_run=min_run).collect()
+    got = [(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in out]
+    assert sorted(got, key=repr) == plain_substrings(texts, rests, min_run)
     assert substring_dedup.dedup_substrings(docs(spark, [])).count() == 0
 
 
-def test_a_passage_inside_other_text_is_found(spark):
+def test_a_passage_inside_other_text_is_found_and_short_repeats_stay(spark):
     rng = random.Random(4)
-    passage = prose(rng, 60)
+    passage, phrase = prose(rng, 60), " a turn of phrase that many a writer uses now and again "
     texts = [(i, prose(rng, 50) + " " + passage + " " + prose(rng, 50)) for i in range(2)] + [(9, prose(rng, 150))]
+    texts += [(20 + i, prose(rng, 40) + phrase + prose(rng, 40)) for i in range(20)]
     got = {r.doc_id: r.n_removed for r in substring_dedup.dedup_substrings(docs(spark, texts)).collect()}
     assert got[0] == 0 and got[1] > 0.5 * len(passage) and got[9] == 0
+    assert all(got[20 + i] == 0 for i in range(20))
+
+
+def test_an_id_with_two_texts_is_two_documents(spark):
+    rng = random.Random(15)
+    a, b = prose(rng, 80), prose(rng, 90)
+    texts = [(1, a), (1, b), (1, b), (2, b), (3, a)]
+    got = sorted((r.doc_id, r.n_bytes, r.n_removed) for r in substring_dedup.dedup_substrings(docs(spark, texts)).collect())
+    assert got == sorted([(1, len(a), 0), (1, len(b), 0), (1, len(b), 0), (2, len(b), len(b)), (3, len(a), len(a))])
+    cut = sorted((r.row.doc_id, r.text) for r in line_dedup.dedup_lines(docs(spark, texts)).collect())
+    assert cut == sorted([(1, a), (1, b), (1, b), (2, ""), (3, "")])
 
 
 def test_exact_copies_leave_nothing(spark):
@@ -64,10 +107,10 @@ def test_exact_copies_leave_nothing(spark):
     texts = [(k * 1000 + i, t) for k in range(3) for i, t in enumerate(whole)]
     start = whole[50][:-5]  # the start of an earlier text ends in a rest that is no end there
     texts += [(5000, start), (5001, start), (5002, "one more"), (5003, ""), (None, "one")]
-    done = substring_dedup.dedup_substrings(docs(spark, texts), rests=True).collect()
+    done = substring_dedup.dedup_substrings(docs(spark, texts)).collect()
     got = {r.doc_id: bytes(r.kept).decode() for r in done}
     assert all(got[i] == (t if i < 1000 else "") for i, t in texts if i is not None and i < 5000)
-    plain = {r.doc_id: r for r in substring_dedup.dedup_substrings(docs(spark, texts)).collect()}
+    plain = {r.doc_id: r for r in substring_dedup.dedup_substrings(docs(spark, texts), rests=False).collect()}
     assert all(r.n_removed >= plain[r.doc_id].n_removed and r.n_removed == r.n_bytes - len(r.kept) for r in done)
     assert 0 < len(got[5000]) < len(start) and got[5001] == "" and got[5002] == "one more" and got[None] == "one"
     assert all(r.n_spans == 1 for r in done if r.doc_id is not None and r.n_bytes and 1000 <= r.doc_id < 5000)
@@ -146,31 +189,60 @@ def test_interval_tree_gives_all_maximal_repeats():
 
 
 def plain_lines(texts):
+    """Lines in runs of two lines, or in coarse chunks, that stand earlier; rows of one id and text are one document."""
     chunks, first = {}, {}
     for i, t in {(i, t) for i, t in texts if i is not None}:
         lines = (t or "").split("\n")
         h = [int(hashlib.md5(x.encode()).hexdigest()[:14], 16) for x in lines]
         ends = [(h[k] ^ ((h[k - 1] if k else 0) << 1)) % 3 == 0 for k in range(len(h))]
-        out, start = [], 0
+        out, start = [(k, k + 1) for k in range(len(lines) - 1)], 0
         for k in range(len(lines)):
             if k == len(lines) - 1 or (ends[k] and not (k and ends[k - 1])):
                 out += [(a, min(k, a + 31)) for a in range(start, k + 1, 32)]
                 start = k + 1
-        chunks[i] = [(a, b, "\n".join(lines[a : b + 1])) for a, b in out]
-        for a, b, text in chunks[i]:
-            if b > a and len(text) >= 32:
-                first[text] = min(first.get(text, (i, a)), (i, a))
+        chunks[i, t] = [(a, b, "\n".join(lines[a : b + 1])) for a, b in out if b > a]
+        for a, _, text in chunks[i, t]:
+            if len(text) >= 32:
+                first.setdefault(text, []).append((i, a, t))
     want = []
     for i, t in texts:
         if i is None:
             want.append((i, t, 0))
             continue
-        gone = [(a, b) for a, b, x in chunks[i] if x in first and b > a and first[x] != (i, a)]
-        kept = [x for a, b, x in chunks[i] if (a, b) not in gone]
-        want.append((i, None if t is None else "\n".join(kept), sum(b - a + 1 for a, b in gone)))
+        gone = {k for a, b, x in chunks[i, t] if len(x) >= 32 and min(f[:2] for f in first[x]) < (i, a) for k in range(a, b + 1)}
+        kept = [x for k, x in enumerate((t or "").split("\n")) if k not in gone]
+        want.append((i, None if t is None else "\n".join(kept), len(gone)))
     return sorted(want, key=repr)
 
 
+def repeated_passage_lines(texts):
+    """Places (id, line) in runs of two lines or more, 32 characters or more, that stand in an earlier text."""
+    seen, out = {}, set()
+    for i, t in sorted(texts):
+        lines = t.split("\n")
+        for k in range(len(lines) - 1):
+            pair = "\n".join(lines[k : k + 2])
+            if len(pair) >= 32 and seen.setdefault(pair, (i, k)) != (i, k):
+                out |= {(i, k), (i, k + 1)}
+    return out
+
+
+def test_short_passages_are_found(spark):
+    """Passages of 2 to 8 lines anywhere in a text, and real documents without exact copies: all repeated lines go, no single line does."""
+    rng = random.Random(21)
+    passages = [prose(rng, 9 * rng.randint(2, 8)) for _ in range(40)]
+    texts = [(i, "\n".join([prose(rng, 9 * rng.randint(1, 5)), passages[i % 40], prose(rng, 9 * rng.randint(1, 5)), "a single line that stands in every one of the texts"])) for i in range(160)]
+    real = {r.text: r.doc_id for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    for rows in (texts, [(i, t) for t, i in real.items()]):
+        want = repeated_passage_lines(rows)
+        out = {r.row.doc_id: r for r in line_dedup.dedup_lines(docs(spark, rows)).collect()}
+        removed = sum(r.n_removed_lines for r in out.values())
+        assert removed >= len(want) and removed >= 0.9 * len(want) and len(want) > 100
+        assert all(r.n_removed_lines >= 2 * r.n_removed_runs for r in out.values())
+        if rows is texts:
+            assert all("a single line that stands" in r.text for r in out.values())
+
+
 def test_lines_against_brute_force(spark):
     rng = random.Random(8)
     block = [prose(rng, 9) for _ in range(30)]
@@ -258,3 +330,53 @@ def test_long_texts_hash_alike_in_pieces(monkeypatch):
     whole = near_dedup.shingles(text, 4)
     monkeypatch.setattr(near_dedup, "CHUNK", 64)
     assert (near_dedup.shingles(text, 4) == whole).all()
+
+
+def test_an_id_with_two_texts_loses_no_link(spark):
+    rng = random.Random(31)
+    a, b, c = (prose(rng, 150) for _ in range(3))
+    near = b.replace(b.split()[70], "changed", 1)
+    texts = [(1, a), (1, b), (9, near), (12, c), (12, near), (20, c)]
+    got = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_duplicates(docs(spark, texts)).collect())
+    size = lambda t: len({tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)})
+    assert got == sorted([(1, size(a), 1, True), (1, size(b), 1, True), (9, size(near), 1, False), (12, size(c), 12, True), (12, size(near), 1, False), (20, size(c), 12, False)])
+    left = near_dedup.without_near_duplicates(docs(spark, texts))
+    assert sorted((r.doc_id, r.text) for r in left.collect()) == sorted([(1, a), (1, b), (12, c)])
+
+
+def test_similar_documents_below_the_threshold_stay_apart(spark):
+    """Hundreds of texts that share most of their words, none of them 80 percent, beside a group that does."""
+    rng = random.Random(32)
+    words = prose(rng, 200).split()
+    texts = []
+    for i in range(400):
+        copy = list(words)
+        for k in rng.sample(range(10, 190), 8):
+            copy[k] = f"own{i}x{k}"
+        texts.append((i, " ".join(copy)))
+    for i in range(300):
+        copy = list(words)
+        copy[rng.randrange(100)] = f"near{i}"
+        texts.append((1000 + i, " ".join(copy)))
+    got = by_id(near_dedup.near_duplicates(docs(spark, texts)), "doc_id", "n_shingles", "component_id")
+    assert got == plain_groups_fast(texts, 5, 80)
+
+
+def plain_groups_fast(texts, width, percent):
+    """``plain_groups`` for distinct ids, with counts of shared shingles."""
+    vocabulary, rows = {}, []
+    for _, t in texts:
+        w = t.lower().split()
+        rows.append({vocabulary.setdefault(tuple(w[k : k + width]), len(vocabulary)) for k in range(len(w) - width + 1)})
+    table = np.zeros((len(rows), len(vocabulary)), np.float32)
+    for k, s in enumerate(rows):
+        table[k, list(s)] = 1
+    both, size = table @ table.T, table.sum(axis=1)
+    linked = 100 * both >= percent * (size[:, None] + size[None, :] - both)
+    ids = np.array([i for i, _ in texts])
+    comp = ids.copy()
+    while True:
+        least = np.where(linked, comp[None, :], comp.max()).min(axis=1)
+        if (least >= comp).all():
+            return sorted(((int(i), int(n), int(c)) for i, n, c in zip(ids, size, comp)), key=repr)
+        comp = np.minimum(comp, least)
