@@ -1,32 +1,45 @@
-"""Attention of query vectors over the patches of their image."""
+"""Attention of query vectors over the patches of their image.
+
+A patch whose vector is NULL, or holds NULL, NaN or infinity, takes no part: its weights are NULL and the
+other patches share the attention. Such a query takes no part either. A NULL image key is an image.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from normatile.operators.vectors import VECTOR, linear, max_vector, sum_vector, to_matrix
+from normatile.operators.ordering import join_null_safe
+from normatile.operators.vectors import VECTOR, linear, max_vector, rows_by_key, to_matrix
 from normatile.session import materialize
 
 # Patches that travel together past one copy of their image's query block.
 PACK = 64
+# Images whose partial softmax sums a task holds at a time.
+PARTIAL_IMAGES = 100_000
 
 
 def _offsets(lengths: Sequence[int]) -> pa.Array:
     return pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32))
 
 
+def usable(vectors: DataFrame, column: str = "embedding") -> DataFrame:
+    """Rows whose vector is complete and finite."""
+    return vectors.where(F.forall(F.col(column), lambda v: F.coalesce(F.abs(v) < float("inf"), F.lit(False))))
+
+
 def query_blocks(queries: DataFrame, key: str = "image_id") -> DataFrame:
     """All query vectors of an image in one row, in query order.
 
     The number of queries is a constant of the model, so the row has a fixed size.
     """
     ordered = F.array_sort(F.collect_list(F.struct("query_idx", F.col("embedding").alias("v"))))
-    return queries.groupBy(key).agg(F.transform(ordered, lambda q: q["v"]).alias("block"))
+    return usable(queries).groupBy(key).agg(F.transform(ordered, lambda q: q["v"]).alias("block"))
 
 
 def attention_logits(
@@ -63,7 +76,7 @@ def attention_logits(
         inner = pa.ListArray.from_arrays(_offsets(widths), pa.array(np.concatenate([m.ravel() for m in parts])))
         return pa.ListArray.from_arrays(_offsets(rows), inner)
 
-    joined = packed.join(query_blocks(queries, key), key)
+    joined = join_null_safe(packed, query_blocks(queries, key), [key])
     logits = joined.select(
         key,
         F.col("_rows.patch_idx").alias("_ids"),
@@ -78,22 +91,57 @@ def attention_logits(
 def softmax_weights(logits: DataFrame, keys: Sequence[str] = ("image_id",)) -> DataFrame:
     """Softmax over the patches of an image, per query: adds ``weights``, drops ``logits``.
 
-    Maxima and sums are element-wise aggregates, combined in every task before the shuffle, so an
-    image with very many patches is not gathered anywhere. ``logits`` should be a stored table.
+    Every task merges, per image and query, the largest logit and the sum of exponentials scaled by it
+    (one short row per image); these rows merge the same way, and one join brings them to the patches.
+    An image with very many patches is not gathered anywhere. Patches with a NULL, NaN or infinite
+    logit get NULL weights and count for nothing. ``logits`` should be a stored table.
     """
     keys = list(keys)
-    peaks = logits.groupBy(*keys).agg(max_vector("logits").alias("_peak"))
-    shifted = (
-        logits.join(peaks, keys)
-        .withColumn("_e", F.zip_with("logits", "_peak", lambda v, m: F.exp(v - m)))
-        .drop("_peak", "logits")
-    )
-    mass = shifted.groupBy(*keys).agg(sum_vector("_e").alias("_z"))
-    return (
-        shifted.join(mass, keys)
-        .withColumn("weights", F.zip_with("_e", "_z", lambda e, z: e / z))
-        .drop("_e", "_z")
+    schema = logits.select(*keys).schema
+    for name in ("_peak", "_mass"):
+        schema = schema.add(name, T.ArrayType(T.DoubleType()))
+
+    def partials(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state: dict[tuple, tuple[np.ndarray, np.ndarray]] = {}
+        types: list[pa.DataType] = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            if state:
+                columns = [pa.array([k[i] for k in state], t) for i, t in enumerate(types)]
+                lists = [pa.array([list(s[i]) for s in state.values()], pa.list_(pa.float64())) for i in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*columns, *lists], names=[*keys, "_peak", "_mass"])
+                state.clear()
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            types[:] = [batch.column(i).type for i in range(len(keys))]
+            for key, rows in rows_by_key([batch.column(i) for i in range(len(keys))], batch.num_rows):
+                table = to_matrix(batch.column(len(keys)).take(pa.array(rows)))
+                table = table[np.isfinite(table).all(axis=1)]
+                if not len(table):
+                    continue
+                peak = table.max(axis=0)
+                mass = np.exp(table - peak).sum(axis=0)
+                if key in state:
+                    old_peak, old_mass = state[key]
+                    top = np.maximum(peak, old_peak)
+                    peak, mass = top, mass * np.exp(peak - top) + old_mass * np.exp(old_peak - top)
+                state[key] = (peak, mass)
+            if len(state) > PARTIAL_IMAGES:
+                yield from flush()
+        yield from flush()
+
+    made = logits.select(*keys, "logits").where("logits is not null").mapInArrow(partials, schema)
+    peaks = made.groupBy(*keys).agg(max_vector("_peak").alias("_top"), F.collect_list(F.struct("_peak", "_mass")).alias("_parts"))
+    zero = F.transform("_top", lambda _: F.lit(0.0))
+    total = F.aggregate(
+        "_parts", zero, lambda acc, p: F.zip_with(acc, F.zip_with(F.zip_with(p["_peak"], "_top", lambda m, t: F.exp(m - t)), p["_mass"], lambda f, z: f * z), lambda x, y: x + y)
     )
+    shared = join_null_safe(logits, peaks.select(*keys, "_top", total.alias("_z")), keys, "left")
+    sound = F.forall("logits", lambda v: F.coalesce(F.abs(v) < float("inf"), F.lit(False)))
+    weights = F.zip_with(F.zip_with("logits", "_top", lambda v, m: F.exp(v - m)), "_z", lambda e, z: e / z)
+    return shared.withColumn("weights", F.when(sound, weights)).drop("_top", "_z", "logits")
 
 
 def importance(weights: str = "weights"):
@@ -105,10 +153,16 @@ def attention(
     patches: DataFrame, queries: DataFrame, key: str = "image_id",
     weight: Sequence | None = None, bias: Sequence | None = None,
 ) -> DataFrame:
-    """``(image, patch_idx, weights, importance, n_queries)`` for every patch; without queries no weights and 0."""
+    """``(image, patch_idx, weights, importance, n_queries)`` for every patch.
+
+    Without (usable) queries weights are empty and the importance is 0; a patch without a usable vector
+    has NULL weights and importance.
+    """
     logits = materialize(attention_logits(patches, queries, key, weight, bias), "logits")
-    attended = softmax_weights(logits, [key]).withColumns({"importance": importance(), "n_queries": F.size("weights")})
+    weighed = softmax_weights(logits.withColumn("n_queries", F.size("logits")), [key])
+    attended = weighed.withColumn("importance", importance()).select(key, "patch_idx", "weights", "importance", "n_queries")
     # Images without queries get no attention, but they stay.
-    idle = patches.select(key, "patch_idx").join(queries.select(key).distinct(), key, "left_anti")
+    asked = usable(queries).select(F.col(key).alias("_asked")).distinct()
+    idle = patches.select(key, "patch_idx").join(asked, F.col(key).eqNullSafe(F.col("_asked")), "left_anti")
     none = {"weights": F.array().cast("array<double>"), "importance": F.lit(0.0), "n_queries": F.lit(0)}
     return attended.unionByName(idle.withColumns(none).select(*attended.columns))

@@ -30,10 +30,13 @@ def score_counts(df: DataFrame, score: str, label: str, group: Sequence[str] = (
     )
 
 
-def rank_counts(counts: DataFrame, group: Sequence[str] = ()) -> DataFrame:
-    """Add true and false positives (``tp``, ``fp``) of "score >= threshold" to counts per score."""
+def rank_counts(counts: DataFrame, group: Sequence[str] = (), ranged: bool = False) -> DataFrame:
+    """Add true and false positives (``tp``, ``fp``) of "score >= threshold" to counts per score.
+
+    ``ranged``: the counts lie in range partitions of descending thresholds already.
+    """
     return running_totals(
-        counts, group, [F.desc("threshold")], {"tp": F.col("pos"), "fp": F.col("neg")}
+        counts, group, [F.desc("threshold")], {"tp": F.col("pos"), "fp": F.col("neg")}, ranged
     )
 
 

@@ -39,9 +39,12 @@ def running_totals(
     group: Sequence[str],
     order: Sequence[OrderKey],
     totals: Mapping[str, Column],
+    ranged: bool = False,
 ) -> DataFrame:
     """Add inclusive running sums of ``totals`` within ``group`` along ``order``.
 
+    ``ranged`` says that ``df`` lies in range partitions of (group, order), in that order, and is not dealt again.
+
     ``order`` must be a total order inside a group; a NULL group key is a group. Slices are stored
     before use, so that the slice number of a row cannot change if a task is run again. All columns
     of ``df`` are stored with them: pass narrow rows.
@@ -49,12 +52,10 @@ def running_totals(
     group = list(group)
     order_cols = [_column(key) for key in order]
     parts = {name: f"_part_{i}" for i, name in enumerate(totals)}
-    sliced = (
-        df.withColumns({parts[name]: value for name, value in totals.items()})
-        .repartitionByRange(*[F.col(g) for g in group], *order_cols)
-        .withColumn("_slice", F.spark_partition_id())
-    )
-    sliced = materialize(sliced, "slices")
+    sliced = df.withColumns({parts[name]: value for name, value in totals.items()})
+    if not ranged:
+        sliced = sliced.repartitionByRange(*[F.col(g) for g in group], *order_cols)
+    sliced = materialize(sliced.withColumn("_slice", F.spark_partition_id()), "slices")
 
     # Each slice starts with at most one group that began in an earlier slice, so the table of
     # carried subtotals has fewer rows than there are slices: safe to broadcast at any data size.
@@ -197,28 +198,19 @@ def percentile_bounds(
     return picked.select(*group, *out)
 
 
-def last_n(
-    df: DataFrame, n: int, step: str, within: Sequence[str], group: Sequence[str] = (), held: bool = False
-) -> DataFrame:
+def last_n(df: DataFrame, n: int, step: str, within: Sequence[str], group: Sequence[str] = ()) -> DataFrame:
     """The last ``n`` rows by arrival: ``step``, then the columns ``within`` a step.
 
-    Steps that are wholly too old are ruled out from their row counts alone, so only about ``n``
-    rows plus one step are ever ranked. ``held=True`` says that ``df`` is already such a short
-    buffer (``n`` rows plus a micro-batch per group) and ranks it at once.
+    Row counts alone say which steps are wholly inside the last ``n`` rows and which one step is cut.
+    Only the rows of cut steps are ranked, by running totals over range slices: no window covers a
+    group or a step, so a group or step that holds most rows is spread over many tasks.
     """
     group = list(group)
-    if held:
-        latest = W.partitionBy(*(group or [F.lit(0)])).orderBy(*[F.desc(c) for c in (step, *within)])
-        return df.withColumn("_rank", F.row_number().over(latest)).where(F.col("_rank") <= n).drop("_rank")
     counts = df.groupBy(*group, step).agg(F.count("*").alias("_rows"))
     newest = running_totals(counts, group, [F.desc(step)], {"_through": F.col("_rows")})
-    alive = newest.where(F.col("_through") - F.col("_rows") < n).select(
-        *group, step, (F.lit(n) - (F.col("_through") - F.col("_rows"))).alias("_room")
-    )
-    recent = join_null_safe(df, alive, [*group, step])
-    w = W.partitionBy(*group, step).orderBy(*[F.desc(c) for c in within])
-    return (
-        recent.withColumn("_rank", F.row_number().over(w))
-        .where(F.col("_rank") <= F.col("_room"))
-        .drop("_rank", "_room")
-    )
+    alive = newest.where(F.col("_through") - F.col("_rows") < n)
+    room = F.lit(n) - (F.col("_through") - F.col("_rows"))
+    marked = join_null_safe(df, alive.select(*group, step, room.alias("_room"), (F.col("_through") > n).alias("_cut")), [*group, step])
+    whole = marked.where(~F.col("_cut")).drop("_room", "_cut")
+    ranked = running_totals(marked.where("_cut"), group, [F.desc(c) for c in (step, *within)], {"_rank": F.lit(1).cast("long")})
+    return whole.unionByName(ranked.where(F.col("_rank") <= F.col("_room")).drop("_room", "_cut", "_rank"))

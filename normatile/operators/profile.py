@@ -64,7 +64,7 @@ def moment_sums(df: DataFrame, group: Sequence[str], features: str) -> DataFrame
     so nothing is lost however far the features lie from zero. The tasks' products are then summed;
     their means, one short row per task and group, are taken relative to the group's centre and add
     the part between tasks. Row -2 is the centre, -1 holds n and the sum of the shifted means, row i
-    the products of dimension i. Vectors that are NULL or hold NULL or NaN are left out.
+    the products of dimension i. Vectors that are NULL or hold NULL, NaN or infinity are left out.
     """
     group = list(group)
 
@@ -90,7 +90,18 @@ def moment_sums(df: DataFrame, group: Sequence[str], features: str) -> DataFrame
                 yield from flush()
         yield from flush()
 
-    parts = materialize(_by_group(df.where(F.col(features).isNotNull()).select(*group, features), group, partials), "moments")
+    return combined_moments(
+        materialize(_by_group(df.where(F.col(features).isNotNull()).select(*group, features), group, partials), "moments"), group
+    )
+
+
+def combined_moments(parts: DataFrame, group: Sequence[str]) -> DataFrame:
+    """Moments of several sets of rows together: ``parts`` has rows (group..., _row, _vec) of each set.
+
+    Row -1 of a set holds its n and mean, row i its products of dimension i about its own mean (padded
+    by one). The result has the rows of ``moment_sums``. ``parts`` should be a stored table.
+    """
+    group = list(group)
     means = parts.where("_row = -1")
     n, mean = F.get("_vec", F.lit(0)), F.slice("_vec", 2, F.size("_vec"))
     weighted = means.select(*group, n.alias("_n"), F.transform(mean, lambda v: v * n).alias("_w"))
@@ -110,7 +121,7 @@ def moment_sums(df: DataFrame, group: Sequence[str], features: str) -> DataFrame
     rest = _by_group(beside, group, between)
     # The centre's row is padded to the width of the others.
     centers = center.select(*group, F.lit(-2).alias("_row"), F.concat("_c", F.array(F.lit(0.0))).alias("_vec"))
-    rows = parts.where("_row >= 0").unionByName(rest).unionByName(centers)
+    rows = parts.select(*group, "_row", "_vec").where("_row >= 0").unionByName(rest).unionByName(centers)
     return rows.groupBy(*group, "_row").agg(sum_vector("_vec").alias("_vec"))
 
 
@@ -142,7 +153,13 @@ def fit_profile(
     group, reg = list(group), float(reg)
     keyed = patches if group else patches.withColumn("_all", F.lit(0))
     keys = group or ["_all"]
-    sums = moment_sums(keyed, keys, features)
+    out = finished_profile(moment_sums(keyed, keys, features), keys, reg, floor_one)
+    return out if group else out.drop("_all")
+
+
+def finished_profile(sums: DataFrame, keys: Sequence[str], reg: float, floor_one: bool = False) -> DataFrame:
+    """Profiles from the rows of ``moment_sums``."""
+    keys = list(keys)
 
     def finish(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         done = _finish(rows, reg, floor_one)
@@ -154,8 +171,7 @@ def fit_profile(
         }
         return pd.DataFrame([row])
 
-    out = sums.groupBy(*keys).applyInPandas(finish, _group_schema(keyed, keys) + PROFILE_FIELDS)
-    return out if group else out.drop("_all")
+    return sums.groupBy(*keys).applyInPandas(finish, _group_schema(sums, keys) + PROFILE_FIELDS)
 
 
 def narrow_moments(df: DataFrame, group: Sequence[str], dims: Sequence[Column]) -> DataFrame:
@@ -251,6 +267,16 @@ def ema_profile(
     buffers = refit_buffers(keyed, every, n, step, within, keys)
     refits = materialize(fit_profile(buffers, [*keys, "refit"], features, reg), "refits")
 
+    out = averaged_profile(refits, keys, momentum)
+    return out if group else out.drop("_all")
+
+
+def averaged_profile(refits: DataFrame, keys: Sequence[str], momentum: float) -> DataFrame:
+    """Exponential average of the profiles ``(keys..., refit, n, mu, sigma)`` of each group in order of ``refit``.
+
+    The first one is taken as it is; a profile reached earlier may stand there and be carried on.
+    """
+    keys = list(keys)
     # Refits that could not be fitted (a single row so far) are skipped, so number the fitted ones.
     by_refit = W.partitionBy(*keys).orderBy("refit")
     numbered = refits.select(
@@ -278,6 +304,73 @@ def ema_profile(
         }
         return pd.DataFrame([row])
 
-    schema = _group_schema(keyed, keys) + "version bigint, " + PROFILE_FIELDS
-    out = state.groupBy(*keys).applyInPandas(finish, schema)
-    return out if group else out.drop("_all")
+    schema = _group_schema(refits, keys) + "version bigint, " + PROFILE_FIELDS
+    return state.groupBy(*keys).applyInPandas(finish, schema)
+
+
+def sliding_refits(
+    known: DataFrame,
+    every: int,
+    n: int,
+    step: str = "step",
+    within: Sequence[str] = ("image_id", "patch_idx"),
+    group: Sequence[str] = ("category",),
+    features: str = "embedding",
+    reg: float = REGULARIZATION,
+    done: DataFrame | None = None,
+) -> DataFrame:
+    """``(group..., refit, n, mu, sigma, sigma_inv)`` of all refits that the rows of ``known`` allow, at once.
+
+    Refit r of a group sees the last ``n`` of its rows up to step r * every; ``done`` (group..., done)
+    names the last refit that was made before, and ``known`` then needs to hold the last ``n`` rows of
+    that time and all rows since. The places where some buffer begins or ends cut a group's rows into
+    segments. A row enters the moments of its one segment; a buffer is a run of whole segments, and
+    its moments are merged from theirs. The number of jobs does not grow with the number of refits.
+    A refit over fewer than two rows has no row.
+    """
+    group, within = list(group), list(within)
+    ranked = running_totals(known.select(*group, step, *within), group, [step, *within], {"_rank": F.lit(1).cast("long")})
+    ranked = materialize(ranked.withColumn("refit", F.ceil(F.col(step) / float(every)).cast("long")), "ranked")
+    last = known.groupBy(*group).agg(F.floor(F.max(step) / every).cast("long").alias("_last"))
+    last = last.withColumn("done", F.lit(-1).cast("long")) if done is None else join_null_safe(last, done, group, "left")
+    asked = last.withColumn("done", F.coalesce("done", F.lit(-1))).where(F.col("_last") > F.col("done"))
+    asked = asked.select(*group, F.explode(F.sequence(F.col("done") + 1, F.col("_last"))).alias("refit"), "done")
+    # Rows that came before the first refit asked for count with it.
+    seen = join_null_safe(ranked.groupBy(*group, "refit").agg(F.count("*").alias("_new")), last.select(*group, "done"), group)
+    seen = seen.groupBy(*group, F.greatest("refit", F.coalesce("done", F.lit(-1)) + 1).alias("refit")).agg(F.sum("_new").alias("_new"))
+    ends = join_null_safe(asked.select(*group, "refit"), seen, [*group, "refit"], "left")
+    ends = running_totals(ends, group, ["refit"], {"_high": F.coalesce("_new", F.lit(0))})
+    ends = ends.select(*group, "refit", F.greatest(F.lit(0), F.col("_high") - n).alias("_low"), "_high").where("_high > 0")
+    ends = materialize(ends, "refit-ends")
+
+    # A cut stands behind the row of its rank: its running count numbers the segments.
+    cuts = ends.select(*group, F.explode(F.array("_low", "_high")).alias("_rank")).distinct()
+    nothing = [F.lit(None).cast(ranked.schema[c].dataType).alias(c) for c in (step, *within)]
+    both = ranked.select(*group, "_rank", F.lit(0).alias("_cut"), step, *within)
+    both = both.unionByName(cuts.select(*group, "_rank", F.lit(1).alias("_cut"), *nothing))
+    numbered = materialize(running_totals(both, group, ["_rank", "_cut"], {"_segment": F.col("_cut").cast("long")}), "segments")
+    rows = numbered.where("_cut = 0 and _segment > 0").select(*group, step, *within, "_segment")
+    tagged = join_null_safe(known, rows, [*group, step, *within])
+    segments = materialize(segment_parts(moment_sums(tagged, [*group, "_segment"], features), [*group, "_segment"]), "segment-parts")
+
+    places = numbered.where("_cut = 1").select(*group, "_rank", "_segment")
+    low = join_null_safe(ends, places.withColumnsRenamed({"_rank": "_low", "_segment": "_first"}), [*group, "_low"])
+    spans = join_null_safe(low, places.withColumnsRenamed({"_rank": "_high", "_segment": "_stop"}), [*group, "_high"])
+    spans = spans.select(*group, "refit", F.explode(F.sequence("_first", F.col("_stop") - 1)).alias("_segment"))
+    parts = materialize(join_null_safe(spans, segments, [*group, "_segment"]).drop("_segment"), "refit-parts")
+    return finished_profile(combined_moments(parts, [*group, "refit"]), [*group, "refit"], reg)
+
+
+def segment_parts(sums: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows of ``moment_sums`` as parts for ``combined_moments``: n and mean in row -1, products about that mean."""
+    keys = list(keys)
+
+    def centred(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        table = np.stack([np.asarray(v, np.float64) for v in rows.sort_values("_row")["_vec"]])
+        n, shift = table[1, 0], table[1, 1:]
+        products = table[2:, :-1] - np.outer(shift, shift) / n
+        out = np.vstack([np.concatenate([[n], table[0, :-1] + shift / n])[None, :], np.pad(products, ((0, 0), (0, 1)))])
+        frame = pd.DataFrame({k: [v] * len(out) for k, v in zip(keys, key)})
+        return frame.assign(_row=np.arange(-1, len(out) - 1, dtype=np.int32), _vec=list(out))
+
+    return sums.groupBy(*keys).applyInPandas(centred, _group_schema(sums, keys) + "_row int, _vec array<double>")

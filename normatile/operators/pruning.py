@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from normatile.functions.schedules import keep_counts
 from normatile.functions.scores import fuse_for_selection
 from normatile.operators.attention import attention_logits, importance, softmax_weights
-from normatile.operators.ordering import top_k
+from normatile.operators.ordering import join_null_safe, top_k
 from normatile.operators.vectors import centroid, to_matrix
 from normatile.session import materialize
 
@@ -53,7 +53,9 @@ def prune_patches(
     key: str = "image_id",
     window_patches: int = WINDOW_PATCHES,
 ) -> DataFrame:
-    """Patches of ``(image, patch_idx, logits, deviation)`` that survive all steps.
+    """Patches of ``(image, patch_idx, logits, deviation)`` that survive all steps; a NULL image key is an image.
+
+    A patch with a NULL, NaN or infinite logit or deviation goes before all others and gives them its attention.
 
     With fixed queries a step changes only the softmax denominators, so vectors are not needed.
     Images of ordinary size take all steps inside one shuffle by image. Images with more patches
@@ -77,16 +79,16 @@ def prune_patches(
         # go on until the schedule asks for as many patches as the step before.
         stall = next((i for i in range(1, len(steps)) if steps[i] >= steps[i - 1]), len(steps))
         starts = F.col("_n") > steps[0] if steps else F.lit(False)
-        scored = scored.join(counts.select(key, starts.alias("_live")), key)
+        scored = join_null_safe(scored, counts.select(key, starts.alias("_live")), [key])
         idle = scored.where(~F.col("_live")).select(key, "patch_idx")
         scored = scored.where("_live").drop("_live")
         steps = steps[:stall]
     if largest <= window_patches:
         kept = _by_image(scored, steps, alpha, beta, key)
     else:
-        big = counts.where(F.col("_n") > window_patches).select(key)
-        kept = _by_image(scored.join(big, key, "left_anti"), steps, alpha, beta, key).unionByName(
-            prune_with(scored.join(big, key, "left_semi"), steps, fused_selection(alpha, beta), key)
+        sized = join_null_safe(scored, counts.select(key, (F.col("_n") > window_patches).alias("_big")), [key])
+        kept = _by_image(sized.where(~F.col("_big")).drop("_big"), steps, alpha, beta, key).unionByName(
+            prune_with(sized.where("_big").drop("_big"), steps, fused_selection(alpha, beta), key)
         )
     return kept.unionByName(idle) if on_noop == "stop" else kept
 
@@ -98,12 +100,19 @@ def _by_image(scored: DataFrame, steps: list[int], alpha: float, beta: float, ke
         index = rows["patch_idx"].to_numpy()
         logits = to_matrix(rows["logits"].combine_chunks())
         deviation = rows["deviation"].cast(pa.float64()).to_numpy()
+        # A patch without a score is the first to go and takes no attention from the others.
+        given = rows["logits"].is_valid().to_numpy()
+        sound = given & np.isfinite(logits).all(axis=1) & np.isfinite(deviation)
         left = np.arange(len(index))
         for keep in steps:
             if keep >= len(left):
                 continue
-            e = np.exp(logits[left] - logits[left].max(axis=0))
-            score = alpha * (e / e.sum(axis=0)).sum(axis=1) + beta * deviation[left]
+            score = np.full(len(left), -np.inf)
+            good = sound[left]
+            if good.any():
+                own = logits[left[good]]
+                e = np.exp(own - own.max(axis=0))
+                score[good] = alpha * (e / e.sum(axis=0)).sum(axis=1) + beta * deviation[left[good]]
             left = left[np.lexsort((index[left], -score))[:keep]]
         return rows.select([key, "patch_idx"]).take(pa.array(left))
 
@@ -115,12 +124,13 @@ def fused_selection(alpha: float = 0.4, beta: float = 0.4) -> Callable[[DataFram
 
     def score(survivors: DataFrame) -> DataFrame:
         key = survivors.columns[0]
-        weights = softmax_weights(survivors.select(key, "patch_idx", "logits"), [key])
-        attended = weights.select(key, "patch_idx", importance().alias("_attended"))
-        joined = survivors.join(attended, [key, "patch_idx"])
-        return joined.withColumn(
-            "_score", fuse_for_selection(F.col("_attended"), F.col("deviation"), alpha, beta)
-        ).drop("_attended")
+        known = F.coalesce(F.abs("deviation") < float("inf"), F.lit(False))
+        # A patch without a deviation takes no attention from the others; a NULL score goes first.
+        scored = survivors.withColumn("logits", F.when(known, F.col("logits")))
+        weights = softmax_weights(scored, [key]).withColumn("_attended", importance())
+        fused = weights.withColumn("_score", fuse_for_selection(F.col("_attended"), F.col("deviation"), alpha, beta))
+        attended = fused.select(key, "patch_idx", "_score")
+        return join_null_safe(survivors, attended, [key, "patch_idx"])
 
     return score
 
@@ -163,7 +173,7 @@ def prune_refreshed(
     for keep in steps:
         queries = materialize(refresh(left, centroid(left, [key]), queries), "queries")
         logits = materialize(attention_logits(left, queries, key), "logits")
-        best = top_k(score(logits.join(deviation, [key, "patch_idx"])), [key], "_score", "patch_idx", keep)
-        left = materialize(left.join(best.select(key, "patch_idx"), [key, "patch_idx"], "left_semi"), "survivors")
+        best = top_k(score(join_null_safe(logits, deviation, [key, "patch_idx"])), [key], "_score", "patch_idx", keep)
+        left = materialize(join_null_safe(left, best.select(key, "patch_idx"), [key, "patch_idx"]), "survivors")
     queries = materialize(refresh(left, centroid(left, [key]), queries), "queries")
     return left.select(key, "patch_idx"), queries

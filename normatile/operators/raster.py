@@ -1,22 +1,33 @@
 """Raster operators on pixel tables ``(image_id, y, x, c, v)``.
 
-Neighbourhood operators work on packed image lines: a line is one row of an image, so it holds as
-many values as the image is wide. Each axis costs one shuffle and pixels are never multiplied.
+Pixels are dealt by image once. Neighbourhood operators then pack them into lines inside the tasks: a
+line is one row of an image with a place for every pixel, NULL where one is missing, so a gap moves
+nothing. Both axes, and what comes beside the pixels (masks, second images, heat), use that one
+shuffle; pixels are never multiplied. Coordinates count from 0.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
 from normatile.functions import pixels as px
+from normatile.operators.ordering import join_null_safe
 from normatile.operators.rollups import axis_weight, patch_of
+from normatile.session import materialize
 
 SOBEL_SMOOTH = [1.0, 2.0, 1.0]
 SOBEL_DIFF = [-1.0, 0.0, 1.0]
+HERE = "_here"  # of a line: which places hold a pixel
+
+Line = dict[str, Column]
+Tap = Callable[[Line, Column], Line]
 
 
 def pixel_table(df: DataFrame) -> DataFrame:
@@ -25,19 +36,76 @@ def pixel_table(df: DataFrame) -> DataFrame:
     return df.hint("merge")
 
 
-def along_axis(
-    df: DataFrame, axis: str, keys: Sequence[str], value: str, change: Callable[[Column], Column]
+def beside(base: DataFrame, extra: DataFrame, values: Sequence[str], place: Sequence[str], by: Sequence[str] = ("image_id",)) -> DataFrame:
+    """Adds ``values`` of ``extra`` to the rows of ``base`` with the same ``place``; NULL where there are none.
+
+    A left join without a join: both tables are dealt by ``by`` together, once, and a window over each
+    place hands its values on. ``extra`` has one row per place (of several, the largest value counts).
+    """
+    values, place = list(values), list(place)
+    kinds = {f.name: f.dataType for f in [*base.schema.fields, *extra.select(*values).schema.fields]}
+    left = base.select(*base.columns, *[F.lit(None).cast(kinds[v]).alias(v) for v in values], F.lit(True).alias("_base"))
+    given = {*place, *values}
+    right = extra.select(
+        *[F.col(c) if c in given else F.lit(None).cast(kinds[c]).alias(c) for c in [*base.columns, *values]], F.lit(False).alias("_base")
+    )
+    both = left.unionByName(right).repartition(*by)
+    w = W.partitionBy(*place)
+    return both.withColumns({v: F.max(v).over(w) for v in values}).where("_base").drop("_base")
+
+
+def packed_lines(df: DataFrame, axis: str, keys: Sequence[str], names: Sequence[str]) -> DataFrame:
+    """Image lines along ``axis``: ``keys``, the other coordinate, an array per name, and HERE.
+
+    All lines of an image (``keys``) have the same length, up to its last pixel. If ``df`` is dealt
+    by ``keys`` or fewer columns, nothing is shuffled.
+    """
+    keys, other = list(keys), "y" if axis == "x" else "x"
+    cells = F.array_sort(F.collect_list(F.struct(F.col(axis).cast("int").alias("_at"), *names)))
+    rows = df.groupBy(*keys, other).agg(cells.alias("_rows"))
+    rows = rows.withColumn("_size", F.max(F.element_at("_rows", -1)["_at"] + 1).over(W.partitionBy(*keys)))
+    at, places = F.col("_rows._at"), F.sequence(F.lit(0), F.col("_size") - 1)
+    full = at == places
+
+    def line(values: Column) -> Column:
+        return F.when(full, values).otherwise(F.transform(places, lambda i: F.get(values, (F.array_position(at, i) - 1).cast("int"))))
+
+    here = F.when(full, F.array_repeat(F.lit(True), F.col("_size"))).otherwise(F.transform(places, lambda i: F.array_contains(at, i)))
+    return rows.select(*keys, other, *[line(F.col(f"_rows.{n}")).alias(f"_{n}") for n in names], here.alias(HERE))
+
+
+def over_lines(
+    df: DataFrame, keys: Sequence[str], values: Sequence[str], across: Tap, along: Tap, size: int | None = None, by: Sequence[str] | None = None
 ) -> DataFrame:
-    """Apply a function to every image line along ``axis`` ('x' or 'y')."""
-    other = "y" if axis == "x" else "x"
-    ordered = F.array_sort(F.collect_list(F.struct(F.col(axis), F.col(value).cast("double").alias("_v"))))
-    lines = df.groupBy(*keys, other).agg(F.transform(ordered, lambda p: p["_v"]).alias("_line"))
-    changed = lines.select(*keys, other, F.posexplode(change(F.col("_line"))).alias(axis, value))
-    return changed.select(*keys, "y", "x", value)
+    """Two passes over an image: ``across`` every row of pixels, then ``along`` every column of what that gave.
+
+    A pass gets the line's arrays by name and a place, and gives the new values there. Pixels that are
+    missing stay missing. With ``size`` lines are read at that many places instead, missing ones too.
+    ``by=()`` says that ``df`` is dealt by image already; by default it is dealt by ``keys``.
+    """
+    keys = list(keys)
+    df = df.repartition(*(keys if by is None else by)) if by is None or by else df
 
+    def passed(lines: DataFrame, axis: str, names: Sequence[str], tap: Tap) -> tuple[DataFrame, list[str]]:
+        other = "y" if axis == "x" else "x"
+        line = {n: F.col(f"_{n}") for n in names}
+        fields: list[str] = []
 
-def _places(line: Column) -> Column:
-    return F.sequence(F.lit(0), F.size(line) - 1)
+        def at(i: Column) -> Column:
+            found = tap(line, i)
+            fields[:] = found
+            here = F.lit(True) if size else F.coalesce(F.get(HERE, i), F.lit(False))
+            return F.struct(*[v.alias(n) for n, v in found.items()], here.alias(HERE))
+
+        places = F.sequence(F.lit(0), F.lit(size - 1) if size else F.size(HERE) - 1)
+        out = lines.select(*keys, other, F.posexplode(F.transform(places, at)).alias(axis, "_b"))
+        return out.select(*keys, "y", "x", "_b.*"), fields
+
+    first, names = passed(packed_lines(df, "x", keys, values), "x", values, across)
+    lines = packed_lines(first.withColumnRenamed(HERE, "h"), "y", keys, [*names, "h"])
+    lines = lines.withColumn(HERE, F.transform("_h", lambda h: F.coalesce(h, F.lit(False)))).drop("_h")
+    second, names = passed(lines, "y", names, along)
+    return second.where(HERE).select(*keys, "y", "x", *names)
 
 
 def _reach(line: Column, i: Column, reach: int) -> Column:
@@ -47,7 +115,7 @@ def _reach(line: Column, i: Column, reach: int) -> Column:
 
 
 def window_extreme(df: DataFrame, size: int, iterations: int, largest: bool, keys: Sequence[str], value: str) -> DataFrame:
-    """Largest or smallest value in a square window, ``iterations`` times over.
+    """Largest or smallest value in a square window, ``iterations`` times over; missing pixels don't count.
 
     A square window is a row window followed by a column window, and n passes of a k-window equal
     one pass of an (n (k - 1) + 1)-window.
@@ -55,10 +123,10 @@ def window_extreme(df: DataFrame, size: int, iterations: int, largest: bool, key
     reach = (size // 2) * iterations
     pick = F.array_max if largest else F.array_min
 
-    def change(line: Column) -> Column:
-        return F.transform(_places(line), lambda i: pick(_reach(line, i, reach)))
+    def tap(line: Line, i: Column) -> Line:
+        return {value: pick(_reach(line[value], i, reach))}
 
-    return along_axis(along_axis(df, "x", keys, value, change), "y", keys, value, change)
+    return over_lines(df.withColumn(value, F.col(value).cast("double")), keys, [value], tap, tap)
 
 
 def dilate(df: DataFrame, size: int = 3, iterations: int = 1, keys: Sequence[str] = ("image_id",), value: str = "m") -> DataFrame:
@@ -82,31 +150,18 @@ def mask_difference(larger: DataFrame, smaller: DataFrame, keys: Sequence[str] =
     )
 
 
-def _packed(df: DataFrame, axis: str, keys: Sequence[str], *names: str) -> DataFrame:
-    """Image lines along an axis, with one array per value column."""
-    other = "y" if axis == "x" else "x"
-    rows = df.groupBy(*keys, other).agg(F.array_sort(F.collect_list(F.struct(axis, *names))).alias("_rows"))
-    arrays = [F.col(f"_rows.{name}").alias(f"_{name}") for name in names]
-    return rows.select(*keys, other, *arrays)
+def _spread(high: Column, low: Column, i: Column, reach: int) -> Line:
+    return {"high": F.array_max(_reach(high, i, reach)), "low": F.array_min(_reach(low, i, reach))}
 
 
 def boundary(mask: DataFrame, size: int = 5, iterations: int = 2, keys: Sequence[str] = ("image_id",), value: str = "m") -> DataFrame:
     """Ring around the edge of a mask: dilated minus eroded, both found in one pass per axis."""
     keys, reach = list(keys), (size // 2) * iterations
-
-    def spread(high: Column, low: Column) -> Column:
-        return F.transform(
-            _places(high),
-            lambda i: F.struct(
-                F.array_max(_reach(high, i, reach)).alias("high"), F.array_min(_reach(low, i, reach)).alias("low")
-            ),
-        )
-
-    lines = _packed(mask, "x", keys, value)
-    across = lines.select(*keys, "y", F.posexplode(spread(F.col(f"_{value}"), F.col(f"_{value}"))).alias("x", "_b"))
-    cols = _packed(across.select(*keys, "y", "x", "_b.high", "_b.low"), "y", keys, "high", "low")
-    both = cols.select(*keys, "x", F.posexplode(spread(F.col("_high"), F.col("_low"))).alias("y", "_b"))
-    return both.where((F.col("_b.high") > 0) & ~(F.col("_b.low") > 0)).select(*keys, "y", "x")
+    both = over_lines(
+        mask, keys, [value],
+        lambda line, i: _spread(line[value], line[value], i, reach), lambda line, i: _spread(line["high"], line["low"], i, reach),
+    )
+    return both.where((F.col("high") > 0) & ~(F.col("low") > 0)).select(*keys, "y", "x")
 
 
 def gaussian_kernel(size: int, sigma: float) -> list[float]:
@@ -116,7 +171,7 @@ def gaussian_kernel(size: int, sigma: float) -> list[float]:
 
 
 def _tap(line: Column, i: Column, kernel: Sequence[float]) -> Column:
-    """Weighted sum around place ``i``; beyond the ends the line is mirrored, edge not repeated."""
+    """Weighted sum around place ``i``; beyond the ends the line is mirrored, edge not repeated. NULL if a pixel is missing."""
     last, half = F.size(line) - 1, len(kernel) // 2
     total = F.lit(0.0)
     for k, weight in enumerate(kernel):
@@ -129,29 +184,30 @@ def convolve(
     df: DataFrame, kernel_x: Sequence[float], kernel_y: Sequence[float],
     keys: Sequence[str] = ("image_id", "c"), value: str = "v",
 ) -> DataFrame:
-    """Correlate with a separable kernel; borders mirror without repeating the edge pixel."""
+    """Correlate with a separable kernel; borders mirror without repeating the edge pixel.
 
-    def change(kernel: Sequence[float]) -> Callable[[Column], Column]:
-        return lambda line: F.transform(_places(line), lambda i: _tap(line, i, kernel))
+    A pixel whose window lacks a pixel has no result: NULL.
+    """
+    wide = df.withColumn(value, F.col(value).cast("double"))
+    return over_lines(
+        wide, keys, [value], lambda line, i: {value: _tap(line[value], i, kernel_x)}, lambda line, i: {value: _tap(line[value], i, kernel_y)}
+    )
 
-    keys = list(keys)
-    return along_axis(along_axis(df, "x", keys, value, change(kernel_x)), "y", keys, value, change(kernel_y))
+
+def _gradient_across(line: Column, i: Column) -> Line:
+    return {"d": _tap(line, i, SOBEL_DIFF), "s": _tap(line, i, SOBEL_SMOOTH)}
+
+
+def _gradient_along(line: Line, i: Column) -> Column:
+    return _tap(line["d"], i, SOBEL_SMOOTH) + _tap(line["s"], i, SOBEL_DIFF)
 
 
 def gradient_sum(df: DataFrame, keys: Sequence[str] = ("image_id", "c"), value: str = "v") -> DataFrame:
     """Sum of the 3 x 3 gradients along x and y, both in one pass per axis."""
-    keys = list(keys)
-    lines = _packed(df.withColumn("v", F.col(value).cast("double")), "x", keys, "v")
-    both = F.transform(
-        _places(F.col("_v")),
-        lambda i: F.struct(_tap(F.col("_v"), i, SOBEL_DIFF).alias("d"), _tap(F.col("_v"), i, SOBEL_SMOOTH).alias("s")),
-    )
-    across = lines.select(*keys, "y", F.posexplode(both).alias("x", "_b")).select(*keys, "y", "x", "_b.d", "_b.s")
-    cols = _packed(across, "y", keys, "d", "s")
-    total = F.transform(
-        _places(F.col("_d")), lambda i: _tap(F.col("_d"), i, SOBEL_SMOOTH) + _tap(F.col("_s"), i, SOBEL_DIFF)
+    wide = df.withColumn(value, F.col(value).cast("double"))
+    return over_lines(
+        wide, keys, [value], lambda line, i: _gradient_across(line[value], i), lambda line, i: {value: _gradient_along(line, i)}
     )
-    return cols.select(*keys, "x", F.posexplode(total).alias("y", value)).select(*keys, "y", "x", value)
 
 
 def gaussian_blur(df: DataFrame, size: int, sigma: float, keys: Sequence[str] = ("image_id", "c"), value: str = "v") -> DataFrame:
@@ -166,6 +222,38 @@ def sobel(df: DataFrame, axis: str, keys: Sequence[str] = ("image_id", "c"), val
     return convolve(df, SOBEL_SMOOTH, SOBEL_DIFF, keys, value)
 
 
+def stacked(image: str, pixels: dict[str, DataFrame], masks: dict[str, tuple[DataFrame, str]]) -> DataFrame:
+    """Several images and masks of the same place side by side: ``image, y, x, c`` and a column per name.
+
+    ``pixels`` are tables with ``c, v``, ``masks`` tables without channels and their value's name. All
+    tables are dealt by image together, once; pixels that one of them lacks are left out.
+    """
+    names = [*pixels, *masks]
+
+    def part(df: DataFrame, name: str, value: str, channel: Column) -> DataFrame:
+        values = [(F.col(value) if n == name else F.lit(None)).cast("double").alias(n) for n in names]
+        return df.select(image, F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), channel.cast("int").alias("c"), *values)
+
+    parts = [part(df, n, "v", F.col("c")) for n, df in pixels.items()] + [part(df, n, v, F.lit(None)) for n, (df, v) in masks.items()]
+    both = parts[0]
+    for more in parts[1:]:
+        both = both.unionByName(more)
+    both = both.repartition(image)
+    merged = both.groupBy(image, "y", "x", "c").agg(*[F.max(n).alias(n) for n in names])
+    w = W.partitionBy(image, "y", "x")
+    spread = merged.withColumns({n: F.max(n).over(w) for n in masks})
+    there = F.col("c").isNotNull()
+    for n in names:
+        there = there & F.col(n).isNotNull()
+    return spread.where(there)
+
+
+def blend_images(patch: DataFrame, dest: DataFrame, mask: DataFrame, alpha: float = 0.7, image: str = "image_id") -> DataFrame:
+    """``patch`` over ``dest`` by a soft mask: ``(image, y, x, c, v)``; pixels that one of the three lacks are left out."""
+    both = stacked(image, {"patch": patch, "dest": dest}, {"m": (mask, "m")})
+    return both.select(image, "y", "x", "c", px.blend(F.col("patch"), F.col("dest"), F.col("m"), alpha).alias("v"))
+
+
 def seamless_blend(
     patch: DataFrame, dest: DataFrame, mask: DataFrame, alpha: float = 0.7, strength: float = 0.3,
     image: str = "image_id",
@@ -173,41 +261,44 @@ def seamless_blend(
     """Blend ``patch`` into ``dest`` by a soft mask and pull gradients together at its edge.
 
     In the ring around the mask's edge, ``strength`` times the gradient difference between the two
-    images (x plus y) is added. Inputs are ``(image, y, x, c, v)`` and ``(image, y, x, m)``.
+    images (x plus y) is added; where a missing pixel leaves it unknown, nothing is added. Inputs are
+    ``(image, y, x, c, v)`` and ``(image, y, x, m)``; all of it takes one shuffle by image.
     """
-    place = [image, "y", "x"]
-    ring = boundary(mask.withColumn("m", (F.col("m") > 0.5).cast("int")), keys=[image]).withColumn("_ring", F.lit(1.0))
+    # A 5 x 5 window twice over makes the ring.
+    reach = (5 // 2) * 2
+    both = stacked(image, {"patch": patch, "dest": dest}, {"m": (mask, "m")})
 
-    def as_byte(name: str) -> Column:
-        return F.floor(px.clip255(F.col(name)))
+    def as_byte(value: Column) -> Column:
+        return F.floor(px.clip255(value)).cast("double")
 
-    both = patch.select(*place, "c", F.col("v").alias("_patch")).join(
-        pixel_table(dest.select(*place, "c", F.col("v").alias("_dest"))), [*place, "c"]
-    )
     # Gradients are linear, so the difference of gradients is the gradient of the difference.
-    pull = gradient_sum(both.withColumn("v", as_byte("_dest") - as_byte("_patch")).select(*place, "c", "v"), [image, "c"])
-    joined = (
-        both.join(pixel_table(pull.withColumnRenamed("v", "_pull")), [*place, "c"])
-        .join(pixel_table(mask.select(*place, "m")), place)
-        .join(pixel_table(ring), place, "left")
-    )
-    mixed = px.blend(F.col("_patch"), F.col("_dest"), F.col("m"), alpha)
-    correction = F.col("_pull") * F.coalesce(F.col("_ring"), F.lit(0.0)) * strength
-    return joined.select(*place, "c", (mixed + correction).alias("v"))
+    both = both.withColumns({"gap": as_byte(F.col("dest")) - as_byte(F.col("patch")), "hard": (F.col("m") > 0.5).cast("int")})
+    kept = ["patch", "dest", "m"]
 
+    def across(line: Line, i: Column) -> Line:
+        return {n: F.get(line[n], i) for n in kept} | _gradient_across(line["gap"], i) | _spread(line["hard"], line["hard"], i, reach)
 
-def resize(df: DataFrame, size: int, keys: Sequence[str] = ("image_id", "c"), value: str = "v") -> DataFrame:
-    """Bilinear resize to size x size, each axis with its own scale, without smoothing."""
+    def along(line: Line, i: Column) -> Line:
+        return {n: F.get(line[n], i) for n in kept} | {"pull": _gradient_along(line, i)} | _spread(line["high"], line["low"], i, reach)
 
-    def change(line: Column) -> Column:
-        def at(d: Column) -> Column:
-            low, high, weight = axis_weight(d, F.size(line), size)
-            return F.get(line, low) * (1.0 - weight) + F.get(line, high) * weight
+    done = over_lines(both, [image, "c"], [*kept, "gap", "hard"], across, along, by=())
+    ring = (F.col("high") > 0) & ~(F.col("low") > 0)
+    mixed = px.blend(F.col("patch"), F.col("dest"), F.col("m"), alpha)
+    correction = F.when(ring, F.coalesce("pull", F.lit(0.0)) * strength).otherwise(0.0)
+    return done.select(image, "y", "x", "c", (mixed + correction).alias("v"))
 
-        return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), at)
 
-    keys = list(keys)
-    return along_axis(along_axis(df, "x", keys, value, change), "y", keys, value, change)
+def resize(df: DataFrame, size: int, keys: Sequence[str] = ("image_id", "c"), value: str = "v") -> DataFrame:
+    """Bilinear resize to size x size, each axis with its own scale, without smoothing; NULL where a pixel it needs is missing."""
+
+    def tap(line: Line, d: Column) -> Line:
+        values = line[value]
+        low, high, weight = axis_weight(d, F.size(values), size)
+        # A pixel of weight 0 is not needed.
+        return {value: F.when(weight == 0, F.get(values, low)).otherwise(F.get(values, low) * (1.0 - weight) + F.get(values, high) * weight)}
+
+    wide = df.withColumn(value, F.col(value).cast("double"))
+    return over_lines(wide, list(keys), [value], tap, tap, size=size)
 
 
 def flip(df: DataFrame, flag: Column, width: int) -> DataFrame:
@@ -225,7 +316,7 @@ def jitter(df: DataFrame, brightness: Column, contrast: Column, keys: Sequence[s
     luma = F.get(F.array(F.lit(0.2989), F.lit(0.587), F.lit(0.114)), F.col("c"))
     grey = lit.groupBy(*keys).agg((F.sum(F.col(value) * luma) * 3.0 / F.count("*")).alias("_grey"))
     mixed = contrast * F.col(value) + (1.0 - contrast) * F.col("_grey")
-    return lit.join(grey, keys).withColumn(value, px.clip255(mixed)).drop("_grey")
+    return join_null_safe(lit, grey, keys).withColumn(value, px.clip255(mixed)).select(*df.columns)
 
 
 def overlay_region(
@@ -236,15 +327,13 @@ def overlay_region(
     ``region`` has window coordinates and ``m``; ``offsets`` gives ``dx, dy`` per image.
     """
     keys = list(keys)
-    place = [*keys, "y", "x"] + (["c"] if "c" in base.columns else [])
-    placed = region.where(F.col("m") > 0).join(offsets, keys).select(
-        *keys,
-        (F.col("y") + F.col("dy")).alias("y"),
-        (F.col("x") + F.col("dx")).alias("x"),
-        *(["c"] if "c" in base.columns else []),
-        F.col(value).alias("_new"),
+    channel = ["c"] if "c" in base.columns else []
+    place = [*keys, "y", "x", *channel]
+    placed = join_null_safe(region.where(F.col("m") > 0), offsets, keys).select(
+        *keys, (F.col("y") + F.col("dy")).cast(base.schema["y"].dataType).alias("y"),
+        (F.col("x") + F.col("dx")).cast(base.schema["x"].dataType).alias("x"), *channel, F.col(value).alias("_new"),
     )
-    return base.join(pixel_table(placed), place, "left").withColumn(value, F.coalesce("_new", value)).drop("_new")
+    return beside(base, placed, ["_new"], place, keys).withColumn(value, F.coalesce("_new", value)).drop("_new")
 
 
 # --- windows and regions ------------------------------------------------------------------------
@@ -271,46 +360,108 @@ def pixels_in_boxes(pixels: DataFrame, boxes: DataFrame, tile: int, keys: Sequen
     return tiled.join(spread, [*keys, "_ty", "_tx"]).where(inside).drop("_ty", "_tx")
 
 
+def area_tables(pixels: DataFrame, image: str = "image_id") -> DataFrame:
+    """Summed-area tables as lines: ``image, y, n, s, q``, sums over all pixels up to line y and each x.
+
+    ``n`` counts pixels, ``s`` and ``q`` sum values and their squares, over all channels. Pixels are
+    dealt by image; lines go by in order of y and only the last line's sums are held. Missing pixels
+    add nothing. A table ends at the image's last line, a line at the longest one so far.
+    """
+    cells = pixels.repartition(image).groupBy(image, F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"))
+    v = F.col("v").cast("double")
+    cells = cells.agg(F.count(v).alias("n"), F.sum(v).alias("s"), F.sum(v * v).alias("q"))
+    rows = cells.groupBy(image, "y").agg(F.collect_list(F.struct("x", "n", "s", "q")).alias("cells"))
+    rows = rows.sortWithinPartitions(image, "y")
+    schema = T.StructType([rows.schema[image], *T.StructType.fromDDL("y int, n array<double>, s array<double>, q array<double>").fields])
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, last, sums = object(), -1, np.zeros((3, 0))
+        for batch in batches:
+            for k in range(batch.num_rows):
+                key, y, line = batch.column(0)[k].as_py(), batch.column(1)[k].as_py(), batch.column(2)[k].values
+                x = line.field("x").to_numpy()
+                if key != name:
+                    name, last, sums = key, y - 1, np.zeros((3, 0))
+                wide = max(sums.shape[1], int(x.max()) + 1)
+                sums = np.concatenate([sums, np.repeat(sums[:, -1:] if sums.shape[1] else np.zeros((3, 1)), wide - sums.shape[1], axis=1)], axis=1)
+                gap, new = range(last + 1, y), np.zeros((3, wide))
+                for i, f in enumerate("nsq"):
+                    new[i, x] = line.field(f).fill_null(0).to_numpy(zero_copy_only=False)
+                tables = [sums] * len(gap)  # lines without a pixel repeat the sums so far
+                sums = sums + np.cumsum(new, axis=1)
+                tables.append(sums)
+                lists = [pa.array([list(t[i]) for t in tables], pa.list_(pa.float64())) for i in range(3)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([key] * len(tables), batch.column(0).type), pa.array([*gap, y], pa.int32()), *lists], names=schema.names
+                )
+                last = y
+
+    return rows.mapInArrow(summed, schema)
+
+
 def region_moments(
-    pixels: DataFrame, boxes: DataFrame, box_keys: Sequence[str], tile: int = 16, keys: Sequence[str] = ("image_id",)
+    pixels: DataFrame, boxes: DataFrame, box_keys: Sequence[str], keys: Sequence[str] = ("image_id",)
 ) -> DataFrame:
-    """Mean and population standard deviation of the pixels in each box."""
-    hits = pixels_in_boxes(pixels, boxes, tile, keys)
-    return hits.groupBy(*keys, *box_keys).agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"))
+    """Mean and population standard deviation of the pixels in each box; NULL for a box without pixels.
+
+    Boxes are half-open, ``bx0 <= x < bx1`` and ``by0 <= y < by1``. Each box reads four numbers of the
+    image's summed-area table, two on each of two lines, however large it is.
+    """
+    (image,) = keys
+    tables = materialize(area_tables(pixels, image), "area-tables")
+    ends = tables.groupBy(image).agg(F.min("y").alias("_top"), F.max("y").alias("_end"))
+    sized = join_null_safe(boxes, ends, [image], "left")
+    edges = F.array(F.struct((F.col("by0") - 1).alias("at"), F.lit(-1).alias("sign")), F.struct((F.col("by1") - 1).alias("at"), F.lit(1).alias("sign")))
+    lines = sized.select(image, *box_keys, "bx0", "bx1", "_top", "_end", F.inline(edges))
+    # Above the table there is nothing, below it its last line holds.
+    lines = lines.withColumn("y", F.when(F.col("at") >= F.col("_top"), F.least("at", "_end")).cast("int"))
+    met = join_null_safe(lines, tables, [image, "y"], "left")
+
+    def between(table: str) -> Column:
+        def upto(x: Column) -> Column:
+            return F.when(x >= 0, F.get(table, F.least(x, F.size(table) - 1).cast("int"))).otherwise(0.0)
+
+        return F.sum(F.col("sign") * F.coalesce(upto(F.col("bx1") - 1) - upto(F.col("bx0") - 1), F.lit(0.0)))
+
+    sums = met.groupBy(image, *box_keys).agg(*[between(t).alias(f"_{t}") for t in "nsq"])
+    n, s, q = (F.col(f"_{t}") for t in "nsq")
+    spread = F.sqrt(F.greatest(q * n - s * s, F.lit(0.0))) / n
+    return sums.select(image, *box_keys, F.when(n > 0, s / n).alias("mean"), F.when(n > 0, spread).alias("std"))
 
 
 def match_region(
-    pixels: DataFrame, targets: DataFrame, candidates: DataFrame, tile: int = 16, separation: float = 0.7
+    pixels: DataFrame, targets: DataFrame, candidates: DataFrame, separation: float = 0.7
 ) -> DataFrame:
     """For each target window the most similar candidate window that stays clear of it.
 
     ``targets``: ``image_id, target_id, x, y, w, h``. ``candidates``: ``image_id, target_id,
     candidate_id, x, y`` (a few per target, as drawn by the caller). The cost is the difference of
-    means plus half that of deviations. A target without a clear candidate gets its first one.
+    means plus half that of deviations. A target without a clear candidate that has pixels gets its first
+    one; every target has a row, with NULL where it has no candidate at all. Pixels are read once.
     """
     target_keys = ["image_id", "target_id"]
+    sized = join_null_safe(candidates, targets.select(*target_keys, "w", "h"), target_keys)
 
-    def boxed(df: DataFrame) -> DataFrame:
-        return df.withColumns(
-            {"bx0": F.col("x"), "by0": F.col("y"), "bx1": F.col("x") + F.col("w"), "by1": F.col("y") + F.col("h")}
-        ).drop("x", "y", "w", "h")
+    def boxed(df: DataFrame, number: Column) -> DataFrame:
+        x, y = F.col("x"), F.col("y")
+        return df.select(
+            *target_keys, number.cast(candidates.schema["candidate_id"].dataType).alias("candidate_id"),
+            x.alias("bx0"), y.alias("by0"), (x + F.col("w")).alias("bx1"), (y + F.col("h")).alias("by1"),
+        )
 
-    sized = candidates.join(targets.select(*target_keys, "w", "h"), target_keys)
-    goal = region_moments(pixels, boxed(targets), ["target_id"], tile)
-    found = region_moments(pixels, boxed(sized), ["target_id", "candidate_id"], tile)
+    boxes = boxed(targets, F.lit(None)).unionByName(boxed(sized, F.col("candidate_id")))
+    found = materialize(region_moments(pixels, boxes, ["target_id", "candidate_id"]), "region-moments")
+    goal = found.where("candidate_id is null").select(*target_keys, F.col("mean").alias("goal_mean"), F.col("std").alias("goal_std"))
+    aimed = join_null_safe(targets.select(*target_keys, F.col("x").alias("tx"), F.col("y").alias("ty"), "w", "h"), goal, target_keys, "left")
+    drawn = join_null_safe(candidates, found, [*target_keys, "candidate_id"], "left")
     far = ~(
         (F.abs(F.col("x") - F.col("tx")) < F.col("w") * separation)
         & (F.abs(F.col("y") - F.col("ty")) < F.col("h") * separation)
     )
     cost = F.abs(F.col("mean") - F.col("goal_mean")) + 0.5 * F.abs(F.col("std") - F.col("goal_std"))
-    compared = (
-        candidates.join(found, [*target_keys, "candidate_id"])
-        .join(targets.select(*target_keys, F.col("x").alias("tx"), F.col("y").alias("ty"), "w", "h"), target_keys)
-        .join(goal.select(*target_keys, F.col("mean").alias("goal_mean"), F.col("std").alias("goal_std")), target_keys)
-        .withColumns({"_far": far, "_cost": cost})
-    )
-    clear = F.min(F.when(F.col("_far"), F.struct("_cost", "candidate_id", "x", "y")))
-    fallback = F.min(F.struct("candidate_id", "x", "y"))
+    compared = join_null_safe(aimed, drawn, target_keys, "left").withColumns({"_far": far, "_cost": cost})
+    clear = F.min(F.when(F.col("_far") & F.col("_cost").isNotNull(), F.struct("_cost", "candidate_id", "x", "y")))
+    fallback = F.min(F.when(F.col("candidate_id").isNotNull(), F.struct("candidate_id", "x", "y")))
     best = compared.groupBy(*target_keys).agg(clear.alias("_clear"), fallback.alias("_first"))
     return best.select(
         *target_keys,
@@ -327,11 +478,13 @@ def segment_buffer(pixels: DataFrame, segments: DataFrame, tile: int = 16) -> Da
     ``segments``: ``image_id, seg_id, x1, y1, x2, y2, width``. Adds the distance, and keeps pixels
     of the padded box (three widths) only, so distances are computed for near pixels alone.
     """
-    hits = pixels_in_boxes(pixels, _padded(segments), tile)
+    return _zoned(pixels_in_boxes(pixels, _padded(segments), tile)).drop("bx0", "by0", "bx1", "by1")
+
+
+def _zoned(hits: DataFrame) -> DataFrame:
     distance = px.segment_distance(*[F.col(c) for c in ("x", "y", "x1", "y1", "x2", "y2")])
     zone = F.when(F.col("distance") <= F.col("width"), "core").when(F.col("distance") <= F.col("width") * 2, "shadow")
-    near = hits.withColumn("distance", distance).withColumn("zone", zone)
-    return near.where(F.col("zone").isNotNull()).drop("bx0", "by0", "bx1", "by1")
+    return hits.withColumn("distance", distance).withColumn("zone", zone).where(F.col("zone").isNotNull())
 
 
 def _padded(segments: DataFrame) -> DataFrame:
@@ -351,10 +504,12 @@ def segment_shade(pixels: DataFrame, segments: DataFrame, darkness: float = 0.3,
     ones by .8 times. The core's end point is halved once more. Surroundings are measured before
     any darkening, so the result does not depend on segment order.
     """
-    box = pixels_in_boxes(pixels, _padded(segments), tile)
-    around = box.groupBy("image_id", "seg_id").agg(F.avg("v").alias("_around"))
-    spots = pixels.select("image_id", "y", "x").distinct() if "c" in pixels.columns else pixels.select("image_id", "y", "x")
-    near = segment_buffer(spots, segments, tile).join(around, ["image_id", "seg_id"])
+    # The factors 1.5 and .8, 100, .9, .4 and .5 of the shade.
+    channel = ["c"] if "c" in pixels.columns else []
+    place = ["image_id", "y", "x", *channel]
+    hits = pixels_in_boxes(pixels, _padded(segments), tile)
+    hits = hits.withColumn("_around", F.avg("v").over(W.partitionBy("image_id", "seg_id")))
+    near = _zoned(hits)
     dark = F.when(F.col("_around") > 100, darkness * 1.5).otherwise(darkness * 0.8)
     width = F.col("width").cast("double")
     core = 1.0 - dark * (1.0 - F.sqrt(F.col("distance") / width)) * 0.9
@@ -362,10 +517,12 @@ def segment_shade(pixels: DataFrame, segments: DataFrame, darkness: float = 0.3,
     start = F.pow(F.col("x") - F.col("x1"), F.lit(2.0)) + F.pow(F.col("y") - F.col("y1"), F.lit(2.0))
     inner = F.greatest(F.lit(1), F.col("width") - 1)
     factor = F.when(F.col("zone") == "core", core).otherwise(shadow) * F.when(F.sqrt(start) <= inner, 0.5).otherwise(1.0)
-    shade = near.groupBy("image_id", "y", "x").agg(F.product(factor).alias("_shade"))
-    return pixels.join(pixel_table(shade), ["image_id", "y", "x"], "left").withColumn(
-        "v", F.col("v") * F.coalesce("_shade", F.lit(1.0))
-    ).drop("_shade")
+    # A pixel and its factors meet in one aggregate: the pixel's own row brings its value and the factor 1.
+    rest = [c for c in pixels.columns if c not in place]
+    own = pixels.withColumn("_f", F.lit(1.0)).withColumn("_own", F.lit(True))
+    shades = near.select(*place, *[F.lit(None).cast(pixels.schema[c].dataType).alias(c) for c in rest], factor.alias("_f"), F.lit(False).alias("_own"))
+    met = own.unionByName(shades).groupBy(*place).agg(*[F.max(c).alias(c) for c in rest], F.product("_f").alias("_f"), F.max("_own").alias("_own"))
+    return met.where("_own").withColumn("v", F.col("v") * F.col("_f")).select(*pixels.columns)
 
 
 # --- overlays -----------------------------------------------------------------------------------
@@ -395,10 +552,10 @@ def draw_grid(pixels: DataFrame, patch_size: int, width: int, height: int, color
 
 
 def overlay_heatmap(pixels: DataFrame, heat: DataFrame, alpha: float = 0.5, color_map: str = "hot") -> DataFrame:
-    """Blend a colour-mapped heatmap (values in [0, 1]) over an RGB image."""
+    """Blend a colour-mapped heatmap (values in [0, 1]) over an RGB image; pixels without heat stay as they are."""
+    warm = heat.select("image_id", *[F.col(c).cast(pixels.schema[c].dataType).alias(c) for c in ("y", "x")], "value")
     rgb = px.colorize(F.col("value"), color_map)
-    joined = pixels.join(pixel_table(heat.select("image_id", "y", "x", "value")), ["image_id", "y", "x"]).withColumn("_rgb", rgb)
+    joined = beside(pixels, warm, ["value"], ["image_id", "y", "x"]).withColumn("_rgb", rgb)
     tone = F.get(F.array("_rgb.r", "_rgb.g", "_rgb.b"), F.col("c"))
-    return joined.withColumn("v", px.to_byte(px.mix(F.col("v").cast("double"), tone.cast("double"), alpha))).drop(
-        "_rgb", "value"
-    )
+    mixed = px.to_byte(px.mix(F.col("v").cast("double"), tone.cast("double"), alpha))
+    return joined.withColumn("v", F.when(F.col("value").isNotNull(), mixed).otherwise(F.col("v").cast("int"))).drop("_rgb", "value")

@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from normatile.operators.evaluation import rank_counts, summarize
 from normatile.operators.ordering import join_null_safe, percentile_bounds
+from normatile.operators.vectors import to_matrix
 from normatile.session import materialize
 
+# Pixels that a task makes and counts together.
+PIXELS_AT_ONCE = 1 << 22
+
 
 def patch_of(x: Column, y: Column, patch_size: int, grid_w: int) -> Column:
     """Row-major index of the patch that holds a pixel."""
@@ -201,18 +207,49 @@ def pixel_auroc(
 ) -> DataFrame:
     """AUROC over all pixels of raw heatmaps against masks (a pixel without mask row is normal).
 
-    Pixels are counted per score where they are generated. Only the few positive mask pixels meet
-    the scores, and they meet the small per-image grid, so no pixel table is ever joined.
+    An image's grid meets the places of its positive mask pixels; each task makes its images' pixels and
+    counts them per score, so one shuffle, by ranges of scores, carries counts only, and the ranking
+    works on those ranges as they are. A mask pixel given twice counts once; one outside the heatmap is an
+    error. A pixel without a score, beside a missing patch, has no place in the ranking.
     """
-    grids = materialize(score_grids(scores, grid, keys, score), "grids")
-    lines = grids.select("*", F.explode(F.sequence(F.lit(0), F.lit(size - 1))).alias("y"))
-    cells = lines.select("*", F.explode(F.sequence(F.lit(0), F.lit(size - 1))).alias("x"))
-    value = bilinear(F.col("grid"), grid, F.col("x"), F.col("y"), size).alias("threshold")
-    every = cells.select(value, F.lit(0).cast("long").alias("pos"), F.lit(1).cast("long").alias("neg"))
-    # A positive pixel was counted as a negative above; take that back.
-    marked = join_null_safe(masks.where(F.col(mask) > 0).select(*keys, "y", "x"), grids, keys)
-    hits = marked.select(value, F.lit(1).cast("long").alias("pos"), F.lit(-1).cast("long").alias("neg"))
-    # A pixel without a score, beside a missing patch, has no place in the ranking.
-    counts = every.unionByName(hits).where(F.col("threshold").isNotNull()).groupBy("threshold").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    ranked = rank_counts(counts)
-    return summarize(ranked).select("positives", "negatives", "auroc")
+    keys = list(keys)
+    marked = masks.where(F.col(mask) > 0).groupBy(*keys).agg(F.collect_set(F.struct(F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"))).alias("_set"))
+    joined = join_null_safe(score_grids(scores, grid, keys, score), marked, keys, "left").select("grid", "_set")
+    low, high, weight = _axis(grid, size)
+    step = max(1, PIXELS_AT_ONCE // (size * size))
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, step):
+                part = batch.slice(start, step)
+                g = to_matrix(part.column(0)).reshape(-1, grid, grid)
+                across = g[:, :, low] * (1.0 - weight) + g[:, :, high] * weight
+                w = weight[None, :, None]
+                values = (across[:, low, :] * (1.0 - w) + across[:, high, :] * w).reshape(len(g), -1)
+                truth = np.zeros(values.shape, bool)
+                sets = part.column(1)
+                places = sets.flatten()
+                image = np.repeat(np.arange(len(g)), sets.value_lengths().fill_null(0).to_numpy())
+                y, x = (places.field(f).to_numpy(zero_copy_only=False) for f in ("y", "x"))
+                if len(y) and (min(y.min(), x.min()) < 0 or max(y.max(), x.max()) >= size):
+                    raise ValueError(f"a mask pixel lies outside the heatmap of {size} x {size}")
+                truth[image, y * size + x] = True
+                known = ~np.isnan(values)
+                levels, at = np.unique(values[known], return_inverse=True)
+                pos = np.bincount(at, weights=truth[known], minlength=len(levels)).astype(np.int64)
+                neg = np.bincount(at, minlength=len(levels)) - pos
+                yield pa.RecordBatch.from_arrays([pa.array(levels), pa.array(pos), pa.array(neg)], names=["threshold", "pos", "neg"])
+
+    # Stored: the ranges are found from a sample, which would make all pixels a second time.
+    counts = materialize(joined.mapInArrow(counted, "threshold double, pos long, neg long"), "pixel-counts")
+    merged = counts.repartitionByRange(F.desc("threshold")).groupBy("threshold").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    return summarize(rank_counts(merged, ranged=True)).select("positives", "negatives", "auroc")
+
+
+def _axis(source: int, target: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``axis_weight`` of every target place, as arrays."""
+    at = (np.arange(target) + 0.5) * float(source) / float(target) - 0.5
+    low = np.floor(at).astype(int)
+    weight = np.where((low < 0) | (low >= source - 1), 0.0, at - low)
+    base = np.clip(low, 0, source - 1)
+    return base, np.minimum(base + 1, source - 1), weight

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from normatile.operators.ordering import running_totals
+from normatile.operators.rules import CheckpointGate, EarlyStop, scan_rule
 
 
 def epoch_means(log: DataFrame, keys: Sequence[str] = ("run_id", "epoch", "key")) -> DataFrame:
@@ -48,73 +47,17 @@ def run_summary(log: DataFrame, best_of: dict[str, str] | None = None) -> DataFr
     )
 
 
-def ordered_fold(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str],
-    inputs: Sequence[str],
-    start: Callable[[], dict],
-    advance: Callable[[dict, dict], dict],
-    emitted: T.StructType,
-) -> DataFrame:
-    """Carry a small state along each group's rows in order, one output row per input row.
-
-    For rules in which a row's outcome depends on earlier outcomes. Rows stream past in sort order;
-    only the state is held, so a long run needs no more memory than a short one.
-    """
-    keys, order, inputs = list(keys), list(order), list(inputs)
-    chosen = df.select(*keys, *[c for c in dict.fromkeys([*order, *inputs])])
-    sorted_ = chosen.repartition(*keys).sortWithinPartitions(*keys, *order)
-    schema = T.StructType(list(chosen.schema.fields) + list(emitted.fields))
-
-    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, state = None, None
-        for frame in frames:
-            out = []
-            for row in frame.astype(object).where(frame.notna(), None).to_dict("records"):
-                key = tuple(row[k] for k in keys)
-                if state is None or key != current:
-                    current, state = key, start()
-                state = advance(state, row)
-                out.append({f.name: state[f.name] for f in emitted.fields})
-            yield pd.concat([frame.reset_index(drop=True), pd.DataFrame(out, columns=emitted.names)], axis=1)
-
-    return sorted_.mapInPandas(fold, schema)
-
-
 def early_stopping(
     epochs: DataFrame, metric: str, patience: int = 7, mode: str = "max", min_delta: float = 0.0,
     keys: Sequence[str] = ("run_id",), epoch: str = "epoch",
 ) -> DataFrame:
-    """Counter, best value and stop flag after each epoch.
+    """Counter, best value and stop flag after each epoch: ``keys, epoch, metric, best, bad_epochs, stopped``.
 
     The first defined value sets the best. A value counts as better only if it beats the best by
-    more than ``min_delta``. Undefined epochs change nothing, nor do epochs after the stop.
+    more than ``min_delta``. Undefined epochs change nothing, nor do epochs after the stop. A run of any
+    length is spread over slices (``rules.scan_rule``).
     """
-    fields = "best double, bad_epochs int, stopped boolean"
-    step = early_stop_step(metric, patience, mode, min_delta)
-    return ordered_fold(epochs, keys, [epoch], [metric], early_stop_start, step, _struct(fields))
-
-
-def early_stop_start() -> dict:
-    return {"best": None, "bad_epochs": 0, "stopped": False}
-
-
-def early_stop_step(metric: str, patience: int, mode: str, min_delta: float) -> Callable[[dict, dict], dict]:
-    if mode not in ("max", "min"):
-        raise ValueError(f"mode must be 'max' or 'min', got {mode!r}")
-    sign = 1.0 if mode == "max" else -1.0
-
-    def advance(state: dict, row: dict) -> dict:
-        value = row[metric]
-        if state["stopped"] or value is None or value != value:
-            return state
-        if state["best"] is None or sign * value > sign * state["best"] + min_delta:
-            return {"best": value, "bad_epochs": 0, "stopped": False}
-        bad = state["bad_epochs"] + 1
-        return {"best": state["best"], "bad_epochs": bad, "stopped": bad >= patience}
-
-    return advance
+    return scan_rule(epochs, keys, epoch, EarlyStop(metric, patience, mode, min_delta))
 
 
 def checkpoint_gate(
@@ -127,27 +70,5 @@ def checkpoint_gate(
     ``tolerance``. Saving replaces both bests, so the one that fell is lowered. A column named
     ``stopped`` with true ends the run: the stopping epoch and later ones never save.
     """
-    inputs = [image_metric, patch_metric] + (["stopped"] if "stopped" in epochs.columns else [])
-
-    def start() -> dict:
-        return {"best_image": None, "best_patch": None, "saved": False}
-
-    def advance(state: dict, row: dict) -> dict:
-        image, patch = row[image_metric], row[patch_metric]
-        kept = {**state, "saved": False}
-        if image is None or patch is None or image != image or patch != patch or row.get("stopped"):
-            return kept
-        if state["best_image"] is None:
-            return {"best_image": image, "best_patch": patch, "saved": True}
-        gain_i, gain_p = image - state["best_image"], patch - state["best_patch"]
-        saved = (gain_i > 0 and -gain_p <= tolerance) or (gain_p > 0 and -gain_i <= tolerance)
-        return {"best_image": image, "best_patch": patch, "saved": True} if saved else kept
-
-    return ordered_fold(
-        epochs, keys, [epoch], inputs, start, advance,
-        _struct("best_image double, best_patch double, saved boolean"),
-    )
-
-
-def _struct(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
+    stopped = "stopped" if "stopped" in epochs.columns else None
+    return scan_rule(epochs, keys, epoch, CheckpointGate(image_metric, patch_metric, tolerance, stopped))

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from normatile.functions.scores import amplify
 from normatile.operators.ordering import join_null_safe, top_k
 from normatile.operators.vectors import rows_by_key, to_matrix
+from normatile.session import materialize
 
 # Models up to this size go to every executor; with larger ones the patches meet their group's model.
 MODEL_BYTES = 64 * 2**20
@@ -41,25 +42,28 @@ def mahalanobis(
     """
     group = list(group)
     profile = profile.select(*group, "mu", "sigma_inv")
-    size = profile.agg(F.sum(F.pow(F.size("mu"), F.lit(2)) * 8.0).alias("bytes")).first()["bytes"]
-    if size is None:
+    model, size = {}, 0
+    # One pass over the models: they are kept while they fit, and left for the executors when they don't.
+    for row in profile.toLocalIterator():
+        size += 8 * len(row["mu"]) ** 2
+        if size > model_bytes and group:
+            break
+        key = tuple(row[g] for g in group)
+        if key in model:
+            raise ValueError(f"two profiles for {key}")
+        model[key] = (np.asarray(row["mu"], np.float64), np.asarray(row["sigma_inv"], np.float64))
+    if size > model_bytes and group:
+        raw = _dealt(patches, materialize(profile, "models"), group, features)
+    elif not model:
         raw = patches.withColumn("_q", F.lit(None).cast("double")).withColumn("_known", F.lit(False))
-    elif size <= model_bytes or not group:
-        raw = _broadcast(patches, profile, group, features)
     else:
-        raw = _dealt(patches, profile, group, features)
+        raw = _broadcast(patches, model, group, features)
     score = F.when(~F.col("_known"), 0.0).otherwise(amplify(F.nanvl("_q", F.lit(None).cast("double")), gamma))
     return raw.withColumn(out, score).drop("_q", "_known")
 
 
-def _broadcast(patches: DataFrame, profile: DataFrame, group: list[str], features: str) -> DataFrame:
+def _broadcast(patches: DataFrame, model: dict[tuple, tuple[np.ndarray, np.ndarray]], group: list[str], features: str) -> DataFrame:
     """Models of a checked size: each task looks its groups up."""
-    model: dict[tuple, tuple[np.ndarray, np.ndarray]] = {}
-    for row in profile.toLocalIterator():
-        key = tuple(row[g] for g in group)
-        if key in model:
-            raise ValueError(f"two profiles for {key}")
-        model[key] = (np.asarray(row["mu"], np.float64), np.asarray(row["sigma_inv"], np.float64))
     shared = patches.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("struct<q:double,known:boolean>")

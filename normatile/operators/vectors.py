@@ -32,7 +32,7 @@ def to_matrix(column: pa.Array) -> np.ndarray:
     if given.all():
         return flat.reshape(len(column), width)
     matrix = np.full((len(column), width), np.nan)
-    matrix[given] = flat.reshape(-1, width)
+    matrix[given] = flat.reshape(int(given.sum()), width)
     return matrix
 
 

@@ -12,10 +12,9 @@ from normatile.operators.scoring import image_score
 from normatile.plans import fixtures as fx
 from normatile.plans.fixtures import r6
 from normatile.plans.registry import query
-from normatile.session import materialize
 from normatile.plans.scoring_queries import scored64
-from normatile.session import new_folder
-from normatile.sources import reports
+from normatile.session import materialize, new_folder
+from normatile.sources import image_scan, reports
 
 
 def manifest(spark, sf):
@@ -327,3 +326,36 @@ def prompt_text(spark, sf):
     return fx.table(spark, sf, "conversations").select(
         "conv_id", "turn", paths.compose_prompt(F.lit("Describe the object."), prefix, suffix).alias("prompt")
     )
+
+
+def _damaged(files):
+    """Cut every image file whose number leaves 3 by 7 in half, and empty those that leave 5."""
+
+    def damage(batches):
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                number = int(path.rsplit("/", 1)[1].removesuffix(".png")) % 7
+                system, name = image_scan.opened(path)
+                if number in (3, 5):
+                    with system.open_input_stream(name) as stream:
+                        whole = stream.read()
+                    with system.open_output_stream(name) as out:
+                        out.write(whole[: len(whole) // 2] if number == 3 else b"")
+            yield batch
+
+    return materialize(files.mapInArrow(damage, files.schema), "damaged")
+
+
+@query(
+    "image_scan",
+    """SELECT image_id, CAST(y AS INT) AS y, CAST(x AS INT) AS x, CAST(c AS INT) AS c, CAST(v AS INT) AS v, false AS bad FROM pixels
+    WHERE image_id % 7 NOT IN (3, 5) AND image_id % 4 <> 1
+    UNION ALL SELECT image_id, NULL, NULL, NULL, NULL, true FROM images WHERE image_id % 7 IN (3, 5) AND image_id % 4 <> 1""",
+    ("images", "pixels"),
+)
+def scanned_images(spark, sf):
+    """Images written as files, some of them damaged, and three quarters of them read again through the image source."""
+    files = _damaged(image_scan.write_images(fx.pixels(spark, sf), new_folder(spark, "images")))
+    number = F.regexp_extract("path", r"(\d+)\.png$", 1).cast("long")
+    out = image_scan.scan_images(files.where(number % 4 != 1), partition_bytes=32 << 10)
+    return out.select(number.alias("image_id"), "y", "x", "c", "v", F.col("error").isNotNull().alias("bad"))

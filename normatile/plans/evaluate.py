@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from normatile.functions.scores import fuse_scores
 from normatile.operators.attention import attention
 from normatile.operators.evaluation import auroc, score_inventory
+from normatile.operators.ordering import join_null_safe
 from normatile.operators.profile import add_normal, fit_profile
 from normatile.operators.rollups import pixel_auroc
 from normatile.operators.scoring import image_score, mahalanobis
@@ -25,7 +26,7 @@ def score_patches(
     if queries is None:
         return scored.withColumn("score", F.col("deviation"))
     attended = attention(patches, queries).drop("weights")
-    joined = scored.join(attended, ["image_id", "patch_idx"])
+    joined = join_null_safe(scored, attended, ["image_id", "patch_idx"])
     return joined.withColumn(
         "score", fuse_scores(F.col("importance"), F.col("deviation"), F.col("n_queries"), alpha, beta, cross)
     )
@@ -38,14 +39,14 @@ def score_images(
     profile = materialize(fit_profile(add_normal(patches, label), group), "profile")
     scored = score_patches(patches, profile, group, queries, **options)
     labels = patches.groupBy("image_id").agg(F.max(label).alias("label"))
-    return image_score(scored).join(labels, "image_id")
+    return join_null_safe(image_score(scored), labels, ["image_id"])
 
 
 def evaluation_report(
     scores: DataFrame, masks: DataFrame, images: DataFrame, grid: int, size: int
 ) -> DataFrame:
     """One row: image AUROC, pixel AUROC (raw scores), counts and score range."""
-    ranked = images.join(image_score(scores), "image_id")
+    ranked = join_null_safe(images, image_score(scores), ["image_id"])
     by_image = auroc(ranked, "image_score", "label").select("auroc").scalar()
     by_pixel = pixel_auroc(scores, masks, grid, size).select("auroc").scalar()
     counts = score_inventory(ranked, "image_score", "label")

@@ -236,18 +236,22 @@ def _mirrored(spark, sf):
     return fx.pixels(spark, sf).withColumn("y", F.lit(fx.SIZE - 1) - F.col("y"))
 
 
+#: Columns of pixels as lists, values and mask side by side: queries over them join no pixels.
+_COLUMNS = """columns AS (SELECT image_id, x, c, list(v ORDER BY y) AS vs, list(m ORDER BY y) AS ms FROM (
+SELECT image_id, yy AS y, xx AS x, c, CAST((floor((CAST(embedding[c + 1] AS DOUBLE) + 1) * 96) + xx * 7 + yy * 13 + c * 29) AS BIGINT) % 256 AS v,
+CAST(y = 1 AND (py - 3.5) * (py - 3.5) + (px - 3.5) * (px - 3.5) <= 1 + (image_id * 25 + patch_idx) % 12 AS INT) AS m
+FROM cells, range(3) ch(c)) GROUP BY image_id, x, c)"""
+
+
 @query(
     "blend_images",
-    """SELECT p.image_id, p.y, p.x, p.c, round(p.v * (m * 0.7::DOUBLE) + d.v * (1 - m * 0.7::DOUBLE), 6) AS v
-    FROM pixels p JOIN pixels d ON p.image_id = d.image_id AND p.y = 39 - d.y AND p.x = d.x AND p.c = d.c
-    JOIN masks m ON p.image_id = m.image_id AND p.y = m.y AND p.x = m.x""",
-    ("pixels", "masks"),
+    f"""WITH {_COLUMNS} SELECT image_id, y, x, c, round(vs[y + 1] * (ms[y + 1] * 0.7::DOUBLE) + vs[40 - y] * (1 - ms[y + 1] * 0.7::DOUBLE), 6) AS v
+    FROM columns, range(40) t(y)""",
+    ("cells",),
 )
 def blend_images(spark, sf):
-    place = [*PLACE, "c"]
-    dest = _mirrored(spark, sf).withColumnRenamed("v", "d")
-    both = fx.pixels(spark, sf).join(raster.pixel_table(dest), place).join(raster.pixel_table(fx.masks(spark, sf)), list(PLACE))
-    return _out(both.withColumn("v", px.blend(F.col("v"), F.col("d"), F.col("m"), 0.7)), *place)
+    out = raster.blend_images(fx.pixels(spark, sf), _mirrored(spark, sf), fx.masks(spark, sf), 0.7)
+    return _out(out, *PLACE, "c")
 
 
 def _grad(src: str) -> str:
@@ -312,11 +316,11 @@ def texture_noise(spark, sf):
 
 @query(
     "overlay_region",
-    """SELECT b.image_id, b.y, b.x, b.c, coalesce(n.v, b.v) AS v FROM pixels b LEFT JOIN (
-    SELECT p.image_id, p.y + 3 + p.image_id % 4 AS y, p.x + 5 AS x, p.c, 255 - p.v AS v FROM pixels p
-    JOIN masks m ON p.image_id = m.image_id AND p.y = m.y AND p.x = m.x WHERE m.m = 1) n
-    ON b.image_id = n.image_id AND b.y = n.y AND b.x = n.x AND b.c = n.c""",
-    ("pixels", "masks"),
+    f"""WITH {_COLUMNS}, sheets AS (SELECT image_id, c, list(vs ORDER BY x) AS vs, list(ms ORDER BY x) AS ms FROM columns GROUP BY ALL),
+    moved AS (SELECT *, y - 3 - image_id % 4 AS fy, x - 5 AS fx FROM sheets, range(40) t(y), range(40) u(x))
+    SELECT image_id, y, x, c, CASE WHEN fy >= 0 AND fx >= 0 AND ms[fx + 1][fy + 1] = 1 THEN 255 - vs[fx + 1][fy + 1] ELSE vs[x + 1][y + 1] END AS v
+    FROM moved""",
+    ("cells",),
 )
 def overlay_region(spark, sf):
     region = fx.pixels(spark, sf).join(raster.pixel_table(fx.masks(spark, sf)), list(PLACE)).withColumn("v", 255 - F.col("v"))
@@ -439,18 +443,20 @@ def segment_buffer(spark, sf):
 
 @query(
     "segment_shade",
-    f"""WITH {_SEGMENTS}, around AS (SELECT s.image_id, s.seg_id, avg(v) AS light FROM segs s JOIN pixels p
+    f"""WITH {_SEGMENTS}, {_COLUMNS}, spots AS (SELECT image_id, x, y, vs[y + 1] AS v FROM columns, range(40) t(y)),
+    around AS (SELECT s.image_id, s.seg_id, avg(v) AS light FROM segs s JOIN spots p
     ON s.image_id = p.image_id AND x >= least(x1, x2) - 9 AND x < greatest(x1, x2) + 9
     AND y >= least(y1, y2) - 9 AND y < greatest(y1, y2) + 9 GROUP BY ALL),
-    factors AS (SELECT n.image_id, y, x, CASE WHEN distance <= 3 THEN 1 - dark * (1 - sqrt(distance / 3)) * 0.9
+    factors AS (SELECT n.image_id, n.seg_id, y, x, CASE WHEN distance <= 3 THEN 1 - dark * (1 - sqrt(distance / 3)) * 0.9
     ELSE 1 - dark * (1 - (distance - 3) / 3) * 0.4 END
     * CASE WHEN sqrt(power(x - x1, 2) + power(y - y1, 2)) <= 2 THEN 0.5 ELSE 1 END AS f FROM (
     SELECT near.*, CASE WHEN light > 100 THEN 0.3::DOUBLE * 1.5 ELSE 0.3::DOUBLE * 0.8 END AS dark
     FROM near JOIN around USING (image_id, seg_id) WHERE distance <= 6) n),
-    shade AS (SELECT image_id, y, x, product(f) AS f FROM factors GROUP BY ALL)
-    SELECT p.image_id, p.y, p.x, c, round(v * coalesce(f, 1), 6) AS v FROM pixels p LEFT JOIN shade s
-    ON p.image_id = s.image_id AND p.y = s.y AND p.x = s.x""",
-    ("images", "cells", "pixels"),
+    shade AS (SELECT image_id, y, x, list_product(list(f ORDER BY seg_id)) AS f FROM factors GROUP BY ALL),
+    shades AS (SELECT image_id, map_from_entries(list((y * 40 + x, f))) AS fs FROM shade GROUP BY image_id),
+    lit AS (SELECT image_id, x, c, vs, fs FROM columns LEFT JOIN shades USING (image_id))
+    SELECT image_id, y, x, c, round(vs[y + 1] * coalesce(fs[y * 40 + x], 1), 6) AS v FROM lit, range(40) t(y)""",
+    ("images", "cells"),
 )
 def segment_shade(spark, sf):
     return _out(raster.segment_shade(fx.pixels(spark, sf), segments(spark, sf)), *PLACE, "c")

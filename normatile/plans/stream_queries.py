@@ -11,6 +11,7 @@ import os
 from pyspark.sql import functions as F
 
 from normatile.functions.scores import combined_metric
+from normatile.operators.ordering import with_position
 from normatile.plans import fixtures as fx
 from normatile.plans.fixtures import r6, r9
 from normatile.plans.registry import query
@@ -22,13 +23,16 @@ from normatile.streaming import metric_stream, profile_stream
 PORTIONS = 3
 
 
-def feed(spark, df, by: str, start):
-    """Append ``df`` in ordered portions of ``by``; ``start(stream, folder)`` drains each one."""
+def feed(spark, df, by: str, start, shuffled: bool = False):
+    """Append ``df`` in portions of ``by``, in its order or shuffled; ``start(stream, folder)`` drains each one."""
     stored = materialize(df, "feed")
-    low, high = stored.agg(F.min(by), F.max(by)).first()
     folder = new_folder(spark, "stream")
     source = os.path.join(folder, "source")
-    portion = F.floor((F.col(by) - low) * PORTIONS / (high - low + 1))
+    if shuffled:
+        portion = F.pmod(F.xxhash64(by), F.lit(PORTIONS))
+    else:
+        low, high = stored.agg(F.min(by), F.max(by)).first()
+        portion = F.floor((F.col(by) - low) * PORTIONS / (high - low + 1))
     for i in range(PORTIONS):
         stored.where(portion == i).write.mode("append").parquet(source)
         stream = spark.readStream.schema(stored.schema).parquet(source)
@@ -120,3 +124,28 @@ def stream_running_loss(spark, sf):
     return latest.select("run_id", "epoch", "key", r9(F.col("_row.running_mean")).alias("running_mean"), "_row.n_steps")
 
 
+
+
+@query(
+    "stream_running_loss_every",
+    """SELECT run_id, epoch, key, n - 1 AS step, n AS n_steps, round(total / n, 9) AS running_mean FROM (
+    SELECT *, sum(value) OVER w AS total, row_number() OVER w AS n FROM metric_log
+    WINDOW w AS (PARTITION BY run_id, epoch, key ORDER BY step)) WHERE n % 10 = 0""",
+    ("metric_log",),
+)
+def stream_running_loss_every(spark, sf):
+    """Running means given out at every tenth step, though steps arrive shuffled and the stream restarts."""
+    log = with_position(fx.metric_log(spark, sf).drop("user_id"), ["step"], ["run_id", "epoch", "key"], "at")
+    log = log.select("run_id", "epoch", "key", F.col("at").alias("step"), "value")
+
+    def start(stream, folder):
+        means = metric_stream.running_loss_every(stream, 10)
+        return (
+            means.writeStream.format("parquet").outputMode("append").trigger(availableNow=True)
+            .option("checkpointLocation", os.path.join(folder, "checkpoint"))
+            .start(os.path.join(folder, "means"))
+        )
+
+    folder = feed(spark, log, "step", start, shuffled=True)
+    out = spark.read.schema(metric_stream.EVERY_SCHEMA).parquet(os.path.join(folder, "means"))
+    return out.withColumn("running_mean", r9(F.col("running_mean")))

@@ -65,3 +65,20 @@ def materialize(df: DataFrame, tag: str = "stage") -> DataFrame:
     path = new_folder(df.sparkSession, tag)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def committed(spark: SparkSession, path: str, column: str) -> dict[str, str]:
+    """Folders ``path/<column>=<value>`` that were written to their end: their paths by value.
+
+    The writer's ``_SUCCESS`` file, put there last, is the record of the commit; a folder without it is
+    what a failed write left and does not count. Only names are listed, on any file system Spark reaches.
+    """
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    system = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = {}
+    for status in system.globStatus(jvm.org.apache.hadoop.fs.Path(root, f"{column}=*")) or []:
+        folder = status.getPath()
+        if system.exists(jvm.org.apache.hadoop.fs.Path(folder, "_SUCCESS")):
+            found[folder.getName().split("=", 1)[1]] = folder.toString()
+    return found

@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from normatile.operators.catalogue import attach_masks, manifest, mask_files
+from normatile.sources.image_scan import list_images, scan_images
 
 
 def list_files(spark: SparkSession, root: str) -> DataFrame:
@@ -29,58 +26,19 @@ def image_manifest(spark: SparkSession, root: str) -> DataFrame:
     return attach_masks(manifest(files), mask_files(files))
 
 
-def _decoded(spark: SparkSession, root: str) -> DataFrame:
-    return (
-        spark.read.format("image")
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "*.png")
-        .load(root)
-        .select("image.origin", "image.height", "image.width", "image.nChannels", "image.data")
-    )
-
-
-def _cube(row: dict) -> np.ndarray:
-    """Decoded bytes as (height, width, channel) in RGB order, or one grey channel."""
-    cube = np.frombuffer(row["data"], np.uint8).reshape(row["height"], row["width"], row["nChannels"])
-    return cube[:, :, [2, 1, 0]] if row["nChannels"] >= 3 else cube[:, :, :1]
-
-
-def image_arrays(spark: SparkSession, root: str) -> DataFrame:
-    """One row per image with its bytes in (y, x, channel) order: the input of an encoder."""
-
-    def flatten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                cube = _cube(row)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([row["origin"]]), *[pa.array([n], pa.int32()) for n in cube.shape],
-                        pa.array([cube.ravel().astype(np.float32)]),
-                    ],
-                    names=["path", "height", "width", "channels", "pixels"],
-                )
+def image_arrays(spark: SparkSession, root: str, **options) -> DataFrame:
+    """One row per readable image with its bytes in (y, x, channel) order: the input of an encoder."""
+    return scan_images(list_images(spark, root), "arrays", **options).where("error is null").drop("error")
 
-    schema = "path string, height int, width int, channels int, pixels array<float>"
-    return _decoded(spark, root).mapInArrow(flatten, schema)
 
+def image_pixels(spark: SparkSession, root: str, **options) -> DataFrame:
+    """Readable images as ``(path, y, x, c, v)`` rows with channels in RGB order (grey: c = 0)."""
+    return scan_images(list_images(spark, root), **options).where("error is null").drop("error")
 
-def image_pixels(spark: SparkSession, root: str) -> DataFrame:
-    """Decode images to ``(path, y, x, c, v)`` rows with channels in RGB order (grey: c = 0)."""
-    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                cube = _cube(row)
-                y, x, c = np.meshgrid(*[np.arange(n, dtype=np.int32) for n in cube.shape], indexing="ij")
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([row["origin"]] * cube.size),
-                        pa.array(y.ravel()), pa.array(x.ravel()), pa.array(c.ravel()),
-                        pa.array(cube.ravel().astype(np.int32)),
-                    ],
-                    names=["path", "y", "x", "c", "v"],
-                )
 
-    return _decoded(spark, root).mapInArrow(explode, "path string, y int, x int, c int, v int")
+def image_errors(spark: SparkSession, root: str, **options) -> DataFrame:
+    """``path, error`` of the files below ``root`` that can't be read as images."""
+    return scan_images(list_images(spark, root), **options).where("error is not null").select("path", "error")
 
 
 def mask_pixels(spark: SparkSession, root: str, threshold: int = 127) -> DataFrame:

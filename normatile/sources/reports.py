@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import os
+import re
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from normatile.operators.ordering import join_null_safe
-
 from normatile.functions.scores import label_name
+from normatile.operators.ordering import join_null_safe
+from normatile.session import committed, materialize
 
 LOG_SCHEMA = "run_id string, epoch bigint, step bigint, key string, value double"
 
@@ -51,42 +54,70 @@ def to_long_log(records: DataFrame, metrics: str = "metrics") -> DataFrame:
     )
 
 
-def append_metrics(records: DataFrame, path: str, metrics: str = "metrics") -> None:
-    """Append metric records to the long log, one folder per run."""
-    to_long_log(records, metrics).write.mode("append").partitionBy("run_id").parquet(path)
+def append_metrics(records: DataFrame, path: str, metrics: str = "metrics", batch: str | int | None = None) -> None:
+    """Append metric records to the long log, one folder per batch and run.
+
+    A batch that is written again under its name (letters, digits, ``.``, ``_``, ``-``) replaces what it wrote
+    before, whole or not: a retry gives each row once. Without a name every call is a batch of its own.
+    """
+    name = uuid.uuid4().hex if batch is None else str(batch)
+    if not re.fullmatch(r"[A-Za-z0-9._-]+", name):
+        raise ValueError(f"not a batch name: {name!r}")
+    to_long_log(records, metrics).write.mode("overwrite").partitionBy("run_id").parquet(os.path.join(path, f"batch={name}"))
 
 
 def read_metrics(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(LOG_SCHEMA).parquet(path)
+    """All rows of the batches that were written to their end."""
+    folders = committed(spark, path, "batch")
+    if not folders:
+        return spark.createDataFrame([], LOG_SCHEMA)
+    log = spark.read.schema(f"{LOG_SCHEMA}, batch string").option("basePath", path).parquet(*folders.values())
+    return log.select("run_id", "epoch", "step", "key", "value")
 
 
 def save_profile(profile: DataFrame, path: str, version: int, **metadata) -> None:
-    """Append profile rows under a version, with any extra facts (epoch, metrics, ...) as columns."""
+    """Write profile rows as a version, with any extra facts (epoch, metrics, ...) as columns.
+
+    A version has a folder of its own: saving it again, after a failure say, replaces it.
+    """
     extra = {name: F.lit(value) for name, value in metadata.items()}
-    out = profile.drop("version").withColumns({"version": F.lit(version).cast("long"), **extra})
-    out.write.mode("append").parquet(path)
+    out = profile.drop("version").withColumns(extra)
+    out.write.mode("overwrite").parquet(os.path.join(path, f"version={int(version)}"))
 
 
 def load_profile(
     spark: SparkSession, path: str, group: Sequence[str] = (), version: int | None = None,
     defaults: DataFrame | None = None,
 ) -> DataFrame:
-    """The given, or each group's latest, profile version.
+    """The given, or each group's latest, profile version that was written to its end.
 
-    Stores written without versions are accepted as version 0. With ``defaults``, groups or fields
-    that the store lacks keep their default.
+    Folders say which versions there are, and the groups' keys which of them is the latest; matrices
+    are read from the versions needed only. Stores without version folders are accepted as version 0. With
+    ``defaults``, groups or fields that the store lacks keep their default.
     """
-    saved = spark.read.option("mergeSchema", True).parquet(path)
-    if "version" not in saved.columns:
-        saved = saved.withColumn("version", F.lit(0).cast("long"))
-    if version is not None:
-        saved = saved.where(F.col("version") == version)
     group = list(group)
-    if version is None:
-        # Versions are looked up from keys alone; matrices of older versions are dropped by the join.
-        newest = saved.groupBy(*group).agg(F.max("version").alias("version"))
-        saved = join_null_safe(saved, newest, [*group, "version"])
-    out = saved
+    folders = {int(v): folder for v, folder in committed(spark, path, "version").items()}
+
+    def read(*versions: int) -> DataFrame:
+        rows = spark.read.option("mergeSchema", True).option("basePath", path).parquet(*[folders[v] for v in versions])
+        return rows.withColumn("version", F.col("version").cast("long"))
+
+    if not folders:
+        out = spark.read.parquet(path)
+        if "version" not in out.columns:
+            out = out.withColumn("version", F.lit(0).cast("long"))
+        if version is not None:
+            out = out.where(F.col("version") == version)
+    elif version is not None:
+        if version not in folders:
+            raise ValueError(f"version {version} is not in the store, only {sorted(folders)}")
+        out = read(version)
+    elif not group:
+        out = read(max(folders))
+    else:
+        newest = materialize(read(*folders).groupBy(*group).agg(F.max("version").alias("version")), "profile-versions")
+        needed = [r["version"] for r in newest.select("version").distinct().collect()]  # at most one row per version folder
+        out = join_null_safe(read(*needed), newest, [*group, "version"])
     if defaults is None:
         return out
     names = [c for c in defaults.columns if c not in group]

@@ -9,16 +9,15 @@ from __future__ import annotations
 import os
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from normatile.operators.ordering import last_n
-from normatile.operators.profile import PROFILE_FIELDS, REGULARIZATION, add_normal, fit_profile
+from normatile.operators.profile import REGULARIZATION, add_normal, averaged_profile, sliding_refits
 from normatile.operators.scoring import mahalanobis
+from normatile.session import materialize
 
 
 def _state(spark: SparkSession, store: str, name: str, batch_id: int) -> DataFrame | None:
@@ -26,32 +25,6 @@ def _state(spark: SparkSession, store: str, name: str, batch_id: int) -> DataFra
     return spark.read.parquet(os.path.join(store, name, f"batch={batch_id - 1}")) if batch_id else None
 
 
-def merge_profiles(old: DataFrame | None, new: DataFrame, group: Sequence[str], momentum: float) -> DataFrame:
-    """Average new profiles into old ones; groups seen for the first time are taken as they are."""
-    group = list(group)
-    columns = [*group, "n", "mu", "sigma", "sigma_inv"]
-    if old is None:
-        return new.select(*columns)
-    both = old.select(*columns, F.lit(0).alias("_age")).unionByName(new.select(*columns, F.lit(1).alias("_age")))
-
-    def merge(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("_age")
-        if len(rows) == 1:
-            return rows[columns]
-        mu = [np.asarray(v, np.float64) for v in rows["mu"]]
-        sigma = [np.stack([np.asarray(r, np.float64) for r in m]) for m in rows["sigma"]]
-        mu = (1.0 - momentum) * mu[0] + momentum * mu[1]
-        sigma = (1.0 - momentum) * sigma[0] + momentum * sigma[1]
-        row = dict(zip(group, key)) | {
-            "n": int(rows["n"].iloc[-1]), "mu": mu.tolist(), "sigma": sigma.tolist(),
-            "sigma_inv": np.linalg.inv(sigma).tolist(),
-        }
-        return pd.DataFrame([row])[columns]
-
-    keys = "".join(f"`{g}` {new.schema[g].dataType.simpleString()}, " for g in group)
-    return both.groupBy(*group).applyInPandas(merge, keys + PROFILE_FIELDS)
-
-
 def profile_stream(
     patches: DataFrame,
     store: str,
@@ -71,43 +44,53 @@ def profile_stream(
 
     The buffer of the last ``n`` normal patches per group is a table that each batch rewrites; it
     never grows beyond ``n`` rows per group. Profiles are refitted at steps 0, every, 2 * every, ...
+    up to a group's latest step; a backlog of any number of refits is one set of jobs, and their
+    average starts from the stored profile. ``history`` lists every refit (group..., refit, n).
+    A batch's buffer, progress and profile are removed when the batch after the next one is written: a
+    batch that is run again finds what it read.
     ``trigger`` goes to the writer, ``{"processingTime": "1 minute"}`` for a stream that runs on; by
     default what is there is read and the stream ends. Rows per batch are limited at the source.
     """
     group = list(group)
+    columns = [*group, "n", "mu", "sigma", "sigma_inv"]
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        batch.persist()
-        before = _state(spark, store, "progress", batch_id)
-        done, fitted = (-1, False) if before is None else before.select("step", "fitted").first()
-        reached = batch.agg(F.max(step)).first()[0]
-        reached = done if reached is None else max(done, int(reached))
-        held = _state(spark, store, "buffer", batch_id)
-        arrived = add_normal(batch, label)
+
+        def write(df: DataFrame, name: str) -> DataFrame:
+            path = os.path.join(store, name, f"batch={batch_id}")
+            df.write.mode("overwrite").parquet(path)
+            return spark.read.schema(df.schema).parquet(path)
+
+        held, done, old = (_state(spark, store, name, batch_id) for name in ("buffer", "progress", "profile"))
+        arrived = materialize(add_normal(batch, label), "arrived")
         known = arrived if held is None else held.unionByName(arrived)
-        profile = _state(spark, store, "profile", batch_id) if fitted else None
-        first_refit = -(-(done + 1) // every) * every
-        for at in range(first_refit, reached + 1, every):
-            recent = last_n(known.where(F.col(step) <= at), n, step, within, group, held=True)
-            profile = merge_profiles(profile, fit_profile(recent, group, features, reg), group, momentum)
-            profile.write.mode("overwrite").parquet(os.path.join(store, "history", f"batch={batch_id}", f"step={at}"))
-            profile = spark.read.parquet(os.path.join(store, "history", f"batch={batch_id}", f"step={at}"))
-        if profile is not None:
-            profile.write.mode("overwrite").parquet(os.path.join(store, "profile", f"batch={batch_id}"))
-        last_n(known, n, step, within, group, held=True).write.mode("overwrite").parquet(
-            os.path.join(store, "buffer", f"batch={batch_id}")
-        )
-        spark.range(1).select(F.lit(reached).cast("long").alias("step"), F.lit(profile is not None).alias("fitted")).write.mode("overwrite").parquet(
-            os.path.join(store, "progress", f"batch={batch_id}")
-        )
-        batch.unpersist()
+        made = sliding_refits(known, every, n, step, within, group, features, reg, done)
+        made = materialize(made, "stream-refits")
+        write(made.select(*group, "refit", "n"), "history")
+        fits = made.drop("sigma_inv")
+        if old is not None:
+            fits = old.select(*group, F.lit(-1).cast("long").alias("refit"), "n", "mu", "sigma").unionByName(fits)
+        write(averaged_profile(fits, group, momentum).select(*columns), "profile")
+        write(last_n(known, n, step, within, group), "buffer")
+        reached = known.groupBy(*group).agg(F.floor(F.max(step) / every).cast("long").alias("done"))
+        if done is not None:
+            reached = reached.unionByName(done).groupBy(*group).agg(F.max("done").alias("done"))
+        write(reached, "progress")
+        for name in ("buffer", "progress", "profile"):
+            _remove(spark, os.path.join(store, name, f"batch={batch_id - 2}"))
 
     return (
         patches.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
     )
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    """Delete a state that no batch can read any more."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def current_profile(spark: SparkSession, store: str) -> DataFrame | None:
     """The profile written by the latest batch that has one."""
     try:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from normatile.functions import paths
 from normatile.operators import augment, catalogue, vectors
-from normatile.sources import images, reports
+from normatile.sources import image_scan, images, png, reports
 
 
 def write_png(path, cube):
@@ -156,3 +156,79 @@ def test_report_is_sorted_within_each_category(spark, tmp_path):
         want = sorted((r[4] for r in rows if r[0] == category), reverse=True)
         assert scores == want
     assert [r.score for r in reports.rank_images(df, tie=("path",)).collect()] == sorted((r[4] for r in rows), reverse=True)
+
+
+def test_png_of_every_filter_type_and_depth():
+    rng = np.random.default_rng(3)
+    for shape in ((1, 1, 1), (5, 7, 3), (23, 9, 3), (3, 40, 1)):
+        cube = rng.integers(0, 256, shape).astype(np.uint8)
+        for kinds in ([k] * shape[0] for k in range(5)):
+            assert (png.decode(png.encode(cube, np.array(kinds)), 10**6) == cube).all()
+        assert (png.decode(png.encode(cube, rng.integers(0, 5, shape[0])), 10**6) == cube).all()
+
+
+def packed_png(width, height, depth, colour, lines, interlaced=0, palette=b""):
+    def chunk(tag, data):
+        return struct.pack(">I", len(data)) + tag + data + struct.pack(">I", zlib.crc32(tag + data))
+
+    head = struct.pack(">IIBBBBB", width, height, depth, colour, 0, 0, interlaced)
+    extra = chunk(b"PLTE", palette) if palette else b""
+    return png.SIGNATURE + chunk(b"IHDR", head) + extra + chunk(b"IDAT", zlib.compress(lines)) + chunk(b"IEND", b"")
+
+
+def test_png_of_other_kinds():
+    grey = png.decode(packed_png(4, 1, 2, 0, b"\0" + bytes([0b00011011])), 100)
+    assert grey.ravel().tolist() == [0, 85, 170, 255]
+    colours = png.decode(packed_png(3, 1, 8, 3, b"\0" + bytes([1, 0, 1]), palette=bytes([9, 8, 7, 1, 2, 3])), 100)
+    assert colours.tolist() == [[[1, 2, 3], [9, 8, 7], [1, 2, 3]]]
+    deep = png.decode(packed_png(1, 1, 16, 2, b"\0" + bytes([10, 99, 20, 99, 30, 99])), 100)
+    assert deep.tolist() == [[[10, 20, 30]]]
+    clear = png.decode(packed_png(2, 1, 8, 6, b"\0" + bytes([1, 2, 3, 255, 4, 5, 6, 0])), 100)
+    assert clear.tolist() == [[[1, 2, 3], [4, 5, 6]]]
+    image = np.arange(9 * 10, dtype=np.uint8).reshape(9, 10)
+    passes = b"".join(b"".join(b"\0" + row.tobytes() for row in image[y::dy, x::dx]) for x, y, dx, dy in png.PASSES if image[y::dy, x::dx].size)
+    assert (png.decode(packed_png(10, 9, 8, 0, passes, interlaced=1), 100)[:, :, 0] == image).all()
+
+
+def test_bad_files_are_rows(spark, tmp_path):
+    """A broken, an empty, a huge and a missing file: one error row each, all other pixels."""
+    rng = np.random.default_rng(5)
+    cubes = {k: rng.integers(0, 256, (6, 5, 3)).astype(np.uint8) for k in range(12)}
+    for k, cube in cubes.items():
+        (tmp_path / f"{k}.png").write_bytes(png.encode(cube, rng.integers(0, 5, 6)))
+    whole = png.encode(cubes[0])
+    (tmp_path / "cut.png").write_bytes(whole[:60])
+    (tmp_path / "empty.png").write_bytes(b"")
+    (tmp_path / "text.png").write_bytes(b"this is no image at all, though it has the name of one")
+    (tmp_path / "flipped.png").write_bytes(whole[:50] + bytes([whole[50] ^ 1]) + whole[51:])
+    huge = packed_png(10_000, 10_000, 8, 2, b"")  # 100 megapixels
+    (tmp_path / "huge.png").write_bytes(huge)
+    folder = str(tmp_path)
+    pixels = images.image_pixels(spark, folder, partition_bytes=200).toPandas()
+    assert len(pixels) == 12 * 90
+    for path, part in pixels.groupby("path"):
+        got = part.sort_values(["y", "x", "c"])["v"].to_numpy().reshape(6, 5, 3)
+        assert (got == cubes[int(path.rsplit("/", 1)[1][:-4])]).all()
+    errors = {r.path.rsplit("/", 1)[1]: r.error for r in images.image_errors(spark, folder).collect()}
+    assert set(errors) == {"cut.png", "empty.png", "text.png", "flipped.png", "huge.png"} and "10000 x 10000" in errors["huge.png"]
+    assert images.image_arrays(spark, folder).count() == 12
+    # Only listed files are opened, in partitions of about the wanted size; one that is gone is a row too.
+    files = image_scan.list_images(spark, folder).where(F.col("path").rlike("/[0-9]+.png$") & ~F.col("path").endswith("/3.png"))
+    listed = files.unionByName(spark.createDataFrame([(f"{folder}/gone.png", 10)], "path string, length long"))
+    out = image_scan.scan_images(listed, partition_bytes=400)
+    assert out.rdd.getNumPartitions() > 3
+    rows = out.toPandas()
+    assert rows["error"].notna().sum() == 1 and not rows["path"].str.endswith("/3.png").any() and len(rows) == 11 * 90 + 1
+    assert image_scan.scan_images(files.where("false")).count() == 0
+    with pytest.raises(ValueError):
+        image_scan.scan_images(files, "cubes")
+
+
+def test_images_are_written_and_read_again(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    rows = [(i, y, x, c, int(rng.integers(0, 256))) for i in (1, 2) for y in range(5) for x in range(4) for c in range(3)]
+    df = spark.createDataFrame(rows, "image_id long, y int, x int, c int, v int").repartition(7)
+    files = image_scan.write_images(df, str(tmp_path / "out"))
+    assert {r.path.rsplit("/", 1)[1] for r in files.collect()} == {"1.png", "2.png"}
+    back = image_scan.scan_images(files).select(F.regexp_extract("path", r"(\d).png$", 1).cast("long").alias("i"), "y", "x", "c", "v")
+    assert sorted(map(tuple, back.collect())) == sorted(rows)

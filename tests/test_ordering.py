@@ -69,12 +69,22 @@ def test_percentiles_without_group(spark, skewed):
     assert np.allclose([row.p_low, row.p_high], np.percentile(frame["v"], [5, 95]))
 
 
-@pytest.mark.parametrize("held", [False, True])
-def test_last_n(spark, held):
-    frame = pd.DataFrame({"g": ["a"] * 60 + ["b"] * 7, "step": [i // 8 for i in range(67)], "pos": range(67)})
-    out = ordering.last_n(spark.createDataFrame(frame), 11, "step", ["pos"], ["g"], held).toPandas()
-    want = frame.sort_values(["step", "pos"]).groupby("g").tail(11)
-    assert sorted(out["pos"]) == sorted(want["pos"])
+@pytest.mark.parametrize("per_step", [8, 1000])
+def test_last_n(spark, per_step):
+    """Steps inside and cut; with 1000 rows a step a whole group lies in one step."""
+    frame = pd.DataFrame({"g": ["a"] * 60 + ["b"] * 7, "step": [i // per_step for i in range(67)], "pos": range(67), "v": "x"})
+    df = spark.createDataFrame(frame).repartition(5)
+    for n in (1, 8, 11, 100):
+        out = ordering.last_n(df, n, "step", ["pos"], ["g"])
+        want = frame.sort_values(["step", "pos"]).groupby("g").tail(n)
+        assert out.columns == df.columns and sorted(out.toPandas()["pos"]) == sorted(want["pos"])
+
+
+def test_last_n_ranks_no_group_in_one_window(spark, capsys):
+    df = spark.range(100).selectExpr("1 as g", "0 as step", "id as pos")
+    ordering.last_n(df, 7, "step", ["pos"], ["g"]).explain()
+    plan = capsys.readouterr().out
+    assert all("_slice" in line for line in plan.splitlines() if "Window " in line)
 
 
 def test_split_is_exact_disjoint_and_repeatable(spark, skewed):

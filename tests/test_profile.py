@@ -1,5 +1,7 @@
 """Profiles against numpy, the exponential average against the sequential rule, and the store."""
 
+import os
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -108,3 +110,19 @@ def test_store_versions_defaults_and_legacy_form(spark, rng):
     fitted.where("g = 'a'").select("g", "mu").write.parquet(legacy)
     loaded = {r.g: r for r in reports.load_profile(spark, legacy, ["g"], defaults=fitted).collect()}
     assert set(loaded) == {"a", "b"} and loaded["a"].n == 10
+
+
+def test_a_version_saved_again_replaces_it_and_half_written_ones_do_not_count(spark, rng, capsys):
+    fitted = profile.fit_profile(vectors(spark, rng.normal(size=(20, 2)), g=["a", "b"] * 10), ["g"])
+    path = new_folder(spark, "store")
+    for n in (1, 2):
+        reports.save_profile(fitted.withColumn("n", F.lit(n).cast("long")), path, 1)
+    reports.save_profile(fitted, path, 7)
+    reports.save_profile(fitted.withColumn("n", F.lit(99).cast("long")), path, 8)
+    os.remove(f"{path}/version=8/_SUCCESS")  # the writer died before its commit
+    assert sorted((r.g, r.n, r.version) for r in reports.load_profile(spark, path, ["g"]).collect()) == [("a", 10, 7), ("b", 10, 7)]
+    assert sorted((r.g, r.n) for r in reports.load_profile(spark, path, ["g"], version=1).collect()) == [("a", 2), ("b", 2)]
+    files = reports.load_profile(spark, path, ["g"]).select("mu").inputFiles()
+    assert files and all("version=7" in f or "profile-versions" in f for f in files)
+    with pytest.raises(ValueError):
+        reports.load_profile(spark, path, ["g"], version=8)

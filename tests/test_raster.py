@@ -62,6 +62,113 @@ def test_morphology(spark, rng):
     assert ring == want
 
 
+def holes(cube, rng, share=0.2):
+    """Places to leave out, corners and a whole line and column among them."""
+    gone = rng.random(cube.shape[:3]) < share
+    gone[0, 2, :] = gone[0, :, 3] = True
+    gone[0, 0, 0] = gone[0, -1, -1] = True
+    return gone
+
+
+def without(df, gone):
+    spots = [(int(i), int(y), int(x)) for i, y, x in zip(*np.nonzero(gone))]
+    return df.join(df.sparkSession.createDataFrame(spots, "image_id long, y long, x long"), ["image_id", "y", "x"], "left_anti")
+
+
+def by_place(df, *names):
+    return {(r.image_id, r.y, r.x): tuple(r[n] for n in names) for r in df.collect()}
+
+
+def test_missing_pixels_keep_their_place_in_neighbourhoods(spark, rng):
+    cube = (rng.random((2, 9, 13)) < 0.3).astype(float)
+    gone = holes(cube, rng)
+    gone[1, -1, -1] = False  # the second image keeps its size
+    df = without(mask_table(spark, cube), gone)
+    for out, reach, pick in ((raster.dilate(df, 3), 1, np.nanmax), (raster.erode(df, 5), 2, np.nanmin)):
+        got = by_place(out, "m")
+        for i in range(2):
+            image = np.where(gone[i], np.nan, cube[i])
+            for y in range(9):
+                for x in range(13):
+                    if gone[i, y, x]:
+                        assert (i, y, x) not in got
+                        continue
+                    window = image[max(0, y - reach) : y + reach + 1, max(0, x - reach) : x + reach + 1]
+                    assert got[i, y, x] == (pick(window),)
+    assert raster.dilate(mask_table(spark, np.zeros((1, 1, 8))).where("x <> 2"), 3).count() == 7
+
+
+def test_a_convolution_over_a_missing_pixel_is_unknown(spark, rng):
+    cube = rng.integers(0, 256, (1, 7, 9, 1)).astype(float)
+    df = cube_table(spark, cube).where("not (y = 3 and x = 4)")
+    got = by_place(raster.gaussian_blur(df, 3, 1.0), "v")
+    want = correlate(cube[0, :, :, 0], np.outer(raster.gaussian_kernel(3, 1.0), raster.gaussian_kernel(3, 1.0)))
+    assert len(got) == 62
+    for (_, y, x), (v,) in got.items():
+        assert v is None if abs(y - 3) <= 1 and abs(x - 4) <= 1 else v == pytest.approx(want[y, x])
+    small = by_place(raster.resize(df, 6), "v")
+    assert len(small) == 36 and sum(v is None for (v,) in small.values()) == 4
+    full = by_place(raster.resize(cube_table(spark, cube), 6), "v")
+    assert all(v is None or v == full[k][0] for k, (v,) in small.items())
+
+
+def test_blends_and_overlays_with_missing_pixels(spark, rng):
+    patch, dest = (rng.integers(0, 256, (1, 8, 8, 3)).astype(float) for _ in range(2))
+    mask = (rng.random((1, 8, 8)) < 0.5).astype(float)
+    gone = np.zeros((1, 8, 8), bool)
+    gone[0, 3, 5] = True
+    for blend in (raster.blend_images, raster.seamless_blend):
+        out = blend(cube_table(spark, patch), without(cube_table(spark, dest), gone), mask_table(spark, mask))
+        assert out.count() == 63 * 3 and out.where("y = 3 and x = 5").count() == 0
+        assert out.where("v is null").count() == 0
+    heat = without(mask_table(spark, np.full((1, 8, 8), 0.5)).withColumnRenamed("m", "value"), gone)
+    out = raster.overlay_heatmap(cube_table(spark, patch), heat, 0.5, "gray")
+    assert out.count() == 192
+    assert sorted(r.v for r in out.where("y = 3 and x = 5").collect()) == sorted(patch[0, 3, 5].astype(int).tolist())
+
+
+def exchanges(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return plan.count("Exchange hashpartitioning") + plan.count("Exchange rangepartitioning") + plan.count("Exchange SinglePartition")
+
+
+def test_one_shuffle_by_image(spark, rng):
+    cube = cube_table(spark, rng.integers(0, 256, (1, 4, 4, 3)).astype(float))
+    mask = mask_table(spark, np.ones((1, 4, 4)))
+    offsets = spark.createDataFrame([(0, 0, 0)], "image_id long, dy int, dx int")
+    assert exchanges(raster.seamless_blend(cube, cube, mask)) == 1
+    assert exchanges(raster.blend_images(cube, cube, mask)) == 1
+    assert exchanges(raster.gaussian_blur(cube, 3, 1.0)) == 1
+    assert exchanges(raster.boundary(mask)) == 1
+    assert exchanges(raster.overlay_heatmap(cube, mask.withColumnRenamed("m", "value"))) == 1
+    assert exchanges(raster.overlay_region(cube, cube.withColumn("m", F.lit(1)), offsets)) <= 3
+
+
+def test_moments_of_any_box(spark, rng):
+    cube = rng.integers(0, 256, (2, 12, 10, 3)).astype(float)
+    gone = holes(cube, rng)
+    df = without(cube_table(spark, cube), gone)
+    boxes = [(i, k, int(x), int(y), int(x + rng.integers(0, 9)), int(y + rng.integers(0, 9))) for i in range(3) for k, (x, y) in enumerate(rng.integers(-4, 14, (25, 2)))]
+    table = spark.createDataFrame(boxes, "image_id long, box int, bx0 int, by0 int, bx1 int, by1 int")
+    got = {(r.image_id, r.box): (r.mean, r.std) for r in raster.region_moments(df, table, ["box"]).collect()}
+    assert len(got) == len(boxes)
+    for i, k, x0, y0, x1, y1 in boxes:
+        window = np.empty(0)
+        if i < 2:
+            window = np.where(gone[i][:, :, None], np.nan, cube[i])[max(0, y0) : max(0, y1), max(0, x0) : max(0, x1)].ravel()
+            window = window[~np.isnan(window)]
+        assert got[i, k] == ((None, None) if not len(window) else (pytest.approx(window.mean()), pytest.approx(window.std(), abs=1e-9)))
+
+
+def test_every_target_keeps_a_row(spark, rng):
+    cube = rng.integers(0, 256, (1, 20, 20, 1)).astype(float)
+    targets = spark.createDataFrame([(0, 0, 1, 1, 4, 4), (0, 1, 90, 90, 4, 4), (0, 2, 2, 2, 4, 4), (5, 0, 0, 0, 4, 4), (None, 0, 0, 0, 4, 4)], "image_id long, target_id int, x int, y int, w int, h int")
+    drawn = [(0, 0, 0, 200, 200), (0, 0, 1, 10, 10), (0, 1, 0, 5, 5), (0, 1, 1, 9, 9), (5, 0, 3, 10, 10)]
+    candidates = spark.createDataFrame(drawn, "image_id long, target_id int, candidate_id int, x int, y int")
+    out = {(r.image_id, r.target_id): (r.candidate_id, r.x, r.cost is None) for r in raster.match_region(cube_table(spark, cube), targets, candidates).collect()}
+    assert out == {(0, 0): (1, 10, False), (0, 1): (0, 5, True), (0, 2): (None, None, True), (5, 0): (3, 10, True), (None, 0): (None, None, True)}
+
+
 def test_convolutions(spark, rng):
     cube = rng.integers(0, 256, (2, 8, 11, 3)).astype(float)
     df = cube_table(spark, cube)
@@ -196,7 +303,7 @@ def test_match_region(spark, rng):
     targets = spark.createDataFrame([(0, 0, 2, 3, 6, 5), (0, 1, 20, 20, 6, 5)], "image_id long, target_id int, x int, y int, w int, h int")
     drawn = [(0, 0, k, int(rng.integers(0, 25)), int(rng.integers(0, 26))) for k in range(10)] + [(0, 1, k, 20 + k, 20) for k in range(3)]
     candidates = spark.createDataFrame(drawn, "image_id long, target_id int, candidate_id int, x int, y int")
-    out = {r.target_id: r for r in raster.match_region(cube_table(spark, cube), targets, candidates, 8).collect()}
+    out = {r.target_id: r for r in raster.match_region(cube_table(spark, cube), targets, candidates).collect()}
     win = lambda x, y: cube[0, y : y + 5, x : x + 6]
     cost = {
         k: abs(win(x, y).mean() - win(2, 3).mean()) + 0.5 * abs(win(x, y).std() - win(2, 3).std())

@@ -118,3 +118,40 @@ def test_pruning_uses_all_logits_or_says_so(spark, rng):
     assert kept[0] == kept[1]
     with pytest.raises(ValueError):
         pruning.prune_patches(df, 3, n_max=30, n_min=4, t_steps=4)
+
+
+def test_attention_without_some_vectors(spark, rng):
+    """NULL and NaN vectors and a NULL image: those patches are unknown, the others share all attention."""
+    rows, queries = [], []
+    for image in (0, 1, None):
+        for p in range(8):
+            v = rng.normal(size=3).tolist()
+            if image == 0 and p in (2, 5, 6):
+                v = {2: None, 5: [1.0, float("nan"), 0.0], 6: [1.0, None, 0.0]}[p]
+            rows.append((image, p, v))
+        queries += [(image, q, rng.normal(size=3).tolist()) for q in range(2)]
+    queries += [(0, 7, [float("inf"), 0.0, 0.0]), (1, 7, None)]
+    patches = spark.createDataFrame(rows, "image_id long, patch_idx long, embedding array<double>").repartition(3)
+    asked = spark.createDataFrame(queries, "image_id long, query_idx long, embedding array<double>")
+    out = {(r.image_id, r.patch_idx): r for r in attention.attention(patches, asked).collect()}
+    assert len(out) == 24
+    for image in (0, 1, None):
+        good = [(p, np.array(v)) for i, p, v in rows if i == image and not (image == 0 and p in (2, 5, 6))]
+        q = np.array([v for i, _, v in queries if i == image and v is not None and np.isfinite(v).all()])
+        logits = np.stack([v for _, v in good]) @ q.T / np.sqrt(3)
+        e = np.exp(logits - logits.max(axis=0))
+        weights = e / e.sum(axis=0)
+        for k, (p, _) in enumerate(good):
+            assert np.allclose(out[image, p].weights, weights[k]) and np.isclose(out[image, p].importance, weights[k].sum())
+            assert out[image, p].n_queries == 2
+        assert np.isclose(sum(out[image, p].importance for p, _ in good), 2)
+    assert all(out[0, p].weights is None and out[0, p].importance is None for p in (2, 5, 6))
+
+
+@pytest.mark.parametrize("window_patches", [100, 1])
+def test_pruning_drops_patches_without_a_score_first(spark, window_patches):
+    rows = [(1, p, None if p == 3 else [float(p), 0.0], 0.0) for p in range(6)] + [(1, 6, [9.0, float("nan")], 0.0), (1, 7, [9.0, 9.0], None)]
+    rows += [(None, p, [float(p), 0.0], 0.0) for p in range(6)]
+    df = spark.createDataFrame(rows, "image_id long, patch_idx long, logits array<double>, deviation double")
+    kept = pruning.prune_patches(df, n_max=2, n_min=2, t_steps=1, window_patches=window_patches).collect()
+    assert {(r.image_id, r.patch_idx) for r in kept} == {(1, 4), (1, 5), (None, 4), (None, 5)}

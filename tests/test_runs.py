@@ -1,6 +1,7 @@
 """Folds, running means and losses against plain Python."""
 
 import math
+import os
 
 import numpy as np
 import pandas as pd
@@ -10,7 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from normatile.functions import schedules
-from normatile.operators import losses, runs
+from normatile.operators import losses, rules, runs
 from normatile.session import new_folder
 from normatile.sources import reports
 
@@ -46,7 +47,67 @@ def test_early_stopping(spark, values, mode):
 
 def test_mode_is_checked():
     with pytest.raises(ValueError):
-        runs.early_stop_step("m", 3, "up", 0.0)
+        rules.EarlyStop("m", 3, "up", 0.0)
+
+
+def gate_rule(rows, tolerance):
+    best, out = None, []
+    for a, b in rows:
+        save = False
+        if a is not None and b is not None:
+            if best is None:
+                save = True
+            else:
+                da, db = a - best[0], b - best[1]
+                save = (da > 0 and -db <= tolerance) or (db > 0 and -da <= tolerance)
+        best = (a, b) if save else best
+        out.append((best, save))
+    return out
+
+
+def sliced(rule, frame, cuts):
+    """Outcomes of a run cut into slices, each knowing only the functions of those before it."""
+    state, out = rule.start, []
+    for a, b in zip([0, *cuts], [*cuts, len(frame)]):
+        part = frame.iloc[a:b]
+        if len(part):
+            out.append(pd.DataFrame(rule.outcome(part, state)))
+            state = rule.after([np.asarray(x, float) for x in rule.summary(part)], state)
+    return pd.concat(out, ignore_index=True)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.data())
+def test_rules_by_slices_equal_rules_by_rows(data):
+    values = data.draw(st.lists(st.one_of(st.none(), st.integers(0, 9)), min_size=1, max_size=60))
+    other = data.draw(st.lists(st.one_of(st.none(), st.integers(0, 9)), min_size=len(values), max_size=len(values)))
+    cuts = sorted(data.draw(st.lists(st.integers(0, len(values)), max_size=5)))
+    mode, patience, delta = data.draw(st.tuples(st.sampled_from(["max", "min"]), st.integers(1, 6), st.sampled_from([0.0, 0.25, 0.6])))
+    scale = lambda v: None if v is None else v / 4
+    frame = pd.DataFrame({"m": list(map(scale, values)), "p": list(map(scale, other))}, dtype=object)
+    got = sliced(rules.EarlyStop("m", patience, mode, delta), frame, cuts)
+    for (best, bad, stopped), row in zip(stop_rule(frame["m"], patience, mode, delta), got.itertuples()):
+        assert (row.bad_epochs, row.stopped) == (bad, stopped)
+        assert (best is None and np.isnan(row.best)) or best == row.best
+    got = sliced(rules.CheckpointGate("m", "p", delta), frame, cuts)
+    for (best, save), row in zip(gate_rule(zip(frame["m"], frame["p"]), delta), got.itertuples()):
+        assert row.saved == save and (best is None and np.isnan(row.best_image) or best == (row.best_image, row.best_patch))
+
+
+def test_one_long_run_lies_in_many_slices(spark):
+    n = 60_000
+    df = spark.range(n, numPartitions=6).selectExpr("'r' as run_id", "id as epoch", "round(1 - exp(-id / 15000.0) + (hash(id) % 1000) / 1e4, 6) as m")
+    spark.conf.set("spark.sql.shuffle.partitions", "12")
+    try:
+        out = runs.early_stopping(df, "m", patience=5000, min_delta=0.001)
+        frame = out.toPandas().sort_values("epoch")
+        gate = runs.checkpoint_gate(df.withColumn("p", -F.col("m")), "m", "p", tolerance=0.05).toPandas().sort_values("epoch")
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    want = stop_rule(frame["m"].tolist(), 5000, "max", 0.001)
+    assert frame["best"].tolist() == [w[0] for w in want] and frame["bad_epochs"].tolist() == [w[1] for w in want]
+    want = gate_rule(zip(gate["m"].tolist(), gate["p"].tolist()), 0.05)
+    assert gate["saved"].tolist() == [w[1] for w in want]
 
 
 def test_checkpoint_gate(spark):
@@ -101,6 +162,23 @@ def test_log_append(spark):
     ]
 
 
+def test_a_repeated_append_gives_each_row_once(spark):
+    path = new_folder(spark, "log")
+    rows = lambda steps: spark.createDataFrame([("r", 1, s, {"a": float(s)}) for s in steps], "run_id string, epoch int, step int, metrics map<string,double>")
+    assert reports.read_metrics(spark, path).count() == 0
+    reports.append_metrics(rows([1, 2]), path, batch="one")
+    reports.append_metrics(rows([3]), path, batch="two")
+    os.remove(f"{path}/batch=two/_SUCCESS")  # it failed before its commit
+    assert sorted(r.step for r in reports.read_metrics(spark, path).collect()) == [1, 2]
+    for _ in range(2):
+        reports.append_metrics(rows([3, 4]), path, batch="two")
+    reports.append_metrics(rows([5]), path)
+    log = reports.read_metrics(spark, path)
+    assert sorted(r.step for r in log.collect()) == [1, 2, 3, 4, 5] and log.columns == ["run_id", "epoch", "step", "key", "value"]
+    with pytest.raises(ValueError):
+        reports.append_metrics(rows([6]), path, batch="a/b")
+
+
 def test_schedules(spark):
     got = spark.range(40).select("id", schedules.lr_factor(F.col("id"), 10, 40).alias("f")).toPandas().sort_values("id")["f"]
     want = [s / 10 if s < 10 else 0.5 * (1 + math.cos(math.pi * (s - 10) / 30)) for s in range(40)]
