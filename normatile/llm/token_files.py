@@ -9,12 +9,17 @@ half there. Footers hold the smallest and largest id, so a reader opens only the
 from __future__ import annotations
 
 import functools
+import gc
+import itertools
 import json
 import os
+import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,10 +33,19 @@ from normatile.session import new_folder
 WORDS_ONLY = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
+# ASCII marks but the apostrophe: before or behind letters, a run of them is a pre-token of its own under WORDS_ONLY.
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
+_shown = [b for b in range(256) if chr(b).isprintable() and b not in (32, 160, 173)]
+#: Byte-level models write a byte as a printable letter: itself if it is one, else the next after 255.
+BYTES = {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in _shown)}
+
+
 class Encoder:
-    """Token ids of texts as little-endian bytes. ``known`` keeps the ids of words seen before, up to ``keep`` characters."""
+    """Token ids of texts. Words seen before, up to ``keep`` characters, are looked up, not encoded again."""
 
-    def __init__(self, path: str, end_id: int | None, keep: int = 16_000_000):
+    def __init__(self, path: str, end_id: int | None, keep: int = 12_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -42,12 +56,11 @@ class Encoder:
             spec = json.load(file)
         ids = [*self.model.get_vocab(with_added_tokens=True).values(), end_id or 0]
         self.dtype = np.dtype("<u2" if max(ids) < 1 << 16 else "<u4")
-        self.end = b"" if end_id is None else np.array([end_id], self.dtype).tobytes()
-        self.known: dict[str, bytes] = {"": b""}
-        self.keep, self.held = keep, 0
+        self.end, self.keep = end_id, keep
         before = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
         normal = spec.get("normalizer") or {}
         plain = all(n["type"] in ("NFC", "Lowercase") or n.get("pattern") == {"Regex": r"\s+"} for n in normal.get("normalizers", [normal] if normal else []))
+        self.lower = any(n["type"] == "Lowercase" for n in normal.get("normalizers", []))
         self.by_word = (
             plain
             and before[0].get("type") == "Split"
@@ -56,25 +69,118 @@ class Encoder:
             and bool(before[0].get("invert"))
             and not any(" " in t["content"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec["added_tokens"])
         )
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, self.dtype).tobytes() for x in self.model.encode_batch(texts, add_special_tokens=False)]
-
-    def of(self, texts: list[str]) -> list[bytes]:
+        self.added = [t["content"] for t in spec["added_tokens"]]
+        self.split_id = spec["added_tokens"][-1]["id"] if self.added else -1
+        self.special = re.compile("|".join(map(re.escape, self.added))).search if self.added else None
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.held = 0
+        self.flat, self.start, self.size = np.empty(0, self.dtype), np.empty(0, np.int64), np.empty(0, np.int64)
+        self._add([""], [[]])
+        self._add(["\n"], [[] if self.end is None else [self.end]])  # no word holds a newline: the end's place
+
+    def _add(self, words: list[str], ids: list[list[int]]) -> None:
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        self.known.update(zip(words, range(len(self.size), len(self.size) + len(words))))
+        self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(sizes) - sizes])
+        self.size = np.concatenate([self.size, sizes])
+        self.flat = np.concatenate([self.flat, np.fromiter(itertools.chain.from_iterable(ids), self.dtype, int(sizes.sum()))])
+        self.held += sum(map(len, words))
+
+    def _stored(self, word: str) -> list[int]:
+        k = self.known[word]
+        return self.flat[self.start[k] : self.start[k] + self.size[k]].tolist()
+
+    def _ids(self, words: list[str]) -> list[list[int]]:
+        """Ids of each word. Letters in normal form are one pre-token, so the model alone is asked.
+
+        Of the others many go in one call, with a special token between two to keep them apart.
+        """
+        tokenize, special, out = self.model.model.tokenize, self.special, {}
+        rest, alone = [], []
+        for w in words:
+            if w.isalpha() and w.isascii() and (not self.lower or w.islower()):
+                out[w] = [t.id for t in tokenize(w)]
+            elif w.isalpha() and not w.isascii() and unicodedata.is_normalized("NFC", w) and (not self.lower or "".join(map(str.lower, w)) == w):
+                out[w] = [t.id for t in tokenize(w.encode().decode("latin-1").translate(BYTES))]
+            elif special is None or special(w):
+                alone.append(w)
+            else:
+                rest.append(w)
+        out.update(zip(alone, [x.ids for x in self.model.encode_batch(alone, add_special_tokens=False)]))
+        groups = [rest[i : i + 5000] for i in range(0, len(rest), 5000)]
+        for group, x in zip(groups, self.model.encode_batch([self.added[-1].join(g) for g in groups], add_special_tokens=False)):
+            ids = x.ids
+            cuts = [-1, *np.flatnonzero(np.array(ids) == self.split_id).tolist(), len(ids)]
+            if len(cuts) != len(group) + 1:
+                raise ValueError("the tokenizer lost a special token")
+            out.update((w, ids[i + 1 : k]) for w, i, k in zip(group, cuts, cuts[1:]))
+        return [out[w] for w in words]
+
+    def _learn(self, words: list[str]) -> None:
+        """Add new words; marks around a word are encoded by themselves, and words in their normal form."""
+        known, normal, hint = self.known, self._normal, os.path.commonprefix(self.added)
+        split = []
+        for w in words:
+            if self.special is not None and hint in w and self.special(w):
+                split.append(("", w, ""))
+                continue
+            core = w.strip(MARKS)
+            if core == w:
+                split.append(("", normal(w), ""))
+            elif core and core[0].lower().isalpha() and core[-1].lower().isalpha():
+                start = w.index(core[0])
+                split.append((w[:start], normal(core), w[start + len(core) :]))
+            else:
+                split.append(("", w, ""))
+        fresh = [p for p in dict.fromkeys(itertools.chain.from_iterable(split)) if p not in known]
+        ids = dict(zip(fresh, self._ids(fresh)))
+        more = [(w, parts) for w, parts in zip(words, split) if w not in ids and w not in known]
+        for part in {p for _, parts in more for p in parts if p not in ids}:
+            ids[part] = self._stored(part)
+        self._add(fresh + [w for w, _ in more], [ids[f] for f in fresh] + [ids[a] + ids[b] + ids[c] for _, (a, b, c) in more])
+
+    def _normal(self, word: str) -> str:
+        """The word as the normalizer leaves it if that is sure to be the same for the model; else the word itself."""
+        if not self.lower or word.islower() and word.isascii():
+            return word
+        if word.isascii():
+            return word.lower()
+        low = "".join(map(str.lower, word))  # letter by letter, as the normalizer does
+        return low if low.isalpha() and unicodedata.is_normalized("NFC", word) else word
+
+    def of(self, texts: pa.Array) -> pa.Array:
+        """The ids of each text as little-endian bytes, the end id behind them."""
         if not self.by_word:
-            return [x + self.end for x in self._ids(texts)]
+            end = [] if self.end is None else [self.end]
+            found = self.model.encode_batch(texts.to_pylist(), add_special_tokens=False)
+            return pa.array([np.array([*x.ids, *end], self.dtype).tobytes() for x in found], pa.binary())
         if self.held > self.keep:
-            self.known, self.held = {"": b""}, 0
-        cut = [t.replace("\n", " ").split(" ") for t in texts]
-        new: set[str] = set()
-        for words in cut:
-            new.update(words)
-        fresh = [w for w in new if w not in self.known]
-        if fresh:
-            self.known.update(zip(fresh, self._ids(fresh)))
-            self.held += sum(map(len, fresh))
-        known = self.known.__getitem__
-        return [b"".join(map(known, words)) + self.end for words in cut]
+            self._forget()
+        lists = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        words = lists.flatten().dictionary_encode()
+        distinct = words.dictionary.to_pylist()
+        found = np.fromiter(map(self.known.get, distinct, itertools.repeat(-1)), np.int64, len(distinct))
+        new = np.flatnonzero(found < 0)
+        if len(new):
+            fresh = [distinct[k] for k in new.tolist()]
+            gc.disable()  # many small lists and no cycles: the collector would walk all known words again and again
+            try:
+                self._learn(fresh)
+            finally:
+                gc.enable()
+            found[new] = [self.known[w] for w in fresh]
+        slots = found[words.indices.to_numpy()]
+        ends = np.cumsum(lists.value_lengths().to_numpy())
+        slots = np.insert(slots, ends, self.known["\n"])
+        sizes = self.size[slots]
+        stops = np.cumsum(sizes)
+        places = np.repeat(self.start[slots] - (stops - sizes), sizes) + np.arange(stops[-1] if len(stops) else 0)
+        ids = self.flat[places]
+        bounds = np.concatenate([[0], stops[ends + np.arange(len(ends))]]) * self.dtype.itemsize
+        return pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.array(bounds.astype(np.int32)).buffers()[1], pa.py_buffer(ids)])
 
 
 @functools.lru_cache(maxsize=2)
@@ -90,12 +196,12 @@ def encode_texts(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, en
         encoder, turn = _encoder(tokenizer, end_id), 0
         width = encoder.dtype.itemsize
         for piece in by_bytes(batches, 1, batch_bytes):
-            ids = encoder.of(binary(piece.column(1)).cast(pa.string()).to_pylist())
+            ids = encoder.of(binary(piece.column(1)).cast(pa.string()))
             rows_ = len(ids)
             arrays = [
-                pa.array([len(x) // width for x in ids], pa.int64()),
+                pc.divide(pc.binary_length(ids).cast(pa.int64()), width),
                 pa.array(np.full(rows_, width, np.int32)),
-                pa.array(ids, pa.binary()),
+                ids,
                 pa.array(np.arange(turn, turn + rows_, dtype=np.int64)),
             ]
             turn += rows_
@@ -113,7 +219,7 @@ def write_tokens(
     end_id: int | None = 1,
     shard_tokens: int = 8 << 20,
     parts: int | None = None,
-    batch_bytes: int = 1 << 20,
+    batch_bytes: int = 4 << 20,
 ) -> str:
     """Write the token ids of all documents, ascending by id, as shard files below ``path`` (a new shared folder); gives the path.
 
