@@ -124,9 +124,11 @@ def dedup_lines(
     longest document in a task, its chunks, and their texts.
     """
     removed = repeated_lines(docs, id_col, text_col, min_lines, min_chars)
-    packed = docs.select(whole_row(docs).alias("row"), col(id_col).alias("_id"), col(text_col).alias("_text"), F.xxhash64(col(text_col)).alias("_version"))
-    removed = removed.select(F.col("id").alias("_key"), F.col("version").alias("_of"), "gone")
+    packed = docs.select(whole_row(docs).alias("row"), col(id_col).alias("_id"), F.xxhash64(col(text_col)).alias("_version"))
+    # Merged at every size: the table of lines is as large as the corpus has repeats.
+    removed = removed.select(F.col("id").alias("_key"), F.col("version").alias("_of"), "gone").hint("merge")
     joined = packed.join(removed, (F.col("_id") == F.col("_key")) & (F.col("_version") == F.col("_of")), "left")
+    joined = joined.withColumn("_text", F.col("row").getField(text_col))
     joined = joined.select("row", "_text", _lines_of(F.col("_text")).alias("_lines"), F.coalesce("gone", F.array().cast("array<int>")).alias("_gone"))
     left = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "_gone")
     kept = F.array_join(F.transform(left, lambda i: F.get("_lines", i)), "\n")
