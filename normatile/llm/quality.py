@@ -43,19 +43,18 @@ def counts(df: DataFrame, text: str) -> DataFrame:
     lines = F.filter(F.split(t, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     df = df.withColumns({"_words": F.filter(F.split(t, SPACE, -1), lambda x: x != ""), "_lines": lines})
     df = df.withColumns({"_n": F.size("_words"), "_n_lines": F.size("_lines").cast("long")})
-    windows = F.when(
-        F.col("_n") >= 3,
-        F.sort_array(
-            F.zip_with(
-                F.zip_with("_words", F.slice("_words", 2, F.col("_n")), lambda a, b: F.concat_ws(" ", a, b)),
-                F.zip_with(F.slice("_words", 3, F.col("_n")), F.sequence(F.lit(0), F.col("_n") - 3), lambda c, i: F.struct(c.alias("c"), i.alias("i"))),
-                lambda ab, ci: F.struct(F.concat_ws(" ", ab, ci["c"]).alias("g"), ci["i"].alias("i")),
-            )
-        ),
-    )
+    # A window is known by 128 bits of its words, so sorting moves numbers and no text.
+    places = F.sequence(F.lit(0), F.col("_n") - 3)
+
+    def marked(i: Column) -> Column:
+        words = [F.get("_words", i + k) for k in range(3)]
+        return F.struct(F.xxhash64(*words).alias("g"), F.xxhash64(F.lit(1), *words).alias("h"), i.alias("i"))
+
+    windows = F.when(F.col("_n") >= 3, F.sort_array(F.transform(places, marked)))
     df = df.withColumn("_windows", windows)
     # Sorted windows next to each other: equal neighbours are repeats.
-    pairs = F.zip_with("_windows", F.slice("_windows", 2, F.col("_n")), lambda x, y: F.when(x["i"].isNotNull() & (x["g"] == y["g"]), F.array(x["i"], y["i"])))
+    same = lambda x, y: x["i"].isNotNull() & (x["g"] == y["g"]) & (x["h"] == y["h"])
+    pairs = F.zip_with("_windows", F.slice("_windows", 2, F.col("_n")), lambda x, y: F.when(same(x, y), F.array(x["i"], y["i"])))
     df = df.withColumn("_again", F.flatten(F.filter(pairs, lambda p: p.isNotNull())))
     covered = F.array_distinct(F.flatten(F.transform("_again", lambda i: F.array(i, i + 1, i + 2))))
     return df.withColumns(
