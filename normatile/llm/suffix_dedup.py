@@ -286,6 +286,8 @@ def dedup_suffixes(
 
     A null text is empty. Rows with a null id stay whole. Rows that repeat an id count as one document: they get the same
     runs removed, and none because of each other. An empty table gives an empty result; other columns are not read.
+    Memory: a batch of ``batch_bytes``, or one text with two numbers for each of its contexts (one for about 35 bytes
+    of text); the bytes of about 20,000 contexts in a task that scans buckets.
     """
     if window < 2 * GRAM:
         raise ValueError(f"window must be at least {2 * GRAM}")
