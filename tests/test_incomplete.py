@@ -42,3 +42,9 @@ def scored(spark, tmp_path_factory):
 @pytest.mark.parametrize("name", ["prune_patches", "prune_patches_as_shipped"])
 def test_pruning(spark, scored, held, name):
     check(spark, scored[held], name)
+
+
+@pytest.mark.parametrize("held", [3, 6, 13])
+@pytest.mark.parametrize("name", ["blend_images"])
+def test_rasters(spark, tables, held, name):
+    check(spark, tables[held], name)
