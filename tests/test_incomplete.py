@@ -45,7 +45,7 @@ def test_pruning(spark, scored, held, name):
 
 
 @pytest.mark.parametrize("held", [6, 7])
-@pytest.mark.parametrize("name", ["heatmap_display"])
+@pytest.mark.parametrize("name", ["heatmap_display", "colorize_heatmap"])
 def test_heat(spark, scored, held, name):
     check(spark, scored[held], name)
 
