@@ -19,16 +19,19 @@ from normatile.session import materialize
 
 def score_patches(
     patches: DataFrame, profile: DataFrame, group: Sequence[str] = (), queries: DataFrame | None = None,
-    gamma: float | None = 1.3, alpha: float = 0.4, beta: float = 0.4, cross: float = 0.2,
+    gamma: float | None = 1.3, alpha: float = 0.4, beta: float = 0.4, cross: float = 0.2, n_queries: int | None = None,
 ) -> DataFrame:
-    """Final patch scores: deviation from the profile fused with attention, if queries are given."""
+    """Final patch scores: deviation from the profile fused with attention, if queries are given.
+
+    ``n_queries`` is how many the model has; without it attention is shared by the queries an image really has.
+    """
     scored = mahalanobis(patches, profile, group, gamma=gamma)
     if queries is None:
         return scored.withColumn("score", F.col("deviation"))
     attended = attention(patches, queries).drop("weights")
     joined = join_null_safe(scored, attended, ["image_id", "patch_idx"])
     return joined.withColumn(
-        "score", fuse_scores(F.col("importance"), F.col("deviation"), F.col("n_queries"), alpha, beta, cross)
+        "score", fuse_scores(F.col("importance"), F.col("deviation"), F.col("n_queries") if n_queries is None else n_queries, alpha, beta, cross)
     )
 
 

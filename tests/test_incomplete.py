@@ -44,6 +44,12 @@ def test_pruning(spark, scored, held, name):
     check(spark, scored[held], name)
 
 
+@pytest.mark.parametrize("held", [6])
+@pytest.mark.parametrize("name", ["fused_patch_score", "fused_image_score_full"])
+def test_fused(spark, scored, held, name):
+    check(spark, scored[held], name)
+
+
 @pytest.mark.parametrize("held", [6, 7])
 @pytest.mark.parametrize("name", ["heatmap_display", "colorize_heatmap", "overlay_heatmap"])
 def test_heat(spark, scored, held, name):
