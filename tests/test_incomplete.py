@@ -57,6 +57,6 @@ def test_heat(spark, scored, held, name):
 
 
 @pytest.mark.parametrize("held", [3, 6, 13])
-@pytest.mark.parametrize("name", ["blend_images", "gaussian_blur", "sobel_x", "sobel_y"])
+@pytest.mark.parametrize("name", ["blend_images", "gaussian_blur", "sobel_x", "sobel_y", "overlay_region", "segment_shade"])
 def test_rasters(spark, tables, held, name):
     check(spark, tables[held], name)
