@@ -46,11 +46,11 @@ def score_images(
 
 
 def evaluation_report(
-    scores: DataFrame, masks: DataFrame, images: DataFrame, grid: int, size: int
+    scores: DataFrame, masks: DataFrame, images: DataFrame, grid: int, size: int, unknown: str = "drop"
 ) -> DataFrame:
     """One row: image AUROC, pixel AUROC (raw scores), counts and score range."""
     ranked = join_null_safe(images, image_score(scores), ["image_id"])
     by_image = auroc(ranked, "image_score", "label").select("auroc").scalar()
-    by_pixel = pixel_auroc(scores, masks, grid, size).select("auroc").scalar()
+    by_pixel = pixel_auroc(scores, masks, grid, size, unknown=unknown).select("auroc").scalar()
     counts = score_inventory(ranked, "image_score", "label")
     return counts.withColumns({"image_auroc": by_image, "pixel_auroc": by_pixel})

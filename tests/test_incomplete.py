@@ -56,6 +56,12 @@ def test_heat(spark, scored, held, name):
     check(spark, scored[held], name)
 
 
+@pytest.mark.parametrize("held", [6, 7])
+@pytest.mark.parametrize("name", ["pixel_auroc", "evaluation_report"])
+def test_pixel_auroc(spark, scored, held, name):
+    check(spark, scored[held], name)
+
+
 @pytest.mark.parametrize("held", [3, 6, 13])
 @pytest.mark.parametrize("name", ["blend_images", "gaussian_blur", "sobel_x", "sobel_y", "overlay_region", "segment_shade"])
 def test_rasters(spark, tables, held, name):
