@@ -63,6 +63,6 @@ def test_pixel_auroc(spark, scored, held, name):
 
 
 @pytest.mark.parametrize("held", [3, 6, 13])
-@pytest.mark.parametrize("name", ["blend_images", "gaussian_blur", "sobel_x", "sobel_y", "overlay_region", "segment_shade", "region_match", "region_moments"])
+@pytest.mark.parametrize("name", ["blend_images", "gaussian_blur", "sobel_x", "sobel_y", "overlay_region", "segment_shade", "region_match", "region_moments", "resize_images"])
 def test_rasters(spark, tables, held, name):
     check(spark, tables[held], name)
