@@ -3,8 +3,10 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from __spark_entry__ import oracle_sql, queries
+from normatile.operators import raster
 from tests.oracle import TABLES, compare, connect
 
 SMALL, LARGE = "/root/testdata/sf0.001", "/root/testdata/sf0.1"
@@ -66,3 +68,12 @@ def test_pixel_auroc(spark, scored, held, name):
 @pytest.mark.parametrize("name", ["blend_images", "gaussian_blur", "sobel_x", "sobel_y", "overlay_region", "segment_shade", "region_match", "region_moments", "resize_images"])
 def test_rasters(spark, tables, held, name):
     check(spark, tables[held], name)
+
+
+def test_tasks_of_a_blend_hold_so_many_rows(spark, monkeypatch):
+    """However small the rows are when packed."""
+    monkeypatch.setattr(raster, "ROWS_AT_ONCE", 64)
+    pixels = spark.sql("SELECT i AS image_id, y, x, 0 AS c, 1 AS v FROM range(40) a(i), range(4) b(y), range(4) c(x)")
+    both = raster.stacked("image_id", {"patch": pixels, "dest": pixels}, {"m": (pixels, "v")})
+    held = both.groupBy(F.spark_partition_id().alias("task")).count().collect()
+    assert sum(r["count"] for r in held) == 640 and len(held) > 8 and max(r["count"] for r in held) <= 160
