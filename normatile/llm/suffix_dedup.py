@@ -7,7 +7,8 @@ so only contexts of one anchor can share a string: the anchors deal the corpus i
 Contexts that are equal as a whole are one node with all its occurrences. In each bucket an enhanced
 suffix array over the remaining contexts is scanned with a stack: every interval of suffixes with a
 common prefix of ``window`` bytes or more that can be extended to the left in more than one way is a
-maximal repeat, reported with all its occurrences. All but the first occurrence are removed.
+maximal repeat, reported with all its occurrences. All but the first occurrence are removed. A hash of
+the first ``window`` bytes leaves out suffixes that share them with no other.
 """
 
 from __future__ import annotations
@@ -46,11 +47,12 @@ def _power_table(n: int) -> np.ndarray:
     return _powers
 
 
-def _gram_hashes(data: np.ndarray) -> np.ndarray:
+def _gram_hashes(data: np.ndarray, size: int = GRAM) -> np.ndarray:
+    """A hash of every ``size`` bytes."""
     powers = _power_table(len(data) + 1)
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(LETTERS[data] * powers[0, : len(data)], out=sums[1:])
-    h = (sums[GRAM:] - sums[:-GRAM]) * powers[1, : len(data) - GRAM + 1]
+    h = (sums[size:] - sums[:-size]) * powers[1, : len(data) - size + 1]
     h = (h ^ (h >> np.uint64(32))) * np.uint64(0x9FB21C651E98DF25)
     return h ^ (h >> np.uint64(29))
 
@@ -137,43 +139,35 @@ def maximal_repeats(suffixes: list[bytes], left: list[int | None], least: int) -
         start = i
         while depth < stack[-1][0]:
             length, start = stack.pop()
+            if length < least:
+                continue
             members = order[start : i + 1]
             before = {left[m] for m in members}
-            if length >= least and (len(before) > 1 or None in before):
+            if len(before) > 1 or None in before:
                 found.append((length, members))
         if depth > stack[-1][0]:
             stack.append((depth, start))
     return found
 
 
-def _ranks(keys: np.ndarray) -> np.ndarray:
-    return np.unique(keys, return_inverse=True)[1].astype(np.uint64)
-
-
 def bucket_repeats(texts: list[bytes], window: int) -> list[tuple[int, list[tuple[int, int]]]]:
     """Maximal repeats among contexts: (length, [(context, place), ...]).
 
-    The suffix array is built by prefix doubling over all contexts at once. Only intervals of
-    ``window`` bytes whose left bytes differ, or that begin a context, go on to the stack scan.
+    Suffixes are dealt by a hash of their first ``window`` bytes. Only those whose left bytes differ, or
+    that begin a context, go on to the suffix array and its scan, which compares bytes: hashes that meet
+    by chance change nothing.
     """
     sizes = np.array([len(t) for t in texts])
     offsets = np.concatenate([[0], np.cumsum(sizes)])
-    buffer = b"".join(texts) + bytes(window + 8)
-    n = int(offsets[-1]) + window
-    rank = _ranks(np.ndarray((n,), ">u8", buffer, strides=(1,)).astype(np.uint64))
-    span = 8
-    while span * 2 <= window:
-        shifted = np.concatenate([rank[span:], np.zeros(span, np.uint64)])
-        rank = _ranks(rank << np.uint64(32) | shifted)
-        span *= 2
+    buffer = b"".join(texts)
+    data = np.frombuffer(buffer, np.uint8)
     owner = np.repeat(np.arange(len(texts)), sizes - window + 1)
     places = np.arange(len(owner)) + np.repeat(offsets[:-1] - np.concatenate([[0], np.cumsum(sizes - window + 1)[:-1]]), sizes - window + 1)
-    key = rank[places] << np.uint64(32) | rank[places + (window - span)]
-    order = np.argsort(key, kind="stable")
+    key = _gram_hashes(data, window)[places]
+    order = np.argsort(key)
     key, places, owner = key[order], places[order], owner[order]
     begin = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1])
     count = np.diff(np.concatenate([begin, [len(key)]]))
-    data = np.frombuffer(buffer, np.uint8)
     edge = places == offsets[owner]
     before = np.where(edge, -1, data[places - 1].astype(np.int64))
     diverse = (np.minimum.reduceat(before, begin) != np.maximum.reduceat(before, begin)) | np.logical_or.reduceat(edge, begin)
@@ -189,7 +183,8 @@ def bucket_repeats(texts: list[bytes], window: int) -> list[tuple[int, list[tupl
 
 def removed_runs(docs: DataFrame, window: int, batch_bytes: int) -> DataFrame:
     """``id, s, e``: byte ranges covered by a string of ``window`` bytes that also starts earlier."""
-    found = contexts(docs, window, batch_bytes)
+    # Stored: three steps read it, and each would look through all texts anew.
+    found = stored(contexts(docs, window, batch_bytes), "suffix-runs")
     within = found.where("anchor is null").select("id", "s", (F.col("e") + window).alias("e"))
     runs_ = found.where("anchor is not null")
     # Anchors that occur twice or more, counted per task first.

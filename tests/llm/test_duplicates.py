@@ -171,6 +171,38 @@ def test_suffixes_of_long_texts_meet_across_segments(spark, monkeypatch):
     assert suffix_dedup.dedup_suffixes(docs(spark, [])).count() == 0
 
 
+def test_texts_are_cut_into_contexts_once(spark):
+    looked = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            looked.add(batch.num_rows)
+            yield batch
+
+    texts = [(i, t) for i, t in suffix_texts(random.Random(8)) if i is not None]
+    rows = docs(spark, texts).select("doc_id", "text")
+    suffix_dedup.removed_runs(rows.mapInArrow(seen, rows.schema).toDF("id", "text"), 100, 3000).collect()
+    assert 0 < looked.value <= 2 * len(texts)  # the runs, and the bytes of those that meet
+
+
+def test_buckets_are_right_whatever_the_hash(monkeypatch):
+    rng = random.Random(9)
+    shared = [rng.randbytes(120) for _ in range(4)]
+    parts = [rng.randbytes(rng.randint(0, 9)) + rng.choice(shared) + rng.randbytes(rng.randint(0, 9)) for _ in range(20)]
+    order = lambda found: sorted((n, sorted(m)) for n, m in found)
+    want = order(suffix_dedup.bucket_repeats(parts, 100))
+    for n, members in want:
+        assert len({parts[c][p : p + n] for c, p in members}) == 1
+    covered_ = {(c, p + k) for n, members in want for c, p in members for k in range(n)}
+    strings = {}
+    for c, t in enumerate(parts):
+        for p in range(len(t) - 99):
+            strings.setdefault(t[p : p + 100], []).append((c, p))
+    assert covered_ == {(c, p + k) for at in strings.values() if len(at) > 1 for c, p in at for k in range(100)}
+    monkeypatch.setattr(suffix_dedup, "_gram_hashes", lambda data, size=32: np.zeros(len(data) - size + 1, np.uint64))
+    assert order(suffix_dedup.bucket_repeats(parts, 100)) == want
+
+
 def test_interval_tree_gives_all_maximal_repeats():
     rng = random.Random(7)
     for _ in range(60):
