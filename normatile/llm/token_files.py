@@ -15,7 +15,7 @@ import json
 import os
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,11 +35,30 @@ WORDS_ONLY = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 # ASCII marks but the apostrophe: before or behind letters, a run of them is a pre-token of its own under WORDS_ONLY.
 MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+# Letters that are in normal form, as their lower case is: words of these alone are prepared as a column.
+LETTERS = "".join(chr(c) for c in (*range(65, 91), *range(97, 123), *range(192, 256)) if c not in (215, 247))
+ONLY_LETTERS = "^[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+$"
 
 
 _shown = [b for b in range(256) if chr(b).isprintable() and b not in (32, 160, 173)]
 #: Byte-level models write a byte as a printable letter: itself if it is one, else the next after 255.
 BYTES = {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in _shown)}
+LINES = {b: c for b, c in BYTES.items() if b != 10}
+
+
+def _listed(strings: pa.Array) -> list[str]:
+    """Strings that hold no newline as a list, by one join and one cut."""
+    if not len(strings):
+        return []
+    ends = pa.array([0, len(strings)], pa.int32())
+    return pc.binary_join(pa.ListArray.from_arrays(ends, strings), "\n")[0].as_py().split("\n")
+
+
+def _taken(flat: np.ndarray, start: np.ndarray, size: np.ndarray, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pieces of ``flat`` named by ``slots``, one after another, and where each stops."""
+    sizes = size[slots]
+    stops = np.cumsum(sizes)
+    return flat[np.repeat(start[slots] - (stops - sizes), sizes) + np.arange(stops[-1] if len(stops) else 0)], stops
 
 
 class Encoder:
@@ -119,12 +138,19 @@ class Encoder:
             out.update((w, ids[i + 1 : k]) for w, i, k in zip(group, cuts, cuts[1:]))
         return [out[w] for w in words]
 
+    def _letters(self, words: list[str]) -> None:
+        """Add new words of plain letters. Each is one pre-token, so the model alone is asked."""
+        tokenize = self.model.model.tokenize
+        coded = "\n".join(words).encode().decode("latin-1").translate(LINES).split("\n")
+        self._add(words, [[t.id for t in tokenize(w)] for w in coded])
+
     def _learn(self, words: list[str]) -> None:
         """Add new words; marks around a word are encoded by themselves, and words in their normal form."""
         known, normal, hint = self.known, self._normal, os.path.commonprefix(self.added)
         split = []
         for w in words:
-            if self.special is not None and hint in w and self.special(w):
+            low = w.lower()  # a special token in capitals is none, and must not become one
+            if self.special is not None and (hint in w or hint in low) and (self.special(w) or self.special(low)):
                 split.append(("", w, ""))
                 continue
             core = w.strip(MARKS)
@@ -151,6 +177,40 @@ class Encoder:
         low = "".join(map(str.lower, word))  # letter by letter, as the normalizer does
         return low if low.isalpha() and unicodedata.is_normalized("NFC", word) else word
 
+    def _slots(self, words: pa.Array, learn: Callable[[list[str]], None]) -> np.ndarray:
+        """The place of each word among the known ones; ``learn`` adds those that are new."""
+        coded = words.dictionary_encode()
+        distinct = _listed(coded.dictionary)
+        found = np.fromiter(map(self.known.get, distinct, itertools.repeat(-1)), np.int64, len(distinct))
+        new = np.flatnonzero(found < 0)
+        if len(new):
+            fresh = [distinct[k] for k in new.tolist()]
+            gc.disable()  # many small lists and no cycles: the collector would walk all known words again and again
+            try:
+                learn(fresh)
+            finally:
+                gc.enable()
+            found[new] = [self.known[w] for w in fresh]
+        return found[coded.indices.to_numpy()]
+
+    def _parts(self, words: pa.Array) -> np.ndarray:
+        """Three known words for each word, empty ones among them: words of plain letters lose their capitals and the marks around them."""
+        cores = pc.ascii_trim(words, MARKS)
+        plain = pc.match_substring_regex(cores, ONLY_LETTERS)
+        if self.added:
+            plain = pc.and_not(plain, pc.match_substring(words, os.path.commonprefix(self.added)))
+        marked = pc.and_(plain, pc.not_equal(pc.binary_length(cores), pc.binary_length(words)))
+        letters, around, others = cores.filter(plain), words.filter(marked), pc.invert(plain)
+        out = np.zeros((len(words), 3), np.int64)  # 0: the empty word
+        for where, part, strings, learn in (
+            (plain, 1, pc.utf8_lower(letters) if self.lower else letters, self._letters),
+            (marked, 0, pc.utf8_rtrim(pc.ascii_rtrim(around, MARKS), LETTERS), self._learn),
+            (marked, 2, pc.utf8_ltrim(pc.ascii_ltrim(around, MARKS), LETTERS), self._learn),
+            (others, 1, words.filter(others), self._learn),
+        ):
+            out[where.to_numpy(zero_copy_only=False), part] = self._slots(strings, learn)
+        return out.ravel()
+
     def of(self, texts: pa.Array) -> pa.Array:
         """The ids of each text as little-endian bytes, the end id behind them."""
         if not self.by_word:
@@ -161,24 +221,13 @@ class Encoder:
             self._forget()
         lists = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
         words = lists.flatten().dictionary_encode()
-        distinct = words.dictionary.to_pylist()
-        found = np.fromiter(map(self.known.get, distinct, itertools.repeat(-1)), np.int64, len(distinct))
-        new = np.flatnonzero(found < 0)
-        if len(new):
-            fresh = [distinct[k] for k in new.tolist()]
-            gc.disable()  # many small lists and no cycles: the collector would walk all known words again and again
-            try:
-                self._learn(fresh)
-            finally:
-                gc.enable()
-            found[new] = [self.known[w] for w in fresh]
-        slots = found[words.indices.to_numpy()]
+        parts = np.append(self._parts(words.dictionary), self.known["\n"])
+        flat, stops = _taken(self.flat, self.start, self.size, parts)
+        stops = np.append(stops[2:-1:3], len(flat))  # of each distinct word, and of the end
+        start = np.concatenate([[0], stops[:-1]])
         ends = np.cumsum(lists.value_lengths().to_numpy())
-        slots = np.insert(slots, ends, self.known["\n"])
-        sizes = self.size[slots]
-        stops = np.cumsum(sizes)
-        places = np.repeat(self.start[slots] - (stops - sizes), sizes) + np.arange(stops[-1] if len(stops) else 0)
-        ids = self.flat[places]
+        slots = np.insert(words.indices.to_numpy(), ends, len(words.dictionary))
+        ids, stops = _taken(flat, start, stops - start, slots)
         bounds = np.concatenate([[0], stops[ends + np.arange(len(ends))]]) * self.dtype.itemsize
         return pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.array(bounds.astype(np.int32)).buffers()[1], pa.py_buffer(ids)])
 

@@ -9,6 +9,8 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 from tests.llm.helpers import awkward, by_id, docs, prose
@@ -70,6 +72,20 @@ def test_token_files_round_trip(spark):
     assert counts == sorted(((i, ids.count(token)) for i, ids in want if token in ids), key=repr)
 
 
+def test_words_are_known_once_whatever_their_case_and_marks():
+    from tokenizers import Tokenizer
+
+    rng, model, encoder = random.Random(4), Tokenizer.from_file(FILE), token_files.Encoder(FILE, 1)
+    encoder.of(pa.array(["Hello, hello (HELLO) hello.\nÉté été; ÉTÉ"]))
+    assert set(encoder.known) == {"", "\n", "hello", "été", ",", "(", ")", ".", ";"}
+    assert pc.utf8_lower(pa.array([*token_files.LETTERS])).to_pylist() == [c.lower() for c in token_files.LETTERS]
+    assert pc.all(pc.match_substring_regex(pa.array([*token_files.LETTERS]), token_files.ONLY_LETTERS)).as_py()
+    signs = ["the", "ÉTÉ", "Straße", "ÿ", "×", "µ", "ª", "İ", "e\u0301", "H\u0331", "Жук", "日本", "'", "'S", "--", "(", "_", "7", "<|endoftext|>", "<|ENDOFTEXT|>", "<|"]
+    texts = ["", " ", "\n", "endoftext <|endoftext|>", *("".join(rng.choice([*signs, " ", " ", "\t", "\r\n", "\n"]) for _ in range(60)) for _ in range(150))]
+    got = [np.frombuffer(x, encoder.dtype).tolist() for x in encoder.of(pa.array(texts)).to_pylist()]
+    assert got == [[*x.ids, 1] for x in model.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_token_files_of_an_empty_table_and_without_an_end(spark):
     path = token_files.write_tokens(docs(spark, []), FILE)
     assert token_files.read_tokens(spark, path).count() == 0
